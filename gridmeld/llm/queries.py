@@ -6,24 +6,53 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .lines import line_dedup
+from .mixing import mix_plan
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mix_plan(docs).select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup(docs, min_chars=40, min_docs=5).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
 QUERIES = {
+    "op6_mixing": op6_mixing,
     "op10_line_dedup": op10_line_dedup,
 }
 
 _STRIP = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
 
 ORACLE_SQL = {
+    "op6_mixing": """
+        WITH d AS (
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
+        s AS (
+            SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source IS NULL, source) AS k FROM d GROUP BY source),
+        w AS (
+            SELECT *, CAST(CASE k % 3 WHEN 1 THEN 5 WHEN 2 THEN 2 ELSE 1 END AS DOUBLE) AS weight, source_size * CAST(2 AS DOUBLE) AS lim FROM s),
+        v AS (
+            SELECT a.source, a.lim / a.weight AS fill,
+                (SELECT sum(source_size) FROM w) * CAST(1.5 AS DOUBLE) - coalesce(sum(b.lim), 0) AS rest,
+                (SELECT sum(weight) FROM w) - coalesce(sum(b.weight), 0) AS open
+            FROM w a LEFT JOIN w b ON (b.lim / b.weight, b.k) < (a.lim / a.weight, a.k) GROUP BY ALL),
+        lv AS (SELECT arg_min(rest / open, fill) AS level FROM v WHERE fill > rest / open),
+        t AS (
+            SELECT w.source, source_size, CASE WHEN level IS NULL OR lim / weight <= level THEN lim ELSE level * weight END AS target,
+                CAST(CAST('0x' || substr(md5('mix:' || coalesce(source, '')), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296 AS u
+            FROM w CROSS JOIN lv),
+        r AS (
+            SELECT d.doc_id, d.size, t.source_size, t.target, t.u, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
+                row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.doc_id) AS k
+            FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+        SELECT doc_id, size, source_size, target, CAST(size * (floor(u + rate * k) - floor(u + rate * (k - 1))) AS BIGINT) AS taken FROM r""",
     "op10_line_dedup": f"""
         WITH l AS (
             SELECT doc_id, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos, unnest(string_split(coalesce(text, ''), chr(10))) AS line
