@@ -8,9 +8,10 @@ shingle sets.
 
 Work on large groups stays in proportion to the group as far as the result allows:
 documents with equal sets are one class from the start; each class is first
-compared with the most central class of its tables only; and then only classes
-that are still in different components are compared with one another, each pair
-once. That last step is exact: no table is capped and no candidate left out.
+compared with the most central class of its tables only; then, in a few rounds,
+with the likeliest of a few classes drawn from other components; and at last only
+classes that are still in different components are compared with one another, each
+pair once. That last step is exact: no table is capped and no candidate left out.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,6 +30,10 @@ from .textbytes import Powers, _splitmix, chunks, grams, mix, word_hashes
 
 #: With 12 bands of 2 rows in each collection a pair of similarity 0.8 shares no table with a chance of 1e-5.
 BANDS, ROWS = 12, 2
+#: Bits of the parity sketch that rules out pairs below the threshold before their sets are fetched.
+SKETCH = 1024
+#: Rounds in which each class is compared with one of another component, and how many are drawn per key to choose it from.
+DRAWS, DRAWN = 1, 4
 
 
 def _row_sets(column: pa.Array, words: int, wanted: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
@@ -70,32 +75,38 @@ def signatures(docs: DataFrame, words: int, bands: int = BANDS, rows: int = ROWS
     return docs.mapInArrow(run, schema)
 
 
+def _sketch(x: np.ndarray) -> np.ndarray:
+    """The parity of the set's members in each of SKETCH slots.
+
+    Every member that only one of two sets has changes one bit, so two sketches
+    differ in at most as many bits as the sets differ in members: a filter on that
+    number loses no link.
+    """
+    odd = np.bincount((x >> np.uint64(20)).astype(np.int64) & (SKETCH - 1), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def shingle_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(id, set) of the documents whose id is in ids (and perhaps of a few others)."""
+    """(id, set, bits) of the documents whose id is in ids (and perhaps of a few others)."""
     sent = docs.sparkSession.sparkContext.broadcast(bitmap_of(ids, "id"))
 
+    def lists(values: list[np.ndarray]) -> pa.ListArray:
+        ends = np.cumsum([0, *map(len, values)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values).view(np.int64)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(pa.array(in_bitmap(sent.value, batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64))))
-            out, size = [], 0
+            at, sets, size = [], [], 0
             for r, x in _row_sets(batch.column(1), words):
-                out.append((r, x))
+                at.append(r)
+                sets.append(x)
                 size += len(x)
-                if size > 500_000:
-                    yield _sets_batch(batch, out)
-                    out, size = [], 0
-            if out:
-                yield _sets_batch(batch, out)
+                if size > 500_000 or r == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), lists(sets), lists([_sketch(x) for x in sets])], names=["id", "set", "bits"])
+                    at, sets, size = [], [], 0
 
-    return docs.where(F.col("id").isNotNull()).mapInArrow(run, "id long, set array<long>")
-
-
-def _sets_batch(batch: pa.RecordBatch, out: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
-    ends = np.cumsum([0, *(len(x) for _, x in out)]).astype(np.int32)
-    return pa.RecordBatch.from_arrays(
-        [batch.column(0).take(pa.array([r for r, _ in out])), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([x for _, x in out]).view(np.int64)))],
-        names=["id", "set"],
-    )
+    return docs.where(F.col("id").isNotNull()).mapInArrow(run, "id long, set array<long>, bits array<long>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -106,6 +117,19 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return two.select("a", "b", both.alias("x"), (F.size("sa") + F.size("sb")).alias("y")).where(F.lit(100) * F.col("x") >= F.lit(percent) * (F.col("y") - F.col("x"))).select("a", "b")
 
 
+def _distance(x: Column, y: Column) -> Column:
+    """The number of bits in which two sketches differ, at most that of members."""
+    return sum((F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(SKETCH // 64)), F.lit(0))
+
+
+def _apart(alive: DataFrame, labels: DataFrame, bits: DataFrame) -> DataFrame:
+    """A row per class and first key, for the keys that still join different components."""
+    apart = alive.join(labels, F.col("rep") == F.col("node"), "left").select("rep", "n", "first", "second", F.coalesce("component", "rep").alias("label"))
+    spread = apart.select("rep", "label", F.explode("first").alias("key"))
+    mixed = spread.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key")
+    return written(apart.join(bits, "rep").select("*", F.explode("first").alias("key")).join(mixed, "key"), "side")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(id_col, n_shingles, component_id, kept), a row per row of docs.
 
@@ -134,7 +158,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .agg(F.array_sort(F.collect_list(F.when(F.col("band") < bands, F.col("key")))).alias("first"), F.array_sort(F.collect_list(F.when(F.col("band") >= bands, F.col("key")))).alias("second"), F.sum("c").alias("score"))
         .where((F.size("first") > 0) & (F.size("second") > 0))
     )
-    alive = written(alive.join(reps.select("rep", "n", "sig"), "rep"), "alive")
+    alive = written(alive.join(reps.select("rep", "n"), "rep"), "alive")
 
     # each class and the most central one that it shares a table with
     tables = alive.select("rep", "score", F.explode(F.flatten(F.transform("first", lambda x: F.transform("second", lambda y: F.xxhash64(x, y))))).alias("key"))
@@ -151,14 +175,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = written(confirmed(star, sets, percent), "links")
     labels = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
+    bits = sets.select(F.col("id").alias("rep"), "bits")
+    near_enough = lambda d, m, n: d * (100 + percent) <= (m + n) * (100 - percent)  # noqa: E731  that many members may differ
+    for turn in range(DRAWS):
+        side = _apart(alive, labels, bits)
+        drawn = [F.max(F.struct(F.xxhash64("rep", F.lit(turn * DRAWN + i)).alias("h"), "rep", "label", "bits", "n")) for i in range(DRAWN)]
+        # "key" stands for the members of one first key; each class takes the likeliest of those drawn there
+        best = F.array_min(F.transform("drawn", lambda d: F.when(d["label"] != F.col("label"), F.struct(_distance(F.col("bits"), d["bits"]).alias("d"), d["rep"].alias("b"), near_enough(_distance(F.col("bits"), d["bits"]), F.col("n"), d["n"]).alias("near")))))
+        near = (
+            side.join(side.groupBy("key").agg(F.array(*drawn).alias("drawn")), "key")
+            .select("rep", best.alias("best"))
+            .groupBy("rep")
+            .agg(F.min("best").alias("best"))
+            .where("best.near")
+            .select(F.col("rep").alias("a"), F.col("best.b").alias("b"))
+        )
+        links = written(links.unionByName(confirmed(near, sets, percent)), "links")
+        labels = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+
     # what is still apart, each pair once: in the first key of the first collection that both have
-    apart = alive.join(labels, F.col("rep") == F.col("node"), "left").select("rep", "n", "sig", "first", "second", F.coalesce("component", "rep").alias("label"))
-    apart = written(apart, "apart")
-    spread = apart.select("rep", "label", F.explode("first").alias("key"))
-    mixed = spread.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key")
-    side = written(apart.select("*", F.explode("first").alias("key")).join(mixed, "key"), "side")
-    k = 2 * bands * rows
-    least = int(k * percent / 100 - 5 * (k * percent / 100 * (1 - percent / 100)) ** 0.5)  # five deviations below what the threshold gives
+    side = _apart(alive, labels, bits)
     x, y = side.alias("x"), side.alias("y")
     pairs = x.join(
         y,
@@ -166,7 +202,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         & (F.col("x.rep") < F.col("y.rep"))
         & (F.col("x.label") != F.col("y.label"))
         & (F.lit(100) * F.least("x.n", "y.n") >= F.lit(percent) * F.greatest("x.n", "y.n"))
-        & (F.aggregate(F.zip_with("x.sig", "y.sig", lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v) >= least)
+        & near_enough(_distance(F.col("x.bits"), F.col("y.bits")), F.col("x.n"), F.col("y.n"))
         & F.arrays_overlap("x.second", "y.second")
         & (F.array_min(F.array_intersect("x.first", "y.first")) == F.col("x.key")),
     ).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
