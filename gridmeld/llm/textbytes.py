@@ -83,12 +83,14 @@ def chunks(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np
         at = end
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, offsets: np.ndarray, word: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words in a chunk, and the row of each word.
 
-    A row's end ends a word as white space does.
+    A row's end ends a word as white space does. `word` may mark the bytes that
+    belong to words instead.
     """
-    word = ~IS_SPACE[data]
+    if word is None:
+        word = ~IS_SPACE[data]
     start = word.copy()
     start[1:] &= ~word[:-1]
     edges = offsets[1:-1]
