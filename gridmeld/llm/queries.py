@@ -11,12 +11,18 @@ from .decontaminate import contaminated
 from .lines import line_dedup
 from .mixing import mix_plan
 from .neardup import near_duplicates
+from .warc import round_trip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = round_trip(spark, table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
     return contaminated(docs, items.select("item_id", "text"))
@@ -44,6 +50,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_warc": op2_warc,
     "op4_decontamination": op4_decontamination,
     "op6_mixing": op6_mixing,
     "op7_language_id": op7_language_id,
@@ -54,6 +61,13 @@ QUERIES = {
 _STRIP = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
 
 ORACLE_SQL = {
+    "op2_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+        m AS (SELECT html, max(page_id) AS first FROM p WHERE n >= 1000 GROUP BY html)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(p.html) AS payload_digest,
+            CASE WHEN m.first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN m.first <> page_id THEN m.first END AS refers_to
+        FROM p LEFT JOIN m ON p.html = m.html AND p.n >= 1000""",
     "op6_mixing": """
         WITH d AS (
             SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
