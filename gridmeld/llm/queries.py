@@ -11,6 +11,7 @@ from .decontaminate import contaminated
 from .lines import line_dedup
 from .mixing import mix_plan
 from .neardup import near_duplicates
+from .neighbours import nearest
 from .warc import round_trip
 
 
@@ -40,6 +41,11 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), words=4, percent=80)
 
@@ -54,6 +60,7 @@ QUERIES = {
     "op4_decontamination": op4_decontamination,
     "op6_mixing": op6_mixing,
     "op7_language_id": op7_language_id,
+    "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_line_dedup": op10_line_dedup,
 }
