@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid
+from . import langid, quality
 from .common import held_out
 from .decontaminate import contaminated
 from .lines import line_dedup
@@ -29,6 +29,12 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(docs, items.select("item_id", "text"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality")
+    model = quality.fit(docs.where(~held_out(F.col("doc_id"))).join(labels.where(~held_out(F.col("doc_id"))), "doc_id"))
+    return quality.score_quality(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mix_plan(docs).select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -58,6 +64,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_warc": op2_warc,
     "op4_decontamination": op4_decontamination,
+    "op5_quality": op5_quality,
     "op6_mixing": op6_mixing,
     "op7_language_id": op7_language_id,
     "op8_nearest_neighbours": op8_nearest_neighbours,
