@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import langid, quality
 from .common import held_out
 from .decontaminate import contaminated
+from .extract import extract
 from .lines import line_dedup
 from .mixing import mix_plan
 from .neardup import near_duplicates
@@ -24,6 +25,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
     return contaminated(docs, items.select("item_id", "text"))
@@ -63,6 +68,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_warc": op2_warc,
+    "op3_html_extraction": op3_html_extraction,
     "op4_decontamination": op4_decontamination,
     "op5_quality": op5_quality,
     "op6_mixing": op6_mixing,
