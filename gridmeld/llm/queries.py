@@ -13,6 +13,7 @@ from .lines import line_dedup
 from .mixing import mix_plan
 from .neardup import near_duplicates
 from .neighbours import nearest
+from .pii import KINDS, find_pii
 from .warc import round_trip
 
 
@@ -20,6 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    listed = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("pii", lambda x: x["base"] & (x["kind"] == kind))).cast("long")
+    base = listed(F.filter("pii", lambda x: x["base"]))
+    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in KINDS], F.sha2(base, 256).alias("base_sha256"), listed(F.col("pii")).alias("spans"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = round_trip(spark, table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -67,6 +76,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op2_warc": op2_warc,
     "op3_html_extraction": op3_html_extraction,
     "op4_decontamination": op4_decontamination,
