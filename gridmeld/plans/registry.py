@@ -164,7 +164,7 @@ def _bins(x: str, y: str, source: str) -> str:
 _BIN_COLUMNS = ["low", "high", "x_mean", "y_mean", "half_width"]
 
 
-@query(f"""WITH {_PAIRS}, {_bins("pb", "truth", "base")} SELECT bin, n, {", ".join(f"round({c}, 4) AS {c}" for c in _BIN_COLUMNS)} FROM tr""")
+@query(f"""WITH {_PAIRS}, {_bins("pb", "truth", "base")} SELECT CAST(bin AS INTEGER) AS bin, n, {", ".join(f"round({c}, 4) AS {c}" for c in _BIN_COLUMNS)} FROM tr""")
 def binned_trend(spark: SparkSession, d: str) -> DataFrame:
     return rounded(metrics.bin_trend(wide_pairs(spark, d), "pb", "truth"), 4, *_BIN_COLUMNS)
 
@@ -172,7 +172,7 @@ def binned_trend(spark: SparkSession, d: str) -> DataFrame:
 _GAIN = "g AS (SELECT id, (SELECT max(pb) FROM base) - pb AS x, abs(pb - truth) - abs(pa - truth) AS y FROM base)"
 
 
-@query(f"""WITH {_PAIRS}, {_GAIN}, {_bins("x", "y", "g")} SELECT bin, n, {", ".join(f"round({c}, 4) AS {c}" for c in _BIN_COLUMNS)} FROM tr""")
+@query(f"""WITH {_PAIRS}, {_GAIN}, {_bins("x", "y", "g")} SELECT CAST(bin AS INTEGER) AS bin, n, {", ".join(f"round({c}, 4) AS {c}" for c in _BIN_COLUMNS)} FROM tr""")
 def error_gain_bins(spark: SparkSession, d: str) -> DataFrame:
     return rounded(metrics.error_gain_trend(wide_pairs(spark, d), "truth", "pb", "pa", "pb")[1], 4, *_BIN_COLUMNS)
 
@@ -272,7 +272,7 @@ def _edge_sql(a: float, b: float, n: int) -> str:
     a AS (SELECT len(list_filter(ey, lambda v: v <= l_partkey)) - 1 AS y, len(list_filter(ex, lambda v: v <= l_suppkey)) - 1 AS x, l_quantity AS r, l_discount * 1000 AS g, l_tax * 1000 AS b
         FROM lineitem, e WHERE l_partkey >= ey[1] AND l_partkey < ey[-1] AND l_suppkey >= ex[1] AND l_suppkey < ex[-1]),
     t AS (SELECT y, x, avg(r) / 255 AS r, avg(g) / 255 AS g, avg(b) / 255 AS b FROM a GROUP BY y, x)
-    SELECT y, x, round(r, 8) AS r, round(g, 8) AS g, round(b, 8) AS b FROM t
+    SELECT CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, round(r, 8) AS r, round(g, 8) AS g, round(b, 8) AS b FROM t
     WHERE NOT ((r > 0.12 AND g > 0.12 AND b > 0.12) OR (r = 0 AND g = 0 AND b = 0) OR y >= 49 OR x >= 49)""")
 def tile_field(spark: SparkSession, d: str) -> DataFrame:
     tiles = fields.tile_means(pixels(spark, d), 50, 20, (1.0, 1901.0), (1.0, 96.0), ["r", "g", "b"])
@@ -460,7 +460,7 @@ def pooled_graphs(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH n AS (SELECT label AS graph, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS node FROM embeddings), s AS (SELECT graph, count(*) AS c FROM n GROUP BY graph)
-    SELECT n.graph, vec_id, node, CAST(node + coalesce((SELECT sum(c) FROM s WHERE s.graph < n.graph), 0) AS BIGINT) AS global_id FROM n""")
+    SELECT n.graph, vec_id, CAST(node AS INTEGER) AS node, CAST(node + coalesce((SELECT sum(c) FROM s WHERE s.graph < n.graph), 0) AS BIGINT) AS global_id FROM n""")
 def stacked_graph_ids(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings").select(F.col("label").alias("graph"), "vec_id")
     local = e.withColumn("node", F.row_number().over(ranking.Window.partitionBy("graph").orderBy("vec_id")) - 1)
@@ -473,7 +473,7 @@ _SPECIES = "sp AS (SELECT s AS species, [CAST(s % 2 AS DOUBLE), CAST(s % 3 AS DO
 
 
 @query(f"""WITH {_SPECIES}, p AS (SELECT p_partkey, p_size AS species, p_brand FROM part)
-    SELECT p_partkey, p.species, sp.features[1] AS f0, sp.features[2] AS f1, sp.features[3] AS f2, CASE WHEN p.species % 5 = 0 THEN 1 ELSE 0 END AS h0, CASE WHEN p.species % 5 = 3 THEN 1 ELSE 0 END AS h3, q.species AS back
+    SELECT p_partkey, p.species, sp.features[1] AS f0, sp.features[2] AS f1, sp.features[3] AS f2, CASE WHEN p.species % 5 = 0 THEN 1 ELSE 0 END AS h0, CASE WHEN p.species % 5 = 3 THEN 1 ELSE 0 END AS h3, CAST(q.species AS INTEGER) AS back
     FROM p JOIN sp ON sp.species = p.species JOIN sp q ON q.features = sp.features""")
 def feature_lookup(spark: SparkSession, d: str) -> DataFrame:
     s = F.col("species").cast("double")
