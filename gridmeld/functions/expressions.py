@@ -7,8 +7,12 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Boltzmann and Planck constants in eV units, temperature and optimum, as the activity model states them. Fixed values.
-BOLTZMANN_EV, PLANCK_EV, TEMPERATURE, OPTIMUM = 8.617333262145e-5, 4.135667696e-15, 298.0, 0.895
+# Fixed values of the activity model: Boltzmann's constant in eV and in J, Planck's in J s, temperature in K, optimal binding in eV.
+BOLTZMANN_EV = 8.617e-5
+BOLTZMANN_J = 1.38e-23
+PLANCK_J = 6.626e-34
+TEMPERATURE = 298.0
+OPTIMUM = 0.895
 
 
 def gaussian_2d(x: Column, y: Column, mux: Column, muy: Column, sigma: Column, normalised: bool = False) -> Column:
@@ -36,7 +40,7 @@ def euclidean(x: Column, y: Column) -> Column:
 def log_rate(energy: Column, optimum: float = OPTIMUM, temperature: float = TEMPERATURE, prefactor: float | None = None) -> Column:
     """ln of kT/h exp(-|E - optimum| / kT)."""
     kt = BOLTZMANN_EV * temperature
-    return F.log(F.lit(prefactor if prefactor is not None else kt / PLANCK_EV)) - F.abs(energy - F.lit(optimum)) / F.lit(kt)
+    return F.log(F.lit(prefactor if prefactor is not None else BOLTZMANN_J * temperature / PLANCK_J)) - F.abs(energy - F.lit(optimum)) / F.lit(kt)
 
 
 def acceptance(before: Column, after: Column, temperature: Column) -> Column:

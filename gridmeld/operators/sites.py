@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridmeld.functions.expressions import BOLTZMANN_EV, PLANCK_EV, TEMPERATURE, log_rate, radial_basis, sigmoid, softplus
+from gridmeld.functions.expressions import BOLTZMANN_J, PLANCK_J, TEMPERATURE, log_rate, radial_basis, sigmoid, softplus
 
 
 def neighbours(sites: DataFrame, radius: float, key: str = "graph", node: str = "node", period: Sequence[Sequence[float]] = ()) -> DataFrame:
@@ -126,4 +126,4 @@ def mean_pool(nodes: DataFrame, width: int, key: str = "graph", features: str =
 
 
 #: kT/h at the stated temperature.
-PREFACTOR = BOLTZMANN_EV * TEMPERATURE / PLANCK_EV
+PREFACTOR = BOLTZMANN_J * TEMPERATURE / PLANCK_J

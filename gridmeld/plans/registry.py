@@ -348,7 +348,7 @@ def normalised_prices(spark: SparkSession, d: str) -> DataFrame:
 # ---- trajectories and splits ----
 
 @query("""SELECT user_id, event_id, last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS carried,
-        round(exp(least((50.0 - value) / (CAST(8.617333262145e-5 AS DOUBLE) * 4000.0 * 100), 0)), 8) AS chance, round((4000.0 - 298.0) * (1 - (event_id % 5000 + 1) / CAST(5000 AS DOUBLE)) + 298.0, 8) AS temperature FROM events""")
+        round(exp(least((50.0 - value) / (CAST(8.617e-5 AS DOUBLE) * 4000.0 * 100), 0)), 8) AS chance, round((4000.0 - 298.0) * (1 - (event_id % 5000 + 1) / CAST(5000 AS DOUBLE)) + 298.0, 8) AS temperature FROM events""")
 def trajectories(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").withColumn("ok", F.col("event_type") == "purchase")
     out = metrics.carry_forward(e, ["user_id"], ["ts", "event_id"], "value", "ok")
@@ -392,8 +392,11 @@ def lattice_edges(spark: SparkSession) -> DataFrame:
 
 
 _CONFIG = "cf AS (SELECT s_suppkey AS config, node AS site, CAST((s_suppkey * 31 + node * 17 + (s_suppkey * node) % 7) % 5 AS INTEGER) AS species FROM supplier, st)"
-#: The linear model: zone by species. Any numbers do here; these are round ones of our own.
-_COEFFICIENTS = {f"z{z}_{s}": round(0.4 / z + 0.05 * s - 0.01 * z * s, 6) for z in (1, 2, 3) for s in range(5)}
+# The linear model's coefficients by zone, for the species Ir, Pd, Pt, Rh, Ru (codes 0 to 4).
+_ZONE_1 = [0.490, 1.178, 0.988, 0.744, 0.329]
+_ZONE_2 = [0.027, -0.022, 0.023, -0.017, -0.012]
+_ZONE_3 = [-0.009, 0.010, -0.015, 0.005, 0.008]
+_COEFFICIENTS = {f"z{z}_{s}": w for z, zone in enumerate((_ZONE_1, _ZONE_2, _ZONE_3), 1) for s, w in enumerate(zone)}
 
 
 def configurations(spark: SparkSession, d: str) -> DataFrame:
@@ -417,7 +420,7 @@ def zone_composition(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {_COUNTS}, en AS (SELECT config, {" + ".join(f"CAST({w} AS DOUBLE) * {c}" for c, w in _COEFFICIENTS.items())} AS e FROM zc)
-    SELECT config, count(*) AS n, round(ln(avg({sites.PREFACTOR!r} * exp(-abs(e - 0.895) / (CAST(8.617333262145e-5 AS DOUBLE) * 298.0)))), 6) AS activity FROM en GROUP BY config""")
+    SELECT config, count(*) AS n, round(ln(avg({sites.PREFACTOR!r} * exp(-abs(e - 0.895) / (CAST(8.617e-5 AS DOUBLE) * 298.0)))), 6) AS activity FROM en GROUP BY config""")
 def score_configurations(spark: SparkSession, d: str) -> DataFrame:
     return rounded(sites.boltzmann(sites.linear_score(site_counts(spark, d), _COEFFICIENTS)), 6, "activity")
 
