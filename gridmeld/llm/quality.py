@@ -136,16 +136,20 @@ def _context_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(list(total[part].astype(np.float64)), pa.list_(pa.float64()))], names=["slot", "v"])
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_rows: int = 6000, hidden: int = 24, rounds: int = 400) -> QualityModel | None:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_rows: int = 6000, hidden: int = 24, rounds: int = 400) -> QualityModel | None:
     """Fits the model to at most `most_rows` labelled rows, those with the smallest
-    hash of id and text, half of them from each label as far as there are as many. Every fifth row is held back
-    to fit the temperature. Null when no row has a label.
+    hash of the id, half of them from each label as far as there are as many. Every
+    fifth row is held back to fit the temperature. Null when no row has a label.
+
+    The rows are chosen from the labels alone; only the chosen, a bounded number, go
+    to where the texts are.
     """
-    h = F.xxhash64(F.col(id_col), F.col(text_col))
     label = F.col(label_col).cast("int")
-    rows = labelled.where(label.isin(0, 1)).select(label.alias("y"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), h.alias("h"))
-    turn = F.row_number().over(Window.partitionBy("y").orderBy("h"))
-    sample = written(rows.withColumn("turn", turn).where(F.col("turn") <= most_rows // 2).repartition(8, "h"), "quality_sample")
+    chosen = labels.where(label.isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), label.alias("y"), F.xxhash64(id_col).alias("h"))
+    first = lambda df: df.withColumn("turn", F.row_number().over(Window.partitionBy("y").orderBy("h", "id"))).where(F.col("turn") <= most_rows // 2)
+    chosen = written(first(chosen).drop("turn"), "quality_rows")
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    sample = written(first(texts.join(F.broadcast(chosen), "id")).drop("id").repartition(8, "h"), "quality_sample")
     summed = sample.where("turn % 5 != 0").select("text").mapInArrow(_context_sums, "slot long, v array<double>")
     summed = summed.groupBy("slot").agg(F.array(*[F.sum(F.get("v", F.lit(i))) for i in range(DIMENSIONS)]).alias("v")).toArrow()  # at most SLOTS rows
     context = np.zeros((SLOTS, DIMENSIONS), dtype=np.float32)
