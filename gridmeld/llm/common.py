@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import pickle
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +43,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shipped(spark: SparkSession, value: object) -> Callable[[], object]:
+    """Broadcasts a model with its class, so that executors need no installed copy of
+    this package; tasks call the result once."""
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(sent.value)
+
+
 def hash128(col: Column) -> list[Column]:
     """Two independent 64-bit hashes of a column; together a key that does not
     collide on corpora of any practical size."""

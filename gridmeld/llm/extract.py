@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import boosting
+from .common import shipped
 
 TAG = re.compile(r"""<(?:(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|!--|[!?/])""")
 LOOSE = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)>")
@@ -386,17 +387,18 @@ def extract(pages: DataFrame, trees: boosting.Boosted | None = None, html_col: s
     very long pages and empty tables need no care.
     """
     trees = trees or train()
-    sent = pages.sparkSession.sparkContext.broadcast(trees)
+    sent = shipped(pages.sparkSession, trees)
     kept = [f for f in pages.schema.fields if f.name not in (html_col, "text", "n_chars")]
     slim = pages.select(*[f"`{f.name}`" for f in kept], html_col)
     names = [f.name for f in kept]
     schema = T.StructType([*kept, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent()
         for batch in batches:
             for s in range(0, batch.num_rows, 256):
                 part = batch.slice(s, 256)
-                texts = main_text(part.column(len(names)).to_pylist(), sent.value)
+                texts = main_text(part.column(len(names)).to_pylist(), model)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*names, "text", "n_chars"])
 
     return slim.mapInArrow(run, schema)

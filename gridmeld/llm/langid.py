@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import written
+from .common import shipped, written
 from .textbytes import chunks, mix
 
 ORDER = 4
@@ -322,13 +322,13 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", reje
     empty tables need no care; very long texts are scored whole.
     """
     docs = docs.drop("lang_pred", "score", "lang_rejected")
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = shipped(docs.sparkSession, model)
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("lang_rejected", T.BooleanType())])
     columns = docs.columns
     at = columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
+        m = sent()
         names = np.array([*m.languages, "und"], dtype=object)
         for batch in batches:
             done = [m.predict(data, offsets) for _, _, data, offsets in chunks(batch.column(at), 1 << 19)]

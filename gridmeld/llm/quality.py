@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import written
+from .common import shipped, written
 from .textbytes import BYTE_VALUES, LOWER, Powers, chunks, mix, span_hashes, word_spans
 
 DIMENSIONS, ENTRIES, SLOTS, NEAR = 64, 6, 1 << 15, 2
@@ -94,7 +94,8 @@ def features(data: np.ndarray, offsets: np.ndarray, context: np.ndarray, pw: Pow
 
 @dataclass
 class QualityModel:
-    """Word vectors and the network; `temperature` divides its output."""
+    """Word vectors and the network; `temperature` divides its output, and `shift` makes
+    up for labels that the sample holds in other shares than the table."""
 
     context: np.ndarray
     mean: np.ndarray
@@ -104,13 +105,21 @@ class QualityModel:
     w2: np.ndarray
     b2: float
     temperature: float
+    shift: float = 0.0
+
+    def inputs(self, x: np.ndarray) -> np.ndarray:
+        """Standardised features; the pooled ones of a text of few words lean to the mean."""
+        z = np.clip((x - self.mean) / self.scale, -8, 8)
+        words = np.expm1(10 * x[:, -2])
+        z[:, : 3 * DIMENSIONS] *= (words / (words + 3))[:, None]
+        return z
 
     def logits(self, x: np.ndarray) -> np.ndarray:
-        z = (x - self.mean) / self.scale
+        z = self.inputs(x)
         return np.tanh(z @ self.w1 + self.b1) @ self.w2 + self.b2
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -500, 500)))
+        return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature + self.shift, -500, 500)))
 
 
 def _context_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,37 +180,38 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     x, y, back = np.stack(got["x"].to_numpy()), got["y"].to_numpy().astype(float), (got["turn"] % 5 == 0).to_numpy()
     if back.all() or not back.any():
         back = np.zeros(len(y), bool)
-    return _train(context, x, y, back, hidden, rounds)
+    model = _train(context, x, y, back, hidden, rounds)
+    odds = lambda n: np.log((n.get(1, 0) + 1) / (n.get(0, 0) + 1))
+    whole = {r["y"]: r["count"] for r in labels.where(label.isin(0, 1)).groupBy(label.alias("y")).count().collect()}  # two rows
+    model.shift = float(odds(whole) - odds({1: int(y.sum()), 0: int((1 - y).sum())}))
+    return model
 
 
 def _train(context: np.ndarray, x: np.ndarray, y: np.ndarray, back: np.ndarray, hidden: int, rounds: int) -> QualityModel:
     """Adam on the log loss with weight decay; then the temperature on the rows held back."""
     xt, yt = x[~back], y[~back]
-    mean, scale = xt.mean(0), np.maximum(xt.std(0), 1e-3)
     rng = np.random.default_rng(3)
     p = [rng.normal(0, 1 / np.sqrt(x.shape[1]), (x.shape[1], hidden)), np.zeros(hidden), rng.normal(0, 1 / np.sqrt(hidden), hidden), np.zeros(1)]
+    model = QualityModel(context, xt.mean(0), np.maximum(xt.std(0), 1e-3), p[0], p[1], p[2], 0.0, 1.0)
     m, v = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p]
-    z = np.clip((xt - mean) / scale, -8, 8)
-    share = np.clip(yt.mean(), 0.02, 0.98)
-    weight = np.where(yt > 0, 0.5 / share, 0.5 / (1 - share))
-    step = 0
-    for _ in range(max(1, rounds * 256 // max(len(z), 1)) if len(z) < 256 else rounds // 8):
-        for part in np.array_split(rng.permutation(len(z)), max(1, len(z) // 256)):
+    z, step = model.inputs(xt), 0
+    batch = min(256, max(16, len(z) // 8))
+    for _ in range(rounds // 8):
+        for part in np.array_split(rng.permutation(len(z)), max(1, len(z) // batch)):
             step += 1
             a = np.tanh(z[part] @ p[0] + p[1])
-            d = (1 / (1 + np.exp(-np.clip(a @ p[2] + p[3][0], -50, 50))) - yt[part]) * weight[part] / len(part)
+            d = (1 / (1 + np.exp(-np.clip(a @ p[2] + p[3][0], -50, 50))) - yt[part]) / len(part)
             back_a = np.outer(d, p[2]) * (1 - a**2)
             grads = [z[part].T @ back_a + 1e-3 * p[0], back_a.sum(0), a.T @ d + 1e-3 * p[2], np.array([d.sum()])]
             for i, g in enumerate(grads):
                 m[i] = 0.9 * m[i] + 0.1 * g
                 v[i] = 0.999 * v[i] + 0.001 * g * g
                 p[i] -= 0.005 * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)
-    model = QualityModel(context, mean, scale, p[0], p[1], p[2], float(p[3][0]), 1.0)
+    model.w1, model.b1, model.w2, model.b2 = p[0], p[1], p[2], float(p[3][0])
     xb, yb = (x[back], y[back]) if back.any() else (xt, yt)
-    logits, sign = model.logits(xb), 2 * yb - 1
-    share_b = np.clip(yb.mean(), 0.02, 0.98)
-    wb = np.where(yb > 0, 0.5 / share_b, 0.5 / (1 - share_b))
-    losses = [(np.mean(wb * np.logaddexp(0, -sign * logits / t)), t) for t in np.geomspace(0.1, 10, 60)]
+    soft = 1 / (len(yb) + 2)  # a few rows held back can't show that the network is ever certain
+    logits, target = model.logits(xb), yb * (1 - 2 * soft) + soft
+    losses = [(np.mean(target * np.logaddexp(0, -logits / t) + (1 - target) * np.logaddexp(0, logits / t)), t) for t in np.geomspace(0.3, 10, 60)]
     model.temperature = float(min(losses)[1])
     return model
 
@@ -218,10 +228,10 @@ def score_quality(docs: DataFrame, model: QualityModel | None, text_col: str = "
     columns = docs.columns
     at = columns.index(text_col)
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = shipped(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, pw = sent.value, Powers()
+        m, pw = sent(), Powers()
         for batch in batches:
             score = np.full(batch.num_rows, 0.5)
             if m is not None:
