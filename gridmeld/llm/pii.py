@@ -167,10 +167,16 @@ class PiiModel:
     cut: dict[str, float]
 
 
-def fit(docs: DataFrame, text_col: str = "text", most_rows: int = 4000, precision: float = 0.95) -> PiiModel:
+def fit(docs: DataFrame, text_col: str = "text", most_rows: int = 4000, precision: float = 0.95, most_docs: int = 20_000) -> PiiModel:
     """Fits the trees to at most `most_rows` candidates of each pattern, those with the
-    smallest hash of text and place; every third is held back to set the thresholds."""
-    found = with_candidates(with_base(docs.select(F.col(text_col)), text_col)).select(F.xxhash64("__text").alias("h"), "__numbers", "__addresses")
+    smallest hash of text and place, from about `most_docs` documents, which the hash
+    of their text chooses; every third is held back to set the thresholds.
+
+    With more documents the share taken falls, so what reaches the driver doesn't grow.
+    """
+    share = min(1.0, most_docs / max(1, docs.count()))
+    some = docs.select(F.col(text_col)).where(F.pmod(F.xxhash64(text_col), F.lit(1 << 40)) <= int(share * (1 << 40)))
+    found = with_candidates(with_base(some, text_col)).select(F.xxhash64("__text").alias("h"), "__numbers", "__addresses")
     model = PiiModel({}, {})
     for column, kinds in (("__numbers", ["ip", "card", "phone"]), ("__addresses", ["email"])):
         rows = found.select("h", F.explode(column).alias("c")).select(F.xxhash64("h", "c.s").alias("h"), "c.f", "c.y").orderBy("h", "f").limit(most_rows).collect()
