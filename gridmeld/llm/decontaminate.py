@@ -2,10 +2,10 @@
 
 Texts become templates: words are lower-cased and stripped of punctuation, and
 numbers, units after numbers and names inside a sentence become typed slots.
-Windows of template words are hashed and joined with those of the benchmark; what
-fills the slots must then agree along each alignment: the same value in the item
-must always meet the same value in the document, so a re-parameterised question
-is caught and an accidental mixture of windows isn't.
+Windows of template words are hashed and joined with those of the benchmark. Where
+other values fill the slots, they must agree along the alignment: the same value in
+the item must always meet the same value in the document, so a re-parameterised
+question is caught and an accidental mixture of windows isn't.
 """
 
 from __future__ import annotations
@@ -164,8 +164,10 @@ def template_windows(df: DataFrame, window: int = WINDOW, bitmap: np.ndarray | N
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, coverage: float = 0.5) -> DataFrame:
     """(id_col, item_col, n_windows, matched, coverage, kind): a row for each document
     and item where at least the share `coverage` of the item's windows stands in the
-    document, along alignments whose slots agree. kind is `verbatim` where every slot
-    holds the item's value, else `reparameterised`.
+    document. A window with other values in its slots counts only where each of the
+    item's values that it holds meets one value along the alignment; windows that
+    stand there literally always count. kind is `verbatim` where every counted window
+    stands literally in the document, else `reparameterised`.
 
     Documents meet a fixed-size bitmap of the items' windows first and are joined
     with the windows exactly afterwards, so a large benchmark costs no broadcast and
@@ -182,18 +184,19 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     bench = items.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).alias("text"))
     windows = written(template_windows(bench, window), "windows").select(F.col("id").alias("item"), F.col("total").alias("n_windows"), F.col("pos").alias("item_pos"), "key", F.col("fill").alias("want"))
     hits = template_windows(slim, window, bitmap_of(windows.select("key"), "key"))
-    pairs = hits.join(windows, "key").select("id", "item", "n_windows", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), "want", "fill")
+    pairs = hits.join(windows, "key").select("id", "item", "n_windows", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), *[F.transform(c, F.lower).alias(c) for c in ("want", "fill")])
     pairs = written(pairs, "matches")
     same = ["id", "item", "n_windows", "shift"]
     filled = pairs.where("want is not null").select(*same, F.explode(F.arrays_zip("want", "fill")).alias("s")).select(*same, "s.want", "s.fill")
-    value = filled.groupBy(*same, "want").agg(F.min("fill").alias("lo"), F.max("fill").alias("hi"))
-    slots = value.groupBy(*same).agg(F.bool_and(F.col("lo") == F.col("hi")).alias("agree"), F.bool_and((F.lower("lo") == F.lower("want")) & (F.lower("hi") == F.lower("want"))).alias("equal"))
-    slots = slots.select(*[F.col(c).alias(f"s_{c}") for c in same], "agree", "equal")
-    on = pairs["id"].eqNullSafe(slots["s_id"]) & pairs["item"].eqNullSafe(slots["s_item"]) & (pairs["shift"] == slots["s_shift"])
-    judged = pairs.join(slots, on, "left").where(F.coalesce("agree", F.lit(True)))
+    clash = filled.groupBy(*same, "want").agg(F.min("fill").alias("lo"), F.max("fill").alias("hi")).where("lo <> hi")
+    clash = clash.groupBy(*same).agg(F.collect_set("want").alias("clash")).select(*[F.col(c).alias(f"s_{c}") for c in same], "clash")
+    on = pairs["id"].eqNullSafe(clash["s_id"]) & pairs["item"].eqNullSafe(clash["s_item"]) & (pairs["n_windows"] == clash["s_n_windows"]) & (pairs["shift"] == clash["s_shift"])
+    equal = F.coalesce(F.col("want") == F.col("fill"), F.lit(True))
+    judged = pairs.join(clash, on, "left").withColumn("equal", equal).where(F.col("equal") | F.col("clash").isNull() | ~F.arrays_overlap("want", "clash"))
+    judged = judged.groupBy("id", "item", "n_windows", "item_pos").agg(F.bool_or("equal").alias("equal"))
     return (
         judged.groupBy("id", "item", "n_windows")
-        .agg(F.count_distinct("item_pos").alias("matched"), F.bool_and(F.coalesce("equal", F.lit(True))).alias("equal"))
+        .agg(F.count("*").alias("matched"), F.bool_and("equal").alias("equal"))
         .withColumn("coverage", F.col("matched") / F.col("n_windows"))
         .where(F.col("coverage") >= coverage)
         .select(F.col("id").alias(id_col), F.col("item").alias(item_col), "n_windows", "matched", "coverage", F.when(F.col("equal"), "verbatim").otherwise("reparameterised").alias("kind"))

@@ -180,6 +180,17 @@ def test_decontamination(spark):
     assert contaminated(docs.limit(0), items).count() == contaminated(docs, items.limit(0)).count() == 0
 
 
+def leaks(spark, texts, item):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r["doc_id"]: r["kind"] for r in contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+
+
+def test_decontamination_of_copies_with_an_edited_value(spark):
+    item = "If Maria buys 12 apples for 30 dollars and sells 12 pears, how many apples does Maria keep at the end of the day?"
+    mixed = item.replace("buys 12", "buys 5").replace("sells 12", "sells 8").replace("If Maria", "If Anna").replace("does Maria", "does Peter")
+    assert leaks(spark, [item.replace("sells 12", "sells 8"), item.replace("does Maria", "does Anna"), mixed], item) == {0: "verbatim", 1: "verbatim"}
+
+
 def test_decontamination_equals_brute_force_on_literal_words(spark):
     r = random.Random(2)
     w = lambda n: [f"v{chr(97 + r.randrange(26))}{chr(97 + r.randrange(26))}" for _ in range(n)]
