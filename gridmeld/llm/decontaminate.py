@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bitmap_of, in_bitmap, written
-from .textbytes import BYTE_VALUES, Powers, chunks, grams, span_hashes, word_spans
+from .textbytes import _GRAM, BYTE_VALUES, Powers, chunks, mix, span_hashes, word_spans
 
 WINDOW = 5
 #: Words that are units when they follow a number.
@@ -71,8 +71,8 @@ def _lowered(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
 
 
 class Template:
-    """The template words of a chunk: two hashes each (names as words, names as
-    slots), which are slots, and where they stand."""
+    """The template words of a chunk: a hash in each reading (the word itself, numbers
+    and units as slots, names as slots too), which are slots, and where they stand."""
 
     def __init__(self, data: np.ndarray, low: np.ndarray, offsets: np.ndarray, pw: Powers) -> None:
         word = _LETTER[data]
@@ -87,7 +87,8 @@ class Template:
         word |= inner
         self.starts, self.ends, self.rows = word_spans(data, offsets, word)
         self.data = data
-        hashes = span_hashes(BYTE_VALUES[low], self.starts, self.ends, pw)
+        self.pw = pw
+        self.literal = hashes = span_hashes(BYTE_VALUES[low], self.starts, self.ends, pw)
         n = len(hashes)
         numeric = np.r_[0, np.cumsum(digit | inner)]
         number = numeric[self.ends] - numeric[self.starts] == self.ends - self.starts
@@ -105,36 +106,46 @@ class Template:
         self.plain = np.where(number, _NUMBER, np.where(unit, _UNIT, hashes))
         self.named = np.where(self.name, _NAME, self.plain)
 
-    def windows(self, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool]]:
-        """(row, position in the row, first word, hash) of each window that has at
-        least three words which are no slots (or no slot at all), for both readings."""
-        for hashes, slot, named in ((self.plain, self.slot, False), (self.named, self.slot | self.name, True)):
-            keys, rows = grams(hashes, self.rows, n)
-            if not len(keys):
-                continue
-            begin = np.searchsorted(rows, rows)
-            pos = np.arange(len(rows)) - begin
-            word = np.searchsorted(self.rows, rows) + pos
-            counts = np.r_[0, np.cumsum(slot)]
-            stop = np.minimum(word + n, np.searchsorted(self.rows, rows, side="right"))
-            slots = counts[stop] - counts[word]
-            ok = (slots == 0) | (stop - word - slots >= 3)
-            if named:
-                has = np.r_[0, np.cumsum(self.name)]
-                ok &= has[stop] > has[word]
-            yield rows[ok], pos[ok], word[ok], keys[ok], named
-
-    def fill(self, word: int, n: int, named: bool) -> list[str] | None:
+    def windows(self, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(first word, hash, which are solid, which words are slots) of the windows of n
+        words in each reading: all of the literal one, and of the others those with a
+        slot and at least three words which are none. Solid windows are those that a
+        reading with slots has, too, or would have if they held one."""
+        size = max(len(self.rows) - n + 1, 0)
+        first = np.flatnonzero(self.rows[:size] == self.rows[n - 1 : n - 1 + size])
+        held = lambda mask: (c := np.r_[0, np.cumsum(mask)])[first + n] - c[first]
+        slots, names = held(self.slot), held(self.name)
+        solid = (slots == 0) | (n - slots >= 3)
+        every = np.ones(len(first), dtype=bool)
+        for hashes, mask, ok in (
+            (self.literal, np.zeros(len(self.rows), dtype=bool), every),
+            (self.plain, self.slot, (slots > 0) & (n - slots >= 3)),
+            (self.named, self.slot | self.name, (names > 0) & (n - slots - names >= 3)),
+        ):
+            at, keys = first[ok], np.zeros(int(ok.sum()), dtype=np.uint64)
+            for k in range(n):
+                keys += hashes[at + k] * np.uint64(_GRAM[k])
+            yield at, mix(keys), solid[ok], mask
+
+    def wordless(self) -> tuple[np.ndarray, np.ndarray]:
+        """First word and hash of each row that has numbers and units only, as a whole."""
+        rows, first, size = np.unique(self.rows, return_index=True, return_counts=True)
+        words = np.bincount(self.rows, weights=~self.slot, minlength=1)[rows] == 0
+        return first[words], mix(span_hashes(self.literal, first[words], first[words] + size[words], self.pw) ^ _NUMBER)
+
+    def fill(self, word: int, n: int, mask: np.ndarray) -> list[str] | None:
         """What fills the slots of a window, in order."""
-        stop = min(word + n, int(np.searchsorted(self.rows, self.rows[word], side="right")))
-        out = [self.data[self.starts[k] : self.ends[k]].tobytes().decode("utf-8", "replace") for k in range(word, stop) if self.slot[k] or named and self.name[k]]
+        out = [self.data[self.starts[k] : self.ends[k]].tobytes().decode("utf-8", "replace") for k in range(word, word + n) if mask[k]]
         return out or None
 
 
-def template_windows(df: DataFrame, window: int = WINDOW, bitmap: np.ndarray | None = None) -> DataFrame:
-    """(id, text) to (id, total, pos, key, fill): the windows of each text, whose
-    whole number is total; with a bitmap only those that it lets pass. Null is an
-    empty text."""
+def template_windows(df: DataFrame, window: int = WINDOW, bitmap: np.ndarray | None = None, sizes: list[int] | None = None) -> DataFrame:
+    """(id, text) to (id, total, firm, size, pos, key, solid, fill): the windows of each
+    text, whose whole number is total and that of solid ones firm; with a bitmap only
+    those that it lets pass. Null is an empty text. A text shorter than the window has
+    one window of its own size. With `sizes` each text has windows of all these sizes.
+    A text of numbers and units only has its whole as a window (of size -1), and with
+    `sizes` the others, too."""
     sent = None if bitmap is None else df.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,22 +154,42 @@ def template_windows(df: DataFrame, window: int = WINDOW, bitmap: np.ndarray | N
             ids = batch.column(0)
             for a, b, data, low, offsets in _lowered(batch.column(1)):
                 t = Template(data, low, offsets, pw)
-                total = np.zeros(b - a, dtype=np.int64)
-                for rows, pos, word, keys, named in t.windows(window):
-                    if not named:
-                        total = np.bincount(rows, minlength=b - a)
+                if not len(t.rows):
+                    continue
+                words = np.bincount(t.rows, minlength=b - a)
+                begin = np.searchsorted(t.rows, np.arange(b - a))
+                first, keys = t.wordless()
+                bare = np.zeros(b - a, dtype=bool)
+                bare[t.rows[first]] = True
+                firm = np.zeros(b - a, dtype=np.int64)
+                found = [(first, keys, np.zeros(len(first), dtype=bool), np.zeros(len(t.rows), dtype=bool), 0)]
+                for n in sizes or range(1, window + 1):
+                    mine = None if sizes else (np.minimum(words, window) == n) & ~bare
+                    if mine is not None and not mine.any():
+                        continue
+                    for k, (at, keys, solid, mask) in enumerate(t.windows(n)):
+                        if mine is not None:
+                            own = mine[t.rows[at]]
+                            at, keys, solid = at[own], keys[own], solid[own]
+                        if not k:
+                            firm += np.bincount(t.rows[at[solid]], minlength=b - a)
+                        found.append((at, keys, solid, mask, n))
+                total = np.where(bare, 1, np.maximum(words - window + 1, 1))
+                for at, keys, solid, mask, n in found:
                     if sent is not None:
                         hit = in_bitmap(sent.value, keys)
-                        rows, pos, word, keys = rows[hit], pos[hit], word[hit], keys[hit]
-                    some = np.r_[0, np.cumsum(t.slot | (t.name if named else False))]
-                    stop = np.minimum(word + window, len(some) - 1)
-                    fills = [t.fill(w, window, named) if f else None for w, f in zip(word.tolist(), (some[stop] > some[word]).tolist())]
+                        at, keys, solid = at[hit], keys[hit], solid[hit]
+                    rows = t.rows[at]
+                    fills = [t.fill(w, n, mask) for w in at.tolist()] if mask.any() else [None] * len(at)
                     yield pa.RecordBatch.from_arrays(
-                        [ids.take(pa.array(rows + a)), pa.array(total[rows]), pa.array(pos.astype(np.int64)), pa.array(keys.view(np.int64)), pa.array(fills, pa.list_(pa.string()))],
-                        names=["id", "total", "pos", "key", "fill"],
-                    )
+                        [
+                            ids.take(pa.array(rows + a)), pa.array(total[rows]), pa.array(firm[rows]), pa.array(np.full(len(at), n or -1)), pa.array((at - begin[rows]).astype(np.int64)), pa.array(keys.view(np.int64)),
+                            pa.array(solid), pa.array(fills, pa.list_(pa.string())),
+                        ],
+                        names=["id", "total", "firm", "size", "pos", "key", "solid", "fill"],
+                    )
 
-    return df.mapInArrow(run, "id long, total long, pos long, key long, fill array<string>")
+    return df.mapInArrow(run, "id long, total long, firm long, size long, pos long, key long, solid boolean, fill array<string>")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, coverage: float = 0.5) -> DataFrame:
@@ -174,17 +205,24 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     a common window no gathering. Windows are judged per alignment (the distance of
     positions), so a document may hold several variants of one item.
 
+    Windows are read literally, numbers and units as plain words, and as templates,
+    which need three words that are no slots. The share is taken of all windows, or of
+    those that can be templates where that share is larger.
+
     Defined cases: null, empty and wordless texts and items match nothing; an item
-    shorter than a window has one window, its whole, which only an equal text has;
+    shorter than a window has one window, its whole, which stands anywhere in a
+    document, so an item of one word is in each document with that word; an item of
+    numbers and units only is matched by an equal text only, as counting isn't copying;
     ids are integers, and rows that share an id (null too) are judged as one
     document; repeated items give a row each only where their ids differ.
     Extra columns aren't read. Empty tables give no rows.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     bench = items.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).alias("text"))
-    windows = written(template_windows(bench, window), "windows").select(F.col("id").alias("item"), F.col("total").alias("n_windows"), F.col("pos").alias("item_pos"), "key", F.col("fill").alias("want"))
-    hits = template_windows(slim, window, bitmap_of(windows.select("key"), "key"))
-    pairs = hits.join(windows, "key").select("id", "item", "n_windows", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), *[F.transform(c, F.lower).alias(c) for c in ("want", "fill")])
+    windows = written(template_windows(bench, window), "windows").select(F.col("id").alias("item"), F.col("total").alias("n_windows"), "firm", "size", F.col("pos").alias("item_pos"), "key", "solid", F.col("fill").alias("want"))
+    sizes = sorted(r["size"] for r in windows.select("size").where(f"size between 1 and {window}").distinct().collect()) or [window]
+    hits = template_windows(slim, window, bitmap_of(windows.select("key"), "key"), sizes).select("id", "pos", "key", "fill")
+    pairs = hits.join(windows, "key").select("id", "item", "n_windows", "firm", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), "solid", *[F.transform(c, F.lower).alias(c) for c in ("want", "fill")])
     pairs = written(pairs, "matches")
     same = ["id", "item", "n_windows", "shift"]
     filled = pairs.where("want is not null").select(*same, F.explode(F.arrays_zip("want", "fill")).alias("s")).select(*same, "s.want", "s.fill")
@@ -193,11 +231,11 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     on = pairs["id"].eqNullSafe(clash["s_id"]) & pairs["item"].eqNullSafe(clash["s_item"]) & (pairs["n_windows"] == clash["s_n_windows"]) & (pairs["shift"] == clash["s_shift"])
     equal = F.coalesce(F.col("want") == F.col("fill"), F.lit(True))
     judged = pairs.join(clash, on, "left").withColumn("equal", equal).where(F.col("equal") | F.col("clash").isNull() | ~F.arrays_overlap("want", "clash"))
-    judged = judged.groupBy("id", "item", "n_windows", "item_pos").agg(F.bool_or("equal").alias("equal"))
+    judged = judged.groupBy("id", "item", "n_windows", "firm", "item_pos").agg(F.bool_or("equal").alias("equal"), F.bool_or("solid").alias("solid"))
+    found = judged.groupBy("id", "item", "n_windows", "firm").agg(F.count("*").alias("n"), F.count_if("solid").alias("n_solid"), F.bool_and("equal").alias("equal"))
+    shares = [F.struct((m / t).alias("coverage"), t.alias("n_windows"), m.alias("matched")) for m, t in ((F.col("n"), F.col("n_windows")), (F.col("n_solid"), F.nullif("firm", F.lit(0))))]
     return (
-        judged.groupBy("id", "item", "n_windows")
-        .agg(F.count("*").alias("matched"), F.bool_and("equal").alias("equal"))
-        .withColumn("coverage", F.col("matched") / F.col("n_windows"))
-        .where(F.col("coverage") >= coverage)
-        .select(F.col("id").alias(id_col), F.col("item").alias(item_col), "n_windows", "matched", "coverage", F.when(F.col("equal"), "verbatim").otherwise("reparameterised").alias("kind"))
+        found.withColumn("best", F.when(F.col("firm") == 0, shares[0]).otherwise(F.greatest(*shares)))
+        .where(F.col("best.coverage") >= coverage)
+        .select(F.col("id").alias(id_col), F.col("item").alias(item_col), "best.n_windows", "best.matched", "best.coverage", F.when(F.col("equal"), "verbatim").otherwise("reparameterised").alias("kind"))
     )

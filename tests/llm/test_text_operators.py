@@ -191,6 +191,14 @@ def test_decontamination_of_copies_with_an_edited_value(spark):
     assert leaks(spark, [item.replace("sells 12", "sells 8"), item.replace("does Maria", "does Anna"), mixed], item) == {0: "verbatim", 1: "verbatim"}
 
 
+def test_decontamination_of_numeric_and_short_items(spark):
+    item = "What is 12 + 7 * 3 - 5?"
+    assert leaks(spark, [item, f"So: {item} Answer: 28.", "What is 13 + 7 * 4 - 5?", "12 7 3 5"], item) == {0: "verbatim", 1: "verbatim"}
+    assert leaks(spark, ["First: who wrote Hamlet? Then more.", "who wrote", "Hamlet wrote who", None], "Who wrote Hamlet?") == {0: "verbatim"}
+    assert leaks(spark, ["so 12 + 7 is", "what 12 + 8"], "12 + 7 is") == {0: "verbatim"}
+    assert leaks(spark, ["1, 2, 3, 4 km", "1 2 3 4 km 5", "0 1 2 3 4 km"], "1 2 3 4 km") == {0: "verbatim"}
+
+
 def test_decontamination_equals_brute_force_on_literal_words(spark):
     r = random.Random(2)
     w = lambda n: [f"v{chr(97 + r.randrange(26))}{chr(97 + r.randrange(26))}" for _ in range(n)]
