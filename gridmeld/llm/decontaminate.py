@@ -1,7 +1,8 @@
 """Benchmark decontamination by template canonicalisation.
 
 Texts become templates: words are lower-cased and stripped of punctuation, and
-numbers, units after numbers and names inside a sentence become typed slots.
+numbers, units after numbers and names become typed slots: capitalised words inside
+a sentence, and in a further reading those that open one.
 Windows of template words are hashed and joined with those of the benchmark. Where
 other values fill the slots, they must agree along the alignment: the same value in
 the item must always meet the same value in the document, so a re-parameterised
@@ -21,6 +22,8 @@ from .common import bitmap_of, in_bitmap, written
 from .textbytes import _GRAM, BYTE_VALUES, Powers, chunks, mix, span_hashes, word_spans
 
 WINDOW = 5
+#: So many windows along an alignment let those with only two words that are no slots count.
+LINE = 3
 #: Words that are units when they follow a number.
 UNITS = """
 mm cm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers kilometre kilometres
@@ -63,8 +66,9 @@ def _lowered(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
         if (data >= 0xC4).any() and (data >= 0xC4)[(data != 0xE2)].any():
             text = data.tobytes().decode("utf-8", "replace")
             other = text.lower().encode()
-            if len(other) == len(data):  # else some capital has a small letter of another length, and stays
-                low = np.frombuffer(other, np.uint8)
+            if len(other) != len(data):  # a capital whose small letter has another length stays
+                other = "".join(c if len(c.encode()) != len(x.encode()) else x for c in text for x in [c.lower()]).encode()
+            low = np.frombuffer(other, np.uint8)
         after = np.r_[False, data[:-1] == 0xC3] & (data >= 0x80) & (data <= 0x9E) & (data != 0x97)
         low = np.where(after, data + 32, low).astype(np.uint8)
         yield a, b, data, low, offsets
@@ -72,7 +76,8 @@ def _lowered(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
 
 class Template:
     """The template words of a chunk: a hash in each reading (the word itself, numbers
-    and units as slots, names as slots too), which are slots, and where they stand."""
+    and units as slots, names as slots too, capitalised words that open a sentence
+    as names), which are slots, and where they stand."""
 
     def __init__(self, data: np.ndarray, low: np.ndarray, offsets: np.ndarray, pw: Powers) -> None:
         word = _LETTER[data]
@@ -85,47 +90,73 @@ class Template:
         inner = np.zeros(len(data), dtype=bool)
         inner[1:-1] = ((data[1:-1] == 46) | (data[1:-1] == 44)) & digit[:-2] & digit[2:]
         word |= inner
-        self.starts, self.ends, self.rows = word_spans(data, offsets, word)
+        numeric = np.r_[0, np.cumsum(digit | inner)]
+        self.starts, self.ends, self.rows = self._split(*word_spans(data, offsets, word), numeric)
         self.data = data
         self.pw = pw
         self.literal = hashes = span_hashes(BYTE_VALUES[low], self.starts, self.ends, pw)
         n = len(hashes)
-        numeric = np.r_[0, np.cumsum(digit | inner)]
         number = numeric[self.ends] - numeric[self.starts] == self.ends - self.starts
         joined = np.r_[False, self.rows[1:] == self.rows[:-1]] if n else np.zeros(0, bool)
         after_number = joined & np.r_[False, number[:-1]] if n else joined
         unit = after_number & (_UNIT_HASHES[np.minimum(np.searchsorted(_UNIT_HASHES, hashes), len(_UNIT_HASHES) - 1)] == hashes)
         stops = np.r_[0, np.cumsum(_STOP[data])]
         inside = joined & (stops[self.starts] == stops[np.r_[0, self.ends[:-1]]]) if n else joined
-        first = data[self.starts]
-        second = data[np.minimum(self.starts + 1, len(data) - 1)] if n else first
-        third = data[np.minimum(self.starts + 2, len(data) - 1)] if n else first
-        capital = (_CAPITAL[first] & _SMALL[second]) | ((first == 0xC3) & (second >= 0x80) & (second <= 0x9E) & _SMALL[third])
-        self.name = inside & capital & ~unit & (self.ends - self.starts > 1)
+        capital = self._capitalised(low) & ~unit
+        self.name, self.opening = inside & capital, ~inside & capital
         self.slot = number | unit
         self.plain = np.where(number, _NUMBER, np.where(unit, _UNIT, hashes))
         self.named = np.where(self.name, _NAME, self.plain)
+        self.every = np.where(capital, _NAME, self.plain)
+
+    @staticmethod
+    def _split(starts: np.ndarray, ends: np.ndarray, rows: np.ndarray, numeric: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Cuts words like 30km into the number and the letters."""
+        other = np.flatnonzero(np.diff(numeric) == 0)
+        if not len(other) or not len(starts):
+            return starts, ends, rows
+        cut = other[np.minimum(np.searchsorted(other, starts), len(other) - 1)]
+        at = np.flatnonzero((cut > starts) & (cut < ends) & (numeric[ends] == numeric[np.minimum(cut, ends)]))
+        return np.insert(starts, at + 1, cut[at]), np.insert(ends, at, cut[at]), np.insert(rows, at, rows[at])
+
+    def _capitalised(self, low: np.ndarray) -> np.ndarray:
+        """Which words are a capital of any script and then a letter that is none."""
+        if not len(self.starts):
+            return np.zeros(0, dtype=bool)
+        changed = np.r_[0, np.cumsum(low != self.data)]
+        end = lambda at: np.minimum(at + 1 + (self.data[at] >= 0xC2) + (self.data[at] >= 0xE0) + (self.data[at] >= 0xF0), len(self.data))
+        second = end(self.starts)
+        more = second < self.ends
+        second = np.where(more, second, self.starts)
+        third = end(second)
+        return more & (changed[second] > changed[self.starts]) & (changed[third] == changed[second]) & _SMALL[self.data[second]]
 
-    def windows(self, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """(first word, hash, which are solid, which words are slots) of the windows of n
-        words in each reading: all of the literal one, and of the others those with a
-        slot and at least three words which are none. Solid windows are those that a
-        reading with slots has, too, or would have if they held one."""
+    def windows(self, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool]]:
+        """(first word, hash, which are solid, which words are slots, whether thin) of the
+        windows of n words in each reading: all of the literal one, and of the others
+        those with a slot and at least three words which are none. Solid windows are
+        those that a reading with slots has, too, or would have if they held one. Where
+        capitalised words that open a sentence are names as well, windows with two
+        words that are no slots come as thin ones."""
         size = max(len(self.rows) - n + 1, 0)
         first = np.flatnonzero(self.rows[:size] == self.rows[n - 1 : n - 1 + size])
         held = lambda mask: (c := np.r_[0, np.cumsum(mask)])[first + n] - c[first]
-        slots, names = held(self.slot), held(self.name)
+        slots, names, openings = held(self.slot), held(self.name), held(self.opening)
+        rest = n - slots - names - openings
+        most = self.slot | self.name | self.opening
         solid = (slots == 0) | (n - slots >= 3)
         every = np.ones(len(first), dtype=bool)
-        for hashes, mask, ok in (
-            (self.literal, np.zeros(len(self.rows), dtype=bool), every),
-            (self.plain, self.slot, (slots > 0) & (n - slots >= 3)),
-            (self.named, self.slot | self.name, (names > 0) & (n - slots - names >= 3)),
+        for hashes, mask, ok, thin in (
+            (self.literal, np.zeros(len(self.rows), dtype=bool), every, False),
+            (self.plain, self.slot, (slots > 0) & (n - slots >= 3), False),
+            (self.named, self.slot | self.name, (names > 0) & (n - slots - names >= 3), False),
+            (self.every, most, (openings > 0) & (rest >= 3), False),
+            (self.every, most, (rest < n) & (rest == 2), True),
         ):
             at, keys = first[ok], np.zeros(int(ok.sum()), dtype=np.uint64)
             for k in range(n):
                 keys += hashes[at + k] * np.uint64(_GRAM[k])
-            yield at, mix(keys), solid[ok], mask
+            yield at, mix(keys), solid[ok], mask, thin
 
     def wordless(self) -> tuple[np.ndarray, np.ndarray]:
         """First word and hash of each row that has numbers and units only, as a whole."""
@@ -140,7 +171,7 @@ class Template:
 
 
 def template_windows(df: DataFrame, window: int = WINDOW, bitmap: np.ndarray | None = None, sizes: list[int] | None = None) -> DataFrame:
-    """(id, text) to (id, total, firm, size, pos, key, solid, fill): the windows of each
+    """(id, text) to (id, total, firm, size, pos, key, solid, thin, fill): the windows of each
     text, whose whole number is total and that of solid ones firm; with a bitmap only
     those that it lets pass. Null is an empty text. A text shorter than the window has
     one window of its own size. With `sizes` each text has windows of all these sizes.
@@ -162,20 +193,20 @@ def template_windows(df: DataFrame, window: int = WINDOW, bitmap: np.ndarray | N
                 bare = np.zeros(b - a, dtype=bool)
                 bare[t.rows[first]] = True
                 firm = np.zeros(b - a, dtype=np.int64)
-                found = [(first, keys, np.zeros(len(first), dtype=bool), np.zeros(len(t.rows), dtype=bool), 0)]
+                found = [(first, keys, np.zeros(len(first), dtype=bool), np.zeros(len(t.rows), dtype=bool), False, 0)]
                 for n in sizes or range(1, window + 1):
                     mine = None if sizes else (np.minimum(words, window) == n) & ~bare
                     if mine is not None and not mine.any():
                         continue
-                    for k, (at, keys, solid, mask) in enumerate(t.windows(n)):
+                    for k, (at, keys, solid, mask, thin) in enumerate(t.windows(n)):
                         if mine is not None:
                             own = mine[t.rows[at]]
                             at, keys, solid = at[own], keys[own], solid[own]
                         if not k:
                             firm += np.bincount(t.rows[at[solid]], minlength=b - a)
-                        found.append((at, keys, solid, mask, n))
+                        found.append((at, keys, solid, mask, thin, n))
                 total = np.where(bare, 1, np.maximum(words - window + 1, 1))
-                for at, keys, solid, mask, n in found:
+                for at, keys, solid, mask, thin, n in found:
                     if sent is not None:
                         hit = in_bitmap(sent.value, keys)
                         at, keys, solid = at[hit], keys[hit], solid[hit]
@@ -184,12 +215,12 @@ def template_windows(df: DataFrame, window: int = WINDOW, bitmap: np.ndarray | N
                     yield pa.RecordBatch.from_arrays(
                         [
                             ids.take(pa.array(rows + a)), pa.array(total[rows]), pa.array(firm[rows]), pa.array(np.full(len(at), n or -1)), pa.array((at - begin[rows]).astype(np.int64)), pa.array(keys.view(np.int64)),
-                            pa.array(solid), pa.array(fills, pa.list_(pa.string())),
+                            pa.array(solid), pa.array(np.full(len(at), thin)), pa.array(fills, pa.list_(pa.string())),
                         ],
-                        names=["id", "total", "firm", "size", "pos", "key", "solid", "fill"],
+                        names=["id", "total", "firm", "size", "pos", "key", "solid", "thin", "fill"],
                     )
 
-    return df.mapInArrow(run, "id long, total long, firm long, size long, pos long, key long, solid boolean, fill array<string>")
+    return df.mapInArrow(run, "id long, total long, firm long, size long, pos long, key long, solid boolean, thin boolean, fill array<string>")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, coverage: float = 0.5) -> DataFrame:
@@ -206,7 +237,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     positions), so a document may hold several variants of one item.
 
     Windows are read literally, numbers and units as plain words, and as templates,
-    which need three words that are no slots. The share is taken of all windows, or of
+    which need three words that are no slots, or two where at least three windows stand
+    along the alignment. Numbers joined to letters are two words. The share is taken of all windows, or of
     those that can be templates where that share is larger.
 
     Defined cases: null, empty and wordless texts and items match nothing; an item
@@ -219,10 +251,10 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     """
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     bench = items.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).alias("text"))
-    windows = written(template_windows(bench, window), "windows").select(F.col("id").alias("item"), F.col("total").alias("n_windows"), "firm", "size", F.col("pos").alias("item_pos"), "key", "solid", F.col("fill").alias("want"))
+    windows = written(template_windows(bench, window), "windows").select(F.col("id").alias("item"), F.col("total").alias("n_windows"), "firm", "size", F.col("pos").alias("item_pos"), "key", "solid", "thin", F.col("fill").alias("want"))
     sizes = sorted(r["size"] for r in windows.select("size").where(f"size between 1 and {window}").distinct().collect()) or [window]
     hits = template_windows(slim, window, bitmap_of(windows.select("key"), "key"), sizes).select("id", "pos", "key", "fill")
-    pairs = hits.join(windows, "key").select("id", "item", "n_windows", "firm", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), "solid", *[F.transform(c, F.lower).alias(c) for c in ("want", "fill")])
+    pairs = hits.join(windows, "key").select("id", "item", "n_windows", "firm", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), "solid", "thin", *[F.transform(c, F.lower).alias(c) for c in ("want", "fill")])
     pairs = written(pairs, "matches")
     same = ["id", "item", "n_windows", "shift"]
     filled = pairs.where("want is not null").select(*same, F.explode(F.arrays_zip("want", "fill")).alias("s")).select(*same, "s.want", "s.fill")
@@ -231,8 +263,12 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     on = pairs["id"].eqNullSafe(clash["s_id"]) & pairs["item"].eqNullSafe(clash["s_item"]) & (pairs["n_windows"] == clash["s_n_windows"]) & (pairs["shift"] == clash["s_shift"])
     equal = F.coalesce(F.col("want") == F.col("fill"), F.lit(True))
     judged = pairs.join(clash, on, "left").withColumn("equal", equal).where(F.col("equal") | F.col("clash").isNull() | ~F.arrays_overlap("want", "clash"))
-    judged = judged.groupBy("id", "item", "n_windows", "firm", "item_pos").agg(F.bool_or("equal").alias("equal"), F.bool_or("solid").alias("solid"))
-    found = judged.groupBy("id", "item", "n_windows", "firm").agg(F.count("*").alias("n"), F.count_if("solid").alias("n_solid"), F.bool_and("equal").alias("equal"))
+    line = ["id", "item", "n_windows", "firm"]
+    judged = judged.groupBy(*line, "shift", "item_pos").agg(F.bool_or("equal").alias("equal"), F.bool_or("solid").alias("solid"), F.bool_and("thin").alias("thin"))
+    judged = judged.groupBy(*line, "shift").agg(F.collect_list(F.struct("item_pos", "equal", "solid", "thin")).alias("w"))
+    judged = judged.select(*line, F.inline(F.filter("w", lambda w: ~w["thin"] | w["equal"] | (F.size("w") >= LINE))))
+    judged = judged.groupBy(*line, "item_pos").agg(F.bool_or("equal").alias("equal"), F.bool_or("solid").alias("solid"))
+    found = judged.groupBy(*line).agg(F.count("*").alias("n"), F.count_if("solid").alias("n_solid"), F.bool_and("equal").alias("equal"))
     shares = [F.struct((m / t).alias("coverage"), t.alias("n_windows"), m.alias("matched")) for m, t in ((F.col("n"), F.col("n_windows")), (F.col("n_solid"), F.nullif("firm", F.lit(0))))]
     return (
         found.withColumn("best", F.when(F.col("firm") == 0, shares[0]).otherwise(F.greatest(*shares)))

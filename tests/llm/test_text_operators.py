@@ -199,6 +199,16 @@ def test_decontamination_of_numeric_and_short_items(spark):
     assert leaks(spark, ["1, 2, 3, 4 km", "1 2 3 4 km 5", "0 1 2 3 4 km"], "1 2 3 4 km") == {0: "verbatim"}
 
 
+def test_decontamination_of_other_names_and_joined_units(spark):
+    item = "Tom has 5 apples. Tom eats 2. Tom buys 3. How many are left?"
+    texts = [item.replace("Tom", "Sue"), item.replace("Tom", "Sue").replace("5", "9").replace("buys 3", "buys 4"), item.replace("Tom", "Ольга"), "Tom has 5 pears. Sue sold 2. Ann lost 3. How few were eaten?"]
+    assert leaks(spark, texts, item) == {0: "reparameterised", 1: "reparameterised", 2: "reparameterised"}
+    item = "the train runs 30km in the first hour and then it slows to 2.5km for each hour"
+    assert leaks(spark, [item.replace("30km", "45km").replace("2.5km", "3km"), item.replace("km", " km"), item.replace("km", "abc")], item) == {0: "reparameterised", 1: "verbatim"}
+    item = "in the end did Łukasz give each ball to Иван or did Łukasz keep them"
+    assert leaks(spark, [item.replace("Łukasz", "Żaneta").replace("Иван", "Ольга"), item.upper() + " İ"], item) == {0: "reparameterised", 1: "verbatim"}
+
+
 def test_decontamination_equals_brute_force_on_literal_words(spark):
     r = random.Random(2)
     w = lambda n: [f"v{chr(97 + r.randrange(26))}{chr(97 + r.randrange(26))}" for _ in range(n)]
