@@ -2,9 +2,9 @@
 
 Everything that runs over the corpus is built-in column expressions. Patterns give
 the base spans (validated e-mail and IP addresses, card and phone numbers), which
-always stay. Wider patterns propose further candidates; trees judge these by their
-format and context, and those beyond their kind's threshold are added where no base
-span lies.
+always stay. Further patterns propose candidates that may overlap; trees judge these
+by their format and context. Those beyond their kind's threshold are added where no
+base span lies; of overlapping ones, that furthest beyond.
 
 The trees learn from the corpus itself: a candidate that a base pattern validates is
 an example of its kind, any other is not, and what only the validation sees (the
@@ -34,6 +34,13 @@ PATTERNS = {
 #: Signs without which a pattern can't match.
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 NUMBERS = r"(?<![0-9])\(?[0-9](?:[\x20().-]{0,2}[0-9]){7,24}"
+#: Narrower shapes of numbers, whose matches may lie inside those of NUMBERS or overlap them: single runs, groups of four or of 4-6-5, phone shapes, dotted quads.
+SHAPES = [
+    r"(?<![0-9])[0-9]{13,19}(?![0-9])",
+    r"(?<![0-9])[0-9]{4}([\x20-])(?:[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{6}\1[0-9]{5})(?![0-9])",
+    r"(?<![0-9])(?:\([0-9]{2,4}\)[\x20.-]?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-]?[0-9]{4}(?![0-9])",
+    r"(?<![0-9])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9])",
+]
 ADDRESSES = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,64}(?:@|\x20?[\[({]at[\])}]\x20?|\x20at\x20)[A-Za-z0-9-]{2,63}(?:(?:\.|\x20?[\[({]dot[\])}]\x20?|\x20dot\x20)[A-Za-z0-9-]{2,24}){1,4}"
 #: Words whose nearness speaks for a kind.
 CUES = {"phone": "phone|tel|call|mobile|fax|contact|whatsapp|sms|dial", "card": "card|visa|master|amex|credit|debit|payment|account|iban", "ip": "ip|host|server|address|ping|login|from", "email": "mail|contact|write|reach|send|address"}
@@ -142,18 +149,42 @@ def address_features(text: Column, c: Column) -> Column:
     return F.array(*parts)
 
 
+def _cut(c: Column) -> Column:
+    """The parts of a number before and after each of its separators, of eight digits or more."""
+    m, digit = c["m"], lambda i: F.substring(c["m"], i, F.lit(1)).rlike("[0-9]")
+    edges = F.filter(F.sequence(F.lit(1), F.char_length(m) - 1), lambda i: digit(i) != digit(i + 1))
+    part = lambda s, e, x: F.struct(s.alias("s"), e.alias("e"), x.alias("m"))
+    parts = F.transform(edges, lambda i: F.when(digit(i), part(c["s"], c["s"] + i, F.substring(m, F.lit(1), i))).otherwise(part(c["s"] + i, c["e"], F.substring(m, i + 1, F.char_length(m)))))
+    return F.filter(parts, lambda x: F.length(_digits(x["m"])) >= 8)
+
+
+def _numbers(text: Column) -> Column:
+    """Overlapping candidates (s, e, m) for numbers from all generators."""
+    wide = _let(spans(text, NUMBERS), lambda a: F.concat(a, F.flatten(F.transform(F.filter(a, lambda c: c["m"].rlike("[0-9][^0-9]")), _cut))))
+    return F.array_distinct(F.concat(wide, *[spans(text, p) for p in SHAPES]))
+
+
+def _best(added: Column) -> Column:
+    """Of candidates that overlap, the one furthest beyond its threshold, then one that cuts no number, then the longest."""
+    order = lambda a, b: F.when(a["rank"] < b["rank"], F.lit(-1)).when(a["rank"] > b["rank"], F.lit(1)).otherwise(F.lit(0))
+    ranked = F.array_sort(F.transform(added, lambda c: F.struct(F.struct((-c["o"]["over"]).alias("over"), (~c["whole"]).alias("ragged"), (c["start"] - c["end"]).alias("size"), c["start"].alias("at")).alias("rank"), c.alias("c"))), order)
+    take = lambda acc, c: F.when(F.exists(acc, lambda x: (x["start"] < c["end"]) & (c["start"] < x["end"])), acc).otherwise(F.array_append(acc, c))
+    return F.when(F.size(added) < 2, added).otherwise(F.aggregate(F.transform(ranked, lambda x: x["c"]), F.filter(added, lambda c: F.lit(False)), take))
+
+
 def with_candidates(base: DataFrame) -> DataFrame:
-    """Adds __numbers and __addresses: candidates (s, e, f, y, free) with features,
-    the base kinds that they show (y) and whether they overlap no base span."""
+    """Adds __numbers and __addresses: candidates (s, e, f, y, free, whole) with
+    features, the base kinds that they show (y), whether they overlap no base span and
+    whether no digit follows."""
     text, every = F.col("__text"), F.concat(*[F.col(f"__base_{k}") for k in KINDS])
-    none = lambda n: F.array().cast(f"array<struct<s:int,e:int,f:array<double>,y:array<int>,free:boolean>>")
+    none = lambda n: F.array().cast(f"array<struct<s:int,e:int,f:array<double>,y:array<int>,free:boolean,whole:boolean>>")
 
     def judged(c: Column, features: Callable, kinds: list[str]) -> Column:
         shows = lambda k: F.exists(f"__base_{k}", lambda b: (b["e"] == c["e"]) & (b["s"] <= c["s"]) & (b["s"] >= c["s"] - 2)).cast("int")
         free = ~F.exists(every, lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"]))
-        return F.struct(c["s"].alias("s"), c["e"].alias("e"), features(text, c).alias("f"), F.array(*[shows(k) for k in kinds]).alias("y"), free.alias("free"))
+        return F.struct(c["s"].alias("s"), c["e"].alias("e"), features(text, c).alias("f"), F.array(*[shows(k) for k in kinds]).alias("y"), free.alias("free"), (~F.substring(text, c["e"] + 1, F.lit(1)).rlike("[0-9]")).alias("whole"))
 
-    numbers = F.transform(spans(text, NUMBERS), lambda c: judged(c, number_features, ["ip", "card", "phone"]))
+    numbers = F.transform(_numbers(text), lambda c: judged(c, number_features, ["ip", "card", "phone"]))
     addresses = F.transform(spans(text, ADDRESSES), lambda c: judged(c, address_features, ["email"]))
     may = F.contains(text, F.lit("@")) | text.rlike(r"[\[({]at[\])}]|\x20at\x20[A-Za-z0-9-]+(?:\.|\x20?[\[({]dot|\x20dot\x20)[A-Za-z]")
     return base.withColumns({"__numbers": F.when(F.col("__digit"), numbers).otherwise(none(3)), "__addresses": F.when(may, addresses).otherwise(none(1))})
@@ -199,7 +230,7 @@ def _beyond(model: PiiModel, kinds: list[str]) -> Callable[[Column], Column]:
     def judge(c: Column) -> Column:
         features = [F.get(c["f"], F.lit(i)) for i in range(width)]
         over = [F.struct((model.trees[k].column(features) - F.lit(model.cut[k])).alias("over"), F.lit(KINDS.index(k)).alias("rank"), F.lit(k).alias("kind")) for k in kinds]
-        return F.struct(c["s"].alias("start"), c["e"].alias("end"), F.array_max(F.array(*over)).alias("o"))
+        return F.struct(c["s"].alias("start"), c["e"].alias("end"), c["whole"].alias("whole"), F.array_max(F.array(*over)).alias("o"))
 
     return judge
 
@@ -227,7 +258,7 @@ def find_pii(docs: DataFrame, model: PiiModel | None = None, text_col: str = "te
         if not use:
             continue
         free = F.filter(column, lambda c: c["free"])
-        added = F.filter(F.transform(free, _beyond(model, use)), lambda c: c["o"]["over"] >= 0)
+        added = _let(F.filter(F.transform(free, _beyond(model, use)), lambda c: c["o"]["over"] >= 0), _best)
         parts.append(F.transform(added, lambda c: F.struct(c["start"].alias("start"), c["o"]["rank"].alias("rank"), c["end"].alias("end"), c["o"]["kind"].alias("kind"), F.lit(False).alias("base"))))
     return out.select(*[F.col(f"`{c}`") for c in kept], F.array_sort(F.concat(*parts)).alias("pii"))
 

@@ -180,6 +180,20 @@ def test_decontamination(spark):
     assert contaminated(docs.limit(0), items).count() == contaminated(docs, items.limit(0)).count() == 0
 
 
+def test_pii_candidates_inside_longer_numbers(spark):
+    cards = ["7536784127813050", "4845168114407329"]
+    spots = [(" ".join(cards), [(0, 16), (17, 33)]), ("2024 4111 1111 1111 1111", [(5, 24)]), ("4111-1111-1111-1111 4111-1111-1111-1111 7", [(0, 19), (20, 39)]), ("ids 12 706-555-3138 10.1.2.3 4", [(7, 19), (20, 28)])]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(spots)], "doc_id long, text string")
+    for r in pii.with_candidates(pii.with_base(df, "text")).collect():
+        assert set(spots[r["doc_id"]][1]) <= {(c["s"], c["e"]) for c in r["__numbers"]}
+    r = random.Random(4)
+    valid = lambda n: next(d for d in ("".join(r.choice("0123456789") for _ in range(n)) for _ in range(1000)) if luhn(d))
+    rows = [(i, f"pay by card {valid(16)} now" if i % 2 else f"order {r.randrange(10**9, 10**10)} came") for i in range(300)]
+    model = pii.fit(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = pii.find_pii(spark.createDataFrame([(0, "pay by card " + " ".join(cards))], "doc_id long, text string"), model).first()["pii"]
+    assert [(p["start"], p["end"], p["kind"], p["base"]) for p in found] == [(12, 28, "card", False), (29, 45, "card", False)]
+
+
 def leaks(spark, texts, item):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     return {r["doc_id"]: r["kind"] for r in contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
