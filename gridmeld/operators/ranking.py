@@ -60,6 +60,22 @@ def with_rank(df: DataFrame, value: str, name: str = "rank", keys: Sequence[str]
     return work.join(F.broadcast(base), "__b").withColumn(name, F.col("__r") + F.col("__base")).drop("__v", "__r", "__b", "__base")
 
 
+def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "id", buckets: int = 64) -> DataFrame:
+    """Adds the 0-based position of each row within its keys, in order. The first order
+    column must be numeric: its ranges split the keys' groups, so that a few large ones
+    spread over tasks."""
+    k = list(keys)
+    work = df.withColumn("__b", F.coalesce(_range_of(F.col(order[0]), _edges(df, order[0], buckets)), F.lit(-1)))
+    work = work.withColumn("__r", F.row_number().over(Window.partitionBy(*k, "__b").orderBy(*order)) - 1)
+    before = Window.partitionBy(*k).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    counts = work.groupBy(*k, "__b").agg(F.count("*").alias("__n")).withColumn("__base", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    base = counts.select(*[F.col(c).alias(f"__k_{c}") for c in k], F.col("__b").alias("__k_b"), "__base")
+    on = F.col("__b") == F.col("__k_b")
+    for c in k:
+        on &= F.col(c).eqNullSafe(F.col(f"__k_{c}"))
+    return work.join(base, on).withColumn(name, F.col("__r") + F.col("__base")).select(*[c for c in df.columns if c != name], name)
+
+
 def top_k_curve(pairs: DataFrame, shares: Sequence[float], truth: str = "truth", pred: str = "pred", keys: Sequence[str] = (), tie: str = "id", higher_is_better: bool = True) -> DataFrame:
     """Overlap of the top k of truth and prediction for k = max(1, ceil(share * n)):
     (keys, share, k, overlap, recall, precision, jaccard, baseline).

@@ -517,12 +517,12 @@ def target_files(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT id, count(*) AS n, CAST(sum(value) AS BIGINT) AS total FROM (SELECT l_linenumber - 1 AS g, CAST(l_quantity AS BIGINT) AS value, row_number() OVER (PARTITION BY l_linenumber ORDER BY l_orderkey, l_partkey, l_suppkey, l_quantity) - 1 AS id FROM lineitem) GROUP BY id")
 def vector_files(spark: SparkSession, d: str) -> DataFrame:
-    """One JSON list per line number, written, read again and added up by position."""
+    """A vector per line number, written as a JSON row per cell, read again and added up by position."""
     path = _scratch(spark)
-    order = ranking.Window.partitionBy("l_linenumber").orderBy("l_orderkey", "l_partkey", "l_suppkey", "l_quantity")
-    rows = table(spark, d, "lineitem").withColumn("id", F.row_number().over(order) - 1).select("l_linenumber", "id", F.col("l_quantity").alias("value"))
-    files.vector_json(rows, ["l_linenumber"]).repartition(F.col("l_linenumber")).select("l_linenumber", "json").write.partitionBy("l_linenumber").text(path)
-    found = files.read_vector(spark, f"{path}/*/*")
+    rows = ranking.with_position(table(spark, d, "lineitem"), ["l_linenumber"], ["l_orderkey", "l_partkey", "l_suppkey", "l_quantity"])
+    rows = rows.select("l_linenumber", "id", F.col("l_quantity").alias("value"))
+    files.write_cells(rows, path)
+    found = files.read_cells(spark, path, rows.schema)
     return found.groupBy("id").agg(F.count("*").alias("n"), F.sum("value").cast("long").alias("total"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 COMPOSITION = "Pixel_Index int, Ru double, Rh double, Pd double, Ir double, Pt double"
 
@@ -45,7 +46,13 @@ def write_cells(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def read_cells(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The rows that write_cells has written."""
+    return spark.read.schema(schema).json(path)
+
+
 def vector_json(df: DataFrame, keys: list[str], order: str = "id", value: str = "value") -> DataFrame:
-    """(keys, json): each group's values as one JSON list in order; for groups that fit a row."""
+    """(keys, json): each group's values as one JSON list in order; for groups that
+    fit a row. Groups that grow with the data are for write_cells."""
     items = F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda s: s[value])
     return df.groupBy(*keys).agg(F.to_json(items, {"ignoreNullFields": "false"}).alias("json"))

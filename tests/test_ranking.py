@@ -1,10 +1,11 @@
+import glob
 import itertools
 import random
 
 import pytest
 
 from gridmeld.operators.metrics import basic_report, bin_trend, error_gain_trend, evaluate, hex_bins, joint_min_max, min_max, normaliser, pair_check, spearman
-from gridmeld.operators.ranking import kendall, split_rows, top_k_curve, with_rank
+from gridmeld.operators.ranking import kendall, split_rows, top_k_curve, with_position, with_rank
 
 
 def pairs(spark, rows):
@@ -95,3 +96,22 @@ def test_pair_check(spark):
     assert (r["unmatched_left"], r["unmatched_right"]) == (1, 2)
     with pytest.raises(ValueError):
         pair_check(a, b, strict=True)
+
+
+def test_positions_within_keys_equal_a_sort(spark):
+    r = random.Random(6)
+    rows = [(r.choice([None, 1, 2]), r.choice([None, *range(40)]), i) for i in range(400)]
+    got = {x["v"]: x["id"] for x in with_position(spark.createDataFrame(rows, "k int, o int, v int"), ["k"], ["o", "v"], buckets=7).collect()}
+    assert got == {v: p for k in (None, 1, 2) for p, (*_, v) in enumerate(sorted((x for x in rows if x[0] == k), key=lambda x: (x[1] is not None, x[1] or 0, x[2])))}
+
+
+def test_vector_files_hold_no_whole_vector_in_a_row(spark, tmp_path):
+    import __spark_entry__
+
+    rows = [(i // 2, 1 + i % 2, i % 7, i % 5, float(i % 50)) for i in range(4000)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    files = lambda: set(glob.glob(f"{spark.conf.get('spark.checkpoint.dir')}/gridmeld-*/**/part-*", recursive=True))
+    old = files()
+    got = {x["id"]: (x["n"], x["total"]) for x in __spark_entry__.queries()["vector_files"](spark, str(tmp_path)).collect()}
+    assert got == {i: (2, int(rows[2 * i][4] + rows[2 * i + 1][4])) for i in range(2000)}
+    assert max(len(line) for f in files() - old for line in open(f)) < 200
