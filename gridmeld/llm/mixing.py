@@ -10,13 +10,8 @@ its target.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import written
@@ -65,31 +60,6 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), sha
     )
 
 
-def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Numbers the rows of a sorted partition within each source: adds the
-    partition's number and the rank so far."""
-    from pyspark import TaskContext
-
-    part = TaskContext.get().partitionId()
-    last, seen = None, 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        sources = batch.column(0).dictionary_encode()
-        codes = sources.indices.fill_null(-1).to_numpy(zero_copy_only=False)
-        names = sources.dictionary.to_pylist()
-        starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
-        rank = np.arange(len(codes)) - np.repeat(starts, np.diff(np.r_[starts, len(codes)]))
-        first = (names[codes[0]] if codes[0] >= 0 else None,)
-        if first == last:
-            rank[: starts[1] if len(starts) > 1 else len(codes)] += seen
-        last, seen = (names[codes[-1]] if codes[-1] >= 0 else None,), int(rank[-1]) + 1
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns, pa.array(np.full(len(codes), part, dtype=np.int32)), pa.array(rank.astype(np.int64) + 1)],
-            names=[*batch.schema.names, f"{_T}part", f"{_T}rank"],
-        )
-
-
 def _row_key(id_col: str, text_col: str, source_col: str) -> list:
     """Two hashes of a row's id, source and text, nulls told apart."""
     parts = [x for c in (id_col, source_col, text_col) for x in (F.col(c).isNull(), F.col(c))]
@@ -101,28 +71,31 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     target, copies), one row per row of docs; k1 and k2 hash the row.
 
     Ranks within a source come from a range partitioning by (source, size, id, row
-    hash), numbered within each partition, and from the partitions' counts, so that
-    a source with a third of all rows spreads over many tasks. Defined cases: null
+    hash) and from the partitions' counts, so that a source with a third of all rows
+    spreads over many tasks: a row's place in its partition is the running number that
+    Spark gives it, less the first of its source there. The texts are read once, for
+    the slim rows. Defined cases: null
     texts and texts without words have size 0 and are taken like the others, adding
     no words; a source whose words are all 0 has target 0 and is not taken; null ids
     and repeated rows are rows like any other; null is a source of its own.
     """
     k = _row_key(id_col, text_col, source_col)
     slim = docs.select(F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.col(id_col).alias("id"), k[0].alias("k1"), k[1].alias("k2"))
+    slim = written(slim, "sizes")
     order = ["source", "size", "id", "k1"]
     ordered = slim.repartitionByRange(*order).sortWithinPartitions(*order)
-    ranked = written(ordered.mapInArrow(_positions, T.StructType([*ordered.schema.fields, T.StructField(f"{_T}part", T.IntegerType()), T.StructField(f"{_T}rank", T.LongType())])), "ranked")
-    parts = ranked.groupBy("source", f"{_T}part").agg(F.max(f"{_T}rank").alias("rows"), F.sum("size").alias("words"))
+    ranked = written(ordered.withColumn(f"{_T}at", F.monotonically_increasing_id()), "ranked").withColumn(f"{_T}part", F.shiftright(f"{_T}at", 33))
+    parts = ranked.groupBy("source", f"{_T}part").agg(F.min(f"{_T}at").alias("first"), F.count("*").alias("rows"), F.sum("size").alias("words"))
     before = Window.partitionBy("source").orderBy(f"{_T}part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("base", F.coalesce(F.sum("rows").over(before), F.lit(0)))
     targets = source_targets(parts.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce("source", F.lit("")))), 1, 8), 16, 10).cast("double") / _UNIT
     bases = (
-        parts.select(F.col("source").alias("s"), F.col(f"{_T}part").alias("p"), "base")
+        parts.select(F.col("source").alias("s"), F.col(f"{_T}part").alias("p"), (F.col("base") - F.col("first") + 1).alias("base"))
         .join(targets.withColumn("offset", offset), F.col("s").eqNullSafe(F.col("source")))
         .select("s", "p", "base", "source_size", "target", "offset")
     )
-    rank = F.col("base") + F.col(f"{_T}rank")
+    rank = F.col("base") + F.col(f"{_T}at")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     copies = F.floor(F.col("offset") + rate * rank) - F.floor(F.col("offset") + rate * (rank - 1))
     return (
