@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,9 +25,11 @@ from pyspark.sql import types as T
 from . import boosting
 from .common import shipped
 
-TAG = re.compile(r"""<(?:(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|!--|[!?/])""")
+MARKUP = re.compile(r"<(?=/?[A-Za-z]|[!?/])")
+TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""")
 LOOSE = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)>")
-ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+QUOTE = re.compile("[\"'>]")
+ATTRIBUTE = re.compile(r"""(?<![a-zA-Z-])([a-zA-Z-]++)\s*+=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 SPACE = re.compile(r"[ \t\n\r\f\v]+")
 
@@ -34,6 +37,7 @@ SPACE = re.compile(r"[ \t\n\r\f\v]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe svg math object head".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol option p pre section select summary table tbody td textarea tfoot th thead tr ul button".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = BLOCK - frozenset("body html option label button select textarea legend caption summary".split())
 SIBLING_END = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}, "tbody": {"table"}, "tfoot": {"table"}}
@@ -67,11 +71,44 @@ def _tokens(attributes: str) -> tuple[tuple[str, ...], bool]:
     return tuple(found), hidden or bool(re.search(r"(?:^|\s)hidden(?:\s|$)", attributes))
 
 
+class Closings:
+    """Finds the sign that ends a tag, for pages with tags that don't end as they should.
+
+    What stands in quotes ends no tag. Whether a tag ends is the same from each sign
+    outside of quotes on, so signs that lead nowhere are remembered and each is passed
+    twice at most, however many tags are broken.
+    """
+
+    def __init__(self, page: str, start: int) -> None:
+        self.at = [m.start() for m in QUOTE.finditer(page, start)]
+        self.page, self.partner, self.lost = page, [len(self.at)] * len(self.at), set()
+        last: dict[str, int] = {}
+        for i in range(len(self.at) - 1, -1, -1):
+            sign = page[self.at[i]]
+            self.partner[i] = last.get(sign, len(self.at))
+            last[sign] = i
+
+    def ends(self, tag: int) -> bool:
+        passed, i = [], bisect_left(self.at, tag)
+        while i < len(self.at) and i not in self.lost:
+            if self.page[self.at[i]] == ">":
+                return True
+            passed.append(i)
+            i = self.partner[i] + 1
+        self.lost.update(passed)
+        return False
+
+
 def parse(page: str) -> Node:
-    """The tree of block elements. Unknown, unclosed and stray tags are tolerated."""
+    """The tree of block elements. Unknown, unclosed and stray tags are tolerated; the
+    time stays in proportion to the page, whatever is broken in it."""
     root = Node("html", (), None)
-    node, links, at, n = root, 0, 0, len(page)
+    open_, where = [root], {}  # the open elements, and by tag their places among these
+    node, at, n = root, 0, len(page)
     in_link = False
+    last_end = page.rfind(">")
+    closings: Closings | None = None
+    absent: set[str] = set()
 
     def text(piece: str) -> None:
         if piece:
@@ -81,38 +118,52 @@ def parse(page: str) -> Node:
             if in_link:
                 node.linked += size
 
+    def close(place: int) -> Node:
+        """Closes the element at a place and all in it."""
+        while len(open_) > place:
+            where[open_.pop().tag].pop()
+        return open_[-1]
+
+    def after_end(tag: str) -> int:
+        """Where the text after the next end tag begins, -1 if there is none."""
+        m = None if tag in absent else re.compile(rf"</{re.escape(tag)}", re.I).search(page, at)
+        end = -1 if m is None else page.find(">", m.end())
+        if end < 0:
+            absent.add(tag)
+        return end + 1 if end >= 0 else -1
+
     while at < n:
-        m = TAG.search(page, at)
-        lt = page.find("<", at) if m is None else m.start()
+        sign = MARKUP.search(page, at)
+        if sign is None:
+            text(page[at:])
+            break
+        lt = sign.start()
+        text(page[at:lt])
+        if lt > last_end:  # what never ends takes the rest with it
+            break
+        if not page[lt + 1].isalpha() and (page[lt + 1] != "/" or not page[lt + 2 : lt + 3].isalpha()):  # comment, declaration, instruction or stray end
+            comment = page.startswith("<!--", lt)
+            end = page.find("-->" if comment else ">", lt + (4 if comment else 2))
+            at = n if end < 0 else end + (3 if comment else 1)
+            continue
+        m = TAG.match(page, lt) if closings is None or closings.ends(lt) else None
+        if m is None:  # a broken quote
+            closings = closings or Closings(page, lt)
+            m = LOOSE.match(page, lt)
         if m is None:
-            # a tag with a broken quote, or a sign that begins no tag
-            loose = LOOSE.search(page, lt) if lt >= 0 else None
-            if loose is None:
-                if lt >= 0 and re.match(r"<(?:/?[A-Za-z]|!)", page[lt : lt + 3]):
-                    text(page[at:lt])  # a tag that never ends takes the rest with it
-                else:
-                    text(page[at:])
-                break
-            m = loose
-        text(page[at : m.start()])
-        if m.re is TAG and m[2] is None:  # comment, declaration, instruction or stray end
-            if m[0] == "<!--":
-                end = page.find("-->", m.end())
-                at = n if end < 0 else end + 3
-            else:
-                end = page.find(">", m.end())
-                at = n if end < 0 else end + 1
+            text("<")
+            at = lt + 1
             continue
         closing, tag, attributes = m[1], m[2].lower(), m[3]
         at = m.end()
         if tag in RAW and tag != "head" and not closing:
             if not attributes.endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\s*[^>]*>", re.I).search(page, at)
-                at = n if end is None and tag in ("script", "style") else at if end is None else end.end()
+                end = after_end(tag)
+                at = end if end >= 0 else n if tag in ("script", "style") else at
             continue
         if tag == "title" and not closing:
-            end = re.compile(r"</title\s*>", re.I).search(page, at)
-            at = at if end is None else end.end()
+            end = after_end(tag)
+            at = end if end >= 0 else at
             continue
         if tag == "br":
             node.pieces.append(" ")
@@ -126,32 +177,27 @@ def parse(page: str) -> Node:
                 node.inline += 1
             continue
         if closing:
-            up = node
-            while up is not root and up.tag != tag:
-                up = up.parent
-            if up is not root:
-                node = up.parent
+            if where.get(tag):
+                node = close(where[tag][-1])
             in_link = False
             continue
-        if tag in ("html", "body"):
-            continue
-        if tag in CLOSES_P:
-            up = node
-            while up is not root and up.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):
-                up = up.parent
-            if node.tag == "p" or tag[0] == "h" and tag[1:].isdigit() and up is not node:
-                node = up
+        if tag in CLOSES_P and (node.tag == "p" or tag in HEADINGS and node.tag in HEADINGS):
+            place = len(open_)
+            while open_[place - 1].tag == "p" or open_[place - 1].tag in HEADINGS:
+                place -= 1
+            node = close(place)
         if tag in SIBLING_END:
-            up, scope = node, SCOPE[tag]
-            while up is not root and up.tag not in scope:
-                if up.tag in SIBLING_END[tag]:
-                    node = up.parent
-                up = up.parent
+            scope = max((where[t][-1] for t in SCOPE[tag] if where.get(t)), default=0)
+            found = [w[k] for t in SIBLING_END[tag] if (w := where.get(t)) and (k := bisect_right(w, scope)) < len(w)]
+            if found:
+                node = close(min(found))
         tokens, hidden = _tokens(attributes)
         child = Node(tag, tokens, node, hidden)
         node.children.append(child)
         node.pieces.append(child)
         if tag not in VOID:
+            where.setdefault(tag, []).append(len(open_))
+            open_.append(child)
             node = child
     return root
 
@@ -383,8 +429,9 @@ def extract(pages: DataFrame, trees: boosting.Boosted | None = None, html_col: s
     none), and adds n_chars, its code points; both replace columns of these names.
 
     Defined cases: null and empty html give an empty text; html without markup is
-    judged as one block; each page is treated by itself and whole, so repeated rows,
-    very long pages and empty tables need no care.
+    judged as one block; each page is treated by itself and whole, so repeated rows
+    and empty tables need no care; the time for a page grows with its length only,
+    also where tags, quotes or elements are left open.
     """
     trees = trees or train()
     sent = shipped(pages.sparkSession, trees)

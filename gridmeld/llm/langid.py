@@ -211,13 +211,12 @@ def _counted(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.Recor
                     )
 
 
-def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", order: int = ORDER, docs_per_language: int = 400, most_grams: int = 200_000) -> LanguageModel:
+def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", order: int = ORDER, docs_per_language: int = 400) -> LanguageModel:
     """Fits the models to a bounded sample: `docs_per_language` whole documents of
     each non-null language, those with the smallest hash of id and text, of which
     every fourth is held back from the counts to calibrate.
 
-    `most_grams` bounds what a language keeps of the highest order on the driver;
-    rarer n-grams of that order fall back to the order below. Languages are columns
+    Every n-gram of the sample is kept; those rows bound them. Languages are columns
     of the table, so they are meant to be few (a label set). With no labelled row
     there is no language, and every prediction is none.
     """
@@ -240,8 +239,7 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_
     sample = written(sample.select("lang", "text", (F.col("rank") % 4 == 0).alias("back")), "langid_sample")
     counted = sample.where("not back").select("lang", "text").mapInArrow(lambda it: _counted(it, order), "lang string, n int, key long, context long, suffix long, count long")
     summed = counted.groupBy("lang", "n", "key").agg(F.first("context").alias("context"), F.first("suffix").alias("suffix"), F.sum("count").alias("count"))
-    top = summed.withColumn("r", F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.desc("count"), "key"))).where((F.col("n") < order) | (F.col("r") <= most_grams))
-    got = top.select("lang", "n", "key", "context", "suffix", "count").toArrow().to_pandas()
+    got = summed.select("lang", "n", "key", "context", "suffix", "count").toArrow().to_pandas()
     languages, parts, unseen = sorted(got["lang"].unique()), [], []
     for lang in languages:
         grams = {}

@@ -24,6 +24,7 @@ from .common import shared_dir, written
 
 MAGIC = b"\x1f\x8b\x08"
 CRLF = b"\r\n"
+MOST_TASKS = 1 << 15
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -168,9 +169,14 @@ def read_warc(files: DataFrame, with_payload: bool = True, split_bytes: int = 1
     payload_bytes and payload_digest are those of the full payload: counted and
     hashed for a response, from the record's headers for a revisit. Empty files and
     an empty list give no rows; bytes that are no record are skipped.
+
+    The ranges are dealt evenly to a stated number of tasks, one each up to MOST_TASKS:
+    their rows are tiny, so adaptive execution would merge an unstated number into one.
     """
     ranges = files.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))).alias("start"), "size")
-    ranges = ranges.select("path", "start", F.least(F.col("start") + split_bytes, "size").alias("end")).repartition("path", "start")
+    ranges = ranges.select("path", "start", F.least(F.col("start") + split_bytes, "size").alias("end"))
+    n = files.agg(F.sum(F.ceil(F.col("size") / split_bytes))).first()[0] or 0
+    ranges = ranges.repartition(int(min(max(n, 1), MOST_TASKS)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]

@@ -4,6 +4,7 @@ import hashlib
 import io
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,13 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.archive_pages(pages.limit(0), str(tmp_path / "e")).count() == 0
 
 
+def test_archives_are_read_by_many_tasks(spark, tmp_path):
+    pages = spark.range(40).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.repeat(F.sha2(F.col("id").cast("string"), 512), 30).alias("html")).repartition(1)
+    manifest = warc.archive_pages(pages, str(tmp_path / "w")).cache()
+    found = warc.read_warc(manifest, split_bytes=1000).withColumn("task", F.spark_partition_id())
+    assert found.count() == 40 and found.select("task").distinct().count() > 4
+
+
 def test_warc_reader_skips_what_is_no_record():
     good = warc._member(warc._record("response", "1", "http://x", "d", b"body", 4, None))
     other = warc._member(b"not a record")
@@ -76,6 +84,36 @@ def test_extraction_rules(spark, trees):
     assert extract.extract(df.limit(0), trees).count() == 0
 
 
+@pytest.mark.parametrize("page", ["<div" * 20_000, '<p a="' * 20_001 + ">", "<p a='>x" * 20_001, "<div>" * 20_000 + "<li>x" * 5_000 + "</p>" * 20_000, "<svg>" * 20_000, "<div " + "a" * 300_000 + "=>", "<svg></svg" * 20_000])
+def test_broken_markup_takes_time_in_proportion(trees, page):
+    start = time.time()
+    extract.main_text([page], trees)
+    assert time.time() - start < 2
+
+
+def test_decoding_equals_all_choices(trees):
+    """The decoder's value is the best of all choices in which no kept part lies in a dropped whole."""
+    rng = np.random.default_rng(2)
+    nodes = extract.nodes_of(extract.parse("<div>aa aaa<p>one two three</p><ul><li>x y</li><li>zzz zz</li></ul></div><p>four</p>"))
+    at = {id(x): i for i, x in enumerate(nodes)}
+    weight = np.log1p([x.own for x in nodes])
+
+    def best(i, score):
+        """Value and kept nodes of the best choice for a subtree."""
+        below = [best(at[id(c)], score) for c in nodes[i].children]
+        inside = [i, *(j for b in below for j in b[2])]
+        whole = sum(score[j] for j in inside)
+        apart = abs(score[i]) + sum(b[0] for b in below) - 0.5
+        if abs(whole) >= apart:
+            return abs(whole), set(inside) if whole > 0 else set(), inside
+        return apart, {i for _ in [0] if score[i] > 0}.union(*(b[1] for b in below)), inside
+
+    for _ in range(200):
+        logits = rng.normal(0, 2, len(nodes))
+        got = extract.decode(nodes, logits)
+        assert set(np.flatnonzero(got)) == best(0, np.clip(logits, -6, 6) * weight)[1]
+
+
 def test_decoding_never_keeps_a_part_of_a_dropped_whole(trees):
     nodes = extract.nodes_of(extract.parse("<div><p>one two three</p><p>four</p></div>"))
     assert list(extract.decode(nodes, np.array([-5.0, -5.0, 0.2, -4.0]))) == [False] * 4
