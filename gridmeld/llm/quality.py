@@ -18,7 +18,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from .common import shipped, written
 from .textbytes import BYTE_VALUES, LOWER, Powers, chunks, mix, span_hashes, word_spans
@@ -81,8 +80,7 @@ def features(data: np.ndarray, offsets: np.ndarray, context: np.ndarray, pw: Pow
     n = len(offsets) - 1
     rows, slots, shapes, words = _words(data, offsets, pw)
     count = np.bincount(rows, minlength=n)
-    table = np.concatenate([context, _index_vectors()], axis=1)
-    pooled = np.concatenate([_sums(rows, slots, table, n), _sums(rows, shapes, _index_vectors(), n)], axis=1) / np.maximum(count, 1)[:, None]
+    pooled = np.concatenate([_sums(rows, slots, context, n), _sums(rows, slots, _index_vectors(), n), _sums(rows, shapes, _index_vectors(), n)], axis=1) / np.maximum(count, 1)[:, None]
     same = np.r_[False, (words[1:] == words[:-1]) & (rows[1:] == rows[:-1])] if len(words) else np.zeros(0, bool)
     repeats = np.bincount(rows, weights=same, minlength=n) / np.maximum(count, 1)
     edge = np.searchsorted(rows, np.arange(n + 1))
@@ -150,16 +148,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     hash of the id, half of them from each label as far as there are as many. Every
     fifth row is held back to fit the temperature. Null when no row has a label.
 
-    The rows are chosen from the labels alone; only the chosen, a bounded number, go
-    to where the texts are.
+    The rows are chosen from the labels alone, repeated ones once; only the chosen, a
+    bounded number, go to where the texts are. Of rows that share an id one text is
+    taken, that with the smallest hash.
     """
     label = F.col(label_col).cast("int")
-    chosen = labels.where(label.isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), label.alias("y"), F.xxhash64(id_col).alias("h"))
-    first = lambda df: df.withColumn("turn", F.row_number().over(Window.partitionBy("y").orderBy("h", "id"))).where(F.col("turn") <= most_rows // 2)
-    chosen = written(first(chosen).drop("turn"), "quality_rows")
+    known = labels.where(label.isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), label.alias("y"), F.xxhash64(id_col).alias("h"))
+    first = lambda y: known.where(F.col("y") == y).distinct().orderBy("h", "id").limit(most_rows // 2)
+    chosen = written(first(0).unionByName(first(1)), "quality_rows")
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sample = written(first(texts.join(F.broadcast(chosen), "id")).drop("id").repartition(8, "h"), "quality_sample")
-    summed = sample.where("turn % 5 != 0").select("text").mapInArrow(_context_sums, "slot long, v array<double>")
+    sample = texts.join(F.broadcast(chosen), "id").groupBy("id", "y", "h").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    back = F.pmod(F.xxhash64("h", F.lit(1)), F.lit(5)) == 0
+    sample = written(sample.select("text", "y", "h", back.alias("back")).repartition(8, "h"), "quality_sample")
+    summed = sample.where("not back").select("text").mapInArrow(_context_sums, "slot long, v array<double>")
     summed = summed.groupBy("slot").agg(F.array(*[F.sum(F.get("v", F.lit(i))) for i in range(DIMENSIONS)]).alias("v")).toArrow()  # at most SLOTS rows
     context = np.zeros((SLOTS, DIMENSIONS), dtype=np.float32)
     if summed.num_rows:
@@ -172,12 +173,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for batch in batches:
             for a, b, data, offsets in chunks(batch.column(0)):
                 x = features(data, offsets, sent.value, pw)
-                yield pa.RecordBatch.from_arrays([batch.column(1)[a:b], batch.column(2)[a:b], batch.column(3)[a:b], pa.array(list(x), pa.list_(pa.float64()))], names=["y", "turn", "h", "x"])
+                yield pa.RecordBatch.from_arrays([batch.column(1)[a:b], batch.column(2)[a:b], batch.column(3)[a:b], pa.array(list(x), pa.list_(pa.float64()))], names=["y", "back", "h", "x"])
 
-    got = sample.select("text", "y", "turn", "h").mapInArrow(measure, "y int, turn int, h long, x array<double>").toArrow().to_pandas().sort_values(["h", "y", "turn"])
+    got = sample.select("text", "y", "back", "h").mapInArrow(measure, "y int, back boolean, h long, x array<double>").toArrow().to_pandas().sort_values(["h", "y"])
     if not len(got):
         return None
-    x, y, back = np.stack(got["x"].to_numpy()), got["y"].to_numpy().astype(float), (got["turn"] % 5 == 0).to_numpy()
+    x, y, back = np.stack(got["x"].to_numpy()), got["y"].to_numpy().astype(float), got["back"].to_numpy()
     if back.all() or not back.any():
         back = np.zeros(len(y), bool)
     model = _train(context, x, y, back, hidden, rounds)
