@@ -50,6 +50,14 @@ def shipped(spark: SparkSession, value: object) -> Callable[[], object]:
     return lambda: pickle.loads(sent.value)
 
 
+def fresh(columns: list[str]) -> str:
+    """A prefix for columns of our own that none of the given columns begins with."""
+    out = "_own_"
+    while any(c.lower().startswith(out) for c in columns):
+        out = f"_{out}"
+    return out
+
+
 def hash128(col: Column) -> list[Column]:
     """Two independent 64-bit hashes of a column; together a key that does not
     collide on corpora of any practical size."""

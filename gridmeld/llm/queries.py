@@ -26,7 +26,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("pii", lambda x: x["base"] & (x["kind"] == kind))).cast("long")
     base = listed(F.filter("pii", lambda x: x["base"]))
-    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in KINDS], F.sha2(base, 256).alias("base_sha256"), listed(F.col("pii")).alias("spans"))
+    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in KINDS], F.sha2(base, 256).alias("base_sha256"), listed(F.col("pii")).alias("spans"), F.size("pii").cast("long").alias("n_spans"))
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
