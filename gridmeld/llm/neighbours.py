@@ -24,7 +24,15 @@ from pyspark.sql.window import Window
 
 from .common import hash128, written
 
-CENTROIDS, SAMPLE, PROBES, BLOCK = 16, 4096, 64, 2048
+PROBES, BLOCK = 64, 2048
+#: Entries that a cell should hold on average, bounds of the centroids per half, and rows per centroid to fit them on.
+PER_CELL, LEAST, MOST, PER_CENTROID = 64, 4, 512, 64
+
+
+def centroids_for(entries: int) -> int:
+    """Centroids per half: their square is a 64th of the entries, so that cells keep their
+    size as the table grows, up to 512 (from 17 million entries on cells grow again)."""
+    return int(min(MOST, max(LEAST, round((entries / PER_CELL) ** 0.5))))
 
 
 def _matrix(lists: pa.Array, width: int) -> np.ndarray:
@@ -79,19 +87,23 @@ def _best(scores: np.ndarray, reps: np.ndarray, k: int) -> tuple[np.ndarray, np.
     return np.repeat(np.arange(len(scores)), top.shape[1]), order[top].ravel()
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = 0.98, centroids: int = CENTROIDS) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = 0.98, centroids: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of vectors found nearest by cosine
     to each row of queries, its own id left out, nearest first, ties to smaller ids.
 
     `recall` is the share of true neighbours that the walk is set to reach, measured
-    on a bounded sample of queries. Defined cases: vectors that are null, zero, of
+    on a bounded sample of queries; `centroids` per half follow the number of entries
+    (see centroids_for) unless given, and are fitted to 64 rows each, those with the
+    smallest hash of their id. Every entry is indexed. Defined cases: vectors that are null, zero, of
     another length than most, or that hold null or non-finite components take no
     part, neither do null ids; with fewer than k others all are returned; rows that
     repeat an id with an equal vector count once; extra columns aren't read; empty
     tables give no rows.
     """
     spark = vectors.sparkSession
-    v = F.col(vector_col).cast("array<double>")
+    short = dict(vectors.dtypes)[vector_col] == dict(queries.dtypes)[vector_col] == "array<float>"
+    v = F.col(vector_col).cast("array<float>" if short else "array<double>")  # floats stay as they are until they are counted with
+    kind = "array<float>" if short else "array<double>"
     valid = lambda df: (
         df.select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
         .where(F.col("id").isNotNull() & F.col("v").isNotNull())
@@ -107,10 +119,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
     base = base.where(F.size("v") == width).dropDuplicates(["h1", "h2", "id"])
     turn = F.row_number().over(Window.partitionBy("h1", "h2").orderBy("id"))
     few = base.withColumn("turn", turn).where(F.col("turn") <= k + 1)
-    entries = few.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.array_sort(F.collect_list("id")).alias("ids"), F.min_by("v", "id").alias("v"))
+    entries = written(few.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.array_sort(F.collect_list("id")).alias("ids"), F.min_by("v", "id").alias("v")), "entries")
+    centroids = centroids or centroids_for(entries.count())
 
     # two codebooks from a bounded sample, then every entry in its cell
-    rows = entries.select("v").orderBy(F.xxhash64("rep")).limit(SAMPLE).toArrow().column("v").combine_chunks()
+    rows = entries.select("v").orderBy(F.xxhash64("rep")).limit(PER_CENTROID * centroids).toArrow().column("v").combine_chunks()
     sample = _units(_matrix(rows, width))
     books = kmeans(sample[:, :cut], centroids), kmeans(sample[:, cut:], centroids)
 
@@ -125,10 +138,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
                 cell = a.argmin(1) * len(books[1]) + b.argmin(1)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int64))], names=["rep", "ids", "v", "cell"])
 
-    index = written(entries.select("rep", "ids", "v").mapInArrow(place, "rep long, ids array<long>, v array<double>, cell long"), "index")
+    index = written(entries.select("rep", "ids", "v").mapInArrow(place, f"rep long, ids array<long>, v {kind}, cell long"), "index")
     sizes = np.zeros(len(books[0]) * len(books[1]), dtype=np.int64)
-    for r in index.groupBy("cell").count().collect():  # at most centroids squared rows
-        sizes[r["cell"]] = r["count"]
+    counts = written(index.groupBy("cell").count(), "cells")  # at most MOST squared rows
+    got = counts.toArrow()
+    sizes[got.column("cell").to_numpy()] = got.column("count").to_numpy()
 
     asked = valid(queries).where(F.size("v") == width).select(F.col("id").alias("query_id"), "v", h[0].alias("q1"), h[1].alias("q2")).dropDuplicates(["q1", "q2", "query_id"])
     asked = written(asked, "asked")
@@ -182,12 +196,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
                 rows = pa.array(at[s : s + 20_000])
                 yield pa.RecordBatch.from_arrays([pa.array(to[s : s + 20_000]), batch.column(0).take(rows), batch.column(1).take(rows)], names=["cell", "q", "v"])
 
-    # entries and queries of a cell meet in blocks of bounded size
-    blocks = F.greatest(F.ceil(F.element_at(F.lit((sizes / BLOCK).tolist()), (F.col("cell") + 1).cast("int"))), F.lit(1))
-    left = index.groupBy("cell", F.pmod(F.xxhash64("rep"), blocks).alias("block")).agg(F.collect_list(F.struct("rep", "ids", "v")).alias("entries"))
-    probes = kinds.select("q", "v").mapInArrow(cells, "cell long, q long, v array<double>")
-    many = max(1, asked.count() // 512)
-    right = probes.groupBy("cell", F.pmod(F.xxhash64("q"), F.lit(many)).alias("turn")).agg(F.collect_list(F.struct("q", "v")).alias("asked"))
+    # entries and queries of a cell meet in blocks of bounded size, each pair of blocks on its own
+    big = counts.where(F.col("count") > BLOCK).select("cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    blocks = F.coalesce("blocks", F.lit(1))
+    left = index.join(F.broadcast(big), "cell", "left").groupBy("cell", F.pmod(F.xxhash64("rep"), blocks).alias("block")).agg(F.collect_list(F.struct("rep", "ids", "v")).alias("entries"))
+    n = asked.count()
+    probes = kinds.select("q", "v").repartition(max(spark.sparkContext.defaultParallelism, n // 256), "q").mapInArrow(cells, f"cell long, q long, v {kind}")
+    right = probes.groupBy("cell", F.pmod(F.xxhash64("q"), F.lit(max(1, n // 512))).alias("turn")).agg(F.collect_list(F.struct("q", "v")).alias("asked"))
+    right = right.join(F.broadcast(big), "cell", "left").select("cell", "asked", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"))
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,7 +214,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
                 r, c = _best(s, e.field("rep").to_numpy(), k + 1)
                 yield pa.RecordBatch.from_arrays([q.field("q").take(pa.array(r)), e.field("ids").take(pa.array(c)), pa.array(s[r, c])], names=["q", "ids", "score"])
 
-    found = left.join(right, "cell").select("entries", "asked").mapInArrow(rank, "q long, ids array<long>, score double")
+    # both sides grow with the table, which a size estimate from before the walk doesn't show
+    found = left.hint("merge").join(right, ["cell", "block"]).select("entries", "asked").mapInArrow(rank, "q long, ids array<long>, score double")
     best = found.select("q", F.explode("ids").alias("vec_id"), "score")
     best = best.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= k + 1)
     each = asked.select("query_id", "q1", "q2").join(kinds.select("q1", "q2", "q"), ["q1", "q2"]).select("query_id", "q")

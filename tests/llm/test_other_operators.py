@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from gridmeld.llm import boosting, extract, textbytes, warc
 from gridmeld.llm.components import connected_components
-from gridmeld.llm.neighbours import nearest, walk
+from gridmeld.llm.neighbours import centroids_for, nearest, walk
 
 
 def test_warc_round_trip(spark, tmp_path):
@@ -147,6 +147,23 @@ def test_neighbours_reach_the_recall(spark):
     assert nearest(df.limit(0), df.limit(0)).count() == nearest(df, df.limit(0)).count() == 0
 
 
+def test_neighbours_of_clustered_and_double_vectors(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(40, 24))
+    x = centres[rng.integers(0, 40, 4000)] + 0.2 * rng.normal(size=(4000, 24))
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(4000)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in nearest(df, df.where("vec_id % 50 == 0")).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = sum(len(got[q] & set(np.argsort(-np.where(np.arange(4000) == q, -9, unit @ unit[q]))[:5].tolist())) for q in range(0, 4000, 50))
+    assert hits >= 0.95 * 400
+
+
+def test_centroids_follow_the_entries():
+    assert [centroids_for(n) for n in (0, 6400, 640_000, 10**9)] == [4, 10, 100, 512]
+
+
 def test_cells_are_walked_in_order():
     a, b = np.array([3.0, 1.0, 2.0]), np.array([0.5, 4.0])
     cells = list(walk(a, b))
