@@ -172,8 +172,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     star = written(star, "star")
     sets = written(shingle_sets(slim, alive.select(F.col("rep").alias("id")), words), "sets")
-    links = written(confirmed(star, sets, percent), "links")
-    labels = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    pairs_of = lambda df: df.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    joined = lambda labels, more: connected_components(labels.where("node != component").select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(pairs_of(more)))  # noqa: E731  components so far are stars already
+    labels = connected_components(pairs_of(confirmed(star, sets, percent)))
 
     bits = sets.select(F.col("id").alias("rep"), "bits")
     near_enough = lambda d, m, n: d * (100 + percent) <= (m + n) * (100 - percent)  # noqa: E731  that many members may differ
@@ -190,8 +191,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             .where("best.near")
             .select(F.col("rep").alias("a"), F.col("best.b").alias("b"))
         )
-        links = written(links.unionByName(confirmed(near, sets, percent)), "links")
-        labels = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        labels = joined(labels, confirmed(near, sets, percent))
 
     # what is still apart, each pair once: in the first key of the first collection that both have
     side = _apart(alive, labels, bits)
@@ -206,8 +206,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         & F.arrays_overlap("x.second", "y.second")
         & (F.array_min(F.array_intersect("x.first", "y.first")) == F.col("x.key")),
     ).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-    more = confirmed(written(pairs, "pairs"), sets, percent)
-    labels = connected_components(links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    labels = joined(labels, confirmed(written(pairs, "pairs"), sets, percent))
 
     of_class = reps.join(labels, F.col("rep") == F.col("node"), "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component"))
     named = sig.select("id", "n", "d1", "d2").join(of_class, ["n", "d1", "d2"], "left")
