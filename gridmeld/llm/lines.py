@@ -10,9 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, ascii_lower, hash128
-
-_TMP = "__gridmeld_"
+from .common import SPACES, ascii_lower, fresh, hash128
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
@@ -31,7 +29,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n_lines and n_dropped replace columns of these names. An empty table gives an
     empty table.
     """
-    t = _TMP
+    t = fresh(docs.columns)
     base = docs.drop("n_lines", "n_dropped").withColumn(text_col, F.coalesce(F.col(text_col), F.lit("")))
     row_hash = hash128(F.col(text_col))
     key = F.btrim(F.col(f"{t}line"), F.lit(SPACES))
