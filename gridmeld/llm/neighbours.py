@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 
 from .common import hash128, written
 
-PROBES, BLOCK = 64, 2048
+PROBES, BLOCK = 64, 8192
 #: Entries that a cell should hold on average, bounds of the centroids per half, and rows per centroid to fit them on.
 PER_CELL, LEAST, MOST, PER_CENTROID = 64, 4, 512, 64
 
@@ -177,45 +177,68 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
     enough = int(np.quantile(need, recall)) if need else int(sizes.sum())
     enough = max(enough, k + 1)
 
+    wide = len(books[1])
+
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each query's cells by the first half's centroid, which is the index's row."""
         for batch in batches:
             if not batch.num_rows:
                 continue
             a, b = halves(_matrix(batch.column(1), width))
-            at, to = [], []
+            at, row, to = [], [], []
             for i in range(batch.num_rows):
-                passed = 0
+                passed, mine = 0, {}
                 for cell in walk(a[i], b[i]):
                     if sizes[cell]:
-                        at.append(i)
-                        to.append(cell)
+                        mine.setdefault(cell // wide, []).append(cell % wide)
                         passed += sizes[cell]
                     if passed >= enough:
                         break
+                at += [i] * len(mine)
+                row += mine
+                to += mine.values()
             for s in range(0, len(at), 20_000):
                 rows = pa.array(at[s : s + 20_000])
-                yield pa.RecordBatch.from_arrays([pa.array(to[s : s + 20_000]), batch.column(0).take(rows), batch.column(1).take(rows)], names=["cell", "q", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(row[s : s + 20_000], pa.int64()), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(to[s : s + 20_000], pa.list_(pa.int32()))], names=["row", "q", "v", "cells"])
 
-    # entries and queries of a cell meet in blocks of bounded size, each pair of blocks on its own
-    big = counts.where(F.col("count") > BLOCK).select("cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    # entries and queries of a row of cells meet in blocks of bounded size, each pair of blocks on its own
+    big = counts.groupBy(F.floor(F.col("cell") / wide).alias("row")).agg(F.sum("count").alias("n")).where(F.col("n") > BLOCK).select("row", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     blocks = F.coalesce("blocks", F.lit(1))
-    left = index.join(F.broadcast(big), "cell", "left").groupBy("cell", F.pmod(F.xxhash64("rep"), blocks).alias("block")).agg(F.collect_list(F.struct("rep", "ids", "v")).alias("entries"))
+    left = index.withColumn("row", F.floor(F.col("cell") / wide)).join(F.broadcast(big), "row", "left").groupBy("row", F.pmod(F.xxhash64("rep"), blocks).alias("block"))
+    left = left.agg(F.collect_list(F.struct("rep", "ids", "v", (F.col("cell") % wide).cast("int").alias("cell"))).alias("entries"))
     n = asked.count()
-    probes = kinds.select("q", "v").repartition(max(spark.sparkContext.defaultParallelism, n // 256), "q").mapInArrow(cells, f"cell long, q long, v {kind}")
-    right = probes.groupBy("cell", F.pmod(F.xxhash64("q"), F.lit(max(1, n // 512))).alias("turn")).agg(F.collect_list(F.struct("q", "v")).alias("asked"))
-    right = right.join(F.broadcast(big), "cell", "left").select("cell", "asked", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"))
+    probes = kinds.select("q", "v").repartition(max(spark.sparkContext.defaultParallelism, n // 256), "q").mapInArrow(cells, f"row long, q long, v {kind}, cells array<int>")
+    right = probes.groupBy("row", F.pmod(F.xxhash64("q"), F.lit(max(1, n // 512))).alias("turn")).agg(F.collect_list(F.struct("q", "v", "cells")).alias("asked"))
+    right = right.join(F.broadcast(big), "row", "left").select("row", "asked", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"))
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each query's best entries of a row's block: cell by cell, then over all of them."""
         for batch in batches:
             for entry, ask in zip(batch.column(0), batch.column(1)):
                 e, q = entry.values, ask.values
-                ev, qv = _matrix(e.field("v"), width), _matrix(q.field("v"), width)
-                s = qv @ ev.T / np.linalg.norm(qv, axis=1)[:, None] / np.linalg.norm(ev, axis=1)[None, :]
-                r, c = _best(s, e.field("rep").to_numpy(), k + 1)
-                yield pa.RecordBatch.from_arrays([q.field("q").take(pa.array(r)), e.field("ids").take(pa.array(c)), pa.array(s[r, c])], names=["q", "ids", "score"])
+                ev, qv, reps = _units(_matrix(e.field("v"), width)), _units(_matrix(q.field("v"), width)), e.field("rep").to_numpy()
+                order = np.argsort(e.field("cell").to_numpy(), kind="stable")
+                ends = np.searchsorted(e.field("cell").to_numpy()[order], np.arange(wide + 1))
+                lists = q.field("cells")
+                asks = np.repeat(np.arange(len(q)), np.diff(lists.offsets.to_numpy()))
+                of = lists.flatten().to_numpy()
+                by = np.argsort(of, kind="stable")
+                parts = []
+                for group in np.split(by, np.flatnonzero(np.diff(of[by])) + 1) if len(by) else []:
+                    mine, who = order[ends[of[group[0]]] : ends[of[group[0]] + 1]], asks[group]
+                    if len(mine):
+                        s = qv[who] @ ev[mine].T
+                        r, c = _best(s, reps[mine], k + 1)
+                        parts.append((who[r], mine[c], s[r, c]))
+                if parts:
+                    r, c, s = (np.concatenate(x) for x in zip(*parts))
+                    top = np.lexsort((reps[c], -s, r))
+                    r, c, s = r[top], c[top], s[top]
+                    best = np.arange(len(r)) - np.searchsorted(r, r) <= k
+                    yield pa.RecordBatch.from_arrays([q.field("q").take(pa.array(r[best])), e.field("ids").take(pa.array(c[best])), pa.array(s[best])], names=["q", "ids", "score"])
 
     # both sides grow with the table, which a size estimate from before the walk doesn't show
-    found = left.hint("merge").join(right, ["cell", "block"]).select("entries", "asked").mapInArrow(rank, "q long, ids array<long>, score double")
+    found = left.hint("merge").join(right, ["row", "block"]).select("entries", "asked").mapInArrow(rank, "q long, ids array<long>, score double")
     best = found.select("q", F.explode("ids").alias("vec_id"), "score")
     best = best.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= k + 1)
     each = asked.select("query_id", "q1", "q2").join(kinds.select("q1", "q2", "q"), ["q1", "q2"]).select("query_id", "q")
