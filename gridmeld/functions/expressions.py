@@ -85,15 +85,42 @@ def one_hot(value: Column, categories: list) -> Column:
     return F.array(*[F.coalesce((value == F.lit(c)).cast("int"), F.lit(0)) for c in categories])
 
 
-def edges(start: float, stop: float, parts: int) -> Column:
+def edge_list(start: float, stop: float, parts: int) -> list[int]:
     """parts + 1 evenly spaced edges as integers, rounded half to even."""
-    return F.transform(F.sequence(F.lit(0), F.lit(parts)), lambda i: F.bround(F.lit(float(start)) + i * F.lit(float(stop) - float(start)) / F.lit(float(parts)), 0).cast("int"))
+    return [round(float(start) + i * (float(stop) - float(start)) / float(parts)) for i in range(parts + 1)]
+
+
+def edges(start: float, stop: float, parts: int) -> Column:
+    """edge_list() as an array."""
+    return F.lit(edge_list(start, stop, parts))
+
+
+def edges_below(value: Column, cuts: list, strict: bool = False) -> Column:
+    """How many of the sorted edges lie at or below a value (strictly below with strict),
+    by halving; null for null."""
+    def half(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        right = value > F.lit(cuts[mid]) if strict else value >= F.lit(cuts[mid])
+        return F.when(right, half(mid + 1, hi)).otherwise(half(lo, mid))
 
+    return F.when(value.isNotNull(), half(0, len(cuts)))
 
-def bucket(value: Column, edge_array: Column) -> Column:
+
+def bucket(value: Column, edges: list) -> Column:
     """The last edge's number at or below a value (0-based), null outside of all edges."""
-    at = F.size(F.filter(edge_array, lambda e: e <= value)) - 1
-    return F.when((at >= 0) & (value < F.element_at(edge_array, -1)), at)
+    return F.when((value >= edges[0]) & (value < edges[-1]), edges_below(value, edges) - 1)
+
+
+def label_of(code: Column, labels: dict) -> Column:
+    """The label of a code, null for codes without one."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in labels.items() for x in kv]), code)
+
+
+def code_of(label: Column, labels: dict) -> Column:
+    """The code of a label, null for labels without one."""
+    return label_of(label, {v: k for k, v in labels.items()})
 
 
 def sigmoid(x: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridmeld.functions.expressions import apportion, bucket, edges, euclidean, finite, gaussian_2d, lut_index
+from gridmeld.functions.expressions import apportion, bucket, edge_list, euclidean, finite, gaussian_2d, log_shift, lut_index
 from gridmeld.operators.metrics import min_max
 
 
@@ -49,40 +49,48 @@ def cut(df: DataFrame, y0: int, x0: int, height: int, width: int) -> DataFrame:
     return df.where(inside).withColumns({"y": F.col("y") - y0, "x": F.col("x") - x0})
 
 
-def embed(df: DataFrame, height: int, width: int, dy: int, dx: int, fill: float | None = None, value: str = "value") -> DataFrame:
-    """A grid of the given size with df at an offset; other cells hold fill."""
-    moved = df.select((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x"), value)
-    out = full_grid(df.sparkSession, height, width).join(moved, ["y", "x"], "left")
-    return out.select("y", "x", F.coalesce(value, F.lit(fill)).alias(value)) if fill is not None else out
+def embed(df: DataFrame, height: int, width: int, dy: int, dx: int, fill: float | None = None, value: str = "value", keys: Sequence[str] = ()) -> DataFrame:
+    """A grid of the given size per map with df at an offset; other cells hold fill."""
+    k = list(keys)
+    moved = df.select(*k, (F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x"), value)
+    cells = full_grid(df.sparkSession, height, width)
+    if k:
+        cells = df.select(*k).distinct().crossJoin(F.broadcast(cells))  # the grid's size is a parameter
+    out = cells.join(moved, [*k, "y", "x"], "left")
+    return out.select(*k, "y", "x", F.coalesce(value, F.lit(fill)).alias(value)) if fill is not None else out
 
 
-def to_dense(df: DataFrame, height: int, width: int, value: str = "value") -> DataFrame:
-    """All cells, null where df has none."""
-    return embed(df, height, width, 0, 0, None, value)
+def to_dense(df: DataFrame, height: int, width: int, value: str = "value", keys: Sequence[str] = ()) -> DataFrame:
+    """All cells of each map, null where df has none."""
+    return embed(df, height, width, 0, 0, None, value, keys)
 
 
-def masked(df: DataFrame, mask: DataFrame) -> DataFrame:
-    """The cells that the mask has."""
-    return df.join(mask.select("y", "x"), ["y", "x"], "left_semi")
+def masked(df: DataFrame, mask: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """The cells that the mask has, each map's own where the mask has the keys."""
+    on = ["y", "x", *[c for c in keys if c in mask.columns]]
+    return df.join(mask.select(*on), on, "left_semi")
 
 
 def offset_errors(raw: DataFrame, target: DataFrame, most_dy: int, most_dx: int, keys: Sequence[str] = (), complete_only: bool = True) -> DataFrame:
     """(keys, dy, dx, n_valid, diff): the mean absolute difference of the target and the
-    min-max scaled patch of raw under it, for every offset up to the given ones.
+    min-max scaled patch of raw under it, for every offset up to the given ones. The
+    target may be one for all maps or have keys itself; with complete_only an offset
+    counts only if each cell of its target has a value under it.
 
     Each target cell meets its raw cell by an equal join per offset; the patch's range
     and the differences are two aggregates over (keys, offset) with partial sums.
     """
     spark, k = raw.sparkSession, list(keys)
+    own = [c for c in k if c in target.columns]
     offsets = full_grid(spark, most_dy + 1, most_dx + 1).select(F.col("y").alias("dy"), F.col("x").alias("dx"))
-    want = target.crossJoin(F.broadcast(offsets)).select(*[F.col(c) for c in k if c in target.columns], "dy", "dx", (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"), F.col("value").alias("want"))
-    on = ["y", "x", *[c for c in k if c in target.columns]]
-    cells = want.join(present(raw).select(*k, "y", "x", "value"), on)
+    want = target.crossJoin(F.broadcast(offsets)).select(*own, "dy", "dx", (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"), F.col("value").alias("want"))
+    cells = want.join(present(raw).select(*k, "y", "x", "value"), ["y", "x", *own])
     span = cells.groupBy(*k, "dy", "dx").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("*").alias("n_valid"))
     scaled = F.coalesce(F.try_divide(F.col("value") - F.col("lo"), F.col("hi") - F.col("lo")), F.col("value"))
     out = cells.join(span, [*k, "dy", "dx"]).groupBy(*k, "dy", "dx", "n_valid").agg(F.avg(F.abs(scaled - F.col("want"))).alias("diff"))
     if complete_only:
-        out = out.crossJoin(F.broadcast(target.agg(F.count("*").alias("__n")))).where("n_valid = __n").drop("__n")
+        sizes = target.groupBy(*own).agg(F.count("*").alias("__n"))
+        out = (out.join(sizes, own) if own else out.crossJoin(F.broadcast(sizes))).where("n_valid = __n").drop("__n")
     return out
 
 
@@ -91,37 +99,76 @@ def best_offset(errors: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return errors.groupBy(*keys).agg(F.min(F.struct("diff", "dy", "dx")).alias("b")).select(*keys, "b.dy", "b.dx", "b.diff")
 
 
-def patch_at(raw: DataFrame, mask: DataFrame, offset: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """The cells of raw under the mask moved by the offset (one row per group), with
-    mask coordinates, and their min-max scaled value."""
-    moved = raw.join(offset, list(keys)) if keys else raw.crossJoin(F.broadcast(offset))
-    moved = moved.withColumns({"y": F.col("y") - F.col("dy"), "x": F.col("x") - F.col("dx")})
-    return min_max(masked(moved, mask), "value", keys)
+def patch_at(raw: DataFrame, mask: DataFrame, offset: DataFrame, keys: Sequence[str] = (), value: str | None = "value") -> DataFrame:
+    """The cells of raw under the mask moved by the offset (one row per map, or one for
+    all), with mask coordinates, and their min-max scaled value."""
+    own = [c for c in keys if c in raw.columns and c in offset.columns]
+    moved = raw.join(offset, own) if own else raw.crossJoin(F.broadcast(offset))  # one row per map
+    moved = masked(moved.withColumns({"y": F.col("y") - F.col("dy"), "x": F.col("x") - F.col("dx")}), mask, keys)
+    return min_max(moved, value, [c for c in keys if c in moved.columns]) if value else moved
+
+
+def align_fields(raw: DataFrame, target: DataFrame, followers: dict[str, DataFrame], composition: DataFrame, most_dy: int, most_dx: int, width: int, raw_width: int, keys: Sequence[str] = (), complete_only: bool = True) -> DataFrame:
+    """The whole alignment job: the best offset of the target inside raw, per map; at that
+    offset the scaled patch of raw (`scaled`) and of each follower (a column of its
+    name), and the columns of the composition table, which has keys or is one for all.
+
+    Returns (keys, local_index, global_index, y, x, dy, dx, scaled, followers, composition):
+    a row per target cell that raw has a value for.
+    """
+    k = list(keys)
+    best = best_offset(offset_errors(raw, target, most_dy, most_dx, k, complete_only), k).select(*k, "dy", "dx")
+    out = patch_at(present(raw), target, best, k).select(*k, "y", "x", "dy", "dx", "scaled")
+    for name, df in followers.items():
+        other = patch_at(present(df), target, best, k).select(*k, "y", "x", F.col("scaled").alias(name))
+        out = out.join(other, [*k, "y", "x"], "left")
+    columns = [c for c in composition.columns if c not in ("y", "x", *k)]
+    rows = patch_at(composition, target, best, k, None).select(*k, "y", "x", *columns)
+    out = out.join(rows, [*k, "y", "x"], "left")
+    local, world = flatten_index(F.col("y"), F.col("x"), width), flatten_index(F.col("y") + F.col("dy"), F.col("x") + F.col("dx"), raw_width)
+    return out.select(*k, local.alias("local_index"), world.alias("global_index"), "y", "x", "dy", "dx", "scaled", *followers, *columns)
 
 
 def nearest_code(df: DataFrame, codes: DataFrame, vector: str, code_vector: str = "code", code_id: str = "idx") -> DataFrame:
-    """Adds idx and dist: the nearest codeword, ties to the smaller idx.
+    """Adds idx and dist: the nearest codeword, ties (to nine digits) to the smaller idx.
 
     The codebook is a stated, small set; each row is compared with all of it in one
     expression, so nothing is blown up or shuffled.
     """
     book = codes.agg(F.array_sort(F.collect_list(F.struct(F.col(code_id).alias("i"), F.col(code_vector).alias("c")))).alias("__book"))
-    best = F.array_min(F.transform("__book", lambda e: F.struct(euclidean(F.col(vector), e["c"]).alias("d"), e["i"].alias("i"))))
+    best = F.array_min(F.transform("__book", lambda e: F.struct(F.round(euclidean(F.col(vector), e["c"]), 9).alias("r"), e["i"].alias("i"), euclidean(F.col(vector), e["c"]).alias("d"))))
     return df.crossJoin(F.broadcast(book)).withColumn("__best", best).drop("__book").withColumns({"idx": F.col("__best.i"), "dist": F.col("__best.d")}).drop("__best")
 
 
-def tile_means(pixels: DataFrame, tiles_y: int, tiles_x: int, extent_y: tuple[float, float], extent_x: tuple[float, float], channels: Sequence[str], scale: float = 255.0) -> DataFrame:
-    """(y, x, channels): means of the pixels between evenly spaced integer edges."""
-    ey, ex = edges(*extent_y, tiles_y), edges(*extent_x, tiles_x)
-    at = pixels.withColumns({"__ty": bucket(F.col("y"), ey), "__tx": bucket(F.col("x"), ex)}).where("__ty is not null and __tx is not null")
-    return at.groupBy(F.col("__ty").alias("y"), F.col("__tx").alias("x")).agg(*[(F.avg(c) / scale).alias(c) for c in channels])
+def tile_means(pixels: DataFrame, tiles_y: int, tiles_x: int, extent_y: tuple[float, float], extent_x: tuple[float, float], channels: Sequence[str], scale: float = 255.0, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, y, x, channels): means of the pixels between evenly spaced integer edges.
+    The edges follow from the parameters, so they are constants in the plan."""
+    at = pixels.withColumns({"__ty": bucket(F.col("y"), edge_list(*extent_y, tiles_y)), "__tx": bucket(F.col("x"), edge_list(*extent_x, tiles_x))}).where("__ty is not null and __tx is not null")
+    return at.groupBy(*keys, F.col("__ty").alias("y"), F.col("__tx").alias("x")).agg(*[(F.avg(c) / scale).alias(c) for c in channels])
+
+
+def activity_field(pixels: DataFrame, palette: DataFrame, tiles_y: int, tiles_x: int, extent_y: tuple[float, float], extent_x: tuple[float, float], channels: Sequence[str] = ("r", "g", "b", "a"), bright: float = 0.92, border: int = 49, keys: Sequence[str] = ()) -> DataFrame:
+    """The whole job from pixels to a map: tile means, background dropped, colours turned
+    into the values of the nearest palette entry (idx, value, code), ln(v - min + 1),
+    scaled to 0..1, upside down, on the dense grid (keys, y, x, value; null: absent)."""
+    k = list(keys)
+    tiles = background(tile_means(pixels, tiles_y, tiles_x, extent_y, extent_x, channels, keys=k), channels, bright, border)
+    found = nearest_code(tiles.withColumn("__c", F.array(*channels)), palette, "__c").select(*k, "y", "x", "idx")
+    found = found.join(palette.select("idx", "value"), "idx").select(*k, "y", "x", "value")
+    low = found.groupBy(*k).agg(F.min("value").alias("__low"))
+    found = (found.join(low, k) if k else found.crossJoin(F.broadcast(low))).withColumn("value", log_shift(F.col("value"), F.col("__low")))
+    scaled = min_max(found, "value", k).select(*k, "y", "x", F.col("scaled").alias("value"))
+    return to_dense(flip(scaled, tiles_y), tiles_y, tiles_x, keys=k)
 
 
-def mixture(cells: DataFrame, centres: DataFrame) -> DataFrame:
-    """(y, x, element, value): the sum of each element's Gaussian bumps at each cell."""
-    each = cells.crossJoin(F.broadcast(centres))
-    bump = gaussian_2d(F.col("x"), F.col("y"), F.col("mux"), F.col("muy"), F.col("sigma"))
-    return each.groupBy("y", "x", "element").agg(F.sum(bump).alias("value"))
+def mixture(cells: DataFrame, centres: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, y, x, element, value): the sum of each element's Gaussian bumps at each cell.
+    Cells come once each. The centres are a stated, small set, gathered in one row, so no cell meets them by a
+    join of rows."""
+    bumps = centres.groupBy("element").agg(F.array_sort(F.collect_list(F.struct("mux", "muy", "sigma"))).alias("__c"))
+    each = cells.crossJoin(F.broadcast(bumps))
+    one = lambda c: gaussian_2d(F.col("x"), F.col("y"), c["mux"], c["muy"], c["sigma"])
+    return each.select(*keys, "y", "x", "element", F.aggregate("__c", F.lit(0.0), lambda s, c: s + one(c)).alias("value"))
 
 
 def masked_rmse(pairs: DataFrame, centre_y: int, centre_x: int, keys: Sequence[str] = ()) -> DataFrame:
@@ -133,7 +180,7 @@ def masked_rmse(pairs: DataFrame, centre_y: int, centre_x: int, keys: Sequence[s
 def step_lookup(df: DataFrame, lut: DataFrame, value: str, keys: Sequence[str] = ("element",)) -> DataFrame:
     """Replaces a value of 0 to 1 by the step table's entry for it."""
     table = lut.select(*keys, F.col("idx").alias("__i"), F.col("v").alias("__v"))
-    return df.withColumn("__i", lut_index(F.col(value))).join(F.broadcast(table), [*keys, "__i"]).withColumn(value, F.col("__v")).drop("__i", "__v")
+    return df.withColumn("__i", lut_index(F.col(value))).join(table, [*keys, "__i"]).withColumn(value, F.col("__v")).drop("__i", "__v")
 
 
 def shares(df: DataFrame, cell: Sequence[str], value: str = "value") -> DataFrame:
@@ -142,9 +189,9 @@ def shares(df: DataFrame, cell: Sequence[str], value: str = "value") -> DataFram
     return df.withColumn("share", F.col(value) / F.when(total == 0, 1.0).otherwise(total))
 
 
-def composition(shares_long: DataFrame, elements: Sequence[str], parts: int = 512) -> DataFrame:
-    """(y, x, one column per element): whole parts of each share over all parts, the
+def composition(shares_long: DataFrame, elements: Sequence[str], parts: int = 512, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, y, x, one column per element): whole parts of each share over all parts, the
     last element taking what rounding leaves."""
-    wide = shares_long.groupBy("y", "x").pivot("element", list(elements)).agg(F.first("share"))
+    wide = shares_long.groupBy(*keys, "y", "x").pivot("element", list(elements)).agg(F.first("share"))
     counts = apportion([F.coalesce(F.col(e), F.lit(0.0)) for e in elements], parts)
-    return wide.select("y", "x", *[(c / F.lit(float(parts))).alias(e) for e, c in zip(elements, counts)])
+    return wide.select(*keys, "y", "x", *[(c / F.lit(float(parts))).alias(e) for e, c in zip(elements, counts)])

@@ -1,71 +1,117 @@
 """Ranks, top-k and rank correlation without a single-partition sort.
 
-A global rank is worked out in two phases: rows are dealt to ranges of the value by
-sampled edges, ranked within each, and shifted by the counts of the ranges before.
-Equal values share a range, so any edges give right ranks.
+A rank is worked out in two phases: rows are dealt to ranges of the value by sampled
+edges, ranked within each (keys, range), and shifted by the counts of the ranges before.
+Any edges give right ranks. A value that fills ranges by itself, and null, is a range of
+its own, which is split by the column that orders ties.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-
-def _edges(df: DataFrame, value: str, buckets: int) -> list[float]:
-    """Sampled range edges; every use of them gives the same ranks."""
-    cuts = df.approxQuantile(value, [i / buckets for i in range(1, buckets)], 0.01)
-    return sorted(set(cuts))
-
-
-def _range_of(value: Column, cuts: list[float]) -> Column:
-    """The number of the range a value lies in, found in the sorted edges."""
-    if not cuts:
-        return F.lit(0)
-    return F.aggregate(F.lit(cuts), F.lit(0), lambda n, c: n + (value > c).cast("int"))
-
-
-def with_rank(df: DataFrame, value: str, name: str = "rank", keys: Sequence[str] = (), method: str = "average", tie: str = "id", descending: bool = False, buckets: int = 64) -> DataFrame:
-    """Adds a 1-based rank: `average` (ties share their mean rank), `ordinal` (ties in
-    order of the column tie), `min`, or `dense`.
-
-    With keys each group is ranked by itself; groups are windows, except that none are
-    split, so a single very large group is better ranked without keys.
+from gridmeld.functions.expressions import edges_below
+from gridmeld.sources.scratch import written
+
+#: Rows that a range should hold, and the most ranges. With more rows ranges grow.
+PER_RANGE, MOST_RANGES = 250_000, 256
+#: Values of y that Kendall's running sums take in one task.
+CHUNK_BITS = 16
+
+
+def range_cuts(df: DataFrame, columns: Sequence[str], buckets: int | None = None) -> list[list]:
+    """Edges of the ranges of each column and, as the last item, the number of rows, from
+    one aggregate. Their number follows the number of rows unless given."""
+    probs = [i / MOST_RANGES for i in range(1, MOST_RANGES)]
+    row = df.agg(F.count("*"), *[F.percentile_approx(c, probs, 10_000) for c in columns]).first()
+    n = buckets or min(MOST_RANGES, row[0] // PER_RANGE + 1)
+    at = sorted({round(i * MOST_RANGES / n) - 1 for i in range(1, n)} - {-1})
+    return [*[[q[i] for i in at if q[i] == q[i]] if q else [] for q in row[1:]], row[0]]
+
+
+def _ranged(df: DataFrame, value: str, tie: str, cuts: list, tie_cuts: list) -> DataFrame:
+    """Adds __b, the range (odd and the last: rows of one value), and __s, its part."""
+    single = sorted({c for c, d in zip(cuts, cuts[1:]) if c == d})
+    edges = sorted(set(cuts))
+    v, last = F.col(value), 2 * len(edges) + 2
+    inner = 2 * edges_below(v, edges, strict=True)
+    if single:
+        inner = inner + v.isin(single).cast("int")
+    out = df.withColumn("__b", F.when(v.isNull(), F.lit(last)).otherwise(inner))
+    part = F.coalesce(edges_below(F.col(tie), sorted(set(tie_cuts)), strict=True), F.lit(-1)) if tie_cuts else F.lit(0)
+    return out.withColumn("__one", (F.col("__b") % 2 == 1) | (F.col("__b") == last)).withColumn("__s", F.when(F.col("__one"), part).otherwise(F.lit(0)))
+
+
+def with_ranks(df: DataFrame, value: str, names: Mapping[str, tuple[str, bool]], keys: Sequence[str] = (), tie: str = "id", buckets: int | None = None, cuts: tuple[list, list] | None = None) -> DataFrame:
+    """Adds several 1-based ranks of one column at once: name -> (method, descending) with
+    the methods `average` (ties share their mean rank), `ordinal` (ties in order of the
+    column tie), `min`, `dense`, and `size` (the rows of the group).
+
+    Nulls come last in either direction, as equals; NaN is greater than every number.
+    All ranks come from one sort. df is read three times (edges, counts, rows), so an
+    expensive one should be a written table. `cuts` spares the first of these.
     """
-    work = df.withColumn("__v", -F.col(value) if descending else F.col(value))
-    if keys:
-        part = [F.col(k) for k in keys]
-    else:
-        work = work.withColumn("__b", _range_of(F.col("__v"), _edges(work, "__v", buckets)))
-        part = [F.col("__b")]
-    by_value = Window.partitionBy(*part).orderBy("__v")
-    same = Window.partitionBy(*part, "__v")
-    if method == "ordinal":
-        local = F.row_number().over(Window.partitionBy(*part).orderBy("__v", tie))
-    elif method == "dense":
-        local = F.dense_rank().over(by_value)
-    elif method == "min":
-        local = F.rank().over(by_value)
-    else:
-        local = F.rank().over(by_value) + (F.count("*").over(same) - 1) / 2.0
-    work = work.withColumn("__r", local)
-    if keys:
-        return work.withColumn(name, F.col("__r")).drop("__v", "__r")
-    size = F.count_distinct("__v") if method == "dense" else F.count("*")
-    counts = work.groupBy("__b").agg(size.alias("__n"))
-    before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
-    base = counts.select("__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
-    return work.join(F.broadcast(base), "__b").withColumn(name, F.col("__r") + F.col("__base")).drop("__v", "__r", "__b", "__base")
-
-
-def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "id", buckets: int = 64) -> DataFrame:
-    """Adds the 0-based position of each row within its keys, in order. The first order
-    column must be numeric: its ranges split the keys' groups, so that a few large ones
-    spread over tasks."""
+    k, dense = list(keys), any(m == "dense" for m, _ in names.values())
+    cuts = cuts or range_cuts(df, [value, tie], buckets)[:2]
+    work = _ranged(df, value, tie, *cuts)
+    null = 2 * len(set(cuts[0])) + 2
+    kinds = F.when(F.first("__one"), F.lit(1).cast("long")).otherwise(F.count_distinct(value)) if dense else F.lit(0).cast("long")
+    counts = work.groupBy(*k, "__b", "__s").agg(F.count("*").alias("__n"), kinds.alias("__d"))
+    group, of_b = Window.partitionBy(*k), Window.partitionBy(*k, "__b")
+    before = group.orderBy("__b", "__s").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("__d", F.when(F.row_number().over(of_b.orderBy("__s")) == 1, F.col("__d")).otherwise(0))
+    counts = counts.withColumns({"__before": F.coalesce(F.sum("__n").over(before), F.lit(0)), "__kinds": F.coalesce(F.sum("__d").over(before), F.lit(0))})
+    real = lambda c: F.coalesce(F.sum(F.when(F.col("__b") != null, F.col(c))).over(group), F.lit(0))
+    base = counts.select(
+        *[F.col(c).alias(f"__k_{c}") for c in k], F.col("__b").alias("__k_b"), F.col("__s").alias("__k_s"), "__before",
+        F.min("__before").over(of_b).alias("__low"), F.sum("__n").over(of_b).alias("__same"), F.min("__kinds").over(of_b).alias("__kinds"),
+        real("__n").alias("__real"), real("__d").alias("__real_kinds"), F.sum("__n").over(group).alias("__total"),
+    )
+    part = Window.partitionBy(*k, "__b", "__s")
+    local = {"__place": F.row_number().over(part.orderBy(value, tie)), "__first": F.rank().over(part.orderBy(value)), "__ties": F.count("*").over(Window.partitionBy(*k, "__b", "__s", value))}
+    if dense:
+        local["__nth"] = F.dense_rank().over(part.orderBy(value))
+    on = (F.col("__b") == F.col("__k_b")) & (F.col("__s") == F.col("__k_s"))
+    for c in k:
+        on &= F.col(c).eqNullSafe(F.col(f"__k_{c}"))
+    out = work.withColumns(local).join(base, on)
+    one, none = F.col("__one"), F.col("__b") == null
+    low = F.col("__low") + F.when(one, 1).otherwise(F.col("__first"))
+    ties = F.when(one, F.col("__same")).otherwise(F.col("__ties"))
+    place = F.col("__before") + F.col("__place")
+    found = {}
+    for name, (method, descending) in names.items():
+        first = F.when(none, low).otherwise(F.col("__real") - low - ties + 2) if descending else low
+        if method == "size":
+            found[name] = F.col("__total")
+        elif method == "ordinal":
+            found[name] = first + place - low
+        elif method == "min":
+            found[name] = first
+        elif method == "dense":
+            up = F.col("__kinds") + F.col("__nth")
+            found[name] = F.when(none, up).otherwise(F.col("__real_kinds") + 1 - up) if descending else up
+        else:
+            found[name] = first + (ties - 1) / 2.0
+    return out.select(*[F.col(f"`{c}`") for c in df.columns if c not in names], *[c.alias(n) for n, c in found.items()])
+
+
+def with_rank(df: DataFrame, value: str, name: str = "rank", keys: Sequence[str] = (), method: str = "average", tie: str = "id", descending: bool = False, buckets: int | None = None) -> DataFrame:
+    """Adds one rank; see with_ranks."""
+    return with_ranks(df, value, {name: (method, descending)}, keys, tie, buckets)
+
+
+def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "id", buckets: int | None = None) -> DataFrame:
+    """Adds the 0-based position of each row within its keys, in order (nulls first). The
+    first order column must be numeric: its ranges split the keys' groups, so that a few
+    large ones spread over tasks."""
     k = list(keys)
-    work = df.withColumn("__b", F.coalesce(_range_of(F.col(order[0]), _edges(df, order[0], buckets)), F.lit(-1)))
+    cuts = sorted(set(range_cuts(df, [order[0]], buckets)[0]))
+    work = df.withColumn("__b", F.coalesce(edges_below(F.col(order[0]), cuts, strict=True), F.lit(-1)))
     work = work.withColumn("__r", F.row_number().over(Window.partitionBy(*k, "__b").orderBy(*order)) - 1)
     before = Window.partitionBy(*k).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
     counts = work.groupBy(*k, "__b").agg(F.count("*").alias("__n")).withColumn("__base", F.coalesce(F.sum("__n").over(before), F.lit(0)))
@@ -76,6 +122,18 @@ def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], name
     return work.join(base, on).withColumn(name, F.col("__r") + F.col("__base")).select(*[c for c in df.columns if c != name], name)
 
 
+def sum_before(df: DataFrame, order: str, value: str, name: str, buckets: int | None = None) -> DataFrame:
+    """Adds the sum of a column over all rows before, in the order of a numeric column
+    without repeats: sums within ranges plus the ranges' totals."""
+    cuts = sorted(set(range_cuts(df, [order], buckets)[0]))
+    work = df.withColumn("__b", F.coalesce(edges_below(F.col(order), cuts, strict=True), F.lit(-1)))
+    rows = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    totals = work.groupBy("__b").agg(F.sum(value).alias("__n"))
+    totals = totals.select(F.col("__b").alias("__k_b"), F.coalesce(F.sum("__n").over(rows(Window.orderBy("__b"))), F.lit(0)).alias("__sum"))  # one row per range
+    own = F.coalesce(F.sum(value).over(rows(Window.partitionBy("__b").orderBy(order))), F.lit(0))
+    return work.withColumn("__r", own).join(totals, F.col("__b") == F.col("__k_b")).withColumn(name, F.col("__r") + F.col("__sum")).drop("__b", "__k_b", "__r", "__sum")
+
+
 def top_k_curve(pairs: DataFrame, shares: Sequence[float], truth: str = "truth", pred: str = "pred", keys: Sequence[str] = (), tie: str = "id", higher_is_better: bool = True) -> DataFrame:
     """Overlap of the top k of truth and prediction for k = max(1, ceil(share * n)):
     (keys, share, k, overlap, recall, precision, jaccard, baseline).
@@ -83,15 +141,19 @@ def top_k_curve(pairs: DataFrame, shares: Sequence[float], truth: str = "truth",
     A row is in both tops exactly if the greater of its two ranks is at most k, so
     one count per greater rank serves all cut-offs.
     """
-    ranked = with_rank(pairs, truth, "rt", keys, "ordinal", tie, higher_is_better)
-    ranked = with_rank(ranked, pred, "rp", keys, "ordinal", tie, higher_is_better)
     k = list(keys)
-    sizes = pairs.groupBy(*k).agg(F.count("*").alias("n")) if k else pairs.agg(F.count("*").alias("n"))
-    cuts = [float(c) for c in shares]
+    slim = written(pairs.select(*k, F.col(tie).alias("id"), F.col(truth).alias("truth"), F.col(pred).alias("pred")))
+    *cuts, _ = range_cuts(slim, ["truth", "pred", "id"])
+    ranked = with_ranks(slim, "truth", {"rt": ("ordinal", higher_is_better), "n": ("size", False)}, k, cuts=(cuts[0], cuts[2]))
+    ranked = with_ranks(ranked, "pred", {"rp": ("ordinal", higher_is_better)}, k, cuts=(cuts[1], cuts[2]))
+    return curve_of(ranked, shares, k)
+
+
+def curve_of(ranked: DataFrame, shares: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
+    """top_k_curve() of rows that have their ordinal ranks rt and rp and the size n."""
+    k, cuts = list(keys), [float(c) for c in shares]
     ks = F.array(*[F.greatest(F.lit(1), F.ceil(F.lit(c) * F.col("n"))).cast("long") for c in cuts])
-    sizes = sizes.select(*k, ks.alias("ks"))
-    worst = ranked.select(*k, F.greatest("rt", "rp").alias("worst"))
-    joined = worst.join(sizes, k) if k else worst.crossJoin(F.broadcast(sizes))
+    joined = ranked.select(*k, F.greatest("rt", "rp").alias("worst"), ks.alias("ks"))
     # the greater rank counts for all cut-offs from it on: one count per stretch between cut-offs, then sums of these
     counts = joined.groupBy(*k, "ks", F.array(*[(F.get("ks", F.lit(i)) >= F.col("worst")) for i in range(len(cuts))]).alias("within")).agg(F.count("*").alias("c"))
     sums = [F.sum(F.when(F.get("within", F.lit(i)), F.col("c")).otherwise(F.lit(0))) for i in range(len(cuts))]
@@ -101,38 +163,77 @@ def top_k_curve(pairs: DataFrame, shares: Sequence[float], truth: str = "truth",
     return out.select(*k, "share", "k", "overlap", (F.col("overlap") / F.col("k")).alias("recall"), (F.col("overlap") / F.col("k")).alias("precision"), (F.col("overlap") / (2 * F.col("k") - F.col("overlap"))).alias("jaccard"), F.col("share").alias("baseline"))
 
 
-def kendall(pairs: DataFrame, x: str = "truth", y: str = "pred", keys: Sequence[str] = (), bits: int = 40) -> DataFrame:
+def pairs_of(c: Column, exact: bool) -> Column:
+    """c (c - 1) / 2 in whole numbers."""
+    wide = lambda x: x.cast("decimal(19,0)") if exact else x
+    half = lambda x: F.shiftright(x, 1)
+    return F.when(c % 2 == 0, wide(half(c)) * wide(c - 1)).otherwise(wide(c) * wide(half(c - 1)))
+
+
+def kendall(pairs: DataFrame, x: str = "truth", y: str = "pred", keys: Sequence[str] = (), chunk_bits: int = CHUNK_BITS) -> DataFrame:
     """Kendall's tau-b per group, with the numbers of concordant, discordant and tied
-    pairs, in n log^2 n.
+    pairs, in n log^2 n. Rows with a null take no part."""
+    k = list(keys)
+    cells = pairs.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*k, F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").alias("c"))
+    cells = written(cells)
+    cells = with_rank(with_rank(cells, "x", "rx", k, "dense", "y"), "y", "ry", k, "dense", "x")
+    return kendall_of(written(cells.select(*k, "rx", "ry", "c")), k, chunk_bits)
+
 
-    Any two rows with different x part at exactly one bit of their dense x ranks. For
-    each bit a row with that bit set looks at the rows of its block with the bit clear:
+def kendall_of(cells: DataFrame, keys: Sequence[str] = (), chunk_bits: int = CHUNK_BITS) -> DataFrame:
+    """kendall() of (keys, rx, ry, c): dense ranks of both sides and how often they meet.
+
+    Any two rows with different x part at exactly one bit of their x ranks. For each
+    bit a row with that bit set looks at the rows of its block with the bit clear:
     those with smaller y are concordant, with larger y discordant. Running sums in
-    order of y count them. Rows are first added up by (x, y).
+    order of y count them, within chunks of y first and then over the chunks, so that
+    the blocks of the highest bits spread over tasks, too.
     """
     k = list(keys)
-    cells = pairs.groupBy(*k, F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").alias("c"))
-    cells = with_rank(cells, "x", "rx", k, "dense").withColumn("rx", F.col("rx") - 1)
-    top = cells.agg(F.max("rx")).first()[0] or 0
-    levels = max(1, int(top).bit_length())
-    pair2 = lambda c: c * (c - 1) / 2
-    blown = cells.select(*k, "y", "c", "rx", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("level"))
+    top, top_y, n = cells.agg(F.max("rx"), F.max("ry"), F.sum("c")).first()
+    levels, exact = max(1, int(top or 0).bit_length()), (n or 0) >= 1 << 31  # below that 64 bits hold every sum
+    blown = cells.withColumn("rx", F.col("rx") - 1).select(*k, "ry", "c", "rx", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("level"))
     blown = blown.withColumn("block", F.expr("shiftright(rx, level + 1)")).withColumn("one", F.expr("shiftright(rx, level) & 1"))
-    per = blown.groupBy(*k, "level", "block", "y").agg(F.sum(F.when(F.col("one") == 0, F.col("c")).otherwise(0)).alias("zeros"), F.sum(F.when(F.col("one") == 1, F.col("c")).otherwise(0)).alias("ones"))
+    side = lambda bit: F.sum(F.when(F.col("one") == bit, F.col("c")).otherwise(0))
+    chunk = F.shiftright("ry", chunk_bits).alias("chunk")
+    per = blown.groupBy(*k, "level", "block", chunk, "ry").agg(side(0).alias("zeros"), side(1).alias("ones"))
     block = Window.partitionBy(*k, "level", "block")
-    per = per.withColumn("below", F.coalesce(F.sum("zeros").over(block.orderBy("y").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    per = per.withColumn("total", F.sum("zeros").over(block))
+    rows = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda w, c: F.coalesce(F.sum(c).over(rows(w)), F.lit(0))
+    if int(top_y or 0) >> chunk_bits:
+        chunks = blown.groupBy(*k, "level", "block", chunk).agg(side(0).alias("n"))
+        chunks = chunks.select(*[F.col(c).alias(f"__k_{c}") for c in k], *[F.col(c).alias(f"__k_{c}") for c in ("level", "block", "chunk")], before(block.orderBy("chunk"), "n").alias("base"), F.sum("n").over(block).alias("total"))
+        on = F.lit(True)
+        for c in (*k, "level", "block", "chunk"):
+            on &= F.col(c).eqNullSafe(F.col(f"__k_{c}"))
+        per = per.withColumn("below", before(Window.partitionBy(*k, "level", "block", "chunk").orderBy("ry"), "zeros")).join(chunks, on).withColumn("below", F.col("below") + F.col("base"))
+    else:
+        per = per.withColumns({"below": before(block.orderBy("ry"), "zeros"), "total": F.sum("zeros").over(block)})
+    wide = lambda c: c.cast("decimal(19,0)") if exact else c
+    times = lambda a, b: F.sum(wide(a) * wide(b)).cast("decimal(38,0)")
     counts = per.groupBy(*k).agg(
-        F.sum(F.col("ones") * F.col("below")).alias("concordant"),
-        F.sum(F.col("ones") * (F.col("total") - F.col("below") - F.col("zeros"))).alias("discordant"),
-        F.sum(F.col("ones") * F.col("zeros")).alias("tied_y_only"),
+        times(F.col("ones"), F.col("below")).alias("concordant"),
+        times(F.col("ones"), F.col("total") - F.col("below") - F.col("zeros")).alias("discordant"),
+        times(F.col("ones"), F.col("zeros")).alias("tied_y_only"),
     )
-    by_x = cells.groupBy(*k, "rx").agg(F.sum("c").alias("c"), F.sum(pair2(F.col("c"))).alias("both"))
-    ties = by_x.groupBy(*k).agg(F.sum("c").alias("n"), F.sum("both").cast("long").alias("tied_both"), F.sum(pair2(F.col("c")) - F.col("both")).cast("long").alias("tied_x_only"))
-    out = ties.join(counts, k) if k else ties.crossJoin(counts)
-    c, d = F.col("concordant"), F.col("discordant")
-    norm = F.sqrt((c + d + F.col("tied_x_only")).cast("double") * (c + d + F.col("tied_y_only")))
-    return out.withColumn("tau", F.try_divide((c - d).cast("double"), norm))
+    by_x = cells.groupBy(*k, "rx").agg(F.sum("c").alias("c"), F.sum(pairs_of(F.col("c"), exact)).alias("both"))
+    total = lambda c: F.sum(c).cast("decimal(38,0)")
+    ties = by_x.groupBy(*k).agg(F.sum("c").alias("n"), total("both").alias("tied_both"), total(pairs_of(F.col("c"), exact) - F.col("both")).alias("tied_x_only"))
+    counts = counts.select(*[F.col(c).alias(f"__k_{c}") for c in k], "concordant", "discordant", "tied_y_only")
+    on = F.lit(True)
+    for c in k:
+        on &= F.col(c).eqNullSafe(F.col(f"__k_{c}"))
+    out = ties.join(counts, on).drop(*[f"__k_{c}" for c in k]) if k else ties.crossJoin(counts)  # one row each
+    c, d = F.col("concordant").cast("double"), F.col("discordant").cast("double")
+    norm = F.sqrt((c + d + F.col("tied_x_only").cast("double")) * (c + d + F.col("tied_y_only").cast("double")))
+    return out.withColumn("tau", F.try_divide(c - d, norm))
+
+
+def shuffled(df: DataFrame, id_col: str, seed: int = 123, order: Column | None = None, name: str = "position") -> DataFrame:
+    """Adds a 0-based position in an order that follows from the ids and the seed alone,
+    or in that of a given numeric column; ties by id."""
+    key = order if order is not None else F.xxhash64(F.col(id_col), F.lit(seed))
+    return with_rank(df.withColumn("__o", key), "__o", name, (), "ordinal", id_col).withColumn(name, F.col(name) - 1).drop("__o")
 
 
 def seeded_order(df: DataFrame, id_col: str, seed: int = 123) -> DataFrame:
@@ -149,6 +250,6 @@ def split_rows(df: DataFrame, order: str, id_col: str, train: float | int, val:
     a, b, c = number(train), number(val), number(test)
     if a + b + c > n:
         raise ValueError("the parts are larger than the table")
-    ranked = with_rank(df.withColumn("__o", F.col(order).cast("double")), "__o", "__p", (), "ordinal", id_col).drop("__o")
+    ranked = with_rank(df, order, "__p", (), "ordinal", id_col)
     p = F.col("__p")
     return ranked.withColumn("part", F.when(p <= a, "train").when(p > n - c, "test").when(p > n - c - b, "val")).drop("__p")

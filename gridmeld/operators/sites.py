@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridmeld.functions.expressions import BOLTZMANN_J, PLANCK_J, TEMPERATURE, log_rate, radial_basis, sigmoid, softplus
+from gridmeld.functions.expressions import BOLTZMANN_J, PLANCK_J, TEMPERATURE, apportion, log_rate, radial_basis, sigmoid, softplus
+from gridmeld.operators.ranking import sum_before
+from gridmeld.sources.scratch import written
 
 
 def neighbours(sites: DataFrame, radius: float, key: str = "graph", node: str = "node", period: Sequence[Sequence[float]] = ()) -> DataFrame:
@@ -94,19 +96,59 @@ def boltzmann(scored: DataFrame, key: str = "config", energy: str = "energy") ->
     """(key, n, activity): ln of the mean rate. The largest log rate is taken out
     first, so that no term overflows or vanishes."""
     rate = scored.withColumn("l", log_rate(F.col(energy)))
-    top = rate.groupBy(key).agg(F.max("l").alias("top"))
-    return rate.join(top, key).groupBy(key, "top").agg(F.count("*").alias("n"), F.avg(F.exp(F.col("l") - F.col("top"))).alias("m")).select(key, "n", (F.col("top") + F.log("m")).alias("activity"))
+    top = F.max("l").over(Window.partitionBy(key))
+    return rate.withColumn("top", top).groupBy(key).agg(F.max("top").alias("top"), F.count("*").alias("n"), F.avg(F.exp(F.col("l") - F.col("top"))).alias("m")).select(key, "n", (F.col("top") + F.log("m")).alias("activity"))
 
 
 def global_ids(nodes: DataFrame, key: str = "graph", node: str = "node") -> DataFrame:
     """Adds global_id: the local id plus the nodes of all graphs before. Only the
-    graphs' sizes are summed in order, not the nodes."""
-    sizes = nodes.groupBy(key).agg(F.count("*").alias("__n"))
-    before = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    base = sizes.select(key, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    graphs' sizes are summed in order, in ranges of the key, which must be numeric."""
+    sizes = written(nodes.groupBy(key).agg(F.count("*").alias("__n")))
+    base = sum_before(sizes, key, "__n", "__base").drop("__n")
     return nodes.join(base, key).withColumn("global_id", F.col(node) + F.col("__base")).drop("__base")
 
 
+def graph_features(points: DataFrame, radius: float, most: int, pad_distance: float, key: str = "graph", **bond: float) -> DataFrame:
+    """The whole job from nodes (key, node, x, y, z, features) to a graph's tensors as rows:
+    per node exactly `most` neighbours in order of distance, short lists padded, each
+    with its bond filters, both ends' features (null for padding) and both ends' ids
+    over all graphs: (key, node, place, nbr, dist, is_pad, bond, global_id, nbr_global_id,
+    features, nbr_features). Local ids must run from 0 within each graph."""
+    rows = bond_features(nearest_padded(neighbours(points, radius, key), points, most, pad_distance, key), **bond)
+    known = written(global_ids(points, key).select(key, "node", "global_id", "features"))
+    other = known.select(key, F.col("node").alias("nbr"), (F.col("global_id") - F.col("node")).alias("__start"), F.col("features").alias("nbr_features"))
+    out = rows.join(known, [key, "node"]).join(other, [key, "nbr"], "left")
+    return out.select(
+        key, "node", "place", "nbr", "dist", "is_pad", "bond", "global_id", (F.col("global_id") - F.col("node") + F.col("nbr")).alias("nbr_global_id"), "features",
+        F.when(~F.col("is_pad"), F.col("nbr_features")).alias("nbr_features"),
+    )
+
+
+def sites_of(compositions: DataFrame, elements: Sequence[str], sites: DataFrame, order: Column, key: str = "config") -> DataFrame:
+    """(key, site, species): each composition's whole parts dealt to the sites in the given
+    order (ties by site); species is the element's place in the list, what rounding
+    leaves goes to the last. The sites (site) are a stated, small set."""
+    n = sites.count()
+    counts = apportion([F.col(e) for e in elements], n)
+    ends, total = [], F.lit(0)
+    for c in counts:
+        total = total + c
+        ends.append(total)
+    each = compositions.select(key, F.array(*ends).alias("__ends")).crossJoin(F.broadcast(sites.select("site")))
+    place = F.row_number().over(Window.partitionBy(key).orderBy(order, "site"))
+    return each.withColumn("__p", place).select(key, "site", F.size(F.filter("__ends", lambda e: e < F.col("__p"))).alias("species")).where(F.col("species") < len(elements))
+
+
+def score_compositions(compositions: DataFrame, elements: Sequence[str], sites: DataFrame, edges: DataFrame, layer_size: int, coefficients: dict[str, float], order: Column, key: str = "config") -> DataFrame:
+    """The whole job from a table of compositions to their activities: sites filled,
+    neighbours of the top layer counted by zone, a linear score per site, and the
+    Boltzmann average. The geometry (sites with z, and edges) is one for all."""
+    tagged = layers(sites.select(F.lit(0).alias("config"), "site", "z"), layer_size).select("site", "layer")
+    filled = sites_of(compositions, elements, sites, order, key)
+    counts = zone_counts(zones(edges, tagged), filled, range(len(elements)), key)
+    return boltzmann(linear_score(counts, coefficients), key)
+
+
 def gather(edges: DataFrame, nodes: DataFrame, key: str = "graph") -> DataFrame:
     """Each edge with the features of both its ends joined to one array."""
     own = nodes.select(key, F.col("node"), F.col("features").alias("__own"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +10,8 @@ from pyspark.sql import functions as F
 from gridmeld.functions import expressions as E
 from gridmeld.operators import fields, metrics, ranking, sites
 from gridmeld.sources import files
+from gridmeld.sources.scratch import scratch_path as _scratch
+from gridmeld.sources.scratch import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -113,9 +114,7 @@ def report_table(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {_PAIRS} SELECT id, rank() OVER (ORDER BY pb) + (count(*) OVER (PARTITION BY pb) - 1) / 2.0 AS average, row_number() OVER (ORDER BY pb, id) - 1 AS ordinal, dense_rank() OVER (ORDER BY pb) AS dense FROM base""")
 def global_ranks(spark: SparkSession, d: str) -> DataFrame:
-    out = ranking.with_rank(wide_pairs(spark, d), "pb", "average")
-    out = ranking.with_rank(out, "pb", "ordinal", method="ordinal")
-    out = ranking.with_rank(out, "pb", "dense", method="dense")
+    out = ranking.with_ranks(written(wide_pairs(spark, d)), "pb", {m: (m, False) for m in ("average", "ordinal", "dense")})
     return out.select("id", "average", (F.col("ordinal") - 1).alias("ordinal"), "dense")
 
 
@@ -189,10 +188,31 @@ def error_gain_spearman(spark: SparkSession, d: str) -> DataFrame:
     t AS (SELECT *, pow(u - i1, 2) + 3 * pow(v - j1, 2) < pow(u - i2 - 0.5, 2) + 3 * pow(v - j2 - 0.5, 2) AS near FROM h)
     SELECT CASE WHEN near THEN 0 ELSE 1 END AS lattice, CAST(CASE WHEN near THEN i1 ELSE i2 END AS INTEGER) AS i, CAST(CASE WHEN near THEN j1 ELSE j2 END AS INTEGER) AS j, count(*) AS n FROM t GROUP BY ALL""")
 def rank_hexagons(spark: SparkSession, d: str) -> DataFrame:
-    w = wide_pairs(spark, d).cache()
-    r = ranking.with_rank(ranking.with_rank(w, "truth", "rt", method="ordinal"), "pa", "rp", method="ordinal")
-    n = w.count()
-    return metrics.hex_bins(r.select((F.col("rt") - 1).alias("a"), (F.col("rp") - 1).alias("b")), "a", "b", 0.0, float(n))
+    r = metrics.ranked_pairs(wide_pairs(spark, d).withColumnRenamed("pa", "pred"))
+    return metrics.hex_bins(r.select((F.col("to") - 1).alias("a"), (F.col("po") - 1).alias("b"), "n"), "a", "b", 0.0, F.col("n"))
+
+
+_HEX = """SELECT model, CASE WHEN near THEN 0 ELSE 1 END AS lattice, CASE WHEN near THEN i1 ELSE i2 END AS i, CASE WHEN near THEN j1 ELSE j2 END AS j, count(*) AS c FROM (
+        SELECT *, pow(u - i1, 2) + 3 * pow(v - j1, 2) < pow(u - i2 - 0.5, 2) + 3 * pow(v - j2 - 0.5, 2) AS near FROM (
+            SELECT model, u, v, round_even(u, 0) AS i1, round_even(v, 0) AS j1, floor(u) AS i2, floor(v) AS j2 FROM (
+                SELECT model, (row_number() OVER (PARTITION BY model ORDER BY truth, id) - 1) / (CAST(count(*) OVER (PARTITION BY model) AS DOUBLE) / 15) AS u,
+                    (row_number() OVER (PARTITION BY model ORDER BY pred, id) - 1) / (CAST(count(*) OVER (PARTITION BY model) AS DOUBLE) / 8) AS v FROM pairs))) GROUP BY ALL"""
+_SCALED = _PAIRS.replace("pairs AS (SELECT 'a' AS model, id, truth, pa AS pred FROM base UNION ALL SELECT 'b', id, truth, pb FROM base)", """
+    sp0 AS (SELECT least(min(truth), min(pa), min(pb)) AS lo, greatest(max(truth), max(pa), max(pb)) AS hi FROM base),
+    pairs AS (SELECT 'a' AS model, id, (truth - lo) / (hi - lo) AS truth, (pa - lo) / (hi - lo) AS pred FROM base, sp0 UNION ALL SELECT 'b', id, (truth - lo) / (hi - lo), (pb - lo) / (hi - lo) FROM base, sp0)""")
+
+
+@query(f"""WITH {_SCALED}, {_MOMENTS}, {_top(_SHARES)}, hx AS ({_HEX})
+    SELECT 'report' AS part, model, metric AS name, round(value, 7) AS value FROM (SELECT m.model, CAST(n AS DOUBLE) AS n, r2, mae, rmse, pearson, spearman FROM m JOIN sp USING (model)) UNPIVOT (value FOR metric IN (n, r2, mae, rmse, pearson, spearman))
+    UNION ALL SELECT 'curve', model, 'k' || k, CAST(overlap AS DOUBLE) FROM ov
+    UNION ALL SELECT 'hexagons', model, concat_ws('_', CAST(lattice AS INTEGER), CAST(i AS INTEGER), CAST(j AS INTEGER)), CAST(c AS DOUBLE) FROM hx""")
+def evaluation_job(spark: SparkSession, d: str) -> DataFrame:
+    """Joint scaling, report, recall curve and rank hexagons of two models in one job."""
+    report, curve, hexagons = metrics.evaluation(wide_pairs(spark, d), "truth", {"a": "pa", "b": "pb"}, _SHARES)
+    long = metrics.melted(report.select("model", "n", "r2", "mae", "rmse", "pearson", "spearman")).select(F.lit("report").alias("part"), "model", F.col("metric").alias("name"), "value")
+    long = long.unionByName(curve.select(F.lit("curve").alias("part"), "model", F.concat(F.lit("k"), F.col("k").cast("string")).alias("name"), F.col("overlap").cast("double").alias("value")))
+    long = long.unionByName(hexagons.select(F.lit("hexagons").alias("part"), "model", F.concat_ws("_", *[F.col(c).cast("string") for c in ("lattice", "i", "j")]).alias("name"), F.col("n").cast("double").alias("value")))
+    return rounded(long, 7, "value")
 
 
 # ---- gridded fields ----
@@ -279,6 +299,52 @@ def tile_field(spark: SparkSession, d: str) -> DataFrame:
     return rounded(fields.background(tiles, ["r", "g", "b"], 0.12), 8, "r", "g", "b")
 
 
+@query(f"""WITH e AS (SELECT {_edge_sql(1.0, 1901.0, 50)} AS ey, {_edge_sql(1.0, 96.0, 20)} AS ex),
+    a AS (SELECT len(list_filter(ey, lambda v: v <= l_partkey)) - 1 AS y, len(list_filter(ex, lambda v: v <= l_suppkey)) - 1 AS x, l_quantity AS r, l_discount * 1000 AS g, l_tax * 1000 AS b
+        FROM lineitem, e WHERE l_partkey >= ey[1] AND l_partkey < ey[-1] AND l_suppkey >= ex[1] AND l_suppkey < ex[-1]),
+    t AS (SELECT y, x, avg(r) / 255 AS r, avg(g) / 255 AS g, avg(b) / 255 AS b FROM a GROUP BY y, x),
+    k AS (SELECT y, x, r, g, b FROM t WHERE NOT ((r > 0.12 AND g > 0.12 AND b > 0.12) OR (r = 0 AND g = 0 AND b = 0) OR y >= 49 OR x >= 49)),
+    pl AS (SELECT s_suppkey AS idx, s_acctbal AS value, ((s_suppkey * 7) % 53) / CAST(255 AS DOUBLE) AS cr, ((s_suppkey * 11) % 101) / CAST(255 AS DOUBLE) AS cg, ((s_suppkey * 13) % 83) / CAST(255 AS DOUBLE) AS cb FROM supplier),
+    n AS (SELECT y, x, min(struct_pack(d := round(sqrt((r - cr) * (r - cr) + (g - cg) * (g - cg) + (b - cb) * (b - cb)), 9), i := idx)).i AS idx FROM k, pl GROUP BY y, x),
+    f AS (SELECT y, x, ln(value - min(value) OVER () + 1) AS v FROM n JOIN pl USING (idx)),
+    s AS (SELECT 49 - y AS y, x, coalesce((v - min(v) OVER ()) / nullif(max(v) OVER () - min(v) OVER (), 0), v) AS v FROM f),
+    c AS (SELECT CAST(i // 20 AS INTEGER) AS y, CAST(i % 20 AS INTEGER) AS x FROM range(1000) r(i))
+    SELECT c.y, c.x, round(s.v, 8) + 0.0 AS value FROM c LEFT JOIN s ON s.y = c.y AND s.x = c.x""")
+def activity_field(spark: SparkSession, d: str) -> DataFrame:
+    """Pixels to a scaled map, with the suppliers as the palette."""
+    k, part = F.col("s_suppkey"), lambda m, n: ((F.col("s_suppkey") * m) % n) / F.lit(255.0)
+    palette = table(spark, d, "supplier").select(k.alias("idx"), F.col("s_acctbal").alias("value"), F.array(part(7, 53), part(11, 101), part(13, 83)).alias("code"))
+    return rounded(fields.activity_field(pixels(spark, d), palette, 50, 20, (1.0, 1901.0), (1.0, 96.0), ["r", "g", "b"], 0.12), 8, "value")
+
+
+_ALIGN = """li AS (SELECT l_linestatus AS m, l_partkey, l_suppkey, l_orderkey, l_extendedprice, l_quantity, l_discount FROM lineitem),
+    rw AS (SELECT m, CAST(l_partkey % 21 AS INTEGER) AS y, CAST(l_suppkey % 21 AS INTEGER) AS x, CAST(sum(CAST(floor(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / count(*) AS value, CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) / count(*) AS q,
+        CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS DOUBLE) / count(*) AS e0 FROM li GROUP BY 1, 2, 3),
+    tg AS (SELECT m, y, x, (v - min(v) OVER (PARTITION BY m)) / (max(v) OVER (PARTITION BY m) - min(v) OVER (PARTITION BY m)) AS value FROM (
+        SELECT m, CAST(l_orderkey % 15 AS INTEGER) AS y, CAST(l_partkey % 15 AS INTEGER) AS x, CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) / count(*) AS v FROM li GROUP BY 1, 2, 3) WHERE (y * 15 + x) % 9 < 5),
+    ac AS (SELECT t.m, dy, dx, r.value, t.value AS want FROM tg t, range(7) a(dy), range(7) b(dx), rw r WHERE r.m = t.m AND r.y = t.y + dy AND r.x = t.x + dx),
+    asp AS (SELECT *, min(value) OVER (PARTITION BY m, dy, dx) AS lo, max(value) OVER (PARTITION BY m, dy, dx) AS hi FROM ac),
+    ao AS (SELECT m, dy, dx, avg(abs(coalesce((value - lo) / nullif(hi - lo, 0), value) - want)) AS diff FROM asp GROUP BY ALL),
+    ab AS (SELECT m, dy, dx FROM (SELECT *, row_number() OVER (PARTITION BY m ORDER BY diff, dy, dx) AS k FROM ao) WHERE k = 1),
+    ap AS (SELECT t.m, t.y, t.x, ab.dy, ab.dx, r.value, r.q, r.e0 FROM tg t JOIN ab ON ab.m = t.m JOIN rw r ON r.m = t.m AND r.y = t.y + ab.dy AND r.x = t.x + ab.dx)"""
+
+
+@query(f"""WITH {_ALIGN} SELECT m AS map, y * 15 + x AS local_index, CAST((y + dy) * 21 + x + dx AS INTEGER) AS global_index, round(coalesce((value - min(value) OVER w) / nullif(max(value) OVER w - min(value) OVER w, 0), value), 8) + 0.0 AS scaled,
+        round(coalesce((q - min(q) OVER w) / nullif(max(q) OVER w - min(q) OVER w, 0), q), 8) + 0.0 AS quantity, round(e0, 8) AS e0 FROM ap WINDOW w AS (PARTITION BY m)""")
+def align_maps(spark: SparkSession, d: str) -> DataFrame:
+    """Two maps at once: the offset found for the price map is applied to a map of quantities and to a composition; the patch goes through a CSV."""
+    li = table(spark, d, "lineitem").withColumn("map", F.col("l_linestatus"))
+    cell = [F.col("map"), (F.col("l_partkey") % 21).cast("int").alias("y"), (F.col("l_suppkey") % 21).cast("int").alias("x")]
+    mean = lambda c: F.sum(c.cast("long")).cast("double") / F.count("*")
+    grid = written(li.groupBy(*cell).agg(mean(F.floor(F.col("l_extendedprice") * 100)).alias("value"), mean(F.col("l_quantity")).alias("q"), mean(F.round(F.col("l_discount") * 100)).alias("e0")))
+    target = li.groupBy("map", (F.col("l_orderkey") % 15).cast("int").alias("y"), (F.col("l_partkey") % 15).cast("int").alias("x")).agg(mean(F.col("l_quantity")).alias("v"))
+    target = written(metrics.min_max(target.where((fields.flatten_index(F.col("y"), F.col("x"), 15) % 9) < 5), "v", ["map"], "value").select("map", "y", "x", "value"))
+    out = fields.align_fields(grid.select("map", "y", "x", "value"), target, {"quantity": grid.select("map", "y", "x", F.col("q").alias("value"))}, grid.select("map", "y", "x", "e0"), 6, 6, 15, 21, ["map"], complete_only=False)
+    columns, path = ["map", "local_index", "global_index", "scaled", "quantity", "e0"], _scratch(spark)
+    files.write_csv(rounded(out, 8, "scaled", "quantity", "e0"), path, columns)
+    return spark.read.csv(path, header=True, schema="map string, local_index int, global_index int, scaled double, quantity double, e0 double")
+
+
 @query("""WITH b AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS idx, embedding AS code FROM (SELECT * FROM embeddings ORDER BY vec_id LIMIT 16)),
     d AS (SELECT e.vec_id, b.idx, sqrt(list_sum(list_transform(list_zip(e.embedding, b.code), lambda p: (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)) * (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE))))) AS dist FROM embeddings e, b)
     SELECT vec_id, CAST(arg_min(idx, dist) AS INTEGER) AS idx, round(min(dist), 6) AS dist FROM d GROUP BY vec_id""")
@@ -365,6 +431,7 @@ def document_split(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- sites, neighbours, graphs ----
 
+# Fixed value: the lattice constant of the slab.
 _A = 3.967202998841584
 _D, _H = _A / 2**0.5, _A / 3**0.5
 _A1, _A2 = (_D, 0.0, 0.0), (_D / 2, _D * 3**0.5 / 2, 0.0)
@@ -425,6 +492,28 @@ def score_configurations(spark: SparkSession, d: str) -> DataFrame:
     return rounded(sites.boltzmann(sites.linear_score(site_counts(spark, d), _COEFFICIENTS)), 6, "activity")
 
 
+_MIXED = ", ".join(f"((s_suppkey * {3 + i}) % 11 + 1)" for i in range(5))
+
+
+@query(f"""WITH {_LATTICE}, sh AS (SELECT s_suppkey AS config, [{_MIXED}] AS w FROM supplier),
+    pa AS (SELECT config, list_transform(w, lambda v: CAST(trunc(512.0 * (v / CAST(list_sum(w) AS DOUBLE))) AS BIGINT)) AS n FROM sh),
+    en0 AS (SELECT config, [n[1], n[1] + n[2], n[1] + n[2] + n[3], n[1] + n[2] + n[3] + n[4], 512] AS ends FROM pa),
+    cf AS (SELECT config, site, len(list_filter(ends, lambda e: e < p)) AS species FROM (
+        SELECT config, node AS site, ends, row_number() OVER (PARTITION BY config ORDER BY (node * 7919 + config * 104729) % 100003, node) AS p FROM en0, st)),
+    zc AS (SELECT config, node, {", ".join(f"CAST(count(*) FILTER (WHERE zone = {z} AND species = {s}) AS BIGINT) AS z{z}_{s}" for z in (1, 2, 3) for s in range(5))} FROM zn JOIN cf ON cf.site = zn.nbr GROUP BY config, node),
+    en AS (SELECT config, {" + ".join(f"CAST({w} AS DOUBLE) * {c}" for c, w in _COEFFICIENTS.items())} AS e FROM zc)
+    SELECT config, count(*) AS n, round(ln(avg({sites.PREFACTOR!r} * exp(-abs(e - 0.895) / (CAST(8.617e-5 AS DOUBLE) * 298.0)))), 6) AS activity FROM en GROUP BY config""")
+def score_compositions(spark: SparkSession, d: str) -> DataFrame:
+    """A table of compositions to activities: whole parts, shuffled sites, zones, model, average."""
+    k = F.col("s_suppkey")
+    weights = [((k * (3 + i)) % 11 + 1) for i in range(5)]
+    total = sum(weights[1:], weights[0]).cast("double")
+    names = [f"w{i}" for i in range(5)]
+    table_ = table(spark, d, "supplier").select(k.alias("config"), *[(w / total).alias(n) for w, n in zip(weights, names)])
+    order = (F.col("site") * F.lit(7919).cast("long") + F.col("config") * 104729) % 100003
+    return rounded(sites.score_compositions(table_, names, lattice(spark).withColumnRenamed("node", "site"), lattice_edges(spark), 64, _COEFFICIENTS, order), 6, "activity")
+
+
 _POINTS = "pt AS (SELECT label AS graph, CAST(vec_id AS INTEGER) AS node, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z, embedding FROM embeddings)"
 _NEAR = f"""{_POINTS}, nb AS (SELECT a.graph, a.node, b.node AS nbr, sqrt(pow(b.x - a.x, 2) + pow(b.y - a.y, 2) + pow(b.z - a.z, 2)) AS dist FROM pt a JOIN pt b ON a.graph = b.graph AND a.node <> b.node),
     nr AS (SELECT *, row_number() OVER (PARTITION BY graph, node ORDER BY dist, nbr) AS place FROM nb WHERE dist <= 0.5),
@@ -470,6 +559,22 @@ def stacked_graph_ids(spark: SparkSession, d: str) -> DataFrame:
     return sites.global_ids(local).select("graph", "vec_id", "node", "global_id")
 
 
+@query(f"""WITH n AS (SELECT label AS graph, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INTEGER) AS node, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z, CAST(embedding[4] AS DOUBLE) AS f FROM embeddings),
+    nb AS (SELECT a.graph, a.node, b.node AS nbr, sqrt(pow(b.x - a.x, 2) + pow(b.y - a.y, 2) + pow(b.z - a.z, 2)) AS dist, b.f AS nf FROM n a JOIN n b ON a.graph = b.graph AND a.node <> b.node),
+    nr AS (SELECT *, row_number() OVER (PARTITION BY graph, node ORDER BY dist, nbr) AS place FROM nb WHERE dist <= 0.1),
+    st0 AS (SELECT graph, coalesce(sum(c) OVER (ORDER BY graph ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM (SELECT graph, count(*) AS c FROM n GROUP BY graph))
+    SELECT n.graph, n.node, CAST(g AS INTEGER) AS place, coalesce(nr.nbr, 0) AS nbr, round(coalesce(nr.dist, 1.5), 9) AS dist, nr.nbr IS NULL AS is_pad, round(exp(-pow(coalesce(nr.dist, 1.5) - 5 * CAST(0.2 AS DOUBLE), 2) / {0.2 * 0.2!r}), 8) AS bond_5,
+        CAST(start + n.node AS BIGINT) AS global_id, CAST(start + coalesce(nr.nbr, 0) AS BIGINT) AS nbr_global_id, n.f AS own, nr.nf AS other
+    FROM n CROSS JOIN range(1, 13) r(g) JOIN st0 ON st0.graph = n.graph LEFT JOIN nr ON nr.graph = n.graph AND nr.node = n.node AND nr.place = g""")
+def graph_features(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes to padded neighbours with bond filters, features of both ends and ids over all graphs."""
+    p = points(spark, d).withColumn("node", F.row_number().over(ranking.Window.partitionBy("graph").orderBy("node")) - 1)
+    out = sites.graph_features(written(p), 0.1, 12, 1.5)
+    f = lambda c, i: F.get(c, F.lit(i))
+    out = out.select("graph", "node", "place", "nbr", "dist", "is_pad", f("bond", 5).alias("bond_5"), "global_id", "nbr_global_id", f("features", 3).alias("own"), f("nbr_features", 3).alias("other"))
+    return rounded(rounded(out, 9, "dist"), 8, "bond_5")
+
+
 # ---- features and lookups ----
 
 _SPECIES = "sp AS (SELECT s AS species, [CAST(s % 2 AS DOUBLE), CAST(s % 3 AS DOUBLE), CAST(s AS DOUBLE)] AS features FROM range(1, 46) r(s))"
@@ -494,12 +599,6 @@ def missing_features(spark: SparkSession, d: str) -> DataFrame:
     return sites.missing_species(parts, parts.where(F.col("species") <= 45).distinct())
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A new folder below the one that driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp"
-    return f"{root.rstrip('/')}/gridmeld-{uuid.uuid4().hex}"
-
-
 @query("SELECT CAST(p_partkey AS INTEGER) AS Pixel_Index, round(p_retailprice, 2) AS Ru, CAST(p_size AS DOUBLE) AS Rh, CAST(p_size * 2 AS DOUBLE) AS Pd, CAST(p_size * 3 AS DOUBLE) AS Ir, CAST(p_size * 4 AS DOUBLE) AS Pt FROM part")
 def composition_files(spark: SparkSession, d: str) -> DataFrame:
     size, path = F.col("p_size").cast("double"), _scratch(spark)
@@ -530,3 +629,47 @@ def vector_files(spark: SparkSession, d: str) -> DataFrame:
 def stacked_counts(spark: SparkSession, d: str) -> DataFrame:
     a = table(spark, d, "events").select(F.col("event_type").alias("kind"))
     return a.unionByName(table(spark, d, "lineitem").select(F.col("l_returnflag").alias("kind"))).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_RAW} SELECT y * 61 + x AS cell, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, round(value, 4) AS value FROM raw")
+def grid_files(spark: SparkSession, d: str) -> DataFrame:
+    """A dense grid written as one nested list, read again, cells numbered and told apart by their number."""
+    path = _scratch(spark)
+    files.write_grid(fields.to_dense(rounded(raw_grid(spark, d), 4, "value"), 61, 61), path)
+    cells = files.read_grid(spark, path).select(fields.flatten_index(F.col("y"), F.col("x"), 61).alias("cell"), "value")
+    y, x = fields.unflatten_index(F.col("cell"), 61)
+    return cells.select("cell", y.alias("y"), x.alias("x"), "value")
+
+
+@query("SELECT DISTINCT p_size AS species, CAST(p_size % 2 AS DOUBLE) AS f0, CAST(p_size % 3 AS DOUBLE) AS f1, 2 AS width FROM part")
+def feature_files(spark: SparkSession, d: str) -> DataFrame:
+    """A book of features written as a JSON object and read again."""
+    path, s = _scratch(spark), F.col("species")
+    files.write_species_features(table(spark, d, "part").select(F.col("p_size").alias("species")).distinct().select("species", F.array(s % 2, s % 3).alias("features")), path)
+    f = lambda i: F.get("features", F.lit(i))
+    return files.read_species_features(spark, path).select("species", f(0).alias("f0"), f(1).alias("f1"), F.size("features").alias("width"))
+
+
+@query("SELECT l_orderkey, count(*) AS n, count(CASE WHEN l_linenumber <> 1 THEN 1 END) AS n_valid, round(sum(CASE WHEN l_linenumber <> 1 THEN l_quantity END), 4) AS total FROM lineitem GROUP BY l_orderkey")
+def nan_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Values that are NaN count as absent."""
+    v = E.nan_to_null(F.when(F.col("l_linenumber") == 1, F.lit(float("nan"))).otherwise(F.col("l_quantity")))
+    out = table(spark, d, "lineitem").select("l_orderkey", v.alias("v")).groupBy("l_orderkey")
+    return rounded(out.agg(F.count("*").alias("n"), F.count("v").alias("n_valid"), F.sum("v").alias("total")), 4, "total")
+
+
+_LABELS = {77: "Ir", 46: "Pd", 78: "Pt", 45: "Rh", 44: "Ru"}
+
+
+@query("""SELECT p_partkey, s AS label, CASE s WHEN 'Ir' THEN 77 WHEN 'Pd' THEN 46 WHEN 'Pt' THEN 78 WHEN 'Rh' THEN 45 WHEN 'Ru' THEN 44 END AS code
+    FROM (SELECT p_partkey, CASE p_size + 30 WHEN 77 THEN 'Ir' WHEN 46 THEN 'Pd' WHEN 78 THEN 'Pt' WHEN 45 THEN 'Rh' WHEN 44 THEN 'Ru' END AS s FROM part)""")
+def species_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Atomic numbers to symbols and back, null where there is none."""
+    label = E.label_of(F.col("p_size") + 30, _LABELS)
+    return table(spark, d, "part").select("p_partkey", label.alias("label")).withColumn("code", E.code_of(F.col("label"), _LABELS))
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY (doc_id * 7919) % 100003, doc_id) - 1 AS position FROM documents")
+def shuffled_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The position of each row in an order that follows from its id and nothing else."""
+    return ranking.shuffled(table(spark, d, "documents").select("doc_id"), "doc_id", order=(F.col("doc_id") * 7919) % 100003)

@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from gridmeld.functions.expressions import nan_to_null
+
 COMPOSITION = "Pixel_Index int, Ru double, Rh double, Pd double, Ir double, Pt double"
 
 
 def read_vector(spark: SparkSession, path: str) -> DataFrame:
     """(id, value) of files that hold one JSON list each; null and NaN are null."""
     rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", "array<double>", {"allowNonNumericNumbers": "true"})).alias("id", "value"))
-    return rows.select(F.col("id").cast("long"), F.when(~F.isnan("value"), F.col("value")).alias("value"))
+    return rows.select(F.col("id").cast("long"), nan_to_null(F.col("value")).alias("value"))
 
 
 def read_grid(spark: SparkSession, path: str) -> DataFrame:
@@ -56,3 +58,17 @@ def vector_json(df: DataFrame, keys: list[str], order: str = "id", value: str =
     fit a row. Groups that grow with the data are for write_cells."""
     items = F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda s: s[value])
     return df.groupBy(*keys).agg(F.to_json(items, {"ignoreNullFields": "false"}).alias("json"))
+
+
+def write_grid(df: DataFrame, path: str, value: str = "value") -> None:
+    """One nested JSON list of a dense grid (y, x, value), absent cells as null; for grids
+    whose size is a parameter. Others are for write_cells."""
+    rows = df.groupBy("y").agg(F.transform(F.array_sort(F.collect_list(F.struct("x", value))), lambda s: s[value]).alias("row"))
+    whole = F.transform(F.array_sort(F.collect_list(F.struct("y", "row"))), lambda s: s["row"])
+    rows.agg(F.to_json(whole, {"ignoreNullFields": "false"}).alias("json")).write.mode("overwrite").text(path)
+
+
+def write_species_features(df: DataFrame, path: str) -> None:
+    """One JSON object from species number to feature list; a book of features is small."""
+    book = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("species").cast("string"), F.col("features").cast("array<int>")))))
+    df.agg(F.to_json(book).alias("json")).write.mode("overwrite").text(path)

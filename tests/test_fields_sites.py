@@ -22,6 +22,47 @@ def test_a_shifted_patch_is_found(spark):
     assert (best["dy"], best["dx"]) == (4, 7) and best["diff"] == pytest.approx(0, abs=1e-12)
 
 
+def test_two_maps_are_aligned_in_one_job(spark):
+    """Each map has its own best offset, is masked by its own cells, and brings followers and composition along."""
+    n = lambda m: F.pmod(F.hash("id", F.lit(m)), F.lit(1000)).cast("double")
+    base = spark.range(400).select((F.col("id") / 20).cast("int").alias("y"), (F.col("id") % 20).cast("int").alias("x"), n(1).alias("a"), n(2).alias("b"))
+    raw = base.select(F.lit("a").alias("m"), "y", "x", F.col("a").alias("value")).unionByName(base.select(F.lit("b").alias("m"), "y", "x", F.col("b").alias("value")))
+    part = lambda m, y, x: fields.cut(raw.where(F.col("m") == m), y, x, 8, 8)
+    target = part("a", 3, 5).where("y != 2").unionByName(part("b", 6, 1).where("x != 0"))
+    target = fields.min_max(target, "value", ["m"]).select("m", "y", "x", F.col("scaled").alias("value"))
+    best = {r["m"]: (r["dy"], r["dx"], r["diff"]) for r in fields.best_offset(fields.offset_errors(raw, target, 10, 10, ["m"]), ["m"]).collect()}
+    assert {m: v[:2] for m, v in best.items()} == {"a": (3, 5), "b": (6, 1)} and max(v[2] for v in best.values()) < 1e-12
+    out = fields.align_fields(raw, target, {"other": raw.withColumn("value", 3 - 2 * F.col("value"))}, raw.select("m", "y", "x", F.col("value").alias("e0")), 10, 10, 8, 20, ["m"])
+    rows = out.collect()
+    assert sum(r["m"] == "a" for r in rows) == 56 and sum(r["m"] == "b" for r in rows) == 56
+    want = {(r["m"], r["y"], r["x"]): r["value"] for r in target.collect()}
+    values = {(r["m"], r["y"], r["x"]): r["value"] for r in raw.collect()}
+    for r in rows:
+        assert r["scaled"] == pytest.approx(want[r["m"], r["y"], r["x"]]) and r["other"] == pytest.approx(1 - r["scaled"])
+        assert r["e0"] == values[r["m"], r["y"] + r["dy"], r["x"] + r["dx"]] and r["local_index"] == r["y"] * 8 + r["x"] and r["global_index"] == (r["y"] + r["dy"]) * 20 + r["x"] + r["dx"]
+
+
+def test_grids_of_several_maps(spark):
+    g = spark.createDataFrame([("a", 0, 0, 1.0), ("b", 1, 1, 2.0)], "m string, y int, x int, value double")
+    dense = fields.to_dense(g, 2, 2, keys=["m"]).collect()
+    assert len(dense) == 8 and {(r["m"], r["y"], r["x"]) for r in dense if r["value"] is not None} == {("a", 0, 0), ("b", 1, 1)}
+    tiles = fields.tile_means(g, 2, 2, (0.0, 2.0), (0.0, 2.0), ["value"], 1.0, ["m"]).collect()
+    assert {(r["m"], r["y"], r["x"], r["value"]) for r in tiles} == {("a", 0, 0, 1.0), ("b", 1, 1, 2.0)}
+
+
+def test_activity_field_of_known_colours(spark):
+    palette = spark.createDataFrame([(0, 0.0, [0.1, 0.5]), (1, 5.0, [0.8, 0.2])], "idx int, value double, code array<double>")
+    rows = [(y, x, 255 * c[0], 255 * c[1]) for y in range(4) for x in range(4) for c in [(0.1, 0.5) if y < 2 else (0.8, 0.2) if x < 2 else (0.99, 0.99)]]
+    got = fields.activity_field(spark.createDataFrame(rows, "y int, x int, r double, g double"), palette, 2, 2, (0.0, 4.0), (0.0, 4.0), ["r", "g"]).collect()
+    assert {(r["y"], r["x"]): r["value"] for r in got} == {(1, 0): 0.0, (1, 1): 0.0, (0, 0): 1.0, (0, 1): None}
+
+
+def test_compositions_fill_all_sites(spark):
+    table = spark.createDataFrame([(1, 0.3, 0.7), (2, 1.0, 0.0)], "config long, a double, b double")
+    got = sites.sites_of(table, ["a", "b"], registry.lattice(spark).withColumnRenamed("node", "site"), F.xxhash64("config", "site")).groupBy("config", "species").count().collect()
+    assert {(r["config"], r["species"]): r["count"] for r in got} == {(1, 0): 153, (1, 1): 359, (2, 0): 512}
+
+
 def test_grid_reshaping(spark):
     g = spark.createDataFrame([(0, 0, 1.0), (1, 2, float("nan"))], "y int, x int, value double")
     assert fields.present(g).count() == 1

@@ -3,9 +3,10 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from gridmeld.operators.metrics import basic_report, bin_trend, error_gain_trend, evaluate, hex_bins, joint_min_max, min_max, normaliser, pair_check, spearman
-from gridmeld.operators.ranking import kendall, split_rows, top_k_curve, with_position, with_rank
+from gridmeld.operators.metrics import basic_report, bin_trend, error_gain_trend, evaluate, evaluation, hex_bins, joint_min_max, min_max, normaliser, pair_check, quantiles, spearman
+from gridmeld.operators.ranking import kendall, pairs_of, shuffled, split_rows, sum_before, top_k_curve, with_position, with_rank, with_ranks
 
 
 def pairs(spark, rows):
@@ -28,6 +29,68 @@ def test_two_phase_rank_equals_a_sort(spark, tied, method):
         assert got[i] == {"average": low + (n - 1) / 2, "ordinal": order.index(i) + 1, "min": low, "dense": sorted(set(values)).index(v) + 1}[method]
 
 
+@pytest.mark.parametrize("buckets", [None, 3, 40])
+@pytest.mark.parametrize("descending", [False, True])
+def test_ranks_within_keys_with_nulls_and_hot_values(spark, buckets, descending):
+    """Against a plain sort: nulls last in either direction, as equals; a third of all rows share a value."""
+    r = random.Random(3)
+    rows = [(i, r.choice([None, "a", "b"]), r.choice([None, 5.0, 5.0, 5.0, *map(float, range(12)), float("nan")])) for i in range(500)]
+    methods = ("average", "ordinal", "min", "dense", "size")
+    got = {x["id"]: x for x in with_ranks(spark.createDataFrame(rows, "id long, k string, v double"), "v", {m: (m, descending) for m in methods}, ["k"], buckets=buckets).collect()}
+    level = lambda v: (v is None, (1 if v != v else 0) * (-1 if descending else 1) if v is not None else 0, (0 if v is None or v != v else -v if descending else v))
+    assert len(got) == len(rows)
+    for key in (None, "a", "b"):
+        mine = sorted((level(v), i) for i, k, v in rows if k == key)
+        values = [x for x, _ in mine]
+        for place, (x, i) in enumerate(mine, 1):
+            low, n = values.index(x) + 1, values.count(x)
+            assert tuple(got[i][m] for m in methods) == (low + (n - 1) / 2, place, low, sorted(set(values)).index(x) + 1, len(mine))
+
+
+def test_ranks_without_keys_keep_rows_with_nulls(spark):
+    df = spark.createDataFrame([(1, 1.0), (2, None), (3, 2.0)], "id long, v double")
+    assert {x["id"]: x["rank"] for x in with_rank(df, "v", method="ordinal", buckets=2).collect()} == {1: 1, 3: 2, 2: 3}
+    assert with_rank(df.limit(0), "v").count() == 0
+
+
+def test_kendall_in_chunks_equals_one_chunk(spark, tied):
+    df = pairs(spark, tied).selectExpr("*", "id % 2 as g")
+    a, b = (sorted(map(str, kendall(df, keys=["g"], chunk_bits=n).collect())) for n in (16, 1))
+    assert a == b
+
+
+def test_numbers_of_pairs_are_whole(spark):
+    c = F.lit(5_000_000_001)
+    assert spark.range(1).select(pairs_of(c, True)).first()[0] == 5_000_000_001 * 5_000_000_000 // 2
+    assert spark.range(1).select(pairs_of(F.lit(7).cast("long"), False)).first()[0] == 21
+
+
+def test_quantiles_and_sums_before(spark):
+    r = random.Random(1)
+    v = sorted(r.uniform(0, 9) for _ in range(101))
+    df = spark.createDataFrame([(i, x, i % 7) for i, x in enumerate(v)], "id long, v double, n int")
+    assert quantiles(df, "v", [0, 0.25, 0.333, 1], tie="id").first()["quantiles"] == pytest.approx([v[0], v[25], v[33] + 0.3 * (v[34] - v[33]), v[100]])
+    got = {x["id"]: x["s"] for x in sum_before(df, "id", "n", "s", buckets=6).collect()}
+    assert got == {i: sum(k % 7 for k in range(i)) for i in range(101)}
+
+
+def test_evaluation_agrees_with_its_parts(spark):
+    r = random.Random(5)
+    rows = [(i, r.random(), r.random(), r.random()) for i in range(200)]
+    wide = spark.createDataFrame(rows, "id long, t double, p double, q double")
+    report, curve, hexagons = evaluation(wide, "t", {"p": "p", "q": "q"}, (0.1,))
+    one = evaluate(wide.selectExpr("'p' as model", "id", "t as truth", "p as pred"), shares=(0.1,)).first()
+    mine = report.where("model = 'p'").first()
+    assert mine["tau"] == pytest.approx(one["tau"]) and mine["top10_overlap"] == one["top10_overlap"] == curve.where("model = 'p'").first()["overlap"]
+    assert hexagons.groupBy("model").sum("n").collect()[0][1] == 200
+
+
+def test_shuffling_is_an_order_of_all_rows(spark):
+    got = {x["id"]: x["position"] for x in shuffled(spark.range(50), "id").collect()}
+    assert sorted(got.values()) == list(range(50)) and got != {i: i for i in range(50)}
+    assert got == {x["id"]: x["position"] for x in shuffled(spark.range(50).repartition(7), "id").collect()}
+
+
 def test_kendall_equals_brute_force(spark, tied):
     c = d = tx = ty = both = 0
     for (_, a, p), (_, b, q) in itertools.combinations(tied, 2):
