@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bitmap_of, in_bitmap, written
@@ -24,6 +24,8 @@ from .textbytes import _GRAM, BYTE_VALUES, Powers, chunks, mix, span_hashes, wor
 WINDOW = 5
 #: So many windows along an alignment let those with only two words that are no slots count.
 LINE = 3
+#: So many windows in a row that stand literally in a document are reported whatever their share: 13 words.
+RUN = 9
 #: Words that are units when they follow a number.
 UNITS = """
 mm cm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers kilometre kilometres
@@ -223,10 +225,17 @@ def template_windows(df: DataFrame, window: int = WINDOW, bitmap: np.ndarray | N
     return df.mapInArrow(run, "id long, total long, firm long, size long, pos long, key long, solid boolean, thin boolean, fill array<string>")
 
 
+def _longest_run(windows: Column) -> Column:
+    """The most windows of an alignment that follow one another and stand literally in the document."""
+    places = F.array_sort(F.transform(F.filter(windows, lambda w: w["equal"]), lambda w: w["item_pos"]))
+    step = lambda acc, p: F.struct(p.alias("last"), F.when(p == acc["last"] + 1, acc["now"] + 1).otherwise(1).alias("now"), F.greatest(acc["most"], F.when(p == acc["last"] + 1, acc["now"] + 1).otherwise(1)).alias("most"))
+    return F.when(F.size(windows) >= RUN, F.aggregate(places, F.struct(F.lit(-9).cast("long").alias("last"), F.lit(0).alias("now"), F.lit(0).alias("most")), step, lambda acc: acc["most"])).otherwise(0)
+
+
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, coverage: float = 0.5) -> DataFrame:
     """(id_col, item_col, n_windows, matched, coverage, kind): a row for each document
     and item where at least the share `coverage` of the item's windows stands in the
-    document. A window with other values in its slots counts only where each of the
+    document, or at least 13 words in a row do literally. A window with other values in its slots counts only where each of the
     item's values that it holds meets one value along the alignment; windows that
     stand there literally always count. kind is `verbatim` where every counted window
     stands literally in the document, else `reparameterised`.
@@ -266,12 +275,12 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     line = ["id", "item", "n_windows", "firm"]
     judged = judged.groupBy(*line, "shift", "item_pos").agg(F.bool_or("equal").alias("equal"), F.bool_or("solid").alias("solid"), F.bool_and("thin").alias("thin"))
     judged = judged.groupBy(*line, "shift").agg(F.collect_list(F.struct("item_pos", "equal", "solid", "thin")).alias("w"))
-    judged = judged.select(*line, F.inline(F.filter("w", lambda w: ~w["thin"] | w["equal"] | (F.size("w") >= LINE))))
-    judged = judged.groupBy(*line, "item_pos").agg(F.bool_or("equal").alias("equal"), F.bool_or("solid").alias("solid"))
-    found = judged.groupBy(*line).agg(F.count("*").alias("n"), F.count_if("solid").alias("n_solid"), F.bool_and("equal").alias("equal"))
+    judged = judged.select(*line, _longest_run(F.col("w")).alias("run"), F.inline(F.filter("w", lambda w: ~w["thin"] | w["equal"] | (F.size("w") >= LINE))))
+    judged = judged.groupBy(*line, "item_pos").agg(F.bool_or("equal").alias("equal"), F.bool_or("solid").alias("solid"), F.max("run").alias("run"))
+    found = judged.groupBy(*line).agg(F.count("*").alias("n"), F.count_if("solid").alias("n_solid"), F.bool_and("equal").alias("equal"), F.max("run").alias("run"))
     shares = [F.struct((m / t).alias("coverage"), t.alias("n_windows"), m.alias("matched")) for m, t in ((F.col("n"), F.col("n_windows")), (F.col("n_solid"), F.nullif("firm", F.lit(0))))]
     return (
         found.withColumn("best", F.when(F.col("firm") == 0, shares[0]).otherwise(F.greatest(*shares)))
-        .where(F.col("best.coverage") >= coverage)
+        .where((F.col("best.coverage") >= coverage) | (F.col("run") >= RUN))
         .select(F.col("id").alias(id_col), F.col("item").alias(item_col), "best.n_windows", "best.matched", "best.coverage", F.when(F.col("equal"), "verbatim").otherwise("reparameterised").alias("kind"))
     )
