@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridmeld.llm import langid
-from gridmeld.llm.common import held_out, written
+from gridmeld.llm.common import fresh, held_out, written
 from gridmeld.llm.decontaminate import contaminated
 from gridmeld.llm.lines import line_dedup
 from gridmeld.llm.mixing import mix
 from gridmeld.llm.neardup import near_duplicates
 
-#: The language model has no SQL form, so neither has the pipeline; tests hold each stage against brute force.
+#: The language model has no SQL form, so neither has the pipeline; tests/llm/test_pipeline.py holds each stage against brute force.
 ORACLE_SQL = None
 
 
@@ -36,17 +36,20 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least id of each group of near copies."""
     kept = written(near_duplicates(docs.select("doc_id", "text"), words=5, percent=80).where("kept and doc_id is not null").select("doc_id").distinct(), "kept")
+    turn = fresh(docs.columns)
     once = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id"))
-    found = docs.join(kept, "doc_id", "left_semi").withColumn("__turn", once).where("__turn = 1").select(docs.columns)
+    found = docs.join(kept, "doc_id", "left_semi").withColumn(turn, once).where(F.col(turn) == 1).select(docs.columns)
     return found.unionByName(docs.where("doc_id is null"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item, re-parameterised ones too."""
+    """Drops documents that hold a benchmark item, re-parameterised ones too. Rows are told
+    apart by id and text, so of rows that share an id only those with such a text go."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
-    keyed = docs.withColumn("__row", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
-    bad = written(contaminated(keyed.select("__row", "text"), items, id_col="__row").select("__row").distinct(), "contaminated")
-    return keyed.join(bad, "__row", "left_anti").select(docs.columns)
+    row = fresh(docs.columns)
+    keyed = docs.withColumn(row, F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"))
+    bad = written(contaminated(keyed.select(row, "text"), items, id_col=row).select(row).distinct(), "contaminated")
+    return keyed.join(bad, row, "left_anti").select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -95,14 +95,15 @@ def edges(start: float, stop: float, parts: int) -> Column:
     return F.lit(edge_list(start, stop, parts))
 
 
-def edges_below(value: Column, cuts: list, strict: bool = False) -> Column:
-    """How many of the sorted edges lie at or below a value (strictly below with strict),
-    by halving; null for null."""
+def edges_below(value: Column, cuts: list, strict: bool = False, unit: Column | None = None) -> Column:
+    """How many of the sorted edges (times a unit) lie at or below a value (strictly below
+    with strict), by halving; null for null."""
     def half(lo: int, hi: int) -> Column:
         if lo == hi:
             return F.lit(lo)
         mid = (lo + hi) // 2
-        right = value > F.lit(cuts[mid]) if strict else value >= F.lit(cuts[mid])
+        edge = F.lit(cuts[mid]) if unit is None else F.lit(cuts[mid]) * unit
+        right = value > edge if strict else value >= edge
         return F.when(right, half(mid + 1, hi)).otherwise(half(lo, mid))
 
     return F.when(value.isNotNull(), half(0, len(cuts)))

@@ -136,7 +136,8 @@ def nearest_code(df: DataFrame, codes: DataFrame, vector: str, code_vector: str
     expression, so nothing is blown up or shuffled.
     """
     book = codes.agg(F.array_sort(F.collect_list(F.struct(F.col(code_id).alias("i"), F.col(code_vector).alias("c")))).alias("__book"))
-    best = F.array_min(F.transform("__book", lambda e: F.struct(F.round(euclidean(F.col(vector), e["c"]), 9).alias("r"), e["i"].alias("i"), euclidean(F.col(vector), e["c"]).alias("d"))))
+    each = F.transform("__book", lambda e: F.struct(euclidean(F.col(vector), e["c"]).alias("d"), e["i"].alias("i")))
+    best = F.array_min(F.transform(each, lambda x: F.struct(F.round(x["d"], 9).alias("r"), x["i"].alias("i"), x["d"].alias("d"))))
     return df.crossJoin(F.broadcast(book)).withColumn("__best", best).drop("__book").withColumns({"idx": F.col("__best.i"), "dist": F.col("__best.d")}).drop("__best")
 
 

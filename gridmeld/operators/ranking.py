@@ -21,6 +21,8 @@ from gridmeld.sources.scratch import written
 PER_RANGE, MOST_RANGES = 250_000, 256
 #: Values of y that Kendall's running sums take in one task.
 CHUNK_BITS = 16
+#: Bits of a digit of the x ranks: more make fewer passes over the rows, and more sums in each.
+DIGIT_BITS = 2
 
 
 def range_cuts(df: DataFrame, columns: Sequence[str], buckets: int | None = None) -> list[list]:
@@ -150,16 +152,19 @@ def top_k_curve(pairs: DataFrame, shares: Sequence[float], truth: str = "truth",
 
 
 def curve_of(ranked: DataFrame, shares: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
-    """top_k_curve() of rows that have their ordinal ranks rt and rp and the size n."""
-    k, cuts = list(keys), [float(c) for c in shares]
-    ks = F.array(*[F.greatest(F.lit(1), F.ceil(F.lit(c) * F.col("n"))).cast("long") for c in cuts])
-    joined = ranked.select(*k, F.greatest("rt", "rp").alias("worst"), ks.alias("ks"))
-    # the greater rank counts for all cut-offs from it on: one count per stretch between cut-offs, then sums of these
-    counts = joined.groupBy(*k, "ks", F.array(*[(F.get("ks", F.lit(i)) >= F.col("worst")) for i in range(len(cuts))]).alias("within")).agg(F.count("*").alias("c"))
-    sums = [F.sum(F.when(F.get("within", F.lit(i)), F.col("c")).otherwise(F.lit(0))) for i in range(len(cuts))]
-    each = counts.groupBy(*k, "ks").agg(F.array(*sums).alias("sums"))
-    rows = F.arrays_zip(F.lit(cuts).alias("share"), F.col("ks").alias("k"), F.col("sums").alias("overlap"))
-    out = each.select(*k, F.inline(rows))
+    """top_k_curve() of rows that have their ordinal ranks rt and rp and the size n.
+
+    A row counts for all cut-offs from the first that reaches its greater rank on, so the
+    rows are counted per stretch between cut-offs and the counts added up.
+    """
+    k, cuts = list(keys), sorted(float(c) for c in shares)
+    least = lambda c: F.greatest(F.lit(1), F.ceil(F.lit(c) * F.col("n"))).cast("long")
+    # a rank is beyond ceil(share * n) exactly if the one before it reaches share * n
+    step = edges_below(F.greatest("rt", "rp") - 1, cuts, unit=F.col("n"))
+    step = F.when(F.greatest("rt", "rp") == 1, 0).otherwise(step)
+    counts = ranked.groupBy(*k, "n", step.alias("step")).agg(F.count("*").alias("c"))
+    rows = F.array(*[F.struct(F.lit(c).alias("share"), least(c).alias("k"), F.sum(F.when(F.col("step") <= i, F.col("c")).otherwise(F.lit(0))).alias("overlap")) for i, c in enumerate(cuts)])
+    out = counts.groupBy(*k, "n").agg(rows.alias("__rows")).select(*k, F.inline("__rows"))
     return out.select(*k, "share", "k", "overlap", (F.col("overlap") / F.col("k")).alias("recall"), (F.col("overlap") / F.col("k")).alias("precision"), (F.col("overlap") / (2 * F.col("k") - F.col("overlap"))).alias("jaccard"), F.col("share").alias("baseline"))
 
 
@@ -183,39 +188,48 @@ def kendall(pairs: DataFrame, x: str = "truth", y: str = "pred", keys: Sequence[
 def kendall_of(cells: DataFrame, keys: Sequence[str] = (), chunk_bits: int = CHUNK_BITS) -> DataFrame:
     """kendall() of (keys, rx, ry, c): dense ranks of both sides and how often they meet.
 
-    Any two rows with different x part at exactly one bit of their x ranks. For each
-    bit a row with that bit set looks at the rows of its block with the bit clear:
-    those with smaller y are concordant, with larger y discordant. Running sums in
-    order of y count them, within chunks of y first and then over the chunks, so that
-    the blocks of the highest bits spread over tasks, too.
+    Any two rows with different x part at exactly one digit (of base 4) of their x ranks.
+    For each digit a row looks at the rows of its block with a smaller one: those with
+    smaller y are concordant, with larger y discordant. Running sums in order of y
+    count them, within chunks of y first and then over the chunks, so that the blocks
+    of the highest digits spread over tasks, too.
     """
-    k = list(keys)
+    k, digits = list(keys), range(1, 1 << DIGIT_BITS)
     top, top_y, n = cells.agg(F.max("rx"), F.max("ry"), F.sum("c")).first()
-    levels, exact = max(1, int(top or 0).bit_length()), (n or 0) >= 1 << 31  # below that 64 bits hold every sum
+    levels, exact = max(1, -(-int(top or 0).bit_length() // DIGIT_BITS)), (n or 0) >= 1 << 31  # below that 64 bits hold every sum
     blown = cells.withColumn("rx", F.col("rx") - 1).select(*k, "ry", "c", "rx", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("level"))
-    blown = blown.withColumn("block", F.expr("shiftright(rx, level + 1)")).withColumn("one", F.expr("shiftright(rx, level) & 1"))
-    side = lambda bit: F.sum(F.when(F.col("one") == bit, F.col("c")).otherwise(0))
-    chunk = F.shiftright("ry", chunk_bits).alias("chunk")
-    per = blown.groupBy(*k, "level", "block", chunk, "ry").agg(side(0).alias("zeros"), side(1).alias("ones"))
-    block = Window.partitionBy(*k, "level", "block")
-    rows = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    before = lambda w, c: F.coalesce(F.sum(c).over(rows(w)), F.lit(0))
-    if int(top_y or 0) >> chunk_bits:
-        chunks = blown.groupBy(*k, "level", "block", chunk).agg(side(0).alias("n"))
-        chunks = chunks.select(*[F.col(c).alias(f"__k_{c}") for c in k], *[F.col(c).alias(f"__k_{c}") for c in ("level", "block", "chunk")], before(block.orderBy("chunk"), "n").alias("base"), F.sum("n").over(block).alias("total"))
+    block, split = [*k, "level", "block"], int(top_y or 0) >> chunk_bits > 0
+    place = [F.expr(f"shiftright(rx, (level + 1) * {DIGIT_BITS})").alias("block"), F.expr(f"cast(shiftright(rx, level * {DIGIT_BITS}) & {len(digits)} as int)").alias("digit"), F.shiftright("ry", chunk_bits).alias("chunk")]
+    blown = blown.select(*k, "level", *place, "ry", "c")
+    smaller = lambda j: F.sum(F.when(F.col("digit") < j, F.col("c")).otherwise(0))
+    w = Window.partitionBy(*block, *["chunk"] * split).orderBy("ry")
+    below, upto = (w.rangeBetween(Window.unboundedPreceding, end) for end in (-1, 0))
+    sums = {f"below{j}": F.coalesce(smaller(j).over(below), F.lit(0)) for j in digits} | {f"upto{j}": smaller(j).over(upto) for j in digits}
+    if split:
+        per = blown.withColumns(sums)
+        chunks = blown.groupBy(*block, "chunk").agg(*[smaller(j).alias(f"c{j}") for j in digits])
+        of_block = Window.partitionBy(*block)
+        before = of_block.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+        found = [x for j in digits for x in (F.coalesce(F.sum(f"c{j}").over(before), F.lit(0)).alias(f"base{j}"), F.sum(f"c{j}").over(of_block).alias(f"total{j}"))]
+        chunks = chunks.select(*[F.col(c).alias(f"__k_{c}") for c in (*block, "chunk")], *found)
         on = F.lit(True)
-        for c in (*k, "level", "block", "chunk"):
+        for c in (*block, "chunk"):
             on &= F.col(c).eqNullSafe(F.col(f"__k_{c}"))
-        per = per.withColumn("below", before(Window.partitionBy(*k, "level", "block", "chunk").orderBy("ry"), "zeros")).join(chunks, on).withColumn("below", F.col("below") + F.col("base"))
+        per = per.join(chunks, on)
     else:
-        per = per.withColumns({"below": before(block.orderBy("ry"), "zeros"), "total": F.sum("zeros").over(block)})
+        per = blown.withColumns(sums | {f"total{j}": smaller(j).over(Window.partitionBy(*block)) for j in digits} | {f"base{j}": F.lit(0) for j in digits})
+
+    def own(name: str) -> Column:
+        """What a row meets of all digits smaller than its own."""
+        out = F.lit(0).cast("long")
+        for j in digits:
+            out = F.when(F.col("digit") == j, F.col(f"{name}{j}")).otherwise(out)
+        return out
+
     wide = lambda c: c.cast("decimal(19,0)") if exact else c
-    times = lambda a, b: F.sum(wide(a) * wide(b)).cast("decimal(38,0)")
-    counts = per.groupBy(*k).agg(
-        times(F.col("ones"), F.col("below")).alias("concordant"),
-        times(F.col("ones"), F.col("total") - F.col("below") - F.col("zeros")).alias("discordant"),
-        times(F.col("ones"), F.col("zeros")).alias("tied_y_only"),
-    )
+    times = lambda met: F.sum(wide(F.col("c")) * wide(met)).cast("decimal(38,0)")
+    per = per.select(*k, "c", (own("base") + own("below")).alias("below"), (own("total") - own("base") - own("upto")).alias("above"), (own("upto") - own("below")).alias("same"))
+    counts = per.groupBy(*k).agg(times(F.col("below")).alias("concordant"), times(F.col("above")).alias("discordant"), times(F.col("same")).alias("tied_y_only"))
     by_x = cells.groupBy(*k, "rx").agg(F.sum("c").alias("c"), F.sum(pairs_of(F.col("c"), exact)).alias("both"))
     total = lambda c: F.sum(c).cast("decimal(38,0)")
     ties = by_x.groupBy(*k).agg(F.sum("c").alias("n"), total("both").alias("tied_both"), total(pairs_of(F.col("c"), exact) - F.col("both")).alias("tied_x_only"))
