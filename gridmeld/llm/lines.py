@@ -10,7 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, ascii_lower, fresh, hash128
+from .common import SPACES, ascii_lower, fresh, hash128, written
+
+#: So many of the most frequent keys, whose lines are dealt to this many tasks each.
+HOT_KEYS, HOT_PARTS = 1000, 64
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
@@ -28,6 +31,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     largest document stays there each time. Extra columns pass through, except that
     n_lines and n_dropped replace columns of these names. An empty table gives an
     empty table.
+
+    The `HOT_KEYS` most frequent keys, a list of fixed length (ties by hash), go to all tasks, so that
+    their lines are dealt to `HOT_PARTS` parts each; any other key has at most one in
+    `HOT_KEYS` of all lines.
     """
     t = fresh(docs.columns)
     base = docs.drop("n_lines", "n_dropped").withColumn(text_col, F.coalesce(F.col(text_col), F.lit("")))
@@ -43,13 +50,19 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     h = hash128(F.col(f"{t}line"))
     lines = lines.select(f"{t}id", f"{t}r1", f"{t}r2", f"{t}pos", h[0].alias(f"{t}h1"), h[1].alias(f"{t}h2"))
+    pair = [f"{t}h1", f"{t}h2"]
     common = (
-        lines.groupBy(f"{t}h1", f"{t}h2")
-        .agg(F.count_distinct(f"{t}id").alias(f"{t}n"), F.max(f"{t}id").alias(f"{t}keeper"))
+        lines.groupBy(*pair)
+        .agg(F.count_distinct(f"{t}id").alias(f"{t}n"), F.max(f"{t}id").alias(f"{t}keeper"), F.count("*").alias(f"{t}rows"))
         .where(F.col(f"{t}n") >= min_docs)
     )
+    common = written(common, "common_lines")
+    hot = F.broadcast(common.orderBy(F.desc(f"{t}rows"), *pair).limit(HOT_KEYS).select(*pair, F.lit(True).alias(f"{t}hot")))
+    parts = F.when(F.col(f"{t}hot"), F.lit(HOT_PARTS)).otherwise(1)
+    keepers = common.join(hot, pair, "left").select(*pair, f"{t}keeper", F.explode(F.sequence(F.lit(0), parts - 1)).alias(f"{t}part"))
+    dealt = lines.join(hot, pair, "left").withColumn(f"{t}part", F.pmod(F.hash(f"{t}id", f"{t}r1", f"{t}pos"), parts)).drop(f"{t}hot")
     dropped = (
-        lines.join(common, [f"{t}h1", f"{t}h2"])
+        dealt.join(keepers, [*pair, f"{t}part"])
         .where(~F.col(f"{t}id").eqNullSafe(F.col(f"{t}keeper")))
         .groupBy(f"{t}id", f"{t}r1", f"{t}r2")
         .agg(F.array_sort(F.collect_set(f"{t}pos")).alias(f"{t}gone"))

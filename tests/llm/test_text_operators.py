@@ -47,7 +47,9 @@ def clash(df):
     return df.withColumns({c: F.lit("x") for c in ("pos", "key", "size", "label", "copy", "score", "pii", "n_lines", "lang_pred", "predicted", "rep", "h")})
 
 
-def test_line_dedup(spark, docs):
+@pytest.mark.parametrize("hot_keys", [1, 1000])
+def test_line_dedup(spark, docs, monkeypatch, hot_keys):
+    monkeypatch.setattr("gridmeld.llm.lines.HOT_KEYS", hot_keys)
     rows, holders = corpus(), {}
     keys = lambda t: [x.strip("\t\n\x0b\x0c\r ").translate(LOW) for x in (t or "").split("\n")]
     for d, t, *_ in rows:
