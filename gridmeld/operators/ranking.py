@@ -19,8 +19,8 @@ from gridmeld.sources.scratch import written
 
 #: Rows that a range should hold, and the most ranges. With more rows ranges grow.
 PER_RANGE, MOST_RANGES = 250_000, 256
-#: Values of y that Kendall's running sums take in one task.
-CHUNK_BITS = 16
+#: Values of y that Kendall's running sums take in one task, about as many as a range of the ranks holds.
+CHUNK_BITS = 18
 #: Bits of a digit of the x ranks: more make fewer passes over the rows, and more sums in each.
 DIGIT_BITS = 2
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from math import ceil, log2
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,8 +15,9 @@ from gridmeld.operators.ranking import sum_before
 from gridmeld.sources.scratch import written
 
 
-def neighbours(sites: DataFrame, radius: float, key: str = "graph", node: str = "node", period: Sequence[Sequence[float]] = ()) -> DataFrame:
-    """(key, node, nbr, dist): all pairs of sites of one graph within a radius.
+def neighbours(sites: DataFrame, radius: float, key: str = "graph", node: str = "node", period: Sequence[Sequence[float]] = (), of: DataFrame | None = None) -> DataFrame:
+    """(key, node, nbr, dist): all pairs of sites of one graph within a radius, or those
+    of the sites `of` with all.
 
     Sites are binned by the radius and meet only those of the 27 bins around them,
     in an equal join. `period` holds lattice vectors whose images (one step each
@@ -29,12 +32,37 @@ def neighbours(sites: DataFrame, radius: float, key: str = "graph", node: str =
     images = images.select(F.col(key).alias("k2"), F.col(node).alias("nbr"), (F.col("x") + F.col("s.a")).alias("x2"), (F.col("y") + F.col("s.b")).alias("y2"), (F.col("z") + F.col("s.c")).alias("z2"), ((F.col("s.a") == 0) & (F.col("s.b") == 0) & (F.col("s.c") == 0)).alias("home"))
     images = images.withColumns({"bx": b(F.col("x2")), "by": b(F.col("y2")), "bz": b(F.col("z2"))})
     around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k")) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
-    probe = base.withColumn("o", F.explode(around)).select("*", (b(F.col("x")) + F.col("o.i")).alias("bx"), (b(F.col("y")) + F.col("o.j")).alias("by"), (b(F.col("z")) + F.col("o.k")).alias("bz"))
+    probe = (base if of is None else of.select(key, node, *[F.col(c).cast("double").alias(c) for c in "xyz"])).withColumn("o", F.explode(around)).select("*", (b(F.col("x")) + F.col("o.i")).alias("bx"), (b(F.col("y")) + F.col("o.j")).alias("by"), (b(F.col("z")) + F.col("o.k")).alias("bz"))
     on = (F.col(key) == F.col("k2")) & (probe.bx == images.bx) & (probe.by == images.by) & (probe.bz == images.bz)
     d = F.sqrt(F.pow(F.col("x2") - F.col("x"), 2) + F.pow(F.col("y2") - F.col("y"), 2) + F.pow(F.col("z2") - F.col("z"), 2))
     return probe.join(images, on).where(~(F.col("home") & (F.col(node) == F.col("nbr")))).select(key, node, "nbr", d.alias("dist")).where(F.col("dist") <= radius)
 
 
+def nearest_within(sites: DataFrame, radius: float, most: int, key: str = "graph", node: str = "node") -> DataFrame:
+    """(key, node, nbr, dist): the `most` nearest sites of each within a radius, ties to the
+    smaller nbr, without the pairs of all within it.
+
+    The search begins with a radius that fits the sites' density and doubles it for the
+    sites that haven't met enough others; who has, has met its nearest. Sites that
+    share one point meet each other in any case.
+    """
+    bins = sites.groupBy(key, *[F.floor(F.col(c) / radius).alias(f"__{c}") for c in "xyz"]).agg(F.count("*").cast("double").alias("c"))
+    full = bins.agg(F.try_divide(F.sum(F.col("c") * F.col("c")), F.sum("c"))).first()[0] or 0.0
+    steps = min(20, max(0, ceil(log2(max(full / (4 * most), 1.0)) / 3)))
+    order = Window.partitionBy(key, node).orderBy("dist", "nbr")
+    rest, found = sites.select(key, node, "x", "y", "z"), []
+    for step in range(steps, -1, -1):
+        near = neighbours(sites, radius / 2**step, key, node, of=rest).withColumn("__place", F.row_number().over(order)).where(F.col("__place") <= most)
+        if not step:
+            found.append(near.drop("__place"))
+            break
+        near = written(near)
+        done = near.where(F.col("__place") == most).select(key, node)
+        found.append(near.join(done, [key, node], "left_semi").drop("__place"))
+        rest = rest.join(done, [key, node], "left_anti")
+    return reduce(DataFrame.unionByName, found)
+
+
 def nearest_padded(edges: DataFrame, nodes: DataFrame, most: int, pad_distance: float, key: str = "graph", node: str = "node") -> DataFrame:
     """Exactly `most` neighbours per node in order of distance, short lists padded with
     neighbour 0 at the pad distance (is_pad tells them): (key, node, place, nbr, dist, is_pad)."""
@@ -114,7 +142,7 @@ def graph_features(points: DataFrame, radius: float, most: int, pad_distance: fl
     with its bond filters, both ends' features (null for padding) and both ends' ids
     over all graphs: (key, node, place, nbr, dist, is_pad, bond, global_id, nbr_global_id,
     features, nbr_features). Local ids must run from 0 within each graph."""
-    rows = bond_features(nearest_padded(neighbours(points, radius, key), points, most, pad_distance, key), **bond)
+    rows = bond_features(nearest_padded(nearest_within(points, radius, most, key), points, most, pad_distance, key), **bond)
     known = written(global_ids(points, key).select(key, "node", "global_id", "features"))
     other = known.select(key, F.col("node").alias("nbr"), (F.col("global_id") - F.col("node")).alias("__start"), F.col("features").alias("nbr_features"))
     out = rows.join(known, [key, "node"]).join(other, [key, "nbr"], "left")

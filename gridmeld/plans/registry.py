@@ -527,7 +527,7 @@ def points(spark: SparkSession, d: str) -> DataFrame:
 
 def nearest_points(spark: SparkSession, d: str) -> DataFrame:
     p = points(spark, d)
-    return sites.nearest_padded(sites.neighbours(p, 0.5), p, 12, 1.5)
+    return sites.nearest_padded(sites.nearest_within(p, 0.5, 12), p, 12, 1.5)
 
 
 @query(f"WITH {_NEAR} SELECT graph, node, place, nbr, round(dist, 9) AS dist, is_pad, round(exp(-pow(dist - 5 * CAST(0.2 AS DOUBLE), 2) / {0.2 * 0.2!r}), 8) AS bond_5, 41 AS n_bond FROM k")

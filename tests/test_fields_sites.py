@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -123,6 +124,21 @@ def test_radius_join_equals_all_pairs(spark):
     assert got == {(a[1], b[1]) for a in rows for b in rows if a is not b and math.dist(a[2:], b[2:]) <= 0.8}
 
 
+@pytest.mark.parametrize("spread", [0.05, 0.5, 5.0])
+def test_nearest_within_equals_all_pairs(spark, spread):
+    r = random.Random(3)
+    # whole 64ths, so that sums of squares are exact and equal distances are ties
+    rows = [(g, i, *[round(r.gauss(0, spread) * 64) / 64 for _ in range(3)]) for g in (0, 1) for i in range(120)] + [(2, 0, 0.0, 0.0, 0.0), (2, 1, None, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "graph int, node int, x double, y double, z double")
+    want = set()
+    for g, i, *a in rows:
+        near = sorted((math.sqrt(sum((p - q) ** 2 for p, q in zip(a, b))), j) for h, j, *b in rows if h == g and j != i and None not in (*a, *b))
+        want |= {(g, i, j, round(d, 9)) for d, j in [x for x in near if x[0] <= 1.0][:4]}
+    got = [(e["graph"], e["node"], e["nbr"], round(e["dist"], 9)) for e in sites.nearest_within(df, 1.0, 4).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert sites.nearest_within(df.limit(0), 1.0, 4).count() == 0
+
+
 def test_short_neighbour_lists_are_padded(spark):
     nodes = spark.createDataFrame([(0, 0), (0, 1)], "graph int, node int")
     edges = spark.createDataFrame([(0, 0, 1, 0.5)], "graph int, node int, nbr int, dist double")
