@@ -158,13 +158,15 @@ def curve_of(ranked: DataFrame, shares: Sequence[float], keys: Sequence[str] = (
     rows are counted per stretch between cut-offs and the counts added up.
     """
     k, cuts = list(keys), sorted(float(c) for c in shares)
-    least = lambda c: F.greatest(F.lit(1), F.ceil(F.lit(c) * F.col("n"))).cast("long")
+    least = lambda c: F.greatest(F.lit(1), F.ceil(c * F.col("n"))).cast("long")
     # a rank is beyond ceil(share * n) exactly if the one before it reaches share * n
     step = edges_below(F.greatest("rt", "rp") - 1, cuts, unit=F.col("n"))
     step = F.when(F.greatest("rt", "rp") == 1, 0).otherwise(step)
     counts = ranked.groupBy(*k, "n", step.alias("step")).agg(F.count("*").alias("c"))
-    rows = F.array(*[F.struct(F.lit(c).alias("share"), least(c).alias("k"), F.sum(F.when(F.col("step") <= i, F.col("c")).otherwise(F.lit(0))).alias("overlap")) for i, c in enumerate(cuts)])
-    out = counts.groupBy(*k, "n").agg(rows.alias("__rows")).select(*k, F.inline("__rows"))
+    steps = counts.groupBy(*k, "n").agg(F.collect_list(F.struct("step", "c")).alias("__steps"))  # at most one more than there are cut-offs
+    out = steps.select(*k, "n", "__steps", F.posexplode(F.lit(cuts)).alias("__i", "share"))
+    upto = F.filter("__steps", lambda s: s["step"] <= F.col("__i"))
+    out = out.select(*k, "share", least(F.col("share")).alias("k"), F.aggregate(upto, F.lit(0).cast("long"), lambda n, s: n + s["c"]).alias("overlap"))
     return out.select(*k, "share", "k", "overlap", (F.col("overlap") / F.col("k")).alias("recall"), (F.col("overlap") / F.col("k")).alias("precision"), (F.col("overlap") / (2 * F.col("k") - F.col("overlap"))).alias("jaccard"), F.col("share").alias("baseline"))
 
 
