@@ -555,7 +555,7 @@ def pooled_graphs(spark: SparkSession, d: str) -> DataFrame:
     SELECT n.graph, vec_id, CAST(node AS INTEGER) AS node, CAST(node + coalesce((SELECT sum(c) FROM s WHERE s.graph < n.graph), 0) AS BIGINT) AS global_id FROM n""")
 def stacked_graph_ids(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings").select(F.col("label").alias("graph"), "vec_id")
-    local = e.withColumn("node", F.row_number().over(ranking.Window.partitionBy("graph").orderBy("vec_id")) - 1)
+    local = ranking.with_position(e, ["graph"], ["vec_id"], "node").withColumn("node", F.col("node").cast("int"))
     return sites.global_ids(local).select("graph", "vec_id", "node", "global_id")
 
 
@@ -568,13 +568,38 @@ def stacked_graph_ids(spark: SparkSession, d: str) -> DataFrame:
     FROM n CROSS JOIN range(1, 13) r(g) JOIN st0 ON st0.graph = n.graph LEFT JOIN nr ON nr.graph = n.graph AND nr.node = n.node AND nr.place = g""")
 def graph_features(spark: SparkSession, d: str) -> DataFrame:
     """Nodes to padded neighbours with bond filters, features of both ends and ids over all graphs."""
-    p = points(spark, d).withColumn("node", F.row_number().over(ranking.Window.partitionBy("graph").orderBy("node")) - 1)
-    out = sites.graph_features(written(p), 0.1, 12, 1.5)
+    p = points(spark, d).withColumnRenamed("node", "id")
+    p = ranking.with_position(p, ["graph"], ["id"], "node").withColumn("node", F.col("node").cast("int"))
+    return _graph_rows(sites.graph_features(written(p), 0.1, 12, 1.5))
+
+
+def _graph_rows(out: DataFrame) -> DataFrame:
     f = lambda c, i: F.get(c, F.lit(i))
     out = out.select("graph", "node", "place", "nbr", "dist", "is_pad", f("bond", 5).alias("bond_5"), "global_id", "nbr_global_id", f("features", 3).alias("own"), f("nbr_features", 3).alias("other"))
     return rounded(rounded(out, 9, "dist"), 8, "bond_5")
 
 
+#: A skewed cell of crystals, whose size goes with the graph.
+_CRYSTAL = [(0.41, 0.0, 0.0), (0.13, 0.38, 0.0), (-0.09, 0.11, 0.44)]
+
+
+@query(f"""WITH n AS (SELECT vec_id // 4 AS graph, CAST(vec_id % 4 AS INTEGER) AS node, 1 + (vec_id // 4 % 5) / CAST(10 AS DOUBLE) AS s, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z, CAST(embedding[4] AS DOUBLE) AS f FROM embeddings),
+    im AS (SELECT {", ".join(f"p * CAST({a} AS DOUBLE) + q * CAST({b} AS DOUBLE) + r * CAST({c} AS DOUBLE) AS d{i}" for i, (a, b, c) in zip("xyz", zip(*_CRYSTAL)))}, p = 0 AND q = 0 AND r = 0 AS home FROM range(-8, 9) p(p), range(-8, 9) q(q), range(-8, 9) r(r)),
+    nb AS (SELECT a.graph, a.node, b.node AS nbr, sqrt(pow(b.x + a.s * dx - a.x, 2) + pow(b.y + a.s * dy - a.y, 2) + pow(b.z + a.s * dz - a.z, 2)) AS dist, b.f AS nf FROM n a JOIN n b ON a.graph = b.graph, im WHERE NOT (home AND a.node = b.node)),
+    nr AS (SELECT *, row_number() OVER (PARTITION BY graph, node ORDER BY dist, nbr) AS place FROM nb WHERE dist <= 0.5),
+    st0 AS (SELECT graph, coalesce(sum(c) OVER (ORDER BY graph ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM (SELECT graph, count(*) AS c FROM n GROUP BY graph))
+    SELECT n.graph, n.node, CAST(g AS INTEGER) AS place, coalesce(nr.nbr, 0) AS nbr, round(coalesce(nr.dist, 1.5), 9) AS dist, nr.nbr IS NULL AS is_pad, round(exp(-pow(coalesce(nr.dist, 1.5) - 5 * CAST(0.2 AS DOUBLE), 2) / {0.2 * 0.2!r}), 8) AS bond_5,
+        CAST(start + n.node AS BIGINT) AS global_id, CAST(start + coalesce(nr.nbr, 0) AS BIGINT) AS nbr_global_id, n.f AS own, nr.nf AS other
+    FROM n CROSS JOIN range(1, 31) r(g) JOIN st0 ON st0.graph = n.graph LEFT JOIN nr ON nr.graph = n.graph AND nr.node = n.node AND nr.place = g""")
+def crystal_features(spark: SparkSession, d: str) -> DataFrame:
+    """graph_features() of crystals of four sites each, whose cells are smaller than the
+    radius: each site has neighbours in several images, its own among them."""
+    p = points(spark, d).withColumns({"graph": F.expr("node div 4"), "node": F.col("node") % 4})
+    size = 1 + (F.col("graph") % 5) / F.lit(10.0)
+    p = p.withColumn("cell", F.array(*[F.array(*[size * c for c in v]) for v in _CRYSTAL]))
+    return _graph_rows(sites.graph_features(written(p), 0.5, 30, 1.5, period="cell"))
+
+
 # ---- features and lookups ----
 
 _SPECIES = "sp AS (SELECT s AS species, [CAST(s % 2 AS DOUBLE), CAST(s % 3 AS DOUBLE), CAST(s AS DOUBLE)] AS features FROM range(1, 46) r(s))"
