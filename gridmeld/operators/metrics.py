@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridmeld.functions.expressions import error_gain, finite
-from gridmeld.operators.ranking import curve_of, kendall_of, range_cuts, with_ranks
+from gridmeld.operators.ranking import curve_of, kendall_of, range_cuts, ranged, with_ranks
 from gridmeld.sources.scratch import written
 
 
@@ -45,13 +45,13 @@ def basic_report(pairs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 def ranked_pairs(pairs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """The finite pairs with all their ranks, as a written table from which every measure
-    comes: ta, pa (average), to, po (ordinal by id), td, pd (dense), rt, rp (ordinal,
-    best first) and the group's size n."""
+    comes: ta, pa (average), to, po (ordinal by id), rt, rp (ordinal,
+    best first), tm (least rank of equals) and the group's size n."""
     k = list(keys)
     slim = written(mask_finite(pairs, "truth", "pred").select(*k, "id", "truth", "pred"))
     *cuts, _ = range_cuts(slim, ["truth", "pred", "id"])
-    names = lambda c: {f"{c}a": ("average", False), f"{c}o": ("ordinal", False), f"{c}d": ("dense", False), f"r{c}": ("ordinal", True)}
-    out = with_ranks(slim, "truth", {**names("t"), "n": ("size", False)}, k, cuts=(cuts[0], cuts[2]))
+    names = lambda c: {f"{c}a": ("average", False), f"{c}o": ("ordinal", False), f"r{c}": ("ordinal", True)}
+    out = with_ranks(slim, "truth", {**names("t"), "tm": ("min", False), "n": ("size", False)}, k, cuts=(cuts[0], cuts[2]))
     return written(with_ranks(out, "pred", names("p"), k, cuts=(cuts[1], cuts[2])))
 
 
@@ -73,7 +73,7 @@ def report_of(ranked: DataFrame, keys: Sequence[str] = ("model",), shares: Seque
         overlap = F.count_if(F.greatest("rt", "rp") <= least(s))
         tops += [overlap.alias(f"top{round(s * 100)}_overlap"), (overlap / F.max(least(s))).alias(f"top{round(s * 100)}_recall")]
     main = ranked.groupBy(*k).agg(*moments(), pearson(F.col(f"t{sign}").cast("double"), F.col(f"p{sign}").cast("double")).alias("spearman"), *tops)
-    cells = ranked.groupBy(*k, F.col("td").alias("rx"), F.col("pd").alias("ry")).agg(F.count("*").alias("c"))
+    cells = ranked.groupBy(*k, F.col("tm").alias("rx"), F.col("pred").alias("ry")).agg(F.count("*").alias("c"))
     tau = kendall_of(cells, k).select(*[F.col(c).alias(f"__k_{c}") for c in k], "concordant", "discordant", "tau")
     on = F.lit(True)
     for c in k:
@@ -182,13 +182,25 @@ def hex_bins(df: DataFrame, x: str, y: str, low: float | Column, high: float | C
     return out.groupBy(*keys, "lattice", "i", "j").agg(F.count("*").alias("n"))
 
 
+def same_keys(keys: Sequence[str], prefix: str = "__k_") -> Column:
+    """The condition that a row's keys equal those of another table under a prefix, nulls too."""
+    on = F.lit(True)
+    for c in keys:
+        on &= F.col(c).eqNullSafe(F.col(f"{prefix}{c}"))
+    return on
+
+
+def with_group(df: DataFrame, keys: Sequence[str], *aggregates: Column) -> DataFrame:
+    """Adds aggregates of each row's group, which are joined, so that a large group isn't one task's."""
+    found = df.groupBy(*keys).agg(*aggregates)
+    if not keys:
+        return df.crossJoin(F.broadcast(found))  # one row
+    return df.join(found.withColumnsRenamed({c: f"__k_{c}" for c in keys}), same_keys(keys)).drop(*[f"__k_{c}" for c in keys])
+
+
 def min_max(df: DataFrame, value: str, keys: Sequence[str] = (), name: str = "scaled", flat: str = "raw") -> DataFrame:
     """Scales to 0..1 per group; where a group is flat the value stays (`raw`) or is null."""
-    if keys:
-        w = Window.partitionBy(*keys)
-        work = df.withColumns({"__lo": F.min(value).over(w), "__hi": F.max(value).over(w)})
-    else:
-        work = df.crossJoin(F.broadcast(df.agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))))
+    work = with_group(df, keys, F.min(value).alias("__lo"), F.max(value).alias("__hi"))
     scaled = F.try_divide(F.col(value) - F.col("__lo"), F.col("__hi") - F.col("__lo"))
     if flat == "raw":
         scaled = F.coalesce(scaled, F.col(value))
@@ -198,14 +210,7 @@ def min_max(df: DataFrame, value: str, keys: Sequence[str] = (), name: str = "sc
 def joint_min_max(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """Scales several columns by their common least and greatest value (suffix _scaled)."""
     lo, hi = F.least(*[F.min(c) for c in columns]), F.greatest(*[F.max(c) for c in columns])
-    span = df.groupBy(*keys).agg(lo.alias("__lo"), hi.alias("__hi"))
-    if keys:
-        on = F.lit(True)
-        for c in keys:
-            on &= F.col(c).eqNullSafe(F.col(f"__k_{c}"))
-        work = df.join(span.withColumnsRenamed({c: f"__k_{c}" for c in keys}), on).drop(*[f"__k_{c}" for c in keys])
-    else:
-        work = df.crossJoin(F.broadcast(span))  # one row
+    work = with_group(df, keys, lo.alias("__lo"), hi.alias("__hi"))
     return work.withColumns({f"{c}_scaled": F.coalesce(F.try_divide(F.col(c) - F.col("__lo"), F.col("__hi") - F.col("__lo")), F.col(c)) for c in columns}).drop("__lo", "__hi")
 
 
@@ -214,7 +219,29 @@ def normaliser(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame
     return df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))
 
 
-def carry_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, accepted: str, name: str = "carried") -> DataFrame:
-    """The last accepted value up to each row of a trajectory."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn(name, F.last(F.when(F.col(accepted), F.col(value)), ignorenulls=True).over(w))
+def carry_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, accepted: str, name: str = "carried", buckets: int | None = None) -> DataFrame:
+    """The last accepted value that isn't null, up to each row of a trajectory in the given order (nulls first).
+
+    "Last accepted" is associative, so trajectories are cut into ranges of the first order column,
+    which must be a number or a time (ties: by the second, if that is one): it is worked out
+    within each (keys, range), then over the ranges' last values, and a row without any in
+    its range takes the one before. So a long trajectory is many tasks' work. df is
+    read three times, so an expensive one should be a written table.
+    """
+    k, rows = list(keys), lambda w, end: w.rowsBetween(Window.unboundedPreceding, end)
+    times, types = ("timestamp", "timestamp_ntz", "date"), dict(df.dtypes)
+    number = [(F.col(c).cast("timestamp") if types[c] in times else F.col(c)).cast("double").alias(f"__o{i}") for i, c in enumerate(order[:2]) if i == 0 or types[c] not in ("string", "binary")]
+    own = F.when(F.col(accepted) & F.col(value).isNotNull(), F.struct(F.col(value).alias("v")))
+    work = df.select("*", *number).withColumn("__v", own)
+    names = [f"__o{i}" for i in range(len(number))]
+    *cuts, _ = range_cuts(work, names, buckets)
+    work = ranged(work, "__o0", names[-1], cuts[0], cuts[1] if len(cuts) > 1 else [], nulls_first=True)
+    part = [*k, "__b", "__s"]
+    work = work.withColumn("__own", F.last("__v", ignorenulls=True).over(rows(Window.partitionBy(*part).orderBy(*order), Window.currentRow)))
+    last = F.max_by("__v", F.struct(*order)).alias("__v")
+    ends = work.where("__v is not null").groupBy(*part).agg(last)
+    ranges = work.select(*part).distinct().withColumnsRenamed({c: f"__k_{c}" for c in part})
+    ends = ranges.join(ends, same_keys(part), "left").select(*[f"__k_{c}" for c in part], "__v")
+    of_key = Window.partitionBy(*[f"__k_{c}" for c in k]).orderBy("__k___b", "__k___s")  # one row per range
+    ends = ends.withColumn("__before", F.last("__v", ignorenulls=True).over(rows(of_key, -1))).drop("__v")
+    return work.join(ends, same_keys(part)).withColumn(name, F.coalesce("__own", "__before")["v"]).select(*[c for c in df.columns if c != name], name)

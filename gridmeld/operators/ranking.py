@@ -19,8 +19,6 @@ from gridmeld.sources.scratch import written
 
 #: Rows that a range should hold, and the most ranges. With more rows ranges grow.
 PER_RANGE, MOST_RANGES = 250_000, 256
-#: Values of y that Kendall's running sums take in one task, about as many as a range of the ranks holds.
-CHUNK_BITS = 18
 #: Bits of a digit of the x ranks: more make fewer passes over the rows, and more sums in each.
 DIGIT_BITS = 2
 
@@ -35,11 +33,12 @@ def range_cuts(df: DataFrame, columns: Sequence[str], buckets: int | None = None
     return [*[[q[i] for i in at if q[i] == q[i]] if q else [] for q in row[1:]], row[0]]
 
 
-def _ranged(df: DataFrame, value: str, tie: str, cuts: list, tie_cuts: list) -> DataFrame:
-    """Adds __b, the range (odd and the last: rows of one value), and __s, its part."""
+def ranged(df: DataFrame, value: str, tie: str, cuts: list, tie_cuts: list, nulls_first: bool = False) -> DataFrame:
+    """Adds __b, the range (odd and the one of nulls: rows of one value), and __s, its part by the
+    tie column. Both together rise with (value, tie)."""
     single = sorted({c for c, d in zip(cuts, cuts[1:]) if c == d})
     edges = sorted(set(cuts))
-    v, last = F.col(value), 2 * len(edges) + 2
+    v, last = F.col(value), -2 if nulls_first else 2 * len(edges) + 2
     inner = 2 * edges_below(v, edges, strict=True)
     if single:
         inner = inner + v.isin(single).cast("int")
@@ -59,7 +58,7 @@ def with_ranks(df: DataFrame, value: str, names: Mapping[str, tuple[str, bool]],
     """
     k, dense = list(keys), any(m == "dense" for m, _ in names.values())
     cuts = cuts or range_cuts(df, [value, tie], buckets)[:2]
-    work = _ranged(df, value, tie, *cuts)
+    work = ranged(df, value, tie, *cuts)
     null = 2 * len(set(cuts[0])) + 2
     kinds = F.when(F.first("__one"), F.lit(1).cast("long")).otherwise(F.count_distinct(value)) if dense else F.lit(0).cast("long")
     counts = work.groupBy(*k, "__b", "__s").agg(F.count("*").alias("__n"), kinds.alias("__d"))
@@ -177,72 +176,71 @@ def pairs_of(c: Column, exact: bool) -> Column:
     return F.when(c % 2 == 0, wide(half(c)) * wide(c - 1)).otherwise(wide(c) * wide(half(c - 1)))
 
 
-def kendall(pairs: DataFrame, x: str = "truth", y: str = "pred", keys: Sequence[str] = (), chunk_bits: int = CHUNK_BITS) -> DataFrame:
+def kendall(pairs: DataFrame, x: str = "truth", y: str = "pred", keys: Sequence[str] = (), per_chunk: int = PER_RANGE) -> DataFrame:
     """Kendall's tau-b per group, with the numbers of concordant, discordant and tied
     pairs, in n log^2 n. Rows with a null take no part."""
     k = list(keys)
-    cells = pairs.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*k, F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").alias("c"))
-    cells = written(cells)
-    cells = with_rank(with_rank(cells, "x", "rx", k, "dense", "y"), "y", "ry", k, "dense", "x")
-    return kendall_of(written(cells.select(*k, "rx", "ry", "c")), k, chunk_bits)
+    cells = pairs.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*k, F.col(x).alias("x"), F.col(y).alias("ry")).agg(F.count("*").alias("c"))
+    cells = with_rank(written(cells), "x", "rx", k, "min", "ry")
+    return kendall_of(written(cells.select(*k, "rx", "ry", "c")), k, per_chunk)
 
 
-def kendall_of(cells: DataFrame, keys: Sequence[str] = (), chunk_bits: int = CHUNK_BITS) -> DataFrame:
-    """kendall() of (keys, rx, ry, c): dense ranks of both sides and how often they meet.
+def kendall_of(cells: DataFrame, keys: Sequence[str] = (), per_chunk: int = PER_RANGE) -> DataFrame:
+    """kendall() of (keys, rx, ry, c): whole numbers from 1 in the order of one side, any numbers in
+    the order of the other, and how often they meet.
 
-    Any two rows with different x part at exactly one digit (of base 4) of their x ranks.
-    For each digit a row looks at the rows of its block with a smaller one: those with
-    smaller y are concordant, with larger y discordant. Running sums in order of y
-    count them, within chunks of y first and then over the chunks, so that the blocks
-    of the highest digits spread over tasks, too.
+    Any two rows with different rx part at exactly one digit (of base 4), and are
+    concordant if the one with the smaller digit has the smaller ry. So for each digit the
+    rows of a block are added up per ry, and running sums in order of ry count those below. The sums
+    run within chunks of ry, whose ends hold equal numbers of rows, and over the chunks' totals;
+    a value of ry that very many rows share is one row of its block by then. What isn't
+    concordant follows from the ties of either side.
     """
-    k, digits = list(keys), range(1, 1 << DIGIT_BITS)
-    top, top_y, n = cells.agg(F.max("rx"), F.max("ry"), F.sum("c")).first()
+    k, digits = list(keys), range(1 << DIGIT_BITS)
+    probs = [i / MOST_RANGES for i in range(1, MOST_RANGES)]
+    top, n, rows, cuts = cells.agg(F.max("rx"), F.sum("c"), F.count("*"), F.percentile_approx("ry", probs, 10_000)).first()
     levels, exact = max(1, -(-int(top or 0).bit_length() // DIGIT_BITS)), (n or 0) >= 1 << 31  # below that 64 bits hold every sum
-    blown = cells.withColumn("rx", F.col("rx") - 1).select(*k, "ry", "c", "rx", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("level"))
-    block, split = [*k, "level", "block"], int(top_y or 0) >> chunk_bits > 0
-    place = [F.expr(f"shiftright(rx, (level + 1) * {DIGIT_BITS})").alias("block"), F.expr(f"cast(shiftright(rx, level * {DIGIT_BITS}) & {len(digits)} as int)").alias("digit"), F.shiftright("ry", chunk_bits).alias("chunk")]
-    blown = blown.select(*k, "level", *place, "ry", "c")
-    smaller = lambda j: F.sum(F.when(F.col("digit") < j, F.col("c")).otherwise(0))
-    w = Window.partitionBy(*block, *["chunk"] * split).orderBy("ry")
-    below, upto = (w.rangeBetween(Window.unboundedPreceding, end) for end in (-1, 0))
-    sums = {f"below{j}": F.coalesce(smaller(j).over(below), F.lit(0)) for j in digits} | {f"upto{j}": smaller(j).over(upto) for j in digits}
-    if split:
-        per = blown.withColumns(sums)
-        chunks = blown.groupBy(*block, "chunk").agg(*[smaller(j).alias(f"c{j}") for j in digits])
-        of_block = Window.partitionBy(*block)
-        before = of_block.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-        found = [x for j in digits for x in (F.coalesce(F.sum(f"c{j}").over(before), F.lit(0)).alias(f"base{j}"), F.sum(f"c{j}").over(of_block).alias(f"total{j}"))]
-        chunks = chunks.select(*[F.col(c).alias(f"__k_{c}") for c in (*block, "chunk")], *found)
-        on = F.lit(True)
-        for c in (*block, "chunk"):
-            on &= F.col(c).eqNullSafe(F.col(f"__k_{c}"))
-        per = per.join(chunks, on)
-    else:
-        per = blown.withColumns(sums | {f"total{j}": smaller(j).over(Window.partitionBy(*block)) for j in digits} | {f"base{j}": F.lit(0) for j in digits})
-
-    def own(name: str) -> Column:
-        """What a row meets of all digits smaller than its own."""
-        out = F.lit(0).cast("long")
-        for j in digits:
-            out = F.when(F.col("digit") == j, F.col(f"{name}{j}")).otherwise(out)
-        return out
-
+    chunks = min(MOST_RANGES, rows // per_chunk + 1)
+    cuts = sorted({cuts[round(i * MOST_RANGES / chunks) - 1] for i in range(1, chunks)} if cuts else set())
+    block = [*k, "level", "block", "chunk"]
+    place = [F.expr(f"shiftright(rx, (level + 1) * {DIGIT_BITS})").alias("block"), F.expr(f"cast(shiftright(rx, level * {DIGIT_BITS}) & {len(digits) - 1} as int)").alias("digit")]
+    blown = cells.select(*k, "ry", "c", (F.col("rx") - 1).alias("rx"), edges_below(F.col("ry"), cuts, strict=True).alias("chunk"), F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("level"))
+    blown = blown.select(*k, "level", "chunk", *place, "ry", "c")
+    sums = [F.sum(F.when(F.col("digit") == j, F.col("c")).otherwise(0)).alias(f"c{j}") for j in digits]
     wide = lambda c: c.cast("decimal(19,0)") if exact else c
-    times = lambda met: F.sum(wide(F.col("c")) * wide(met)).cast("decimal(38,0)")
-    per = per.select(*k, "c", (own("base") + own("below")).alias("below"), (own("total") - own("base") - own("upto")).alias("above"), (own("upto") - own("below")).alias("same"))
-    counts = per.groupBy(*k).agg(times(F.col("below")).alias("concordant"), times(F.col("above")).alias("discordant"), times(F.col("same")).alias("tied_y_only"))
-    by_x = cells.groupBy(*k, "rx").agg(F.sum("c").alias("c"), F.sum(pairs_of(F.col("c"), exact)).alias("both"))
+
+    def met(df: DataFrame, group: Sequence[str], order: str) -> DataFrame:
+        """(keys, met): each row's numbers times those of smaller digits in the rows of its group before."""
+        before = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        below = df.withColumns({f"b{j}": F.coalesce(F.sum(f"c{j}").over(before), F.lit(0)) for j in digits[:-1]})
+        times = F.lit(0).cast("decimal(38,0)" if exact else "long")
+        for j in digits[1:]:
+            times = times + wide(F.col(f"c{j}")) * wide(sum((F.col(f"b{i}") for i in range(1, j)), F.col("b0")))
+        return below.select(*k, times.alias("met"))
+
+    found = met(blown.groupBy(*block, "ry").agg(*sums), block, "ry")
+    if cuts:
+        found = found.unionByName(met(blown.groupBy(*block).agg(*sums), block[:-1], "chunk"))
     total = lambda c: F.sum(c).cast("decimal(38,0)")
-    ties = by_x.groupBy(*k).agg(F.sum("c").alias("n"), total("both").alias("tied_both"), total(pairs_of(F.col("c"), exact) - F.col("both")).alias("tied_x_only"))
-    counts = counts.select(*[F.col(c).alias(f"__k_{c}") for c in k], "concordant", "discordant", "tied_y_only")
-    on = F.lit(True)
-    for c in k:
-        on &= F.col(c).eqNullSafe(F.col(f"__k_{c}"))
-    out = ties.join(counts, on).drop(*[f"__k_{c}" for c in k]) if k else ties.crossJoin(counts)  # one row each
+    concordant = found.groupBy(*k).agg(total("met").alias("concordant"))
+    # tied pairs of both sides, of either, and all pairs
+    both = cells.groupBy(*k).agg(total(pairs_of(F.col("c"), exact)).alias("tied_both"), F.sum("c").alias("n"))
+    tied = lambda side: cells.groupBy(*k, side).agg(F.sum("c").alias("c")).groupBy(*k).agg(total(pairs_of(F.col("c"), exact)).alias(f"tied_{side}"))
+    out = both
+    for part in (concordant, tied("rx"), tied("ry")):
+        if k:
+            on = F.lit(True)
+            for c in k:
+                on &= F.col(c).eqNullSafe(F.col(f"__k_{c}"))
+            out = out.join(part.withColumnsRenamed({c: f"__k_{c}" for c in k}), on).drop(*[f"__k_{c}" for c in k])
+        else:
+            out = out.crossJoin(part)  # one row each
+    only = {f"tied_{s}_only": (F.col(f"tied_r{s}") - F.col("tied_both")).cast("decimal(38,0)") for s in "xy"}
+    rest = pairs_of(F.col("n"), exact).cast("decimal(38,0)") - F.col("concordant") - F.col("tied_rx") - F.col("tied_ry") + F.col("tied_both")
+    out = out.withColumns(only | {"discordant": rest.cast("decimal(38,0)")})
     c, d = F.col("concordant").cast("double"), F.col("discordant").cast("double")
     norm = F.sqrt((c + d + F.col("tied_x_only").cast("double")) * (c + d + F.col("tied_y_only").cast("double")))
-    return out.withColumn("tau", F.try_divide(c - d, norm))
+    return out.select(*k, "n", "tied_both", "tied_x_only", "concordant", "discordant", "tied_y_only", F.try_divide(c - d, norm).alias("tau"))
 
 
 def shuffled(df: DataFrame, id_col: str, seed: int = 123, order: Column | None = None, name: str = "position") -> DataFrame:

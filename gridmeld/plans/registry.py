@@ -202,14 +202,18 @@ _SCALED = _PAIRS.replace("pairs AS (SELECT 'a' AS model, id, truth, pa AS pred F
     pairs AS (SELECT 'a' AS model, id, (truth - lo) / (hi - lo) AS truth, (pa - lo) / (hi - lo) AS pred FROM base, sp0 UNION ALL SELECT 'b', id, (truth - lo) / (hi - lo), (pb - lo) / (hi - lo) FROM base, sp0)""")
 
 
-@query(f"""WITH {_SCALED}, {_MOMENTS}, {_top(_SHARES)}, hx AS ({_HEX})
-    SELECT 'report' AS part, model, metric AS name, round(value, 7) AS value FROM (SELECT m.model, CAST(n AS DOUBLE) AS n, r2, mae, rmse, pearson, spearman FROM m JOIN sp USING (model)) UNPIVOT (value FOR metric IN (n, r2, mae, rmse, pearson, spearman))
+@query(f"""WITH {_SCALED}, {_MOMENTS}, {_KENDALL}, {_top(_SHARES)}, hx AS ({_HEX})
+    SELECT 'report' AS part, model, metric AS name, round(value, 7) AS value FROM (
+        SELECT m.model, CAST(n AS DOUBLE) AS n, r2, mae, rmse, pearson, spearman, CAST(concordant AS DOUBLE) AS concordant, CAST(discordant AS DOUBLE) AS discordant,
+            (concordant - discordant) / sqrt(CAST(concordant + discordant + tx AS DOUBLE) * (concordant + discordant + ty)) AS tau FROM m JOIN sp USING (model) JOIN kp USING (model))
+        UNPIVOT (value FOR metric IN (n, r2, mae, rmse, pearson, spearman, concordant, discordant, tau))
+    UNION ALL SELECT 'report', model, 'top' || CAST(round(share * 100) AS INTEGER) || '_' || what, round(CASE what WHEN 'overlap' THEN overlap ELSE overlap / CAST(k AS DOUBLE) END, 7) FROM ov, (VALUES ('overlap'), ('recall')) w(what)
     UNION ALL SELECT 'curve', model, 'k' || k, CAST(overlap AS DOUBLE) FROM ov
     UNION ALL SELECT 'hexagons', model, concat_ws('_', CAST(lattice AS INTEGER), CAST(i AS INTEGER), CAST(j AS INTEGER)), CAST(c AS DOUBLE) FROM hx""")
 def evaluation_job(spark: SparkSession, d: str) -> DataFrame:
     """Joint scaling, report, recall curve and rank hexagons of two models in one job."""
     report, curve, hexagons = metrics.evaluation(wide_pairs(spark, d), "truth", {"a": "pa", "b": "pb"}, _SHARES)
-    long = metrics.melted(report.select("model", "n", "r2", "mae", "rmse", "pearson", "spearman")).select(F.lit("report").alias("part"), "model", F.col("metric").alias("name"), "value")
+    long = metrics.melted(report).select(F.lit("report").alias("part"), "model", F.col("metric").alias("name"), "value")
     long = long.unionByName(curve.select(F.lit("curve").alias("part"), "model", F.concat(F.lit("k"), F.col("k").cast("string")).alias("name"), F.col("overlap").cast("double").alias("value")))
     long = long.unionByName(hexagons.select(F.lit("hexagons").alias("part"), "model", F.concat_ws("_", *[F.col(c).cast("string") for c in ("lattice", "i", "j")]).alias("name"), F.col("n").cast("double").alias("value")))
     return rounded(long, 7, "value")

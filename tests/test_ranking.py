@@ -55,7 +55,7 @@ def test_ranks_without_keys_keep_rows_with_nulls(spark):
 
 def test_kendall_in_chunks_equals_one_chunk(spark, tied):
     df = pairs(spark, tied).selectExpr("*", "id % 2 as g")
-    a, b = (sorted(map(str, kendall(df, keys=["g"], chunk_bits=n).collect())) for n in (16, 1))
+    a, b = (sorted(map(str, kendall(df, keys=["g"], per_chunk=n).collect())) for n in (1 << 16, 3))
     assert a == b
 
 
