@@ -10,9 +10,11 @@ beyond their kind's threshold are added, of overlapping ones the better.
 The trees learn what the base patterns can't see: base spans of a bounded sample are
 put back into their own contexts in a disguise (no plus sign, other separators, a
 number next to them, "[at]" and "dot"), and a candidate that meets such a span exactly
-is an example of its kind. All other candidates there, numbers of other sorts put
-into the same contexts, and what the generators find in the sample's own texts
-are examples of none. Thresholds are set on held-back examples for a wanted precision.
+is an example of its kind. All other candidates there and numbers of other sorts put
+into the same contexts are examples of none. What the generators find in the sample's own
+texts may be personal data that the base patterns miss, so it is unlabelled: first trees judge it,
+and only what they find less likely than nearly all disguised spans is an example of
+none for the trees that are used. Thresholds are set on held-back examples for a wanted precision.
 """
 
 from __future__ import annotations
@@ -261,8 +263,9 @@ def _seen(generator: str, text: Column) -> Column:
 
 
 def examples(docs: DataFrame, text_col: str = "text", most_docs: int = 20_000) -> DataFrame:
-    """(h, generator, f, kind): candidates with their features and the kind that they
-    are an example of (null: none), from about `most_docs` documents, which a hash of
+    """(h, generator, own, f, kind): candidates with their features and the kind that they
+    are an example of (null: none, or not known where `own` says that a candidate stands in the
+    documents as they are), from about `most_docs` documents, which a hash of
     their text chooses. h is a hash of the place that a candidate comes from."""
     t = fresh(docs.columns)
     share = min(1.0, most_docs / max(1, docs.count()))
@@ -274,7 +277,7 @@ def examples(docs: DataFrame, text_col: str = "text", most_docs: int = 20_000) -
     own = written(based.select(F.xxhash64(f"{t}text").alias("h"), F.concat(*spans_of).alias("base"), *[F.when(may(F.col(f"{t}rest")), _seen(g, F.col(f"{t}rest"))).alias(g) for g, (*_, may) in GENERATORS.items()]), "pii_spans")
     base = own.select("h", F.explode("base").alias("x")).select(F.xxhash64("h", "x.m", "x.b").alias("h"), "x.*")
     for g, (kinds, *_) in GENERATORS.items():
-        parts.append(own.select("h", F.explode(g).alias("c")).select(F.xxhash64("h", "c.m", "c.s").alias("h"), F.lit(g).alias("generator"), "c.f", F.lit(None).cast("string").alias("kind")))
+        parts.append(own.select("h", F.explode(g).alias("c")).select(F.xxhash64("h", "c.m", "c.s").alias("h"), F.lit(g).alias("generator"), F.lit(True).alias("own"), "c.f", F.lit(None).cast("string").alias("kind")))
         hidden = [F.when(F.col("kind") == k, F.array(*[F.struct(F.lit(x).alias("x"), form.alias("form"), F.lit(y).alias("y")) for x, form, y in disguises(k, F.col("m"))])) for k in kinds]
         hidden = base.where(F.col("kind").isin(kinds)).select("h", "kind", "b", "a", F.explode(F.coalesce(*hidden)).alias("d"))
         turn = lambda k: F.get("others", F.pmod(F.shiftright("h", 8 * k), F.size("others")).cast("int"))
@@ -284,37 +287,48 @@ def examples(docs: DataFrame, text_col: str = "text", most_docs: int = 20_000) -
         # what stands in the context only, may be personal data of another place
         shown = placed.withColumn("c", F.explode(_seen(g, F.col("text")))).where((F.col("c.e") > F.col("b")) & (F.col("c.s") < F.col("b") + F.col("x") + F.col("form") + F.col("y")))
         meets = (F.col("c.s") == F.col("b") + F.col("x")) & (F.col("c.e") == F.col("c.s") + F.col("form"))
-        parts.append(shown.select("h", F.lit(g).alias("generator"), "c.f", F.when(meets, F.col("kind")).alias("kind")))
+        parts.append(shown.select("h", F.lit(g).alias("generator"), F.lit(False).alias("own"), "c.f", F.when(meets, F.col("kind")).alias("kind")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return written(out, "pii_examples")
 
 
+#: The share of disguised spans that the first trees may rank below an unlabelled candidate for it to count as none.
+UNLIKELY = 0.02
+
+
 def fit(docs: DataFrame, text_col: str = "text", most_rows: int = 8000, precision: float = 0.95, most_docs: int = 20_000) -> PiiModel:
-    """Fits the trees to at most `most_rows` examples of each generator, those with the
-    smallest hash, from about `most_docs` documents; the examples of every third place
-    are held back to set the thresholds.
+    """Fits the trees to at most `most_rows` labelled and as many unlabelled examples of each
+    generator, those with the smallest hash, from about `most_docs` documents; the
+    examples of every third place are held back to set the thresholds.
 
-    With more documents the share taken falls, so what reaches the driver doesn't grow.
+    However much personal data of a form that the base patterns miss a corpus holds, it
+    isn't learned as none: see UNLIKELY. With more documents the share taken falls, so what reaches the driver doesn't grow.
     A table without base spans teaches nothing, and nothing is added to its texts.
     """
     found, model = examples(docs, text_col, most_docs), PiiModel({}, {}, {})
     for g, (kinds, *_) in GENERATORS.items():
-        rows = found.where(F.col("generator") == g).orderBy(F.xxhash64("h"), "h", "f", "kind").limit(most_rows).collect()
+        some = lambda own: found.where((F.col("generator") == g) & (F.col("own") == own)).orderBy(F.xxhash64("h"), "h", "f", "kind").limit(most_rows).collect()
+        rows, own = some(False), some(True)
         x = np.array([r["f"] for r in rows], dtype=float)
         back = np.array([r["h"] % 3 == 0 for r in rows], dtype=bool)
+        own_x, own_back = np.array([r["f"] for r in own], dtype=float), np.array([r["h"] % 3 == 0 for r in own], dtype=bool)
         for kind in kinds:
             y = np.array([r["kind"] == kind for r in rows], dtype=float)
             if not y[~back].any() or not y[back].any():
                 model.trees[kind], model.cut[kind], model.held[kind] = boosting.Boosted(np.zeros((0, 7), int), np.zeros((0, 7)), np.zeros((0, 8)), 0.0), float("inf"), (1.0, 0.0, int(y.sum()))
                 continue
-            trees = boosting.fit(x[~back], y[~back], trees=24, depth=3)
-            logits = trees.logits(x[back])
-            cut = boosting.threshold(logits, y[back], precision)
+            trees, all_x, all_y, all_back = boosting.fit(x[~back], y[~back], trees=24, depth=3), x, y, back
+            if len(own):
+                none = trees.logits(own_x) < np.quantile(trees.logits(x[~back & (y > 0)]), UNLIKELY)
+                all_x, all_y, all_back = np.concatenate([x, own_x[none]]), np.concatenate([y, np.zeros(none.sum())]), np.concatenate([back, own_back[none]])
+                trees = boosting.fit(all_x[~all_back], all_y[~all_back], trees=24, depth=3)
+            logits, held = trees.logits(all_x[all_back]), all_y[all_back]
+            cut = boosting.threshold(logits, held, precision)
             taken = logits >= cut
             model.trees[kind], model.cut[kind] = trees, cut
-            model.held[kind] = (float(y[back][taken].mean()) if taken.any() else 1.0, float(taken[y[back] > 0].mean()), int(y[back].sum()))
+            model.held[kind] = (float(held[taken].mean()) if taken.any() else 1.0, float(taken[held > 0].mean()), int(held.sum()))
     return model
 
 
