@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from math import ceil, log2
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from pyspark.sql.window import Window
 
 from gridmeld.functions.expressions import apportion, bucket, edge_list, euclidean, finite, gaussian_2d, log_shift, lut_index
 from gridmeld.operators.metrics import min_max
+from gridmeld.sources.scratch import written
 
 
 def full_grid(spark: SparkSession, height: int, width: int) -> DataFrame:
@@ -74,14 +77,14 @@ def masked(df: DataFrame, mask: DataFrame, keys: Sequence[str] = ()) -> DataFram
 def offset_errors(raw: DataFrame, target: DataFrame, most_dy: int, most_dx: int, keys: Sequence[str] = (), complete_only: bool = True) -> DataFrame:
     """(keys, dy, dx, n_valid, diff): the mean absolute difference of the target and the
     min-max scaled patch of raw under it, for every offset up to the given ones. The
-    target may be one for all maps or have keys itself; with complete_only an offset
+    target may be one for all maps or have keys itself, and its absent values don't count; with complete_only an offset
     counts only if each cell of its target has a value under it.
 
     Each target cell meets its raw cell by an equal join per offset; the patch's range
     and the differences are two aggregates over (keys, offset) with partial sums.
     """
     spark, k = raw.sparkSession, list(keys)
-    own = [c for c in k if c in target.columns]
+    target, own = present(target), [c for c in k if c in target.columns]
     offsets = full_grid(spark, most_dy + 1, most_dx + 1).select(F.col("y").alias("dy"), F.col("x").alias("dx"))
     want = target.crossJoin(F.broadcast(offsets)).select(*own, "dy", "dx", (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"), F.col("value").alias("want"))
     cells = want.join(present(raw).select(*k, "y", "x", "value"), ["y", "x", *own])
@@ -129,16 +132,74 @@ def align_fields(raw: DataFrame, target: DataFrame, followers: dict[str, DataFra
     return out.select(*k, local.alias("local_index"), world.alias("global_index"), "y", "x", "dy", "dx", "scaled", *followers, *columns)
 
 
+#: A codebook of at most so many codes goes to every row as one array; a larger one is searched by its grid.
+SMALL_BOOK = 256
+#: Codes that a cell of the grid should hold.
+PER_CELL = 4
+
+
 def nearest_code(df: DataFrame, codes: DataFrame, vector: str, code_vector: str = "code", code_id: str = "idx") -> DataFrame:
-    """Adds idx and dist: the nearest codeword, ties (to nine digits) to the smaller idx.
+    """Adds idx and dist: the nearest codeword, ties (to nine digits) to the smaller idx; null
+    where the vector is null or holds null or NaN, or where there is no codeword. All vectors have one length.
 
-    The codebook is a stated, small set; each row is compared with all of it in one
-    expression, so nothing is blown up or shuffled.
+    A book of at most `SMALL_BOOK` codes is compared with each row in one expression. A
+    larger one is never gathered: codes and the distinct vectors meet by cells of a grid over
+    the first three components, in an equal join. A vector is done as soon as no code
+    outside the cells around it can be nearer; the cells double for those that aren't.
+    """
+    book = codes.where(F.col(code_vector).isNotNull()).groupBy(F.col(code_vector).cast("array<double>").alias("__c")).agg(F.min(code_id).alias("__i"))
+    book = written(book)
+    n, size = book.agg(F.count("*"), F.max(F.size("__c"))).first()
+    sound = lambda v: v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x))
+    v = F.col(vector).cast("array<double>")
+    if n <= SMALL_BOOK:
+        all_codes = book.agg(F.array_sort(F.collect_list(F.struct(F.col("__i").alias("i"), F.col("__c").alias("c")))).alias("__book"))
+        best = F.array_min(F.transform("__book", lambda e: _distance(euclidean(v, e["c"]), e["i"])))
+        return df.crossJoin(F.broadcast(all_codes)).withColumn("__best", F.when(sound(v), best)).drop("__book").withColumns({"idx": F.col("__best.i"), "dist": F.col("__best.d")}).drop("__best")
+    found = _by_grid(written(df.select(v.alias("__v")).where(sound(F.col("__v"))).distinct()), book.where(sound(F.col("__c"))), min(3, size))
+    found = found.select("__v", F.col("__best.i").alias("idx"), F.col("__best.d").alias("dist"))
+    kept = [c for c in df.columns if c not in ("idx", "dist")]
+    return df.select(*kept, v.alias("__w")).join(found, F.col("__w") == F.col("__v"), "left").select(*kept, "idx", "dist")
+
+
+def _distance(d: Column, i: Column) -> Column:
+    return F.struct(F.round(d, 9).alias("r"), i.alias("i"), d.alias("d"))
+
+
+def _by_grid(vectors: DataFrame, book: DataFrame, dims: int) -> DataFrame:
+    """(__v, __best) of distinct vectors.
+
+    A vector outside the codes' box is searched from the box's nearest point: codes
+    further than w from that point are at least sqrt(out^2 + w^2) away, where out is the
+    vector's distance from the box. Components beyond `dims` only add to distances.
     """
-    book = codes.agg(F.array_sort(F.collect_list(F.struct(F.col(code_id).alias("i"), F.col(code_vector).alias("c")))).alias("__book"))
-    each = F.transform("__book", lambda e: F.struct(euclidean(F.col(vector), e["c"]).alias("d"), e["i"].alias("i")))
-    best = F.array_min(F.transform(each, lambda x: F.struct(F.round(x["d"], 9).alias("r"), x["i"].alias("i"), x["d"].alias("d"))))
-    return df.crossJoin(F.broadcast(book)).withColumn("__best", best).drop("__book").withColumns({"idx": F.col("__best.i"), "dist": F.col("__best.d")}).drop("__best")
+    part = lambda name, j: F.get(name, F.lit(j))
+    ends = book.agg(*[f(part("__c", j)) for f in (F.min, F.max) for j in range(dims)]).first()
+    low, high = ends[:dims], ends[dims:]
+    span = max(max(h - l for l, h in zip(low, high)), 1e-12)
+    at = lambda name, j, w: F.floor((F.least(F.greatest(part(name, j), F.lit(low[j])), F.lit(high[j])) - F.lit(low[j])) / w).cast("long")
+    out = sum((F.pow(F.greatest(F.lit(low[j]) - part("__v", j), part("__v", j) - F.lit(high[j]), F.lit(0.0)), 2) for j in range(dims)), F.lit(0.0))
+    cells = lambda name, w: {f"__g{j}": at(name, j, w) for j in range(dims)}
+    grid = [f"__g{j}" for j in range(dims)]
+    n = book.count()
+    width = span / max(1.0, (n / PER_CELL) ** (1 / dims))
+    full = book.withColumns(cells("__c", width)).groupBy(*grid).agg(F.count("*").cast("double").alias("c")).agg(F.sum(F.col("c") * F.col("c")) / F.sum("c")).first()[0] or 1.0
+    width /= 2 ** min(16, ceil(log2(max(full / PER_CELL, 1.0)) / dims))  # finer where most codes stand close together
+    rest, found = vectors, []
+    while True:
+        around = rest.withColumns(cells("__v", width))
+        for g in grid:
+            around = around.withColumn(g, F.explode(F.array(*[F.col(g) + k for k in (-1, 0, 1)])))
+        near = around.join(book.withColumns(cells("__c", width)), grid)
+        near = near.groupBy("__v").agg(F.min(_distance(euclidean(F.col("__v"), F.col("__c")), F.col("__i"))).alias("__best"))
+        if width > span:  # all codes are in the cells around any vector
+            return reduce(DataFrame.unionByName, [*found, near])
+        near = written(near.where(F.col("__best.d") + 1e-8 <= F.sqrt(out + width * width)))
+        found.append(near)
+        rest = written(rest.join(near, "__v", "left_anti"))
+        if not rest.head(1):
+            return reduce(DataFrame.unionByName, found)
+        width *= 2
 
 
 def tile_means(pixels: DataFrame, tiles_y: int, tiles_x: int, extent_y: tuple[float, float], extent_x: tuple[float, float], channels: Sequence[str], scale: float = 255.0, keys: Sequence[str] = ()) -> DataFrame:
