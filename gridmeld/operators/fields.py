@@ -145,7 +145,8 @@ def nearest_code(df: DataFrame, codes: DataFrame, vector: str, code_vector: str
     A book of at most `SMALL_BOOK` codes is compared with each row in one expression. A
     larger one is never gathered: codes and the distinct vectors meet by cells of a grid over
     the first three components, in an equal join. A vector is done as soon as no code
-    outside the cells around it can be nearer; the cells double for those that aren't.
+    outside the cells around it can be nearer; the cells double for those that aren't, so
+    vectors far from all codes meet many of them.
     """
     book = codes.where(F.col(code_vector).isNotNull()).groupBy(F.col(code_vector).cast("array<double>").alias("__c")).agg(F.min(code_id).alias("__i"))
     book = written(book)
@@ -156,8 +157,8 @@ def nearest_code(df: DataFrame, codes: DataFrame, vector: str, code_vector: str
         all_codes = book.agg(F.array_sort(F.collect_list(F.struct(F.col("__i").alias("i"), F.col("__c").alias("c")))).alias("__book"))
         best = F.array_min(F.transform("__book", lambda e: _distance(euclidean(v, e["c"]), e["i"])))
         return df.crossJoin(F.broadcast(all_codes)).withColumn("__best", F.when(sound(v), best)).drop("__book").withColumns({"idx": F.col("__best.i"), "dist": F.col("__best.d")}).drop("__best")
-    found = _by_grid(written(df.select(v.alias("__v")).where(sound(F.col("__v"))).distinct()), book.where(sound(F.col("__c"))), min(3, size))
-    found = found.select("__v", F.col("__best.i").alias("idx"), F.col("__best.d").alias("dist"))
+    vectors = written(df.select(v.alias("__v")).where(sound(F.col("__v"))).distinct().withColumn("__id", F.monotonically_increasing_id()))
+    found = _by_grid(vectors, book.where(sound(F.col("__c"))), size).join(vectors, "__id").select("__v", "idx", "dist")
     kept = [c for c in df.columns if c not in ("idx", "dist")]
     return df.select(*kept, v.alias("__w")).join(found, F.col("__w") == F.col("__v"), "left").select(*kept, "idx", "dist")
 
@@ -166,13 +167,15 @@ def _distance(d: Column, i: Column) -> Column:
     return F.struct(F.round(d, 9).alias("r"), i.alias("i"), d.alias("d"))
 
 
-def _by_grid(vectors: DataFrame, book: DataFrame, dims: int) -> DataFrame:
-    """(__v, __best) of distinct vectors.
+def _by_grid(vectors: DataFrame, book: DataFrame, size: int) -> DataFrame:
+    """(__id, idx, dist) of distinct vectors (__id, __v) of a length.
 
     A vector outside the codes' box is searched from the box's nearest point: codes
     further than w from that point are at least sqrt(out^2 + w^2) away, where out is the
-    vector's distance from the box. Components beyond `dims` only add to distances.
+    vector's distance from the box. Components beyond the grid's only add to distances.
+    The least distance comes first, as a hash aggregate of plain numbers, and then the least code at it.
     """
+    dims = min(3, size)
     part = lambda name, j: F.get(name, F.lit(j))
     ends = book.agg(*[f(part("__c", j)) for f in (F.min, F.max) for j in range(dims)]).first()
     low, high = ends[:dims], ends[dims:]
@@ -181,23 +184,33 @@ def _by_grid(vectors: DataFrame, book: DataFrame, dims: int) -> DataFrame:
     out = sum((F.pow(F.greatest(F.lit(low[j]) - part("__v", j), part("__v", j) - F.lit(high[j]), F.lit(0.0)), 2) for j in range(dims)), F.lit(0.0))
     cells = lambda name, w: {f"__g{j}": at(name, j, w) for j in range(dims)}
     grid = [f"__g{j}" for j in range(dims)]
+    if size <= 8:  # the same sum as euclidean(), as plain code
+        distance = F.sqrt(sum(((part("__v", j) - part("__c", j)) * (part("__v", j) - part("__c", j)) for j in range(size)), F.lit(0.0)))
+    else:
+        distance = euclidean(F.col("__v"), F.col("__c"))
+
+    def met(some: DataFrame, w: float) -> DataFrame:
+        """The vectors with the codes of the cells around them, their distance and its rounding."""
+        around = some.withColumns(cells("__v", w))
+        for g in grid:
+            around = around.withColumn(g, F.explode(F.array(*[F.col(g) + k for k in (-1, 0, 1)])))
+        return around.join(book.withColumns(cells("__c", w)), grid).withColumn("__d", distance).withColumn("__r", F.round("__d", 9))
+
     n = book.count()
     width = span / max(1.0, (n / PER_CELL) ** (1 / dims))
     full = book.withColumns(cells("__c", width)).groupBy(*grid).agg(F.count("*").cast("double").alias("c")).agg(F.sum(F.col("c") * F.col("c")) / F.sum("c")).first()[0] or 1.0
     width /= 2 ** min(16, ceil(log2(max(full / PER_CELL, 1.0)) / dims))  # finer where most codes stand close together
     rest, found = vectors, []
     while True:
-        around = rest.withColumns(cells("__v", width))
-        for g in grid:
-            around = around.withColumn(g, F.explode(F.array(*[F.col(g) + k for k in (-1, 0, 1)])))
-        near = around.join(book.withColumns(cells("__c", width)), grid)
-        near = near.groupBy("__v").agg(F.min(_distance(euclidean(F.col("__v"), F.col("__c")), F.col("__i"))).alias("__best"))
-        if width > span:  # all codes are in the cells around any vector
-            return reduce(DataFrame.unionByName, [*found, near])
-        near = written(near.where(F.col("__best.d") + 1e-8 <= F.sqrt(out + width * width)))
-        found.append(near)
-        rest = written(rest.join(near, "__v", "left_anti"))
-        if not rest.head(1):
+        least = met(rest, width).groupBy("__id").agg(F.min("__r").alias("__least"))
+        near = rest.withColumn("__out", out).join(least, "__id")
+        if width <= span:  # beyond that all codes are in the cells around any vector
+            near = near.where(F.col("__least") + 1e-8 <= F.sqrt(F.col("__out") + width * width))
+        near = written(near.select("__id", "__v", "__least"))
+        best = met(near, width).where("__r = __least").groupBy("__id").agg(F.min("__i").alias("idx"), F.min_by("__d", "__i").alias("dist"))
+        found.append(best)
+        rest = written(rest.join(near.select("__id"), "__id", "left_anti"))
+        if width > span or not rest.head(1):
             return reduce(DataFrame.unionByName, found)
         width *= 2
 

@@ -361,14 +361,14 @@ def nearest_codeword(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH c AS (SELECT p_partkey AS idx, (p_partkey * 7919 % 1009) / CAST(10 AS DOUBLE) AS a, (p_partkey * 104729 % 997) / CAST(10 AS DOUBLE) AS b, p_retailprice / 20 AS c FROM part),
-    e AS (SELECT event_id, (event_id * 31 % 1500) / CAST(10 AS DOUBLE) - 20 AS a, value AS b, (event_id * 17 % 1013) / CAST(10 AS DOUBLE) AS c FROM events),
+    e AS (SELECT event_id, (event_id * 31 % 1030) / CAST(10 AS DOUBLE) AS a, (event_id * 131 % 991) / CAST(10 AS DOUBLE) AS b, (event_id * 17 % 1200) / CAST(20 AS DOUBLE) + 45 AS c FROM events),
     d AS (SELECT event_id, idx, sqrt((e.a - c.a) * (e.a - c.a) + (e.b - c.b) * (e.b - c.b) + (e.c - c.c) * (e.c - c.c)) AS dist FROM e, c)
     SELECT event_id, k.i AS idx, round(k.d, 6) AS dist FROM (SELECT event_id, min(struct_pack(r := round(dist, 9), i := idx, d := dist)) AS k FROM d GROUP BY event_id)""")
 def nearest_colours(spark: SparkSession, d: str) -> DataFrame:
     """Events matched with the parts as a palette that grows with the data, by the grid."""
     key, e = F.col("p_partkey"), F.col("event_id")
     codes = table(spark, d, "part").select(key.alias("idx"), F.array((key * 7919 % 1009) / F.lit(10.0), (key * 104729 % 997) / F.lit(10.0), F.col("p_retailprice") / 20).alias("code"))
-    rows = table(spark, d, "events").select("event_id", F.array((e * 31 % 1500) / F.lit(10.0) - 20, F.col("value"), (e * 17 % 1013) / F.lit(10.0)).alias("v"))
+    rows = table(spark, d, "events").select("event_id", F.array((e * 31 % 1030) / F.lit(10.0), (e * 131 % 991) / F.lit(10.0), (e * 17 % 1200) / F.lit(20.0) + 45).alias("v"))
     return rounded(fields.nearest_code(rows, codes, "v").select("event_id", "idx", "dist"), 6, "dist")
 
 
