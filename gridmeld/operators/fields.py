@@ -135,7 +135,7 @@ def align_fields(raw: DataFrame, target: DataFrame, followers: dict[str, DataFra
 #: A codebook of at most so many codes goes to every row as one array; a larger one is searched by its grid.
 SMALL_BOOK = 256
 #: Codes that a cell of the grid should hold.
-PER_CELL = 4
+PER_CELL = 1
 
 
 def nearest_code(df: DataFrame, codes: DataFrame, vector: str, code_vector: str = "code", code_id: str = "idx") -> DataFrame:
@@ -190,11 +190,11 @@ def _by_grid(vectors: DataFrame, book: DataFrame, size: int) -> DataFrame:
         distance = euclidean(F.col("__v"), F.col("__c"))
 
     def met(some: DataFrame, w: float) -> DataFrame:
-        """The vectors with the codes of the cells around them, their distance and its rounding."""
+        """The vectors with the codes of the cells around them and their distance."""
         around = some.withColumns(cells("__v", w))
         for g in grid:
             around = around.withColumn(g, F.explode(F.array(*[F.col(g) + k for k in (-1, 0, 1)])))
-        return around.join(book.withColumns(cells("__c", w)), grid).withColumn("__d", distance).withColumn("__r", F.round("__d", 9))
+        return around.join(book.withColumns(cells("__c", w)), grid).withColumn("__d", distance)
 
     n = book.count()
     width = span / max(1.0, (n / PER_CELL) ** (1 / dims))
@@ -202,12 +202,13 @@ def _by_grid(vectors: DataFrame, book: DataFrame, size: int) -> DataFrame:
     width /= 2 ** min(16, ceil(log2(max(full / PER_CELL, 1.0)) / dims))  # finer where most codes stand close together
     rest, found = vectors, []
     while True:
-        least = met(rest, width).groupBy("__id").agg(F.min("__r").alias("__least"))
+        least = met(rest, width).groupBy("__id").agg(F.min("__d").alias("__least"))
         near = rest.withColumn("__out", out).join(least, "__id")
         if width <= span:  # beyond that all codes are in the cells around any vector
             near = near.where(F.col("__least") + 1e-8 <= F.sqrt(F.col("__out") + width * width))
         near = written(near.select("__id", "__v", "__least"))
-        best = met(near, width).where("__r = __least").groupBy("__id").agg(F.min("__i").alias("idx"), F.min_by("__d", "__i").alias("dist"))
+        level = (F.col("__d") <= F.col("__least") + 1e-8) & (F.round("__d", 9) == F.round("__least", 9))
+        best = met(near, width).where(level).groupBy("__id").agg(F.min("__i").alias("idx"), F.min_by("__d", "__i").alias("dist"))
         found.append(best)
         rest = written(rest.join(near.select("__id"), "__id", "left_anti"))
         if width > span or not rest.head(1):
