@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 from gridmeld.functions.expressions import edges_below
 from gridmeld.sources.scratch import written
 
-#: Rows that a range should hold, and the most ranges. With more rows ranges grow.
+#: Rows that a range should hold, and the most ranges of a level; there are two levels.
 PER_RANGE, MOST_RANGES = 250_000, 256
 #: Bits of a digit of the x ranks: more make fewer passes over the rows, and more sums in each.
 DIGIT_BITS = 2
@@ -25,26 +25,61 @@ DIGIT_BITS = 2
 
 def range_cuts(df: DataFrame, columns: Sequence[str], buckets: int | None = None) -> list[list]:
     """Edges of the ranges of each column and, as the last item, the number of rows, from
-    one aggregate. Their number follows the number of rows unless given."""
-    probs = [i / MOST_RANGES for i in range(1, MOST_RANGES)]
-    row = df.agg(F.count("*"), *[F.percentile_approx(c, probs, 10_000) for c in columns]).first()
-    n = buckets or min(MOST_RANGES, row[0] // PER_RANGE + 1)
-    at = sorted({round(i * MOST_RANGES / n) - 1 for i in range(1, n)} - {-1})
-    return [*[[q[i] for i in at if q[i] == q[i]] if q else [] for q in row[1:]], row[0]]
+    one aggregate. Their number follows the number of rows unless given.
+
+    Beyond `MOST_RANGES` ranges each one is cut again by the quantiles of its own rows, so
+    there can be MOST_RANGES^2, and a range holds about `PER_RANGE` rows up to 16 billion rows.
+    """
+    probs = lambda n: [i / n for i in range(1, n)]
+    row = df.agg(F.count("*"), *[F.percentile_approx(c, probs(MOST_RANGES), 10_000) for c in columns]).first()
+    n = buckets or row[0] // PER_RANGE + 1
+    at = sorted({round(i * MOST_RANGES / n) - 1 for i in range(1, n)} - {-1}) if n <= MOST_RANGES else range(MOST_RANGES - 1)
+    cuts = [[q[i] for i in at if q[i] == q[i]] if q else [] for q in row[1:]]
+    parts = min(MOST_RANGES, -(-n // MOST_RANGES))
+    if parts > 1:
+        for c, own in zip(columns, cuts):
+            inner, single = edges_below(F.col(c), sorted(set(own)), strict=True), {x for x, y in zip(own, own[1:]) if x == y}
+            found = df.where(F.col(c).isNotNull() & ~F.col(c).isin(sorted(single))).groupBy(inner.alias("b")).agg(F.percentile_approx(c, probs(parts), 10_000).alias("q")).collect()  # a row per range
+            own += [x for r in found for x in r["q"] if x == x]
+            own.sort()
+    return [*cuts, row[0]]
+
+
+def located(df: DataFrame, value: str, cuts: list, name: str, one: str | None = None) -> DataFrame:
+    """Adds the number of distinct edges strictly below the value (null for null), and whether
+    the value is a repeated edge. Edges that are too many for the plan come in a table of
+    at most MOST_RANGES rows, one for each stretch of edges."""
+    edges, single = sorted(set(cuts)), {c for c, d in zip(cuts, cuts[1:]) if c == d}
+    v = F.col(value)
+    if len(edges) < MOST_RANGES:
+        out = df.withColumn(name, edges_below(v, edges, strict=True))
+        return out.withColumn(one, v.isin(sorted(single)) if single else F.lit(False)) if one else out
+    step = -(-len(edges) // MOST_RANGES)
+    stretches = [(i, edges[i * step : (i + 1) * step], [e in single for e in edges[i * step : (i + 1) * step]]) for i in range(-(-len(edges) // step))]
+    book = df.sparkSession.createDataFrame([(i, [float(e) for e in es], s) for i, es, s in stretches], "__i int, __es array<double>, __single array<boolean>")
+    last = [es[-1] for _, es, _ in stretches]
+    powers = [1 << k for k in reversed(range(step.bit_length()))]
+    x = v.cast("double")
+    # by halving: steps are taken as long as the edge before them is below the value
+    inner = F.aggregate(F.lit(powers), F.lit(0), lambda n, p: F.when((n + p <= F.size("__es")) & (F.get("__es", n + p - 1) < x), n + p).otherwise(n))
+    out = df.withColumn("__j", F.least(edges_below(v, last, strict=True), F.lit(len(last) - 1))).join(F.broadcast(book), F.col("__j") == F.col("__i"), "left").withColumn("__in", inner)
+    out = out.withColumn(name, F.when(v.isNotNull(), F.col("__j") * step + F.col("__in")))
+    if one:
+        out = out.withColumn(one, F.coalesce((F.get("__es", F.col("__in")) == x) & F.get("__single", F.col("__in")), F.lit(False)))
+    return out.drop("__i", "__j", "__in", "__es", "__single")
 
 
 def ranged(df: DataFrame, value: str, tie: str, cuts: list, tie_cuts: list, nulls_first: bool = False) -> DataFrame:
     """Adds __b, the range (odd and the one of nulls: rows of one value), and __s, its part by the
     tie column. Both together rise with (value, tie)."""
-    single = sorted({c for c, d in zip(cuts, cuts[1:]) if c == d})
-    edges = sorted(set(cuts))
-    v, last = F.col(value), -2 if nulls_first else 2 * len(edges) + 2
-    inner = 2 * edges_below(v, edges, strict=True)
-    if single:
-        inner = inner + v.isin(single).cast("int")
-    out = df.withColumn("__b", F.when(v.isNull(), F.lit(last)).otherwise(inner))
-    part = F.coalesce(edges_below(F.col(tie), sorted(set(tie_cuts)), strict=True), F.lit(-1)) if tie_cuts else F.lit(0)
-    return out.withColumn("__one", (F.col("__b") % 2 == 1) | (F.col("__b") == last)).withColumn("__s", F.when(F.col("__one"), part).otherwise(F.lit(0)))
+    last = -2 if nulls_first else 2 * len(set(cuts)) + 2
+    out = located(df, value, cuts, "__p", "__single_value")
+    out = out.withColumn("__b", F.when(F.col("__p").isNull(), F.lit(last)).otherwise(2 * F.col("__p") + F.col("__single_value").cast("int"))).drop("__p", "__single_value")
+    out = out.withColumn("__one", (F.col("__b") % 2 == 1) | (F.col("__b") == last))
+    if not tie_cuts:
+        return out.withColumn("__s", F.lit(0))
+    out = located(out, tie, tie_cuts, "__t")
+    return out.withColumn("__s", F.when(F.col("__one"), F.coalesce(F.col("__t"), F.lit(-1))).otherwise(F.lit(0))).drop("__t")
 
 
 def with_ranks(df: DataFrame, value: str, names: Mapping[str, tuple[str, bool]], keys: Sequence[str] = (), tie: str = "id", buckets: int | None = None, cuts: tuple[list, list] | None = None) -> DataFrame:
@@ -111,8 +146,7 @@ def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], name
     first order column must be numeric: its ranges split the keys' groups, so that a few
     large ones spread over tasks."""
     k = list(keys)
-    cuts = sorted(set(range_cuts(df, [order[0]], buckets)[0]))
-    work = df.withColumn("__b", F.coalesce(edges_below(F.col(order[0]), cuts, strict=True), F.lit(-1)))
+    work = located(df, order[0], range_cuts(df, [order[0]], buckets)[0], "__b").fillna(-1, "__b")
     work = work.withColumn("__r", F.row_number().over(Window.partitionBy(*k, "__b").orderBy(*order)) - 1)
     before = Window.partitionBy(*k).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
     counts = work.groupBy(*k, "__b").agg(F.count("*").alias("__n")).withColumn("__base", F.coalesce(F.sum("__n").over(before), F.lit(0)))
@@ -126,8 +160,7 @@ def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], name
 def sum_before(df: DataFrame, order: str, value: str, name: str, buckets: int | None = None) -> DataFrame:
     """Adds the sum of a column over all rows before, in the order of a numeric column
     without repeats: sums within ranges plus the ranges' totals."""
-    cuts = sorted(set(range_cuts(df, [order], buckets)[0]))
-    work = df.withColumn("__b", F.coalesce(edges_below(F.col(order), cuts, strict=True), F.lit(-1)))
+    work = located(df, order, range_cuts(df, [order], buckets)[0], "__b").fillna(-1, "__b")
     rows = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     totals = work.groupBy("__b").agg(F.sum(value).alias("__n"))
     totals = totals.select(F.col("__b").alias("__k_b"), F.coalesce(F.sum("__n").over(rows(Window.orderBy("__b"))), F.lit(0)).alias("__sum"))  # one row per range
@@ -200,11 +233,14 @@ def kendall_of(cells: DataFrame, keys: Sequence[str] = (), per_chunk: int = PER_
     probs = [i / MOST_RANGES for i in range(1, MOST_RANGES)]
     top, n, rows, cuts = cells.agg(F.max("rx"), F.sum("c"), F.count("*"), F.percentile_approx("ry", probs, 10_000)).first()
     levels, exact = max(1, -(-int(top or 0).bit_length() // DIGIT_BITS)), (n or 0) >= 1 << 31  # below that 64 bits hold every sum
-    chunks = min(MOST_RANGES, rows // per_chunk + 1)
-    cuts = sorted({cuts[round(i * MOST_RANGES / chunks) - 1] for i in range(1, chunks)} if cuts else set())
+    chunks = rows // per_chunk + 1
+    if chunks > MOST_RANGES:
+        cuts = sorted(set(range_cuts(cells, ["ry"], chunks)[0]))
+    else:
+        cuts = sorted({cuts[round(i * MOST_RANGES / chunks) - 1] for i in range(1, chunks)} if cuts else set())
     block = [*k, "level", "block", "chunk"]
     place = [F.expr(f"shiftright(rx, (level + 1) * {DIGIT_BITS})").alias("block"), F.expr(f"cast(shiftright(rx, level * {DIGIT_BITS}) & {len(digits) - 1} as int)").alias("digit")]
-    blown = cells.select(*k, "ry", "c", (F.col("rx") - 1).alias("rx"), edges_below(F.col("ry"), cuts, strict=True).alias("chunk"), F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("level"))
+    blown = located(cells, "ry", cuts, "chunk").select(*k, "ry", "c", (F.col("rx") - 1).alias("rx"), "chunk", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("level"))
     blown = blown.select(*k, "level", "chunk", *place, "ry", "c")
     sums = [F.sum(F.when(F.col("digit") == j, F.col("c")).otherwise(0)).alias(f"c{j}") for j in digits]
     wide = lambda c: c.cast("decimal(19,0)") if exact else c

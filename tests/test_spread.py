@@ -74,3 +74,31 @@ def test_groups_are_scaled_without_a_window(spark):
     out = metrics.min_max(df, "v", ["g"])
     assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert {(x["g"], x["v"]): x["scaled"] for x in out.collect()} == {("a", 1.0): 0.0, ("a", 3.0): 1.0, (None, 5.0): 5.0, ("b", None): None}
+
+
+@pytest.mark.parametrize("kind", ["spread", "hot", "few"])
+def test_ranges_are_cut_again_when_there_are_many(spark, monkeypatch, kind):
+    """With more ranges than one level has, no (range, part) holds many rows, and ranks stay those of one sort."""
+    monkeypatch.setattr(ranking, "MOST_RANGES", 6)
+    monkeypatch.setattr(ranking, "PER_RANGE", 30)
+    r = random.Random(3)
+    draw = {"spread": lambda: r.gauss(0, 1), "hot": lambda: r.choice([0.5, 0.5, r.random()]), "few": lambda: float(r.randrange(3))}[kind]
+    rows = [(i, None if r.random() < 0.02 else draw()) for i in range(900)]
+    df = spark.createDataFrame(rows, "id long, v double").repartition(3)
+    *cuts, n = ranking.range_cuts(df, ["v", "id"])
+    parts = [x["count"] for x in ranking.ranged(df, "v", "id", *cuts).groupBy("__b", "__s").count().collect()]
+    assert n == 900 and len(cuts[1]) > 6 and max(parts) <= 100
+    known = sorted((v, i) for i, v in rows if v is not None)
+    order = [i for _, i in known] + sorted(i for i, v in rows if v is None)
+    names = {"ordinal": ("ordinal", False), "average": ("average", False), "dense": ("dense", False)}
+    got = {x["id"]: x for x in ranking.with_ranks(df, "v", names).collect()}
+    values = [v for v, _ in known]
+    for place, i in enumerate(order, 1):
+        v = dict(rows)[i]
+        if v is not None:
+            assert got[i]["ordinal"] == place and got[i]["average"] == values.index(v) + 1 + (values.count(v) - 1) / 2 and got[i]["dense"] == sorted(set(values)).index(v) + 1
+    assert {x["id"]: x["p"] for x in ranking.with_position(df, [], ["id"], "p").collect()} == {i: i for i, _ in rows}
+    assert {x["id"]: x["s"] for x in ranking.sum_before(df, "id", "id", "s").collect()} == {i: sum(range(i)) for i, _ in rows}
+    pairs = df.where("v is not null").select("id", F.col("v").alias("truth"), (F.col("id") * 7919 % 1009).cast("double").alias("pred"))
+    plain = [(v, float(i * 7919 % 1009)) for i, v in rows if v is not None]
+    assert int(ranking.kendall(pairs, per_chunk=20).first()["concordant"]) == plain_kendall(plain)[0]
