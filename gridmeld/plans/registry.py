@@ -666,6 +666,17 @@ def vector_files(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("id").agg(F.count("*").alias("n"), F.sum("value").cast("long").alias("total"))
 
 
+@query("""WITH v AS (SELECT event_id % 16 AS list, row_number() OVER (PARTITION BY event_id % 16 ORDER BY event_id) - 1 AS id, CASE WHEN event_id % 50 <> 7 THEN CAST(floor(value * 1000) AS BIGINT) END AS value FROM events)
+    SELECT id, count(*) AS n, count(value) AS n_valid, CAST(sum(value) AS BIGINT) AS total FROM v GROUP BY id""")
+def vector_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Events as JSON lists, one in a file, which are read by parts and added up by position."""
+    path, e = _scratch(spark), F.col("event_id")
+    value = F.when(e % 50 != 7, F.floor(F.col("value") * 1000).cast("double"))
+    rows = ranking.with_position(table(spark, d, "events").select((e % 16).alias("list"), "event_id", value.alias("value")), ["list"], ["event_id"])
+    files.write_vectors(written(rows), path, "list")
+    return files.read_vector(spark, f"{path}/*").groupBy("id").agg(F.count("*").alias("n"), F.count("value").alias("n_valid"), F.sum("value").cast("long").alias("total"))
+
+
 @query("SELECT event_type AS kind, count(*) AS n FROM events GROUP BY event_type UNION ALL SELECT l_returnflag, count(*) FROM lineitem GROUP BY l_returnflag")
 def stacked_counts(spark: SparkSession, d: str) -> DataFrame:
     a = table(spark, d, "events").select(F.col("event_type").alias("kind"))
