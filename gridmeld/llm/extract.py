@@ -7,7 +7,8 @@ decoder then chooses for every subtree to keep it whole, to drop it whole or to
 leave the choice to its children, so no kept block lies in a dropped one.
 
 The trees are trained on pages made from templates with known parts, since page
-tables carry no labels.
+tables carry no labels. Half of the templates have names that say nothing, and often
+plain boxes instead of telling elements, so that length, links, place and repeated shapes must decide there.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import html as entities
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,7 @@ LOOSE = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)>")
 QUOTE = re.compile("[\"'>]")
 ATTRIBUTE = re.compile(r"""(?<![a-zA-Z-])([a-zA-Z-]++)\s*+=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+DIGITS = re.compile("[0-9]")
 SPACE = re.compile(r"[ \t\n\r\f\v]+")
 
 # Elements by kind.
@@ -219,11 +222,14 @@ def features(nodes: list[Node]) -> np.ndarray:
     size, linked, count, inline, paragraphs, stops, items = (np.zeros(n) for _ in range(7))
     parent = np.zeros(n, dtype=np.int64)
     depth, good, bad, good_above, bad_above, tag_above, position, siblings, alike = (np.zeros(n) for _ in range(9))
+    prose, titles, texts, digits, same, same_above, same_below, beside, largest, starts = (np.zeros(n) for _ in range(10))
     for i, x in enumerate(nodes):
         size[i], linked[i], count[i], inline[i] = x.own, x.linked, 1, x.inline
         paragraphs[i] = x.tag == "p" and x.own > 20
         items[i] = x.tag == "li"
         stops[i] = sum(p.count(".") + p.count(",") for p in x.pieces if type(p) is str)
+        digits[i] = sum(len(DIGITS.findall(p)) for p in x.pieces if type(p) is str)
+        prose[i], titles[i], texts[i] = x.own * (x.tag == "p" and x.own > 20), x.tag == "h1", x.own > 0
         good[i] = sum(t in GOOD for t in x.tokens) + (x.tag in ("article", "main"))
         bad[i] = sum(t in BAD for t in x.tokens) + (x.tag in ("nav", "aside", "footer", "form", "header", "button", "select", "menu", "dialog")) + 2 * x.hidden
         if i:
@@ -232,17 +238,27 @@ def features(nodes: list[Node]) -> np.ndarray:
             depth[i] = depth[p] + 1
             good_above[i], bad_above[i] = good_above[p] + good[p], bad_above[p] + bad[p]
             tag_above[i] = 1 if x.parent.tag in ("article", "main") else tag_above[p] * 0.9
+            same_above[i] = max(same_above[p], same[i])
         kinds: dict[str, int] = {}
+        shapes: dict[tuple, int] = {}
         for c in x.children:
             kinds[c.tag] = kinds.get(c.tag, 0) + 1
+            if c.children:  # a box; boxes of one shape next to each other are entries of a list
+                shape = c.tag, tuple(b.tag for b in c.children[:4])
+                shapes[shape] = shapes.get(shape, 0) + 1
+        same_below[i] = max(shapes.values(), default=0)
         for k, c in enumerate(x.children):
             j = at[id(c)]
+            same[j] = shapes[c.tag, tuple(b.tag for b in c.children[:4])] - 1 if c.children else 0
+            beside[j] = kinds.get("p", 0) / len(x.children)
             position[j], siblings[j], alike[j] = k / max(1, len(x.children) - 1), len(x.children), kinds[c.tag] / len(x.children)
     own = size.copy()
+    starts[1:] = np.cumsum(own)[:-1]
     for i in range(n - 1, 0, -1):
-        for a in (size, linked, count, inline, paragraphs, stops, items):
+        for a in (size, linked, count, inline, paragraphs, stops, items, prose, titles, texts, digits):
             a[parent[i]] += a[i]
-    total = max(1.0, size[0])
+        largest[parent[i]] = max(largest[parent[i]], size[i])
+    total, all_prose = max(1.0, size[0]), max(1.0, prose[0])
     tags = np.zeros((n, len(TAGS)))
     for i, x in enumerate(nodes):
         if x.tag in TAGS:
@@ -252,6 +268,8 @@ def features(nodes: list[Node]) -> np.ndarray:
         np.log1p(size), np.log1p(own), linked / np.maximum(size, 1), size / (count + inline), np.log1p(count), np.log1p(paragraphs), items / count, stops / np.maximum(size, 1),
         size / total, share, depth, position, np.log1p(siblings), alike, good, bad, np.minimum(good_above, 3), np.minimum(bad_above, 3), tag_above,
         linked[parent] / np.maximum(size[parent], 1), np.log1p(paragraphs[parent]), good[parent], bad[parent],
+        prose / all_prose, prose[parent] / all_prose, prose / np.maximum(prose[parent], 1), np.minimum(titles, 2), np.minimum(titles[parent], 2), size / np.maximum(texts, 1), digits / np.maximum(size, 1),
+        np.log1p(same), np.log1p(same_above), np.log1p(same_below), beside, size / np.maximum(largest[parent], 1), starts / total, size[parent] / np.maximum(texts[parent], 1),
     ])
     return np.concatenate([base, tags], axis=1)
 
@@ -314,7 +332,8 @@ def _sentence(rng: np.random.Generator, low: int, high: int) -> str:
 def template_page(rng: np.random.Generator) -> tuple[str, set[str]]:
     """A page from random parts, and the marks of the blocks that are its article.
 
-    Each text begins with a mark of its own, which tells afterwards whose it is.
+    Each text begins with a mark of its own, which tells afterwards whose it is. Half of the
+    pages are nameless().
     """
     marks: set[str] = set()
     serial = [0]
@@ -333,6 +352,8 @@ def template_page(rng: np.random.Generator) -> tuple[str, set[str]]:
     def other() -> str:
         kind = rng.integers(13)
         t = lambda a, b: mark(False) + _sentence(rng, a, b)
+        signed = rng.random() < 0.5
+        by = lambda: f"<{pick('p', 'div', 'h4')}>{mark(False)}{_sentence(rng, 1, 3)} {rng.integers(1, 29)}.{rng.integers(1, 13)}.20{rng.integers(10, 30)}</p>" if signed else ""
         if kind == 0:
             return f"<nav>{pick('<ul>', '<ul class=menu>')}{links(rng.integers(2, 12))}</ul></nav>"
         if kind == 1:
@@ -342,7 +363,7 @@ def template_page(rng: np.random.Generator) -> tuple[str, set[str]]:
         if kind == 3:
             return f'<div id="{pick("cookie-notice", "consent", "gdprBanner", "cookies")}"><p>{t(8, 30)}</p><button>{t(1, 3)}</button></div>'
         if kind == 4:
-            return f'<section class="{pick("comments", "comment-list", "discussion", "replies")}">' + "".join(f'<div class="{pick("comment", "reply", "")}"><p>{t(5, 50)}</p></div>' for _ in range(rng.integers(1, 8))) + "</section>"
+            return f'<section class="{pick("comments", "comment-list", "discussion", "replies")}">' + "".join(f'<div class="{pick("comment", "reply", "")}">{by()}<p>{t(5, 50)}</p></div>' for _ in range(rng.integers(1, 8))) + "</section>"
         if kind == 5:
             return f"<form action=/s><label>{t(1, 4)}</label><input name=q><button>{t(1, 2)}</button></form>"
         if kind == 6:
@@ -381,12 +402,32 @@ def template_page(rng: np.random.Generator) -> tuple[str, set[str]]:
     page = before + box[0] + body + box[1] + after + foot
     if rng.random() < 0.3:
         page = f'<div class="{pick("wrapper", "page", "container", "site")}">{page}</div>'
+    if rng.random() < 0.5:
+        page = nameless(page, rng)
     return f"<!DOCTYPE html><html><head><title>{_sentence(rng, 2, 8)}</title></head><body>{page}</body></html>", marks
 
 
-def train(pages: int = 240, seed: int = 11) -> boosting.Boosted:
+def nameless(page: str, rng: np.random.Generator) -> str:
+    """The page with names in no list for its classes and ids, the same for the same name, and on
+    every second page plain boxes for elements that tell what they hold."""
+    style, names = rng.integers(3), {}
+
+    def name(found: re.Match) -> str:
+        if found[2] not in names:
+            word = "".join(rng.choice(WORDS, 2))
+            names[found[2]] = (word, f"css{rng.integers(10)}{word[:2]}{rng.integers(100)}", f"{word[0]}{rng.integers(10)}")[style]
+        return f'{found[1]}="{names[found[2]]}"'
+
+    page = re.sub(r"""(class|id)=["']?([^"'>]*)["']?""", name, page)
+    if rng.random() < 0.5:
+        page = re.sub(r"<(/?)(?:nav|aside|header|footer|article|main|section)(?=[ >])", r"<\1div", page)
+    return page
+
+
+@lru_cache(maxsize=4)
+def train(pages: int = 400, seed: int = 11) -> boosting.Boosted:
     """The trees from `pages` template pages; each block with words of its own is a row,
-    and so is each other block whose texts are all of one kind."""
+    and so is each other block whose texts are all of one kind. The same arguments give the same trees, kept for the process."""
     rng = np.random.default_rng(seed)
     xs, ys = [], []
     for _ in range(pages):
@@ -405,7 +446,7 @@ def train(pages: int = 240, seed: int = 11) -> boosting.Boosted:
         use = own | ((yes == 0) != (no == 0))
         xs.append(features(nodes)[use])
         ys.append((yes > no)[use])
-    return boosting.fit(np.concatenate(xs), np.concatenate(ys).astype(float), trees=40, depth=4)
+    return boosting.fit(np.concatenate(xs), np.concatenate(ys).astype(float), trees=48, depth=4)
 
 
 def main_text(pages: list[str | None], trees: boosting.Boosted) -> list[str]:
