@@ -346,8 +346,10 @@ def template_page(rng: np.random.Generator) -> tuple[str, set[str]]:
         return name
 
     pick = lambda *x: x[rng.integers(len(x))]
+    # numbers, dates and links to what is meant stand in articles, too
+    figures = lambda: "" if rng.random() < 0.75 else " " + pick(".", "-", " ", "/").join(str(rng.integers(1, 10 ** rng.integers(1, 6))) for _ in range(rng.integers(1, 5)))
     links = lambda n: "".join(f'<li><a href="/x">{mark(False)}{_sentence(rng, 1, 4)}</a></li>' for _ in range(n))
-    prose = lambda n, low=12, high=60: "".join(f"<p>{pick('', '<b>', '<em>', '')}{mark(True)}{' '.join(_sentence(rng, low, high) for _ in range(rng.integers(1, 4)))}{pick('</p>', '</p>', '<br>', '')}" for _ in range(n))
+    prose = lambda n, low=12, high=60: "".join(f"<p>{pick('', '<b>', '<em>', '')}{mark(True)}{' '.join(_sentence(rng, low, high) + figures() for _ in range(rng.integers(1, 4)))}{pick('</p>', '</p>', '<br>', '')}" for _ in range(n))
 
     def other() -> str:
         kind = rng.integers(13)
@@ -363,7 +365,7 @@ def template_page(rng: np.random.Generator) -> tuple[str, set[str]]:
         if kind == 3:
             return f'<div id="{pick("cookie-notice", "consent", "gdprBanner", "cookies")}"><p>{t(8, 30)}</p><button>{t(1, 3)}</button></div>'
         if kind == 4:
-            return f'<section class="{pick("comments", "comment-list", "discussion", "replies")}">' + "".join(f'<div class="{pick("comment", "reply", "")}">{by()}<p>{t(5, 50)}</p></div>' for _ in range(rng.integers(1, 8))) + "</section>"
+            return f'<section class="{pick("comments", "comment-list", "discussion", "replies")}">' + "".join(f'<div class="{pick("comment", "reply", "")}">{by()}<p>{t(1, 8) if rng.random() < 0.3 else t(5, 50)}</p></div>' for _ in range(rng.integers(1, 8))) + "</section>"
         if kind == 5:
             return f"<form action=/s><label>{t(1, 4)}</label><input name=q><button>{t(1, 2)}</button></form>"
         if kind == 6:
@@ -382,7 +384,7 @@ def template_page(rng: np.random.Generator) -> tuple[str, set[str]]:
 
     size = rng.integers(1, 12)
     body = f"<h1>{mark(True)}{_sentence(rng, 3, 12)}</h1>" if rng.random() < 0.85 else ""
-    body += prose(size)
+    body += prose(size) if rng.random() < 0.88 else prose(rng.integers(1, 3), 6, 20)
     if rng.random() < 0.3:
         body += f"<h2>{mark(True)}{_sentence(rng, 2, 7)}</h2>" + prose(rng.integers(1, 4))
     if rng.random() < 0.2:
@@ -425,7 +427,7 @@ def nameless(page: str, rng: np.random.Generator) -> str:
 
 
 @lru_cache(maxsize=4)
-def train(pages: int = 400, seed: int = 11) -> boosting.Boosted:
+def train(pages: int = 700, seed: int = 11) -> boosting.Boosted:
     """The trees from `pages` template pages; each block with words of its own is a row,
     and so is each other block whose texts are all of one kind. The same arguments give the same trees, kept for the process."""
     rng = np.random.default_rng(seed)
@@ -446,7 +448,7 @@ def train(pages: int = 400, seed: int = 11) -> boosting.Boosted:
         use = own | ((yes == 0) != (no == 0))
         xs.append(features(nodes)[use])
         ys.append((yes > no)[use])
-    return boosting.fit(np.concatenate(xs), np.concatenate(ys).astype(float), trees=48, depth=4)
+    return boosting.fit(np.concatenate(xs), np.concatenate(ys).astype(float), trees=64, depth=5)
 
 
 def main_text(pages: list[str | None], trees: boosting.Boosted) -> list[str]:
