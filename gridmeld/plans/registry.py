@@ -560,11 +560,14 @@ def gated_messages(spark: SparkSession, d: str) -> DataFrame:
     return rounded(sites.gated_sum(both, F.get("features", F.lit(3)) * 3, F.get("features", F.lit(64 + 4)) * 3), 8, "message")
 
 
-@query(f"WITH {_POINTS} SELECT graph, count(*) AS n, {', '.join(f'round(avg(CAST(embedding[{i + 1}] AS DOUBLE)), 8) + 0.0 AS p{i}' for i in range(8))}, round(avg(CAST(embedding[1] AS DOUBLE)) * count(*), 7) + 0.0 AS total FROM pt GROUP BY graph")
+_WIDTH = 64
+
+
+@query(f"WITH {_POINTS} SELECT graph, count(*) AS n, {', '.join(f'round(avg(CAST(embedding[{i + 1}] AS DOUBLE)), 8) + 0.0 AS p{i}' for i in range(_WIDTH))}, round(avg(CAST(embedding[1] AS DOUBLE)) * count(*), 7) + 0.0 AS total FROM pt GROUP BY graph")
 def pooled_graphs(spark: SparkSession, d: str) -> DataFrame:
-    out = sites.mean_pool(points(spark, d), 8)
-    out = out.select("graph", "n", *[F.get("pooled", F.lit(i)).alias(f"p{i}") for i in range(8)], (F.get("pooled", F.lit(0)) * F.col("n")).alias("total"))
-    return rounded(rounded(out, 8, *[f"p{i}" for i in range(8)]), 7, "total")
+    out = sites.mean_pool(points(spark, d), _WIDTH)
+    out = out.select("graph", "n", *[F.get("pooled", F.lit(i)).alias(f"p{i}") for i in range(_WIDTH)], (F.get("pooled", F.lit(0)) * F.col("n")).alias("total"))
+    return rounded(rounded(out, 8, *[f"p{i}" for i in range(_WIDTH)]), 7, "total")
 
 
 @query("""WITH n AS (SELECT label AS graph, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS node FROM embeddings), s AS (SELECT graph, count(*) AS c FROM n GROUP BY graph)
@@ -710,6 +713,7 @@ def nan_rules(spark: SparkSession, d: str) -> DataFrame:
     return rounded(out.agg(F.count("*").alias("n"), F.count("v").alias("n_valid"), F.sum("v").alias("total")), 4, "total")
 
 
+# Atomic numbers and symbols of the species.
 _LABELS = {77: "Ir", 46: "Pd", 78: "Pt", 45: "Rh", 44: "Ru"}
 
 
