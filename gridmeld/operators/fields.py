@@ -216,6 +216,35 @@ def _by_grid(vectors: DataFrame, book: DataFrame, size: int) -> DataFrame:
         width *= 2
 
 
+def tiles_by_table(df: DataFrame, value: str, edges: DataFrame, keys: Sequence[str] = (), name: str = "tile") -> DataFrame:
+    """Adds the number (from 0) of the last edge at or below a value, null outside of a map's
+    edges, for edges in a table (keys, edge), which may be thousands and differ from map to map.
+
+    The stretches between neighbouring edges are entered in every bucket of a map's mean
+    stretch that they touch, twice as many as there are edges at most, and values meet
+    them by bucket in an equal join. Equal edges count each, but only the last of them begins a
+    stretch; a map's last edge ends its last. Null edges don't count. Where most of a map's edges crowd in a
+    small part of it, values there meet all edges of their bucket.
+    """
+    k = [F.col(c).alias(f"__k_{c}") for c in keys]
+    of_map = Window.partitionBy(*[f"__k_{c}" for c in keys]).orderBy("__e")
+    known = edges.where(F.col("edge").isNotNull()).select(*k, F.col("edge").cast("double").alias("__e"))
+    spans = known.groupBy(*[f"__k_{c}" for c in keys]).agg(F.min("__e").alias("__low"), F.max("__e").alias("__high"), F.count("*").alias("__n"))
+    spans = spans.where("__high > __low").withColumn("__w", (F.col("__high") - F.col("__low")) / F.col("__n"))
+    bucket_of = lambda c: F.floor((F.col(c) - F.col("__low")) / F.col("__w")).cast("long")
+    steps = known.withColumns({"__to": F.lead("__e").over(of_map), "__i": (F.row_number().over(of_map) - 1).cast("int")}).where("__to > __e")
+    steps = steps.join(spans.withColumnsRenamed({f"__k_{c}": f"__m_{c}" for c in keys}), _equal([f"__k_{c}" for c in keys], [f"__m_{c}" for c in keys]))
+    steps = steps.select(*[f"__k_{c}" for c in keys], "__e", "__to", "__i", F.explode(F.sequence(bucket_of("__e"), bucket_of("__to"))).alias("__b"))
+    out = df.join(spans.withColumnsRenamed({f"__k_{c}": f"__m_{c}" for c in keys}), _equal(keys, [f"__m_{c}" for c in keys]), "left").withColumn("__at", bucket_of(value))
+    inside = (F.col("__at") == F.col("__b")) & (F.col(value) >= F.col("__e")) & (F.col(value) < F.col("__to"))
+    out = out.join(steps, inside & _equal(keys, [f"__k_{c}" for c in keys]), "left")
+    return out.select(*[c for c in df.columns if c != name], F.col("__i").alias(name))
+
+
+def _equal(left: Sequence[str], right: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a & b, (F.col(x).eqNullSafe(F.col(y)) for x, y in zip(left, right)), F.lit(True))
+
+
 def tile_means(pixels: DataFrame, tiles_y: int, tiles_x: int, extent_y: tuple[float, float], extent_x: tuple[float, float], channels: Sequence[str], scale: float = 255.0, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, y, x, channels): means of the pixels between evenly spaced integer edges.
     The edges follow from the parameters, so they are constants in the plan."""

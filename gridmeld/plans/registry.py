@@ -303,6 +303,21 @@ def tile_field(spark: SparkSession, d: str) -> DataFrame:
     return rounded(fields.background(tiles, ["r", "g", "b"], 0.12), 8, "r", "g", "b")
 
 
+@query("""WITH m AS (SELECT DISTINCT l_linestatus AS map FROM lineitem),
+    e AS (SELECT map, edge, row_number() OVER (PARTITION BY map ORDER BY edge) - 1 AS i, max(edge) OVER (PARTITION BY map) AS high FROM (
+        SELECT map, CAST(o_totalprice AS DOUBLE) * CASE map WHEN 'F' THEN 0.25 ELSE 0.5 END AS edge FROM orders, m WHERE o_orderkey % 5 = 0)),
+    v AS (SELECT l_linestatus AS map, CAST(l_extendedprice AS DOUBLE) AS v FROM lineitem),
+    a AS (SELECT v.map, CASE WHEN v.v < e.high THEN e.i END AS tile FROM v ASOF LEFT JOIN e ON v.map = e.map AND v.v >= e.edge)
+    SELECT map, CAST(tile AS INTEGER) AS tile, count(*) AS n FROM a GROUP BY map, tile""")
+def tiles_of_many_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Line prices counted between edges that are orders' prices, other ones for each of two maps."""
+    li = table(spark, d, "lineitem").select(F.col("l_linestatus").alias("map"), F.col("l_extendedprice").cast("double").alias("v"))
+    price = F.col("o_totalprice").cast("double") * F.when(F.col("map") == "F", 0.25).otherwise(0.5)
+    maps = li.select("map").distinct()  # two rows
+    edges = table(spark, d, "orders").where("o_orderkey % 5 = 0").crossJoin(F.broadcast(maps)).select("map", price.alias("edge"))
+    return fields.tiles_by_table(li, "v", edges, ["map"]).groupBy("map", "tile").agg(F.count("*").alias("n"))
+
+
 @query(f"""WITH e AS (SELECT {_edge_sql(1.0, 1901.0, 50)} AS ey, {_edge_sql(1.0, 96.0, 20)} AS ex),
     a AS (SELECT len(list_filter(ey, lambda v: v <= l_partkey)) - 1 AS y, len(list_filter(ex, lambda v: v <= l_suppkey)) - 1 AS x, l_quantity AS r, l_discount * 1000 AS g, l_tax * 1000 AS b
         FROM lineitem, e WHERE l_partkey >= ey[1] AND l_partkey < ey[-1] AND l_suppkey >= ex[1] AND l_suppkey < ex[-1]),
