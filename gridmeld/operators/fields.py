@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from math import ceil, log2
+from math import ceil, log, log2, sqrt
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -111,8 +111,9 @@ def patch_at(raw: DataFrame, mask: DataFrame, offset: DataFrame, keys: Sequence[
     return min_max(moved, value, [c for c in keys if c in moved.columns]) if value else moved
 
 
-def align_fields(raw: DataFrame, target: DataFrame, followers: dict[str, DataFrame], composition: DataFrame, most_dy: int, most_dx: int, width: int, raw_width: int, keys: Sequence[str] = (), complete_only: bool = True) -> DataFrame:
-    """The whole alignment job: the best offset of the target inside raw, per map; at that
+def align_fields(raw: DataFrame, target: DataFrame, followers: dict[str, DataFrame], composition: DataFrame, most_dy: int, most_dx: int, width: int, raw_width: int, keys: Sequence[str] = (), complete_only: bool = True, best: DataFrame | None = None) -> DataFrame:
+    """The whole alignment job: the best offset of the target inside raw, per map (or those
+    given as `best` (keys, dy, dx), such as `search.find_offset` finds on large grids); at that
     offset the scaled patch of raw (`scaled`) and of each follower (a column of its
     name), and the columns of the composition table, which has keys or is one for all.
 
@@ -120,7 +121,7 @@ def align_fields(raw: DataFrame, target: DataFrame, followers: dict[str, DataFra
     a row per target cell that raw has a value for.
     """
     k = list(keys)
-    best = best_offset(offset_errors(raw, target, most_dy, most_dx, k, complete_only), k).select(*k, "dy", "dx")
+    best = (best if best is not None else best_offset(offset_errors(raw, target, most_dy, most_dx, k, complete_only), k)).select(*k, "dy", "dx")
     out = patch_at(present(raw), target, best, k).select(*k, "y", "x", "dy", "dx", "scaled")
     for name, df in followers.items():
         other = patch_at(present(df), target, best, k).select(*k, "y", "x", F.col("scaled").alias(name))
@@ -266,16 +267,66 @@ def activity_field(pixels: DataFrame, palette: DataFrame, tiles_y: int, tiles_x:
     return to_dense(flip(scaled, tiles_y), tiles_y, tiles_x, keys=k)
 
 
-def mixture(cells: DataFrame, centres: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+#: Up to so many centres of a mixture go to every cell as arrays; more are met within their reach.
+SMALL_MIXTURE = 1_000
+#: Cells or centres that one part of a bin holds; fuller bins are dealt to several.
+PER_BIN = 5_000
+
+
+def mixture(cells: DataFrame, centres: DataFrame, keys: Sequence[str] = (), error: float = 1e-12) -> DataFrame:
     """(keys, y, x, element, value): the sum of each element's Gaussian bumps at each cell.
-    Cells come once each. The centres are a stated, small set, gathered in one row, so no cell meets them by a
-    join of rows."""
+    Cells come once each; centres with a null or a width that isn't positive don't count.
+
+    Up to `SMALL_MIXTURE` centres are gathered, an array per element. More are never gathered:
+    a bump counts only where it adds more than error / n, n being the centres of the
+    largest element, so that sums are too small by less than `error`, and meets the cells there by bins.
+    """
+    number = lambda c: F.col(c).cast("double").alias(c)
+    centres = centres.select("element", *map(number, ("mux", "muy", "sigma"))).where("mux is not null and muy is not null and sigma > 0")
+    if centres.limit(SMALL_MIXTURE + 1).count() > SMALL_MIXTURE:
+        return _mixture_within(cells, written(centres), list(keys), error)
     bumps = centres.groupBy("element").agg(F.array_sort(F.collect_list(F.struct("mux", "muy", "sigma"))).alias("__c"))
     each = cells.crossJoin(F.broadcast(bumps))
     one = lambda c: gaussian_2d(F.col("x"), F.col("y"), c["mux"], c["muy"], c["sigma"])
     return each.select(*keys, "y", "x", "element", F.aggregate("__c", F.lit(0.0), lambda s, c: s + one(c)).alias("value"))
 
 
+def _mixture_within(cells: DataFrame, centres: DataFrame, keys: list[str], error: float) -> DataFrame:
+    """The sums over centres within reach, in an equal join on bins.
+
+    A centre's bins are as wide as the next power of two of its reach, so it has at most
+    three a side, and a cell has one bin for each such width, of which there are as many as the
+    reaches differ by powers of two. Bins with many cells or many centres are dealt: each part of
+    the cells meets each part of the centres in its own group.
+    """
+    counts = written(centres.groupBy("element").agg(F.count("*").alias("n")))
+    elements, most = counts.agg(F.count("*"), F.max("n")).first()
+    reach = F.col("sigma") * sqrt(2 * log(max(most / error, 2.0)))
+    same = centres.groupBy("element", "mux", "muy", "sigma").agg(F.count("*").alias("__times"))
+    bumps = written(same.withColumn("__r", reach).withColumn("__level", F.ceil(F.log2("__r")).cast("int")))
+    width = F.pow(F.lit(2.0), F.col("__level"))
+    bins = lambda c: F.explode(F.sequence(F.floor((F.col(c) - F.col("__r")) / width), F.floor((F.col(c) + F.col("__r")) / width)))
+    left = bumps.withColumn("__by", bins("muy")).withColumn("__bx", bins("mux"))
+    levels = bumps.select("__level").distinct()  # at most the exponents of a double
+    right = cells.select(*keys, "y", "x").crossJoin(F.broadcast(levels)).withColumns({f"__b{c}": F.floor(F.col(c) / width) for c in "yx"})
+    at = ["__level", "__by", "__bx"]
+    parts = lambda df, name: df.groupBy(*at).agg(F.ceil(F.count("*") / PER_BIN).cast("int").alias(name))
+    dealt = written(parts(left, "__nl").join(parts(right, "__nr"), at))  # bins with both
+    own = lambda n, *columns: F.pmod(F.xxhash64(*columns), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = left.join(dealt, at).withColumn("__pl", own("__nl", "element", "mux", "muy", "sigma")).withColumn("__pr", every("__nr"))
+    right = right.join(dealt, at).withColumn("__pr", own("__nr", *keys, "y", "x")).withColumn("__pl", every("__nl"))
+    met = right.drop("__nl", "__nr").join(left.drop("__nl", "__nr"), [*at, "__pl", "__pr"])
+    met = met.where(F.pow(F.col("x") - F.col("mux"), 2) + F.pow(F.col("y") - F.col("muy"), 2) <= F.pow("__r", 2))
+    bump = gaussian_2d(F.col("x"), F.col("y"), F.col("mux"), F.col("muy"), F.col("sigma"))
+    sums = met.groupBy(*keys, "y", "x", "element").agg(F.sum(bump * F.col("__times")).alias("__v"))
+    named = counts.select("element")
+    each = cells.select(*keys, "y", "x").crossJoin(F.broadcast(named) if elements <= SMALL_MIXTURE else named)  # these are the rows asked for
+    ours, theirs = [*keys, "y", "x", "element"], [f"__k{i}" for i in range(len(keys) + 3)]
+    out = each.join(sums.withColumnsRenamed(dict(zip(ours, theirs))), _equal(ours, theirs), "left")
+    return out.select(*ours, F.coalesce("__v", F.lit(0.0)).alias("value"))
+
+
 def masked_rmse(pairs: DataFrame, centre_y: int, centre_x: int, keys: Sequence[str] = ()) -> DataFrame:
     """RMSE of value against other with one row and one column counted as equal."""
     d = F.when((F.col("y") == centre_y) | (F.col("x") == centre_x), 0.0).otherwise(F.pow(F.col("value") - F.col("other"), 2))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridmeld.functions import expressions as E
-from gridmeld.operators import fields, metrics, ranking, sites
+from gridmeld.operators import fields, metrics, ranking, search, sites
 from gridmeld.sources import files
 from gridmeld.sources.scratch import scratch_path as _scratch
 from gridmeld.sources.scratch import written
@@ -252,6 +252,12 @@ def offset_search(spark: SparkSession, d: str) -> DataFrame:
     return rounded(fields.offset_errors(raw_grid(spark, d), target_grid(spark, d), 10, 10, complete_only=False), 9, "diff")
 
 
+@query(f"""WITH {_OFFSETS} SELECT dy, dx, n_valid, round(diff, 9) AS diff FROM (SELECT * FROM o ORDER BY diff, dy, dx LIMIT 1)""")
+def bounded_search(spark: SparkSession, d: str) -> DataFrame:
+    """The best offset by bounds over pieces of rows, without all cells at all offsets."""
+    return rounded(search.find_offset(raw_grid(spark, d), target_grid(spark, d), 10, 10, complete_only=False).drop("n_tried"), 9, "diff")
+
+
 _PATCH = f"""{_OFFSETS}, best AS (SELECT dy, dx FROM o ORDER BY diff, dy, dx LIMIT 1),
     p AS (SELECT t.y, t.x, r.value FROM best, target t JOIN raw r ON r.y = t.y + (SELECT dy FROM best) AND r.x = t.x + (SELECT dx FROM best))"""
 
@@ -403,6 +409,18 @@ def mixture_shares(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rounded(fields.shares(mixture_field(spark, d), ["y", "x"]), 9, "value"), 8, "share")
 
 
+_BUMPS = """ce AS (SELECT p_partkey % 4 AS element, (p_partkey * 7919 % 6100) / CAST(100 AS DOUBLE) AS mux, (p_partkey * 104729 % 6100) / CAST(100 AS DOUBLE) AS muy, (p_size + 5) / CAST(50 AS DOUBLE) AS sigma FROM part),
+    mx AS (SELECT CAST(l_partkey % 61 AS INTEGER) AS y, CAST(l_suppkey % 61 AS INTEGER) AS x FROM lineitem GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_BUMPS} SELECT y, x, element, round(sum(exp(-(pow(x - mux, 2) + pow(y - muy, 2)) / (2.0 * pow(sigma, 2)))), 8) AS value FROM mx, ce GROUP BY y, x, element")
+def mixture_within_reach(spark: SparkSession, d: str) -> DataFrame:
+    """A bump for every part, of a reach of its own, met by the cells within it."""
+    key = F.col("p_partkey")
+    centres = table(spark, d, "part").select((key % 4).alias("element"), ((key * 7919 % 6100) / F.lit(100.0)).alias("mux"), ((key * 104729 % 6100) / F.lit(100.0)).alias("muy"), ((F.col("p_size") + 5) / F.lit(50.0)).alias("sigma"))
+    return rounded(fields.mixture(raw_grid(spark, d).select("y", "x"), centres), 8, "value")
+
+
 _ELEMENTS = [f"e{i}" for i in range(5)]
 
 
