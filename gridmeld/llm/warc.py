@@ -25,6 +25,8 @@ from .common import shared_dir, written
 MAGIC = b"\x1f\x8b\x08"
 CRLF = b"\r\n"
 MOST_TASKS = 1 << 15
+#: The most frequent payloads, whose revisits are decided from a list that goes to all tasks.
+HOT = 1_000
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -84,10 +86,10 @@ def write_warc(pages: DataFrame, folder: str, roll_bytes: int = 1 << 28) -> Data
 
 
 class _Window:
-    """A file's bytes from an offset on, fetched as needed and dropped when passed."""
+    """A file's bytes from an offset on, fetched as needed and dropped when passed; in time that grows with their number."""
 
     def __init__(self, file, start: int, step: int = 1 << 22) -> None:
-        self.file, self.base, self.step, self.data, self.ended = file, start, step, b"", False
+        self.file, self.base, self.step, self.data, self.ended = file, start, step, bytearray(), False
         file.seek(start)
 
     def upto(self, end: int) -> None:
@@ -98,7 +100,8 @@ class _Window:
 
     def drop(self, before: int) -> None:
         if before - self.base > self.step:
-            self.data, self.base = self.data[before - self.base :], before
+            del self.data[: before - self.base]
+            self.base = before
 
 
 def _decode(window: _Window, at: int) -> tuple[bytes, int] | None:
@@ -216,13 +219,28 @@ def archive_pages(pages: DataFrame, folder: str, least_bytes: int = 1000) -> Dat
     largest page_id is a response and the others revisit it. Defined cases: null
     html is an empty payload; a null page_id never is the one revisited; rows that
     repeat the largest page_id are responses each; extra columns aren't read.
+
+    Revisits are decided on slim rows of ids and digests. Those of the most frequent
+    payloads, a list of fixed length, are known before any page moves and lose their
+    payload there; the others meet their pages by page, so no payload gathers its copies.
     """
+    keys = ["digest", "x", "payload_bytes"]
     payload = F.coalesce(F.col("html"), F.lit(""))
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"), F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha1(payload.cast("binary")).alias("digest"), F.xxhash64(payload).alias("x"))
-    twins = base.where(F.col("payload_bytes") >= least_bytes).groupBy("digest", "x", "payload_bytes").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    joined = base.join(twins.drop("n"), ["digest", "x", "payload_bytes"], "left")
-    refers = F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    return write_warc(joined.withColumn("refers_to", refers).withColumn("kind", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit")), folder)
+    slim = written(base.where(F.col("payload_bytes") >= least_bytes).select("page_id", *keys), "slim")
+    twins = written(slim.groupBy(*keys).agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null"), "twins")
+    hot = F.broadcast(written(twins.orderBy(F.desc("n"), *keys).limit(HOT).select(*keys, F.col("first").alias("hot")), "hot"))
+    others = slim.join(hot, keys, "left_anti").join(twins, keys).where(~F.col("page_id").eqNullSafe(F.col("first")))
+    others = written(others.select(F.col("page_id").alias("__page"), *[F.col(c).alias(f"__{c}") for c in keys], "first").distinct(), "others")
+    at = base.join(hot, keys, "left")
+    hit = F.col("hot").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("hot"))
+    at = at.withColumns({"payload": F.when(~hit, F.col("payload")), "hot": F.when(hit, F.col("hot"))})
+    same = F.col("page_id").eqNullSafe(F.col("__page"))
+    for c in keys:
+        same &= F.col(c) == F.col(f"__{c}")
+    at = at.join(others, same, "left").withColumn("refers_to", F.coalesce("hot", "first"))
+    at = at.withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload")))
+    return write_warc(at.withColumn("kind", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit")), folder)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, with_payload: bool = False) -> DataFrame:

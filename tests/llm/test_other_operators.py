@@ -16,7 +16,10 @@ from gridmeld.llm.components import connected_components
 from gridmeld.llm.neighbours import centroids_for, nearest, walk
 
 
-def test_warc_round_trip(spark, tmp_path):
+@pytest.mark.parametrize("hot", [1000, 1])
+def test_warc_round_trip(spark, tmp_path, monkeypatch, hot):
+    """With all revisits from the list of frequent payloads, and with all but one's by a join."""
+    monkeypatch.setattr(warc, "HOT", hot)
     r = random.Random(1)
     big = "<p>" + "long " * 400
     rows = [(i, f"http://h/{i}", r.choice([f"<p>{i}", big, "é" * 600, f"{big}{i}"])) for i in range(60)]
@@ -55,6 +58,16 @@ def test_warc_reader_skips_what_is_no_record():
         assert len(list(warc.records_in(io.BytesIO(data), 0, cut))) + len(list(warc.records_in(io.BytesIO(data), cut, len(data)))) == 2
 
 
+def test_a_large_record_is_read_in_linear_time():
+    """No bytes of the record are copied again for each piece that follows."""
+    payload = random.Random(2).randbytes(48_000_000)
+    data = warc._member(warc._record("response", "1", "u", "d", payload, len(payload), None))
+    window = warc._Window(io.BytesIO(data), 0, step=1 << 14)  # thousands of pieces
+    start = time.time()
+    record, end = warc._decode(window, 0)
+    assert end == len(data) and payload in record and time.time() - start < 20
+
+
 @pytest.fixture(scope="module")
 def trees():
     return extract.train()
