@@ -43,12 +43,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item, re-parameterised ones too. Rows are told
+    """Drops documents that hold a benchmark item, re-parameterised ones too; one word alone is no item here. Rows are told
     apart by id and text, so of rows that share an id only those with such a text go."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
     row = fresh(docs.columns)
     keyed = docs.withColumn(row, F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"))
-    bad = written(contaminated(keyed.select(row, "text"), items, id_col=row).select(row).distinct(), "contaminated")
+    bad = written(contaminated(keyed.select(row, "text"), items, id_col=row).where("kind != 'word'").select(row).distinct(), "contaminated")
     return keyed.join(bad, row, "left_anti").select(docs.columns)
 
 

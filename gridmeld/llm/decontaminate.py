@@ -172,13 +172,22 @@ class Template:
         return out or None
 
 
+def _counts_up(words: list[str]) -> bool:
+    """Numbers that go on by one same step, as in an enumeration."""
+    try:
+        values = [float(w.replace(",", "")) for w in words]
+    except ValueError:
+        return False
+    return len({round(b - a, 9) for a, b in zip(values, values[1:])}) <= 1
+
+
 def template_windows(df: DataFrame, window: int = WINDOW, bitmap: np.ndarray | None = None, sizes: list[int] | None = None) -> DataFrame:
     """(id, text) to (id, total, firm, size, pos, key, solid, thin, fill): the windows of each
     text, whose whole number is total and that of solid ones firm; with a bitmap only
     those that it lets pass. Null is an empty text. A text shorter than the window has
     one window of its own size. With `sizes` each text has windows of all these sizes.
     A text of numbers and units only has its whole as a window (of size -1), and with
-    `sizes` the others, too."""
+    `sizes`, or where it is as long as a window and doesn't just count, its literal ones, too."""
     sent = None if bitmap is None else df.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,10 +203,14 @@ def template_windows(df: DataFrame, window: int = WINDOW, bitmap: np.ndarray | N
                 first, keys = t.wordless()
                 bare = np.zeros(b - a, dtype=bool)
                 bare[t.rows[first]] = True
+                text_of = lambda w, size: [t.data[x:y].tobytes().decode("utf-8", "replace") for x, y in zip(t.starts[w : w + size], t.ends[w : w + size])]  # noqa: B023, E731
+                cut = np.zeros(b - a, dtype=bool)  # texts of numbers that are matched by windows
+                if not sizes:
+                    cut[[r for w in first.tolist() if words[r := t.rows[w]] >= window and not _counts_up(text_of(w, int(words[r])))]] = True
                 firm = np.zeros(b - a, dtype=np.int64)
                 found = [(first, keys, np.zeros(len(first), dtype=bool), np.zeros(len(t.rows), dtype=bool), False, 0)]
                 for n in sizes or range(1, window + 1):
-                    mine = None if sizes else (np.minimum(words, window) == n) & ~bare
+                    mine = None if sizes else (np.minimum(words, window) == n) & (~bare | cut)
                     if mine is not None and not mine.any():
                         continue
                     for k, (at, keys, solid, mask, thin) in enumerate(t.windows(n)):
@@ -207,7 +220,7 @@ def template_windows(df: DataFrame, window: int = WINDOW, bitmap: np.ndarray | N
                         if not k:
                             firm += np.bincount(t.rows[at[solid]], minlength=b - a)
                         found.append((at, keys, solid, mask, thin, n))
-                total = np.where(bare, 1, np.maximum(words - window + 1, 1))
+                total = np.where(bare & ~cut, 1, np.maximum(words - window + 1, 1))
                 for at, keys, solid, mask, thin, n in found:
                     if sent is not None:
                         hit = in_bitmap(sent.value, keys)
@@ -238,7 +251,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     document, or at least 13 words in a row do literally. A window with other values in its slots counts only where each of the
     item's values that it holds meets one value along the alignment; windows that
     stand there literally always count. kind is `verbatim` where every counted window
-    stands literally in the document, else `reparameterised`.
+    stands literally in the document, `word` for an item of one word, else `reparameterised`.
 
     Documents meet a fixed-size bitmap of the items' windows first and are joined
     with the windows exactly afterwards, so a large benchmark costs no broadcast and
@@ -252,18 +265,19 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
     Defined cases: null, empty and wordless texts and items match nothing; an item
     shorter than a window has one window, its whole, which stands anywhere in a
-    document, so an item of one word is in each document with that word; an item of
-    numbers and units only is matched by an equal text only, as counting isn't copying;
+    document, so an item of one word is in each document with that word, which the kind
+    `word` tells apart; an item of numbers and units only is matched by its literal windows, or, where it is shorter
+    than a window or goes on by one same step, by an equal text only, as counting isn't copying;
     ids are integers, and rows that share an id (null too) are judged as one
     document; repeated items give a row each only where their ids differ.
     Extra columns aren't read. Empty tables give no rows.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     bench = items.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).alias("text"))
-    windows = written(template_windows(bench, window), "windows").select(F.col("id").alias("item"), F.col("total").alias("n_windows"), "firm", "size", F.col("pos").alias("item_pos"), "key", "solid", "thin", F.col("fill").alias("want"))
+    windows = written(template_windows(bench, window), "windows").select(F.col("id").alias("item"), F.col("total").alias("n_windows"), "firm", "size", F.col("pos").alias("item_pos"), "key", "solid", "thin", F.col("fill").alias("want"), (F.col("size") == 1).alias("word"))
     sizes = sorted(r["size"] for r in windows.select("size").where(f"size between 1 and {window}").distinct().collect()) or [window]
     hits = template_windows(slim, window, bitmap_of(windows.select("key"), "key"), sizes).select("id", "pos", "key", "fill")
-    pairs = hits.join(windows, "key").select("id", "item", "n_windows", "firm", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), "solid", "thin", *[F.transform(c, F.lower).alias(c) for c in ("want", "fill")])
+    pairs = hits.join(windows, "key").select("id", "item", "n_windows", "firm", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), "solid", "thin", "word", *[F.transform(c, F.lower).alias(c) for c in ("want", "fill")])
     pairs = written(pairs, "matches")
     same = ["id", "item", "n_windows", "shift"]
     filled = pairs.where("want is not null").select(*same, F.explode(F.arrays_zip("want", "fill")).alias("s")).select(*same, "s.want", "s.fill")
@@ -272,7 +286,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     on = pairs["id"].eqNullSafe(clash["s_id"]) & pairs["item"].eqNullSafe(clash["s_item"]) & (pairs["n_windows"] == clash["s_n_windows"]) & (pairs["shift"] == clash["s_shift"])
     equal = F.coalesce(F.col("want") == F.col("fill"), F.lit(True))
     judged = pairs.join(clash, on, "left").withColumn("equal", equal).where(F.col("equal") | F.col("clash").isNull() | ~F.arrays_overlap("want", "clash"))
-    line = ["id", "item", "n_windows", "firm"]
+    line = ["id", "item", "n_windows", "firm", "word"]
     judged = judged.groupBy(*line, "shift", "item_pos").agg(F.bool_or("equal").alias("equal"), F.bool_or("solid").alias("solid"), F.bool_and("thin").alias("thin"))
     judged = judged.groupBy(*line, "shift").agg(F.collect_list(F.struct("item_pos", "equal", "solid", "thin")).alias("w"))
     judged = judged.select(*line, _longest_run(F.col("w")).alias("run"), F.inline(F.filter("w", lambda w: ~w["thin"] | w["equal"] | (F.size("w") >= LINE))))
@@ -282,5 +296,5 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     return (
         found.withColumn("best", F.when(F.col("firm") == 0, shares[0]).otherwise(F.greatest(*shares)))
         .where((F.col("best.coverage") >= coverage) | (F.col("run") >= RUN))
-        .select(F.col("id").alias(id_col), F.col("item").alias(item_col), "best.n_windows", "best.matched", "best.coverage", F.when(F.col("equal"), "verbatim").otherwise("reparameterised").alias("kind"))
+        .select(F.col("id").alias(id_col), F.col("item").alias(item_col), "best.n_windows", "best.matched", "best.coverage", F.when(F.col("word"), "word").when(F.col("equal"), "verbatim").otherwise("reparameterised").alias("kind"))
     )

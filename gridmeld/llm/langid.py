@@ -25,7 +25,8 @@ from .common import shipped, written
 from .textbytes import chunks, mix
 
 ORDER = 4
-_LIMIT = 0x2FFFF
+#: No code point from here on is a letter.
+_LIMIT = 0x3FFFF
 
 
 def _code_map() -> np.ndarray:
