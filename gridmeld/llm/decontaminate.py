@@ -173,9 +173,9 @@ class Template:
 
 
 def _counts_up(words: list[str]) -> bool:
-    """Numbers that go on by one same step, as in an enumeration."""
+    """Numbers that go on by one same step, as in an enumeration, whatever units stand among them."""
     try:
-        values = [float(w.replace(",", "")) for w in words]
+        values = [float(w.replace(",", "")) for w in words if any(c.isdigit() for c in w)]
     except ValueError:
         return False
     return len({round(b - a, 9) for a, b in zip(values, values[1:])}) <= 1
