@@ -14,7 +14,7 @@ rows share costs no more than any other, and ties are still told apart by id.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import hash128, written
+from .textbytes import mix
 
 PROBES, BLOCK = 64, 8192
 #: Entries that a cell should hold on average, bounds of the centroids per half, and rows per centroid to fit them on.
@@ -35,6 +36,37 @@ def centroids_for(entries: int) -> int:
     return int(min(MOST, max(LEAST, round((entries / PER_CELL) ** 0.5))))
 
 
+def blocks_of(sizes: np.ndarray, wide: int, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """Each cell's first block within its row of `wide` cells, and in how many blocks it lies.
+
+    Neighbouring cells share a block while together they hold at most `block` entries;
+    a cell with more is dealt to blocks of its own. So a query meets only the blocks
+    that hold cells it asks for, however many its row has.
+    """
+    first, parts = np.zeros(len(sizes), dtype=np.int32), np.ones(len(sizes), dtype=np.int32)
+    at = filled = 0
+    for cell, n in enumerate(sizes.tolist()):
+        if cell % wide == 0:
+            at = filled = 0
+        if filled and filled + n > block:
+            at, filled = at + 1, 0
+        first[cell] = at
+        filled += n
+        if n > block:
+            parts[cell] = -(-n // block)
+            at, filled = at + parts[cell], 0
+    return first, parts
+
+
+def visits(cells: Iterable[int], wide: int, first: np.ndarray, parts: np.ndarray) -> dict[tuple[int, int], list[int]]:
+    """The blocks (row, block) that hold the cells, each with its cells' places in the row."""
+    out: dict[tuple[int, int], list[int]] = {}
+    for cell in cells:
+        for p in range(parts[cell]):
+            out.setdefault((cell // wide, int(first[cell]) + p), []).append(cell % wide)
+    return out
+
+
 def _matrix(lists: pa.Array, width: int) -> np.ndarray:
     return np.asarray(lists.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(-1, width)
 
@@ -168,48 +200,60 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
     need: list[int] = []
     a, b = halves(p)
     for i in range(len(p)):
-        passed, reach = 0, {}
+        passed, reach = 0, [r["cell"] for r in true if r["p"] == i]
+        missing = set(reach)
         for cell in walk(a[i], b[i]):
-            passed += sizes[cell]
-            reach[cell] = passed
-        need += [reach[r["cell"]] for r in true if r["p"] == i]
+            passed += int(sizes[cell])
+            if cell in missing:
+                need += [passed] * reach.count(cell)
+                missing.remove(cell)
+                if not missing:  # the last true neighbour's cell ends the walk
+                    break
     # in proportion to the entries, with some to spare for queries unlike the sample
     enough = int(np.quantile(need, recall)) if need else int(sizes.sum())
     enough = max(enough, k + 1)
 
     wide = len(books[1])
+    first, parts = blocks_of(sizes, wide)
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each query's cells by the first half's centroid, which is the index's row."""
+        """Each query's blocks, by the first half's centroid (the index's row), with the cells it asks for there."""
         for batch in batches:
             if not batch.num_rows:
                 continue
             a, b = halves(_matrix(batch.column(1), width))
-            at, row, to = [], [], []
+            at, row, block, to = [], [], [], []
             for i in range(batch.num_rows):
-                passed, mine = 0, {}
+                passed, mine = 0, []
                 for cell in walk(a[i], b[i]):
                     if sizes[cell]:
-                        mine.setdefault(cell // wide, []).append(cell % wide)
+                        mine.append(cell)
                         passed += sizes[cell]
                     if passed >= enough:
                         break
-                at += [i] * len(mine)
-                row += mine
-                to += mine.values()
+                met = visits(mine, wide, first, parts)
+                at += [i] * len(met)
+                row += [r for r, _ in met]
+                block += [x for _, x in met]
+                to += met.values()
             for s in range(0, len(at), 20_000):
-                rows = pa.array(at[s : s + 20_000])
-                yield pa.RecordBatch.from_arrays([pa.array(row[s : s + 20_000], pa.int64()), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(to[s : s + 20_000], pa.list_(pa.int32()))], names=["row", "q", "v", "cells"])
-
-    # entries and queries of a row of cells meet in blocks of bounded size, each pair of blocks on its own
-    big = counts.groupBy(F.floor(F.col("cell") / wide).alias("row")).agg(F.sum("count").alias("n")).where(F.col("n") > BLOCK).select("row", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    blocks = F.coalesce("blocks", F.lit(1))
-    left = index.withColumn("row", F.floor(F.col("cell") / wide)).join(F.broadcast(big), "row", "left").groupBy("row", F.pmod(F.xxhash64("rep"), blocks).alias("block"))
-    left = left.agg(F.collect_list(F.struct("rep", "ids", "v", (F.col("cell") % wide).cast("int").alias("cell"))).alias("entries"))
+                e = s + 20_000
+                rows = pa.array(at[s:e])
+                yield pa.RecordBatch.from_arrays([pa.array(row[s:e], pa.int64()), pa.array(block[s:e], pa.int64()), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(to[s:e], pa.list_(pa.int32()))], names=["row", "block", "q", "v", "cells"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each entry's block, by its hash where its cell lies in several."""
+        for batch in batches:
+            cell = batch.column(3).to_numpy()
+            part = mix(batch.column(0).to_numpy().view(np.uint64)) % parts[cell].astype(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(cell // wide), pa.array(first[cell] + part.astype(np.int64)), *batch.columns[:3], pa.array((cell % wide).astype(np.int32))], names=["row", "block", "rep", "ids", "v", "cell"])
+
+    # entries and queries meet in blocks of bounded size: whole cells of a row, or parts of a full cell
+    left = index.select("rep", "ids", "v", "cell").mapInArrow(deal, f"row long, block long, rep long, ids array<long>, v {kind}, cell int")
+    left = left.groupBy("row", "block").agg(F.collect_list(F.struct("rep", "ids", "v", "cell")).alias("entries"))
     n = asked.count()
-    probes = kinds.select("q", "v").repartition(max(spark.sparkContext.defaultParallelism, n // 256), "q").mapInArrow(cells, f"row long, q long, v {kind}, cells array<int>")
-    right = probes.groupBy("row", F.pmod(F.xxhash64("q"), F.lit(max(1, n // 512))).alias("turn")).agg(F.collect_list(F.struct("q", "v", "cells")).alias("asked"))
-    right = right.join(F.broadcast(big), "row", "left").select("row", "asked", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"))
+    probes = kinds.select("q", "v").repartition(max(spark.sparkContext.defaultParallelism, n // 256), "q").mapInArrow(cells, f"row long, block long, q long, v {kind}, cells array<int>")
+    right = probes.groupBy("row", "block", F.pmod(F.xxhash64("q"), F.lit(max(1, n // 512))).alias("turn")).agg(F.collect_list(F.struct("q", "v", "cells")).alias("asked"))
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each query's best entries of a row's block: cell by cell, then over all of them."""
