@@ -11,9 +11,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gridmeld.llm import boosting, extract, textbytes, warc
+from gridmeld.llm import boosting, components, extract, neighbours, textbytes, warc
 from gridmeld.llm.components import connected_components
-from gridmeld.llm.neighbours import centroids_for, nearest, walk
+from gridmeld.llm.neighbours import blocks_of, centroids_for, nearest, visits, walk
 
 
 @pytest.mark.parametrize("hot", [1000, 1])
@@ -200,6 +200,36 @@ def test_centroids_follow_the_entries():
     assert [centroids_for(n) for n in (0, 6400, 640_000, 10**9)] == [4, 10, 100, 512]
 
 
+def test_a_query_meets_only_blocks_with_its_cells():
+    """However many blocks a row has; a full cell lies in blocks of its own."""
+    rng = np.random.default_rng(3)
+    for scale in (1, 10, 100):
+        sizes = rng.integers(0, 9, 64) * scale
+        sizes[5], sizes[40] = 1000 * scale, 0
+        first, parts = blocks_of(sizes, 16, block=100 * scale)
+        held = {}
+        for c, n in enumerate(sizes):
+            for p in range(parts[c]):
+                held.setdefault((c // 16, first[c] + p), []).append(-(-n // parts[c]))
+        assert all(sum(ns) <= 100 * scale for ns in held.values()) and parts[5] == 10 and parts.sum() == 73
+        asked = [0, 1, 17, 40, 63]
+        met = visits(asked, 16, first, parts)
+        assert len(met) <= len(asked) and sorted(r * 16 + c for (r, _), cs in met.items() for c in cs) == asked
+        assert len(visits([5], 16, first, parts)) == 10
+
+
+@pytest.mark.parametrize("block", [8192, 40])
+def test_neighbours_do_not_depend_on_the_blocks(spark, monkeypatch, block):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(900, 8))
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(900)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(neighbours.blocks_of, "__defaults__", (block,))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in nearest(df, df.where("vec_id % 50 == 0"), recall=1.0, centroids=3).collect()}
+    want = {(q, k + 1): int(v) for q in range(0, 900, 50) for k, v in enumerate(np.argsort(-np.where(np.arange(900) == q, -9, unit @ unit[q]))[:5])}
+    assert got == want
+
+
 def test_cells_are_walked_in_order():
     a, b = np.array([3.0, 1.0, 2.0]), np.array([0.5, 4.0])
     cells = list(walk(a, b))
@@ -207,7 +237,10 @@ def test_cells_are_walked_in_order():
     assert sorted(cells) == list(range(6)) and sums == sorted(sums)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hub", [components.HUB_EDGES, 20, 1])
+def test_components(spark, monkeypatch, hub):
+    """With no hubs, with a few, and with every node dealt to parts."""
+    monkeypatch.setattr(components, "HUB_EDGES", hub)
     r = random.Random(2)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, x) for x in range(101, 400)] + [(r.randrange(500, 540), r.randrange(500, 540)) for _ in range(25)]
     least = {}
