@@ -14,11 +14,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import written
+from .common import fresh, written
 
 _T = "__gridmeld_"
 WORD = r"[^\x20\x09-\x0D]+"
 _UNIT = float(1 << 32)
+#: Copies of equal rows that one task writes.
+PORTION = 10_000
 
 
 def word_count(text) -> "F.Column":
@@ -81,8 +83,8 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     """
     k = _row_key(id_col, text_col, source_col)
     slim = docs.select(F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.col(id_col).alias("id"), k[0].alias("k1"), k[1].alias("k2"))
-    slim = written(slim, "sizes")
-    order = ["source", "size", "id", "k1"]
+    slim = written(slim.withColumn(f"{_T}row", F.monotonically_increasing_id()), "sizes")
+    order = ["source", "size", "id", "k1", f"{_T}row"]  # the last lets a row that repeats very often fill several ranges
     ordered = slim.repartitionByRange(*order).sortWithinPartitions(*order)
     ranked = written(ordered.withColumn(f"{_T}at", F.monotonically_increasing_id()), "ranked").withColumn(f"{_T}part", F.shiftright(f"{_T}at", 33))
     parts = ranked.groupBy("source", f"{_T}part").agg(F.min(f"{_T}at").alias("first"), F.count("*").alias("rows"), F.sum("size").alias("words"))
@@ -107,13 +109,39 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mixed corpus: the rows of docs, each as often as mix_plan() says, with
     the columns of docs and a long column `copy` (from 1) that replaces one of that
-    name. Rows that agree in id, source and text take their plan rows in turn."""
-    cols = [F.col(f"`{c}`") for c in docs.columns if c != "copy"]
+    name.
+
+    Which rows repeat is told by slim keys, so texts of single rows meet their plan by
+    a join and nothing else. Rows that agree in id, source and text follow one another
+    in the plan, so they are taken equally often but for one copy. Of these, rows
+    equal in every column are one row with a number before any shuffle by key, and
+    what is taken of them is dealt out again in portions of PORTION copies; rows that
+    differ in other columns share by a running sum of these numbers.
+    """
+    cols = [c for c in docs.columns if c != "copy"]
+    quoted = [F.col(f"`{c}`") for c in cols]
+    own = fresh(docs.columns)
+    k1, k2, turn, number, m, t = (f"{own}{x}" for x in ("k1", "k2", "turn", "number", "rows", "taken"))
     plan = mix_plan(docs, id_col, text_col, source_col, **options)
-    plan = plan.groupBy("k1", "k2").agg(F.array_sort(F.collect_list("copies")).alias(f"{_T}n")).where(F.element_at(f"{_T}n", -1) > 0)
-    plan = plan.select(F.col("k1").alias(f"{_T}k1"), F.col("k2").alias(f"{_T}k2"), f"{_T}n")
+    plan = plan.groupBy(F.col("k1").alias(k1), F.col("k2").alias(k2)).agg(F.count("*").alias(m), F.sum("copies").alias(t)).where(F.col(t) > 0)
+    plan = written(plan, "copies")
     k = _row_key(id_col, text_col, source_col)
-    keyed = docs.select(*cols, k[0].alias(f"{_T}k1"), k[1].alias(f"{_T}k2"))
-    keyed = keyed.withColumn(f"{_T}turn", F.row_number().over(Window.partitionBy(f"{_T}k1", f"{_T}k2").orderBy(f"{_T}k1")))
-    taken = keyed.join(plan, [f"{_T}k1", f"{_T}k2"]).withColumn(f"{_T}n", F.element_at(f"{_T}n", F.col(f"{_T}turn")))
-    return taken.where(F.col(f"{_T}n") > 0).select(*cols, F.explode(F.sequence(F.lit(1).cast("long"), f"{_T}n")).alias("copy"))
+    keyed = docs.select(*quoted, k[0].alias(k1), k[1].alias(k2))
+    one = F.lit(1).cast("long")
+    single = keyed.join(plan.where(F.col(m) == 1), [k1, k2]).select(*quoted, F.explode(F.sequence(one, t)).alias("copy"))
+
+    # repeated rows: one of each kind with its number, then copies in portions
+    many = keyed.join(plan.where(F.col(m) > 1), [k1, k2])
+    kind = F.xxhash64(F.to_json(F.struct(*quoted)))
+    kinds = many.groupBy(k1, k2, kind.alias(f"{own}kind")).agg(F.count("*").alias(number), F.first(F.struct(*quoted, m, t)).alias(f"{own}row"))
+    kinds = kinds.select(f"{own}row.*", k1, k2, f"{own}kind", number)
+    before = F.sum(number).over(Window.partitionBy(k1, k2).orderBy(f"{own}kind")) - F.col(number)
+    # the first `taken mod rows` of the rows get one copy more than the others
+    whole, rest = F.floor(F.col(t) / F.col(m)), F.pmod(F.col(t), F.col(m))
+    more = F.greatest(F.lit(0), F.least(F.col(number), rest - F.col(f"{own}before")))
+    shares = kinds.withColumn(f"{own}before", before).withColumn(turn, whole * F.col(number) + more).where(F.col(turn) > 0)
+    portions = shares.withColumn(f"{own}from", F.explode(F.sequence(F.lit(0).cast("long"), F.col(turn) - 1, F.lit(PORTION).cast("long"))))
+    portions = portions.repartition(k1, k2, f"{own}from")
+    each = portions.withColumn(f"{own}i", F.explode(F.sequence(F.col(f"{own}from"), F.least(F.col(turn), F.col(f"{own}from") + PORTION) - 1)))
+    repeated = each.select(*quoted, (F.floor(F.col(f"{own}i") / F.col(number)) + 1).cast("long").alias("copy"))
+    return single.unionByName(repeated)

@@ -3,11 +3,12 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from gridmeld.llm import langid, pii, quality
+from gridmeld.llm import langid, mixing, pii, quality
 from gridmeld.llm.decontaminate import contaminated
 from gridmeld.llm.lines import line_dedup
 from gridmeld.llm.mixing import mix, mix_plan
@@ -136,6 +137,33 @@ def test_mixing(spark, docs):
     assert mix_plan(docs.limit(0)).count() == mix(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("portion", [10_000, 7])
+def test_mixing_of_repeated_rows(spark, monkeypatch, portion):
+    """Rows that agree in id, source and text share their copies evenly, whether they agree in other columns or not."""
+    monkeypatch.setattr(mixing, "PORTION", portion)
+    rows = [(i, f"{'word ' * (i % 7 + 1)}{i}", "ab"[i % 2], "x") for i in range(120)]
+    rows += [(None, "same words again", "c", "x")] * 90 + [(7, "other words", "a", v) for v in "xxyyz"] * 6 + [(8, None, None, None)] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copy string").withColumn("Lang", F.col("copy"))
+    plan, got = mix_plan(docs).collect(), mix(docs).collect()
+    assert mix(docs).columns == ["doc_id", "text", "source", "Lang", "copy"]
+    key = lambda r: (r["id"], r["size"], r["source"])
+    size = lambda r: (r["doc_id"], len(WORD.findall(r["text"] or "")), r["source"])
+    want = Counter()
+    for r in plan:
+        want[key(r)] += r["copies"]
+    assert +want == Counter(map(size, got))
+    held, taken = Counter((d, t, s, v) for d, t, s, v in rows), Counter((r["doc_id"], r["text"], r["source"], r["Lang"]) for r in got)
+    shared, all_taken = Counter(), Counter()
+    for (d, t, s, v), n in held.items():
+        shared[d, t, s] += n
+        all_taken[d, t, s] += taken[d, t, s, v]
+    for (d, t, s, v), n in held.items():
+        low, more = divmod(all_taken[d, t, s], shared[d, t, s])
+        assert low * n <= taken[d, t, s, v] <= low * n + min(n, more)
+        steps = Counter(r["copy"] for r in got if (r["doc_id"], r["text"], r["source"], r["Lang"]) == (d, t, s, v))
+        assert all(steps[c] == n for c in range(1, low + 1)) and sum(steps.values()) - low * n == steps[low + 1]
+
+
 def luhn(d):
     return sum(v - 9 if v > 9 else v for v in (int(c) * (1 + i % 2) for i, c in enumerate(reversed(d)))) % 10 == 0
 
