@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from gridmeld.llm import langid
 from gridmeld.llm.common import fresh, held_out, written
@@ -35,11 +34,14 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least id of each group of near copies."""
-    kept = written(near_duplicates(docs.select("doc_id", "text"), words=5, percent=80).where("kept and doc_id is not null").select("doc_id").distinct(), "kept")
-    turn = fresh(docs.columns)
-    once = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id"))
-    found = docs.join(kept, "doc_id", "left_semi").withColumn(turn, once).where(F.col(turn) == 1).select(docs.columns)
-    return found.unionByName(docs.where("doc_id is null"))
+    number = fresh(docs.columns)
+    kept = near_duplicates(docs.select("doc_id", "text"), words=5, percent=80).where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias(number))
+    found = docs.join(written(kept.where("kept").select("doc_id", number), "kept"), "doc_id")
+    # of rows that share an id each text stays once: equal rows are one before any shuffle
+    kind = f"{number}kind"
+    row = F.first(F.struct(*docs.columns)).alias(number)
+    repeated = found.where(F.col(number) > 1).groupBy("doc_id", F.xxhash64("text").alias(kind)).agg(row).select(f"{number}.*")
+    return found.where(F.col(number) == 1).select(docs.columns).unionByName(repeated).unionByName(docs.where("doc_id is null"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
