@@ -95,8 +95,9 @@ class LanguageModel:
     probability of the last character of n-gram i given those before it, already
     interpolated with the lower orders; `backoff[i, l]` is the log weight of the
     lower order after n-gram i as context. `unseen[l]` holds for a character never
-    seen. `centre` and `spread` describe each language's cross-entropy on rows that
-    its counts don't hold; `sharpness` turns margins into probabilities.
+    seen. `centre` is each language's median cross-entropy on rows that its counts
+    don't hold, and `limit` how far above it a text of that language may lie;
+    `sharpness` turns margins into probabilities.
     """
 
     languages: list[str]
@@ -106,7 +107,7 @@ class LanguageModel:
     backoff: np.ndarray
     unseen: np.ndarray
     centre: np.ndarray
-    spread: np.ndarray
+    limit: np.ndarray
     sharpness: float = 1.0
 
     def cross_entropy(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -139,19 +140,41 @@ class LanguageModel:
         return i, self.keys[i] == want
 
     def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Language index (-1: none), confidence, deviations from the language's own
-        texts, and letters."""
+        """Language index (-1: none), confidence, whether the text lies beyond the
+        language's limit, and letters."""
         h, n_letters = self.cross_entropy(data, offsets)
         if not self.languages:
             none = np.zeros(len(h))
-            return np.full(len(h), -1), none, none, n_letters
+            return np.full(len(h), -1), none, n_letters == 0, n_letters
         best = h.argmin(axis=1)
         margin = (h - h.min(axis=1, keepdims=True)) * np.sqrt(np.minimum(n_letters, 400))[:, None] * self.sharpness
         score = 1 / np.exp(-np.minimum(margin, 700)).sum(axis=1)
-        # short texts stray further by chance, by the square root of their length
-        odd = (h[np.arange(len(h)), best] - self.centre[best]) / self.spread[best] * np.sqrt(np.minimum(n_letters, 400) / 400)
+        odd = _excess(h[np.arange(len(h)), best], self.centre[best], n_letters) > self.limit[best]
         none = n_letters == 0
-        return np.where(none, -1, best), np.where(none, 0.0, score), np.where(none, np.inf, odd), n_letters
+        return np.where(none, -1, best), np.where(none, 0.0, score), odd | none, n_letters
+
+
+def _excess(h: np.ndarray, centre: np.ndarray, n_letters: np.ndarray) -> np.ndarray:
+    """Cross-entropy above the centre, as for a text of 400 letters: short texts stray
+    further by chance, by the square root of their length."""
+    return (h - centre) * np.sqrt(np.minimum(n_letters, 400) / 400)
+
+
+def reject_limit(own: np.ndarray, foreign: np.ndarray, false_reject: float, missed: float = 0.05, tail: float = 0.2) -> float:
+    """Above which excess a text is rejected, from the excesses of held-back texts of
+    the language and of texts of other languages.
+
+    The own limit leaves `false_reject` of the language's texts above it; as so small
+    a share is rarer than the sample shows, the upper `tail` of it is continued as an
+    exponential. Where foreign texts lie higher, it is raised as far as `1 - missed`
+    of these are still rejected, so that clean texts have all the room there is.
+    """
+    if len(own) < 5:
+        return np.inf
+    start = np.quantile(own, 1 - tail)
+    above = own[own > start] - start
+    limit = start + (above.mean() if len(above) else 0.0) * np.log(max(tail / false_reject, 1.0))
+    return float(max(limit, np.quantile(foreign, missed)) if len(foreign) >= 5 else limit)
 
 
 def _probabilities(grams: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], order: int, discount: float = 0.75) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
@@ -212,12 +235,13 @@ def _counted(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.Recor
                     )
 
 
-def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", order: int = ORDER, docs_per_language: int = 400) -> LanguageModel:
+def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", order: int = ORDER, docs_per_language: int = 400, false_reject: float = 1e-4) -> LanguageModel:
     """Fits the models to a bounded sample: `docs_per_language` whole documents of
     each non-null language, those with the smallest hash of id and text, of which
     every fourth is held back from the counts to calibrate.
 
-    Every n-gram of the sample is kept; those rows bound them. Languages are columns
+    `false_reject` is the share of a language's own texts that its limit may cut off
+    (see reject_limit). Every n-gram of the sample is kept; those rows bound them. Languages are columns
     of the table, so they are meant to be few (a label set). With no labelled row
     there is no language, and every prediction is none.
     """
@@ -226,7 +250,7 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_
     hashes = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), h.alias("h"))
     n_rows = hashes.groupBy("lang").count().collect()  # one row per language
     if not n_rows:
-        return LanguageModel([], order, np.zeros(0, np.uint64), np.zeros((0, 0), np.float32), np.zeros((0, 0), np.float32), np.zeros(0), np.zeros(0), np.ones(0))
+        return LanguageModel([], order, np.zeros(0, np.uint64), np.zeros((0, 0), np.float32), np.zeros((0, 0), np.float32), np.zeros(0), np.zeros(0), np.zeros(0))
     keep = F.lit(False)
     for r in n_rows:  # a first cut by hash leaves about twice the sample, so the window below sees few rows
         share = min(1.0, 2.0 * docs_per_language / r["count"])
@@ -253,7 +277,7 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_
         parts.append(fitted)
         unseen.append(low)
     model = _merge(languages, order, parts, np.array(unseen), got)
-    return _calibrate(model, sample.where("back"))
+    return _calibrate(model, sample.where("back"), false_reject)
 
 
 def _merge(languages: list[str], order: int, parts: list[list[np.ndarray]], unseen: np.ndarray, got) -> LanguageModel:
@@ -276,12 +300,16 @@ def _merge(languages: list[str], order: int, parts: list[list[np.ndarray]], unse
         for l in range(len(languages)):
             gap = np.isnan(logp[rows, l])
             logp[rows[gap], l] = unseen[l] if n == 1 else left[gap, l] + logp[np.searchsorted(keys, suffix[rows[gap]]), l]
-    return LanguageModel(languages, order, keys, logp, backoff, unseen.astype(np.float32), np.zeros(len(languages)), np.ones(len(languages)))
+    return LanguageModel(languages, order, keys, logp, backoff, unseen.astype(np.float32), np.zeros(len(languages)), np.full(len(languages), np.inf))
+
 
+def _calibrate(model: LanguageModel, held: DataFrame, false_reject: float) -> LanguageModel:
+    """Centre and limit of each language's cross-entropy, and the sharpness that
+    makes the probabilities of held-back rows most likely.
 
-def _calibrate(model: LanguageModel, held: DataFrame) -> LanguageModel:
-    """Centre and spread of each language's cross-entropy, and the sharpness that
-    makes the probabilities of held-back rows most likely."""
+    What texts of an unknown language look like is seen on each language in turn:
+    its held-back rows go to the best of the other languages.
+    """
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in chunks(batch.column(1)):
@@ -296,10 +324,16 @@ def _calibrate(model: LanguageModel, held: DataFrame) -> LanguageModel:
         return model
     h, own, n = np.stack(got["h"].to_numpy()), got["lang"].map(index).to_numpy(), got["n"].to_numpy()
     for l in range(len(model.languages)):
-        x = h[own == l, l]
-        if len(x) >= 5:
-            model.centre[l] = np.median(x)
-            model.spread[l] = max(0.05, 1.4826 * np.median(np.abs(x - np.median(x))))
+        if (own == l).sum() >= 5:
+            model.centre[l] = np.median(h[own == l, l])
+    others = np.where(np.arange(len(model.languages))[None, :] == own[:, None], np.inf, h)
+    other = others.argmin(axis=1)
+    away = _excess(others.min(axis=1), model.centre[other], n)
+    sure = h.argmin(axis=1) == own  # a wrong label makes a text of one language look like a foreign one of another
+    long = sure & np.isfinite(away) & (n >= 400)  # shorter ones are too few letters to tell
+    for l in range(len(model.languages)):
+        here = long & (other == l)
+        model.limit[l] = reject_limit(_excess(h[sure & (own == l), l], model.centre[l], n[sure & (own == l)]), away[here if here.sum() >= 20 else long], false_reject)
     margin = (h - h.min(axis=1, keepdims=True)) * np.sqrt(np.minimum(n, 400))[:, None]
     best, least = 1.0, np.inf
     for s in np.geomspace(0.05, 20, 40):
@@ -310,13 +344,13 @@ def _calibrate(model: LanguageModel, held: DataFrame) -> LanguageModel:
     return model
 
 
-def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", reject_deviations: float = 25.0) -> DataFrame:
+def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
     """Adds lang_pred, score (0 to 1) and lang_rejected to docs, in place of columns
     of these names.
 
     Null texts and texts without a letter are `und` with score 0 and rejected. A
-    text is also rejected where its cross-entropy lies more than `reject_deviations`
-    robust deviations (of texts of 400 letters) above its language's own texts. Every row is scored by
+    text is also rejected where its cross-entropy lies further above that of its
+    language's own texts than the limit found on held-back rows. Every row is scored by
     itself, so repeated rows, ties (the first language in code point order) and
     empty tables need no care; very long texts are scored whole.
     """
@@ -333,7 +367,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", reje
             done = [m.predict(data, offsets) for _, _, data, offsets in chunks(batch.column(at), 1 << 19)]
             pick, score, odd = (np.concatenate([d[k] for d in done]) if done else np.zeros(0) for k in range(3))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(names[pick.astype(int)], pa.string()), pa.array(score.astype(np.float64)), pa.array(odd > reject_deviations)],
+                [*batch.columns, pa.array(names[pick.astype(int)], pa.string()), pa.array(score.astype(np.float64)), pa.array(odd.astype(bool))],
                 names=[*columns, "lang_pred", "score", "lang_rejected"],
             )
 

@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -348,6 +349,19 @@ def test_language_id(spark):
     assert {r["lang_pred"] for r in langid.identify(df.limit(3), none).collect()} == {"und"}
 
 
+def test_limits_of_rejection_are_calibrated():
+    """Foreign texts set the limit where they lie apart; where they don't, the share of own texts that may go does."""
+    rng = np.random.default_rng(4)
+    own = rng.exponential(0.1, 400)
+    apart, mixed = rng.normal(2.0, 0.2, 300), rng.normal(0.1, 0.1, 300)
+    fresh = rng.exponential(0.1, 200_000)
+    limit = langid.reject_limit(own, apart, 1e-3)
+    assert limit == pytest.approx(np.quantile(apart, 0.05)) and (apart < limit).mean() == pytest.approx(0.05, abs=0.01)
+    assert 1e-4 < (fresh > langid.reject_limit(own, mixed, 1e-3)).mean() < 5e-3
+    assert langid.reject_limit(own, mixed, 1e-4) > langid.reject_limit(own, mixed, 1e-2)
+    assert langid.reject_limit(own[:4], apart, 1e-3) == np.inf
+
+
 def test_kneser_ney_sums_to_one(spark):
     """The probabilities after a known context, add up to 1 but for what unseen characters get."""
     import numpy as np
