@@ -144,8 +144,8 @@ def nearest_code(df: DataFrame, codes: DataFrame, vector: str, code_vector: str
     where the vector is null or holds null or NaN, or where there is no codeword. All vectors have one length.
 
     A book of at most `SMALL_BOOK` codes is compared with each row in one expression. A
-    larger one is never gathered: codes and the distinct vectors meet by cells of a grid over
-    the first three components, in an equal join. A vector is done as soon as no code
+    larger one is never gathered or broadcast, whatever its size on disk: codes and the distinct
+    vectors meet by cells of a grid over the first three components, in a sort-merge join. A vector is done as soon as no code
     outside the cells around it can be nearer; the cells double for those that aren't, so
     vectors far from all codes meet many of them.
     """
@@ -159,9 +159,9 @@ def nearest_code(df: DataFrame, codes: DataFrame, vector: str, code_vector: str
         best = F.array_min(F.transform("__book", lambda e: _distance(euclidean(v, e["c"]), e["i"])))
         return df.crossJoin(F.broadcast(all_codes)).withColumn("__best", F.when(sound(v), best)).drop("__book").withColumns({"idx": F.col("__best.i"), "dist": F.col("__best.d")}).drop("__best")
     vectors = written(df.select(v.alias("__v")).where(sound(F.col("__v"))).distinct().withColumn("__id", F.monotonically_increasing_id()))
-    found = _by_grid(vectors, book.where(sound(F.col("__c"))), size).join(vectors, "__id").select("__v", "idx", "dist")
+    found = _by_grid(vectors, book.where(sound(F.col("__c"))), size).join(vectors.hint("merge"), "__id").select("__v", "idx", "dist")
     kept = [c for c in df.columns if c not in ("idx", "dist")]
-    return df.select(*kept, v.alias("__w")).join(found, F.col("__w") == F.col("__v"), "left").select(*kept, "idx", "dist")
+    return df.select(*kept, v.alias("__w")).join(found.hint("merge"), F.col("__w") == F.col("__v"), "left").select(*kept, "idx", "dist")
 
 
 def _distance(d: Column, i: Column) -> Column:
@@ -174,9 +174,14 @@ def _by_grid(vectors: DataFrame, book: DataFrame, size: int) -> DataFrame:
     A vector outside the codes' box is searched from the box's nearest point: codes
     further than w from that point are at least sqrt(out^2 + w^2) away, where out is the
     vector's distance from the box. Components beyond the grid's only add to distances.
-    The least distance comes first, as a hash aggregate of plain numbers, and then the least code at it.
+    The first cells are met twice, for the least distance as a hash aggregate of plain numbers and for the least code at
+    it; later ones once, as only codes no further than those found before are kept.
+
+    All joins are merges: the tables are small on disk, but not in memory. The side with fewer rows is copied to the
+    cells around its own, and pairs are dealt to all partitions, as few rows may make many of them.
     """
     dims = min(3, size)
+    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     part = lambda name, j: F.get(name, F.lit(j))
     ends = book.agg(*[f(part("__c", j)) for f in (F.min, F.max) for j in range(dims)]).first()
     low, high = ends[:dims], ends[dims:]
@@ -190,29 +195,29 @@ def _by_grid(vectors: DataFrame, book: DataFrame, size: int) -> DataFrame:
     else:
         distance = euclidean(F.col("__v"), F.col("__c"))
 
-    def met(some: DataFrame, w: float) -> DataFrame:
-        """The vectors with the codes of the cells around them and their distance."""
-        around = some.withColumns(cells("__v", w))
+    def met(some: DataFrame, w: float, copied: bool) -> DataFrame:
+        """The vectors with the codes of the cells around them and their distance; of both the
+        vectors are copied to these cells, or else the codes."""
+        ours, theirs = some.withColumns(cells("__v", w)), book.withColumns(cells("__c", w))
         for g in grid:
-            around = around.withColumn(g, F.explode(F.array(*[F.col(g) + k for k in (-1, 0, 1)])))
-        return around.join(book.withColumns(cells("__c", w)), grid).withColumn("__d", distance)
+            around = F.explode(F.array(*[F.col(g) + k for k in (-1, 0, 1)]))
+            ours, theirs = (ours.withColumn(g, around), theirs) if copied else (ours, theirs.withColumn(g, around))
+        return ours.repartition(tasks, *grid).join(theirs.repartition(tasks, *grid).hint("merge"), grid).withColumn("__d", distance)
 
     n = book.count()
     width = span / max(1.0, (n / PER_CELL) ** (1 / dims))
     full = book.withColumns(cells("__c", width)).groupBy(*grid).agg(F.count("*").cast("double").alias("c")).agg(F.sum(F.col("c") * F.col("c")) / F.sum("c")).first()[0] or 1.0
     width /= 2 ** min(16, ceil(log2(max(full / PER_CELL, 1.0)) / dims))  # finer where most codes stand close together
-    rest, found = vectors, []
+    least = met(vectors, width, vectors.count() < n).groupBy("__id").agg(F.min("__d").alias("__least"))
+    rest, found = written(vectors.join(least.hint("merge"), "__id", "left")), []
     while True:
-        least = met(rest, width).groupBy("__id").agg(F.min("__d").alias("__least"))
-        near = rest.withColumn("__out", out).join(least, "__id")
-        if width <= span:  # beyond that all codes are in the cells around any vector
-            near = near.where(F.col("__least") + 1e-8 <= F.sqrt(F.col("__out") + width * width))
-        near = written(near.select("__id", "__v", "__least"))
-        level = (F.col("__d") <= F.col("__least") + 1e-8) & (F.round("__d", 9) == F.round("__least", 9))
-        best = met(near, width).where(level).groupBy("__id").agg(F.min("__i").alias("idx"), F.min_by("__d", "__i").alias("dist"))
-        found.append(best)
-        rest = written(rest.join(near.select("__id"), "__id", "left_anti"))
-        if width > span or not rest.head(1):
+        near = met(rest, width, rest.count() < n).where(F.col("__least").isNull() | (F.col("__d") <= F.col("__least") + 1e-8))
+        best = near.groupBy("__id").agg(F.min(_distance(F.col("__d"), F.col("__i"))).alias("__best"))
+        sure = F.lit(True) if width > span else F.col("__best.d") + 1e-8 <= F.sqrt(out + width * width)  # beyond the span all codes are in the cells around any vector
+        level = written(rest.join(best.hint("merge"), "__id", "left").withColumn("__sure", F.coalesce(sure, F.lit(False))))
+        found.append(level.where("__sure and __best is not null").select("__id", F.col("__best.i").alias("idx"), F.col("__best.d").alias("dist")))
+        rest = level.where("not __sure").select("__id", "__v", F.least("__least", "__best.d").alias("__least"))
+        if not rest.head(1):
             return reduce(DataFrame.unionByName, found)
         width *= 2
 

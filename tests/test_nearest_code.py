@@ -64,3 +64,15 @@ def test_absent_targets_do_not_count(spark):
     target = spark.createDataFrame([(0, 0, 0.0), (0, 1, None), (1, 1, 1.0), (1, 0, float("nan"))], "y int, x int, value double")
     got = fields.offset_errors(raw, target, 2, 2)
     assert {x["n_valid"] for x in got.collect()} == {2} and got.where("diff is null").count() == 0
+
+
+def test_a_book_that_is_small_on_disk_is_not_broadcast(spark, monkeypatch):
+    """Written codes take few bytes a row, so that sizes on disk would let a large book through Spark's limit."""
+    monkeypatch.setattr(fields, "SMALL_BOOK", 10)
+    book = spark.range(3_000).select(F.col("id").alias("idx"), F.array((F.col("id") % 30).cast("double"), (F.col("id") % 50).cast("double"), F.lit(1.0)).alias("code"))
+    df = spark.range(40).select("id", F.array((F.col("id") * 7 % 33).cast("double"), (F.col("id") * 11 % 53).cast("double"), F.lit(2.0)).alias("v"))
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) == 10 << 20
+    out = fields.nearest_code(df, book, "v")
+    assert "BroadcastExchange" not in out._jdf.queryExecution().executedPlan().toString()
+    codes = [(x["idx"], x["code"]) for x in book.collect()]
+    assert all(x["idx"] == plain(x["v"], codes) for x in out.collect())
