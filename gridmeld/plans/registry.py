@@ -310,8 +310,9 @@ def tile_field(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH m AS (SELECT DISTINCT l_linestatus AS map FROM lineitem),
-    e AS (SELECT map, edge, row_number() OVER (PARTITION BY map ORDER BY edge) - 1 AS i, max(edge) OVER (PARTITION BY map) AS high FROM (
+    r AS (SELECT map, edge, row_number() OVER (PARTITION BY map ORDER BY edge) - 1 AS i, max(edge) OVER (PARTITION BY map) AS high FROM (
         SELECT map, CAST(o_totalprice AS DOUBLE) * CASE map WHEN 'F' THEN 0.25 ELSE 0.5 END AS edge FROM orders, m WHERE o_orderkey % 5 = 0)),
+    e AS (SELECT map, edge, max(i) AS i, max(high) AS high FROM r GROUP BY map, edge),
     v AS (SELECT l_linestatus AS map, CAST(l_extendedprice AS DOUBLE) AS v FROM lineitem),
     a AS (SELECT v.map, CASE WHEN v.v < e.high THEN e.i END AS tile FROM v ASOF LEFT JOIN e ON v.map = e.map AND v.v >= e.edge)
     SELECT map, CAST(tile AS INTEGER) AS tile, count(*) AS n FROM a GROUP BY map, tile""")
