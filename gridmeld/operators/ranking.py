@@ -9,9 +9,14 @@ its own, which is split by the column that orders ties.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from decimal import Decimal
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType, StructField, StructType
 from pyspark.sql.window import Window
 
 from gridmeld.functions.expressions import edges_below
@@ -19,8 +24,6 @@ from gridmeld.sources.scratch import written
 
 #: Rows that a range should hold, and the most ranges of a level; there are two levels.
 PER_RANGE, MOST_RANGES = 250_000, 256
-#: Bits of a digit of the x ranks: more make fewer passes over the rows, and more sums in each.
-DIGIT_BITS = 2
 
 
 def range_cuts(df: DataFrame, columns: Sequence[str], buckets: int | None = None) -> list[list]:
@@ -211,68 +214,98 @@ def pairs_of(c: Column, exact: bool) -> Column:
 
 def kendall(pairs: DataFrame, x: str = "truth", y: str = "pred", keys: Sequence[str] = (), per_chunk: int = PER_RANGE) -> DataFrame:
     """Kendall's tau-b per group, with the numbers of concordant, discordant and tied
-    pairs, in n log^2 n. Rows with a null take no part."""
+    pairs, in n log n. Rows with a null take no part."""
     k = list(keys)
-    cells = pairs.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*k, F.col(x).alias("x"), F.col(y).alias("ry")).agg(F.count("*").alias("c"))
-    cells = with_rank(written(cells), "x", "rx", k, "min", "ry")
-    return kendall_of(written(cells.select(*k, "rx", "ry", "c")), k, per_chunk)
+    cells = pairs.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*k, F.col(x).alias("rx"), F.col(y).alias("ry")).agg(F.count("*").alias("c"))
+    return kendall_of(cells, k, per_chunk)
+
+
+def rising_pairs(u: np.ndarray, v: np.ndarray, c: np.ndarray) -> int:
+    """The sum of c[i] * c[j] over all i and j with u[i] < u[j] and v[i] < v[j].
+
+    In the order of v (equals by falling u, so that they don't count), two rows with different
+    u part at one highest bit of u's place: for each bit, rows with it take
+    the sum of those without it before them that share all higher bits.
+    """
+    u = np.unique(u, return_inverse=True)[1]
+    order = np.lexsort((-u, np.unique(v, return_inverse=True)[1]))
+    u, c, total = u[order], c[order], 0
+    at = np.arange(len(u))
+    for bit in reversed(range(int(u.max(initial=0)).bit_length())):
+        one, block = (u >> bit & 1).astype(bool), u >> (bit + 1)
+        starts = np.flatnonzero(np.diff(block, prepend=-1))
+        sizes = np.diff(starts, append=len(u))
+        of_start = lambda x: np.repeat(x[starts], sizes)
+        below, zeros = np.cumsum(np.where(one, 0, c)), np.cumsum(~one)
+        first = below - np.where(one, 0, c)
+        total += int(((below - of_start(first)) * c)[one].sum())
+        before = zeros - ~one - of_start(zeros - ~one)  # rows without the bit before, in the block
+        place = np.where(one, of_start(at) + np.repeat(np.add.reduceat((~one).astype(np.int64), starts), sizes) + (at - of_start(at)) - before, of_start(at) + before)
+        moved, weights = np.empty_like(u), np.empty_like(c)
+        moved[place], weights[place] = u, c
+        u, c = moved, weights
+    return total
+
+
+def equal_pairs(v: np.ndarray, c: np.ndarray) -> int:
+    """The sum of n (n - 1) / 2 over distinct values, n being the sum of a value's c."""
+    places = np.unique(v, return_inverse=True)[1]
+    n = np.zeros(int(places.max(initial=-1)) + 1, c.dtype)
+    np.add.at(n, places, c)
+    return int((n * (n - 1) // 2).sum())
 
 
 def kendall_of(cells: DataFrame, keys: Sequence[str] = (), per_chunk: int = PER_RANGE) -> DataFrame:
-    """kendall() of (keys, rx, ry, c): whole numbers from 1 in the order of one side, any numbers in
-    the order of the other, and how often they meet.
-
-    Any two rows with different rx part at exactly one digit (of base 4), and are
-    concordant if the one with the smaller digit has the smaller ry. So for each digit the
-    rows of a block are added up per ry, and running sums in order of ry count those below. The sums
-    run within chunks of ry, whose ends hold equal numbers of rows, and over the chunks' totals;
-    a value of ry that very many rows share is one row of its block by then. What isn't
+    """kendall() of (keys, rx, ry, c): the distinct pairs of numbers and how often each comes.
+
+    Both sides are cut into ranges of about `per_chunk` rows. Of two concordant rows either both
+    are in one range of x, or they are in different ones and in one range of y, or in different
+    ones of both. The first two are counted within a range, which is one group of a task; the third
+    by running sums over the numbers of rows in each range of x and of y. A value that
+    fills a range by itself has no concordant pairs there, so its range isn't gathered. What isn't
     concordant follows from the ties of either side.
     """
-    k, digits = list(keys), range(1 << DIGIT_BITS)
-    probs = [i / MOST_RANGES for i in range(1, MOST_RANGES)]
-    top, n, rows, cuts = cells.agg(F.max("rx"), F.sum("c"), F.count("*"), F.percentile_approx("ry", probs, 10_000)).first()
-    levels, exact = max(1, -(-int(top or 0).bit_length() // DIGIT_BITS)), (n or 0) >= 1 << 31  # below that 64 bits hold every sum
-    chunks = rows // per_chunk + 1
-    if chunks > MOST_RANGES:
-        cuts = sorted(set(range_cuts(cells, ["ry"], chunks)[0]))
-    else:
-        cuts = sorted({cuts[round(i * MOST_RANGES / chunks) - 1] for i in range(1, chunks)} if cuts else set())
-    block = [*k, "level", "block", "chunk"]
-    place = [F.expr(f"shiftright(rx, (level + 1) * {DIGIT_BITS})").alias("block"), F.expr(f"cast(shiftright(rx, level * {DIGIT_BITS}) & {len(digits) - 1} as int)").alias("digit")]
-    blown = located(cells, "ry", cuts, "chunk").select(*k, "ry", "c", (F.col("rx") - 1).alias("rx"), "chunk", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("level"))
-    blown = blown.select(*k, "level", "chunk", *place, "ry", "c")
-    sums = [F.sum(F.when(F.col("digit") == j, F.col("c")).otherwise(0)).alias(f"c{j}") for j in digits]
-    wide = lambda c: c.cast("decimal(19,0)") if exact else c
-
-    def met(df: DataFrame, group: Sequence[str], order: str) -> DataFrame:
-        """(keys, met): each row's numbers times those of smaller digits in the rows of its group before."""
-        before = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        below = df.withColumns({f"b{j}": F.coalesce(F.sum(f"c{j}").over(before), F.lit(0)) for j in digits[:-1]})
-        times = F.lit(0).cast("decimal(38,0)" if exact else "long")
-        for j in digits[1:]:
-            times = times + wide(F.col(f"c{j}")) * wide(sum((F.col(f"b{i}") for i in range(1, j)), F.col("b0")))
-        return below.select(*k, times.alias("met"))
-
-    found = met(blown.groupBy(*block, "ry").agg(*sums), block, "ry")
-    if cuts:
-        found = found.unionByName(met(blown.groupBy(*block).agg(*sums), block[:-1], "chunk"))
+    k, cells = list(keys), written(cells)
+    rows, n = cells.agg(F.count("*"), F.sum("c")).first()
+    exact = (n or 0) >= 1 << 31  # below that 64 bits hold every sum
+    cuts_x, cuts_y, _ = range_cuts(cells, ["rx", "ry"], rows // per_chunk + 1)
+    work = located(located(cells, "rx", cuts_x, "__px", "__ox"), "ry", cuts_y, "__py", "__oy")
+    work = work.select(*k, "rx", "ry", "c", *[(2 * F.col(f"__p{s}") + F.col(f"__o{s}").cast("int")).alias(f"b{s}") for s in "xy"])
+    schema = StructType([*[cells.schema[c] for c in k], StructField("met", DecimalType(38, 0)), StructField("tied", DecimalType(38, 0))])
+
+    def within(side: str, first: str) -> DataFrame:
+        """(keys, met, tied) of each range of a side: its pairs that rise in the column `first` and in y, and
+        those of equal values."""
+
+        def run(group: pa.Table) -> pa.Table:
+            numbers = {name: group.column(name).to_numpy() for name in {first, "ry", f"r{side}", "c"}}
+            c = numbers["c"] if sum(map(int, numbers["c"])) < 1 << 31 else numbers["c"].astype(object)
+            found = [rising_pairs(numbers[first], numbers["ry"], c), equal_pairs(numbers[f"r{side}"], c)]
+            return pa.table([*[group.column(name).slice(0, 1) for name in k], *[pa.array([Decimal(x)], pa.decimal128(38, 0)) for x in found]], names=[*k, "met", "tied"])
+
+        return work.where(F.col(f"b{side}") % 2 == 0).groupBy(*k, f"b{side}").applyInArrow(run, schema)
+
     total = lambda c: F.sum(c).cast("decimal(38,0)")
-    concordant = found.groupBy(*k).agg(total("met").alias("concordant"))
-    # tied pairs of both sides, of either, and all pairs
-    both = cells.groupBy(*k).agg(total(pairs_of(F.col("c"), exact)).alias("tied_both"), F.sum("c").alias("n"))
-    tied = lambda side: cells.groupBy(*k, side).agg(F.sum("c").alias("c")).groupBy(*k).agg(total(pairs_of(F.col("c"), exact)).alias(f"tied_{side}"))
-    out = both
-    for part in (concordant, tied("rx"), tied("ry")):
-        if k:
-            on = F.lit(True)
-            for c in k:
-                on &= F.col(c).eqNullSafe(F.col(f"__k_{c}"))
-            out = out.join(part.withColumnsRenamed({c: f"__k_{c}" for c in k}), on).drop(*[f"__k_{c}" for c in k])
-        else:
-            out = out.crossJoin(part)  # one row each
+    zero = F.lit(0).cast("decimal(38,0)")
+    on = lambda names: reduce(lambda p, q: p & q, (F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in names), F.lit(True))
+    marked = lambda df, names: df.withColumnsRenamed({c: f"__k_{c}" for c in names})
+    joined = lambda a, b, how="inner": a.join(marked(b, k), on(k), how).drop(*[f"__k_{c}" for c in k]) if k else a.crossJoin(b)
+    # all ranges of x with all of y, their rows, and the rows in lower ranges of both
+    grid = written(work.groupBy(*k, "bx", "by").agg(F.sum("c").alias("n"), F.sum(pairs_of(F.col("c"), exact).cast("decimal(38,0)")).alias("both")))
+    every = joined(grid.select(*k, "bx").distinct(), grid.select(*k, "by").distinct())
+    every = every.join(marked(grid.select(*k, "bx", "by", "n"), [*k, "bx", "by"]), on([*k, "bx", "by"]), "left").select(*k, "bx", "by", F.coalesce("n", F.lit(0)).alias("n"))
+    before = lambda group, order: Window.partitionBy(*k, group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    lower = every.withColumn("s", F.coalesce(F.sum("n").over(before("bx", "by")), F.lit(0))).withColumn("s", F.coalesce(F.sum("s").over(before("by", "bx")), F.lit(0)))
+    wide = lambda c: F.col(c).cast("decimal(19,0)")
+    apart = lower.where("n > 0").select(*k, (wide("n") * wide("s")).cast("decimal(38,0)").alias("met"), zero.alias("tied_rx"), zero.alias("tied_ry"))
+    alone = lambda side: grid.where(F.col(f"b{side}") % 2 == 1).groupBy(*k, f"b{side}").agg(F.sum("n").alias("n")).select(*k, zero.alias("met"), pairs_of(F.col("n"), True).cast("decimal(38,0)").alias(f"tied_r{side}"))
+    parts = [apart, within("x", "rx").withColumnRenamed("tied", "tied_rx"), within("y", "bx").withColumnRenamed("tied", "tied_ry"), alone("x"), alone("y")]
+    parts = [p.select(*k, "met", *[(F.col(c) if c in p.columns else zero).alias(c) for c in ("tied_rx", "tied_ry")]) for p in parts]
+    sums = reduce(DataFrame.unionByName, parts).groupBy(*k).agg(total("met").alias("concordant"), total("tied_rx").alias("tied_rx"), total("tied_ry").alias("tied_ry"))
+    both = grid.groupBy(*k).agg(total("both").alias("tied_both"), F.sum("n").alias("n"))
+    out = joined(both, sums)
     only = {f"tied_{s}_only": (F.col(f"tied_r{s}") - F.col("tied_both")).cast("decimal(38,0)") for s in "xy"}
-    rest = pairs_of(F.col("n"), exact).cast("decimal(38,0)") - F.col("concordant") - F.col("tied_rx") - F.col("tied_ry") + F.col("tied_both")
+    rest = pairs_of(F.col("n"), True).cast("decimal(38,0)") - F.col("concordant") - F.col("tied_rx") - F.col("tied_ry") + F.col("tied_both")
     out = out.withColumns(only | {"discordant": rest.cast("decimal(38,0)")})
     c, d = F.col("concordant").cast("double"), F.col("discordant").cast("double")
     norm = F.sqrt((c + d + F.col("tied_x_only").cast("double")) * (c + d + F.col("tied_y_only").cast("double")))

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,3 +103,14 @@ def test_ranges_are_cut_again_when_there_are_many(spark, monkeypatch, kind):
     pairs = df.where("v is not null").select("id", F.col("v").alias("truth"), (F.col("id") * 7919 % 1009).cast("double").alias("pred"))
     plain = [(v, float(i * 7919 % 1009)) for i, v in rows if v is not None]
     assert int(ranking.kendall(pairs, per_chunk=20).first()["concordant"]) == plain_kendall(plain)[0]
+
+
+def test_kendall_does_not_multiply_rows(spark):
+    df = spark.range(2_000).select("id", F.xxhash64("id").cast("double").alias("truth"), F.xxhash64("id", "id").cast("double").alias("pred"))
+    out = ranking.kendall(df, per_chunk=100)
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
+    r = random.Random(2)
+    u, v = ([r.randrange(30) for _ in range(120)] for _ in range(2))
+    c = [r.randrange(1, 1 << 40) for _ in u]
+    want = sum(a * b for i, a in enumerate(c) for j, b in enumerate(c) if u[i] < u[j] and v[i] < v[j])
+    assert ranking.rising_pairs(np.array(u), np.array(v), np.array(c, dtype=object)) == want  # beyond 64 bits
