@@ -46,12 +46,12 @@ def basic_report(pairs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 def ranked_pairs(pairs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """The finite pairs with all their ranks, as a written table from which every measure
     comes: ta, pa (average), to, po (ordinal by id), rt, rp (ordinal,
-    best first), tm (least rank of equals) and the group's size n."""
+    best first) and the group's size n."""
     k = list(keys)
     slim = written(mask_finite(pairs, "truth", "pred").select(*k, "id", "truth", "pred"))
     *cuts, _ = range_cuts(slim, ["truth", "pred", "id"])
     names = lambda c: {f"{c}a": ("average", False), f"{c}o": ("ordinal", False), f"r{c}": ("ordinal", True)}
-    out = with_ranks(slim, "truth", {**names("t"), "tm": ("min", False), "n": ("size", False)}, k, cuts=(cuts[0], cuts[2]))
+    out = with_ranks(slim, "truth", {**names("t"), "n": ("size", False)}, k, cuts=(cuts[0], cuts[2]))
     return written(with_ranks(out, "pred", names("p"), k, cuts=(cuts[1], cuts[2])))
 
 
@@ -73,7 +73,7 @@ def report_of(ranked: DataFrame, keys: Sequence[str] = ("model",), shares: Seque
         overlap = F.count_if(F.greatest("rt", "rp") <= least(s))
         tops += [overlap.alias(f"top{round(s * 100)}_overlap"), (overlap / F.max(least(s))).alias(f"top{round(s * 100)}_recall")]
     main = ranked.groupBy(*k).agg(*moments(), pearson(F.col(f"t{sign}").cast("double"), F.col(f"p{sign}").cast("double")).alias("spearman"), *tops)
-    cells = ranked.groupBy(*k, F.col("tm").alias("rx"), F.col("pred").alias("ry")).agg(F.count("*").alias("c"))
+    cells = ranked.groupBy(*k, F.col("truth").alias("rx"), F.col("pred").alias("ry")).agg(F.count("*").alias("c"))
     tau = kendall_of(cells, k).select(*[F.col(c).alias(f"__k_{c}") for c in k], "concordant", "discordant", "tau")
     on = F.lit(True)
     for c in k:

@@ -57,9 +57,8 @@ def wide_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def long_pairs(spark: SparkSession, d: str) -> DataFrame:
-    w = wide_pairs(spark, d)
-    one = lambda m, c: w.select(F.lit(m).alias("model"), "id", "truth", F.col(c).alias("pred"))
-    return one("a", "pa").unionByName(one("b", "pb"))
+    models = F.array(*[F.struct(F.lit(m).alias("model"), F.col(c).alias("pred")) for m, c in (("a", "pa"), ("b", "pb"))])
+    return wide_pairs(spark, d).select("id", "truth", F.inline(models)).select("model", "id", "truth", "pred")
 
 
 _MOMENTS = """
