@@ -17,6 +17,8 @@ from gridmeld.sources.scratch import written
 
 #: Images of sites that one task takes of a bin; fuller bins are dealt to several.
 PER_BIN = 5_000
+#: Rows of sites and their species that one task counts.
+PER_PART = 200_000
 
 
 def _cross(u: Sequence[Column], v: Sequence[Column]) -> list[Column]:
@@ -204,8 +206,16 @@ def zones(edges: DataFrame, tagged: DataFrame) -> DataFrame:
 
 
 def zone_counts(zoned: DataFrame, species: DataFrame, kinds: Sequence[int], key: str = "config") -> DataFrame:
-    """(key, node, z<zone>_<kind>): neighbours of each kind in each zone, per site."""
-    each = zoned.join(species.select(key, F.col("site").alias("nbr"), "species"), "nbr")
+    """(key, node, z<zone>_<kind>): neighbours of each kind in each zone, per site.
+
+    The zones are those of one stated, small set of sites. Only sites in a zone are kept, and dealt
+    by key to partitions of about `PER_PART` rows, so that a task holds as many counts however many keys there are.
+    """
+    zoned = F.broadcast(zoned)
+    near = F.broadcast(zoned.select("nbr").distinct())
+    slim = written(species.select(key, F.col("site").alias("nbr"), "species").join(near, "nbr", "left_semi").select(key, "nbr", "species"))
+    parts = max(species.sparkSession.sparkContext.defaultParallelism, slim.count() // PER_PART + 1)
+    each = slim.repartition(parts, key).join(zoned, "nbr")
     return each.groupBy(key, "node").agg(*[F.sum(((F.col("zone") == z) & (F.col("species") == s)).cast("int")).alias(f"z{z}_{s}") for z in (1, 2, 3) for s in kinds])
 
 

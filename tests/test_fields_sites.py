@@ -155,3 +155,17 @@ def test_files_round_trip(spark, tmp_path):
     assert {(r["species"], tuple(r["features"])) for r in files.read_species_features(spark, str(tmp_path / "s.json")).collect()} == {(1, (0.0, 1.0)), (2, (1.0, 1.0))}
     (tmp_path / "t.csv").write_text("a,1.5\nb,2\n")
     assert files.read_targets(spark, str(tmp_path / "t.csv")).count() == 2
+
+
+def test_tasks_of_zone_counts_grow_in_number_not_in_rows(spark, monkeypatch):
+    monkeypatch.setattr(sites, "PER_PART", 100)
+    zoned = spark.createDataFrame([(0, 0, 1), (0, 1, 2), (1, 1, 1), (1, 2, 3)], "node int, nbr int, zone int")
+    species = spark.range(3000).select((F.col("id") / 10).cast("int").alias("config"), (F.col("id") % 10).cast("int").alias("site"), (F.col("id") % 3).cast("int").alias("species"))
+    out = sites.zone_counts(zoned, species, range(3))
+    assert out.rdd.getNumPartitions() == 10  # 900 of 3,000 rows are in a zone
+    got = {(x["config"], x["node"]): x for x in out.collect()}
+    assert len(got) == 600
+    for c in range(300):
+        kind = [(c * 10 + s) % 3 for s in range(3)]
+        assert all(got[c, 0][f"z{z}_{s}"] == ((z, s) in ((1, kind[0]), (2, kind[1]))) for z in (1, 2, 3) for s in range(3))
+        assert all(got[c, 1][f"z{z}_{s}"] == ((z, s) in ((1, kind[1]), (3, kind[2]))) for z in (1, 2, 3) for s in range(3))
